@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, rules
+from . import mixing, packing, rules
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op8_quality_rules": rules.op8_quality_rules,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
