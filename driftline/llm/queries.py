@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, rules
+from . import lines, minhash, mixing, packing, rules
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op7_line_dedup": lines.OP7_SQL,
     "op8_quality_rules": rules.OP8_SQL,
 }
