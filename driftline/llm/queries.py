@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, rules
+from . import lines, minhash, mixing, packing, quality, rules
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
