@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, quality, rules
+from . import lines, minhash, mixing, packing, quality, rules, vectors
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_embedding_near_dedup": vectors.op4_embedding_near_dedup,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_quality_rules": rules.op8_quality_rules,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op4_embedding_near_dedup": vectors.OP4_SQL,
     "op7_line_dedup": lines.OP7_SQL,
     "op8_quality_rules": rules.OP8_SQL,
 }
