@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, quality, rules, vectors
+from . import lines, minhash, mixing, packing, quality, rules, urls, vectors
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_url_filter": urls.op3_url_filter,
     "op4_embedding_near_dedup": vectors.op4_embedding_near_dedup,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_line_dedup": lines.op7_line_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op3_url_filter": urls.OP3_SQL,
     "op4_embedding_near_dedup": vectors.OP4_SQL,
     "op7_line_dedup": lines.OP7_SQL,
     "op8_quality_rules": rules.OP8_SQL,
