@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, quality, rules, urls, vectors
+from . import lines, minhash, mixing, packing, pseudolikelihood, quality, rules, urls, vectors
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_url_filter": urls.op3_url_filter,
     "op4_embedding_near_dedup": vectors.op4_embedding_near_dedup,
     "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_lm_scoring": pseudolikelihood.op6_lm_scoring,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_quality_rules": rules.op8_quality_rules,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
