@@ -59,7 +59,7 @@ def human_bytes(n: Column) -> Column:
 
 
 def _div(a: Column, n: int) -> Column:
-    return ((a - a % n) / n).cast("long")
+    return F.call_function("div", a, F.lit(n))
 
 
 def human_duration(ms: Column) -> Column:
@@ -126,7 +126,7 @@ def journal_label(kind: Column) -> Column:
 
 def ns_to_ts(ns: Column) -> Column:
     """Nanoseconds since the epoch as a timestamp, cut to microseconds."""
-    return F.timestamp_micros(((ns - F.pmod(ns, F.lit(1000))) / 1000).cast("long"))
+    return F.timestamp_micros(_div(ns - F.pmod(ns, F.lit(1000)), 1000))
 
 
 def ts_to_ns(ts: Column) -> Column:

@@ -135,7 +135,7 @@ def plan(src: DataFrame, dst: DataFrame, opts: SyncOptions = SyncOptions()) -> D
 def _orphan_candidates(src: DataFrame, dst: DataFrame, opts: SyncOptions) -> DataFrame:
     """Destination-only entries in directories that were walked."""
     walked = apply_filters(as_listing(src), opts.rules).where("type = 'DIR' and coalesce(stat_errno, 0) = 0").select(F.col("rel_path").alias("walked"))
-    walked = walked.unionByName(walked.sparkSession.createDataFrame([("",)], "walked string")).distinct()
+    walked = walked.unionByName(walked.sparkSession.range(1).select(F.lit("").alias("walked")))
     only = dst.join(src.select("rel_path"), "rel_path", "left_anti").withColumn("walked", parent(F.col("rel_path")))
     return only.join(walked, "walked", "left_semi").drop("walked")
 

@@ -6,10 +6,10 @@ in driftline/checks fill both.
 
 from __future__ import annotations
 
-from driftline.checks import diff, functions, journal
+from driftline.checks import diff, fleet, functions, journal, ledger
 
 QUERIES: dict = {}
 SQL: dict = {}
-for part in (diff, functions, journal):
+for part in (diff, functions, journal, ledger, fleet):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
