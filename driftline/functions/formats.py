@@ -100,7 +100,7 @@ def sum_hex(high: Column, low: Column) -> Column:
 def unsigned(n: Column) -> Column:
     """A long whose bits are an unsigned 64-bit number, as a decimal."""
     n = n.cast("decimal(20,0)")
-    return F.when(n < 0, n + F.lit(2**64).cast("decimal(20,0)")).otherwise(n).cast("decimal(20,0)")
+    return F.when(n < 0, n + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(n).cast("decimal(20,0)")
 
 
 def verify_text(ok: Column, fail: Column) -> Column:
