@@ -9,9 +9,12 @@ J + (1 - J) / 4, so the share m of agreeing slots, counted by bits, estimates J
 Bands find a pair at similarity 0.8 with probability 1 - (1 - 0.8^5)^25 = 0.99995.
 
 Equal sets are one node, so exact copies never pair. Within a bucket nodes are first
-compared with the smallest node only; components of confirmed links are contracted, and
-only pairs that still lie in different components are then compared, the estimate being
-part of the join, so groups of near copies do not become all their pairs.
+compared with the smallest node only, then, where a bucket still has nodes of different
+components, with two nodes drawn by hash; the draws of a node's buckets differ, so a large
+group of near copies grows together by a few comparisons a node. Only pairs that then still
+lie in different components are all compared, by an estimate from 1024 further slots
+(within 0.06, again four deviations) that is part of the join. So every pair of a bucket is either compared or already connected, and groups of near copies
+do not become all their pairs.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing;
 fewer than k words are one shingle; texts are read whole whatever their length; rows that
@@ -29,12 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.shipping import map_in_arrow
+
 from .common import connected_components, materialize, read, release
 
 SLOTS = 128
 BANDS, ROWS = 25, 5
 BITS = 2
 MARGIN = 0.2
+#: Slots of the finer estimate of documents that share a bucket, and its margin.
+FINE_SLOTS = 1024
+FINE_MARGIN = 0.06
 #: Cached word hashes per Python worker; beyond it the cache starts anew.
 CACHE_WORDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -53,11 +61,11 @@ def _word_hashes() -> _WordHashes:
     return _WordHashes()
 
 
-@lru_cache(maxsize=1)
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    random = np.random.default_rng(7)
-    a = random.integers(0, 2**31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    return a, random.integers(0, 2**32, SLOTS, dtype=np.uint32)
+@lru_cache(maxsize=4)
+def _permutations(slots: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng([7, slots])
+    a = random.integers(0, 2**31, slots, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return a, random.integers(0, 2**32, slots, dtype=np.uint32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -79,18 +87,19 @@ def shingle_set(text: bytes, k: int, hashes: dict) -> np.ndarray:
     return np.unique(out)
 
 
-def _minima(shingles: np.ndarray) -> np.ndarray:
-    a, b = _permutations()
-    low = np.full(SLOTS, 0xFFFFFFFF, np.uint32)
+def _minima(shingles: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    a, b = _permutations(slots)
+    low = np.full(slots, 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), 4096):
-        np.minimum(low, (x[i : i + 4096, None] * a + b).min(axis=0), out=low)
+    step = (1 << 18) // slots
+    for i in range(0, len(x), step):
+        np.minimum(low, (x[i : i + step, None] * a + b).min(axis=0), out=low)
     return low
 
 
 def _packed(minima: np.ndarray) -> np.ndarray:
-    """The low two bits of each minimum, as four 64-bit words (32 slots each)."""
-    pairs = (minima & np.uint32(3)).astype(np.uint64).reshape(4, 32)
+    """The low two bits of each minimum, 32 slots to a 64-bit word."""
+    pairs = (minima & np.uint32(3)).astype(np.uint64).reshape(-1, 32)
     return (pairs << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64)
 
 
@@ -136,13 +145,13 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_a", "set_b", "slots", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), 
         run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, slots array<bigint>, bands array<bigint>"
     )
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """id and the sorted shingle hashes of each document."""
+    """id, the sorted shingle hashes and the finer slots of each document."""
 
     def run(batches):
         hashes = _word_hashes()
@@ -151,20 +160,21 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 hashes.clear()
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                sets = _longs([shingle_set(_bytes(text), k, hashes) for text in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["id", "shingles"])
+                sets = [shingle_set(_bytes(text), k, hashes) for text in part.column(1)]
+                fine = [_packed(_minima(s, FINE_SLOTS)) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), _longs(sets), _longs(fine)], names=["id", "shingles", "fine"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "id bigint, shingles array<bigint>"
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), 
+        run, "id bigint, shingles array<bigint>, fine array<bigint>"
     )
 
 
-def estimate(x: Column, y: Column) -> Column:
+def estimate(x: Column, y: Column, slots: int = SLOTS) -> Column:
     """Similarity from packed slots, corrected for slots that agree by chance."""
     odd = F.lit(0x5555555555555555)
-    apart = [F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i)).bitwiseOR(F.shiftrightunsigned(F.get(x, i).bitwiseXOR(F.get(y, i)), 1)).bitwiseAND(odd)) for i in range(SLOTS // 32)]
+    apart = [F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i)).bitwiseOR(F.shiftrightunsigned(F.get(x, i).bitwiseXOR(F.get(y, i)), 1)).bitwiseAND(odd)) for i in range(slots // 32)]
     chance = 2.0**-BITS
-    return ((1 - sum(apart[1:], apart[0]) / SLOTS) - chance) / (1 - chance)
+    return ((1 - sum(apart[1:], apart[0]) / slots) - chance) / (1 - chance)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,36 +198,56 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .where("id is not null"),
         "nodes",
     )
-    slots = nodes.select("id", "slots")
-    members = nodes.select("id", F.explode("bands").alias("key"))
+    slots = nodes.select("id", "slots", F.col("n_shingles").alias("n"))
+    members = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     buckets = materialize(members.join(shared.select("key", "low"), "key"), "buckets")
     candidates = buckets.select(F.col("id").alias("doc_id")).distinct()
     found = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "text").join(candidates, "doc_id", "left_semi")
     sets = materialize(
-        shingle_sets(found, k).groupBy("id").agg(F.any_value("shingles").alias("shingles")), "sets"
-    )
-    least = percent / 100 - MARGIN
-
-    stars = (
-        buckets.where("low < id").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct()
-        .join(slots.select(F.col("id").alias("u"), F.col("slots").alias("x")), "u")
-        .join(slots.select(F.col("id").alias("v"), F.col("slots").alias("y")), "v")
-        .where(estimate(F.col("x"), F.col("y")) >= least)
-        .select("u", "v")
+        shingle_sets(found, k).groupBy("id").agg(F.any_value("shingles").alias("shingles"), F.any_value("fine").alias("fine")), "sets"
     )
+    like_sizes = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")  # else even the smaller set is too small a part
+    may_link = like_sizes & (estimate(F.col("x"), F.col("y")) >= percent / 100 - MARGIN)
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (u, v) whose estimate is near the threshold or above."""
+        return (
+            pairs.distinct()
+            .join(slots.select(F.col("id").alias("u"), F.col("slots").alias("x"), F.col("n").alias("nu")), "u")
+            .join(slots.select(F.col("id").alias("v"), F.col("slots").alias("y"), F.col("n").alias("nv")), "v")
+            .where(may_link)
+            .select("u", "v")
+        )
+
+    def still_open(groups: DataFrame, members: DataFrame) -> DataFrame:
+        """key, band, id, component of buckets whose members lie in different components."""
+        placed = members.select("key", "band", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        ends = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+        return materialize(placed.join(ends.where("a < b").select("key"), "key"), "open")
+
+    stars = close(buckets.where("low < id").select(F.col("low").alias("u"), F.col("id").alias("v")))
     links = materialize(confirmed(stars, sets, percent), "links")
     groups = materialize(connected_components(links), "groups")
 
-    placed = buckets.select("key", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    open_ = materialize(placed.join(mixed, "key").join(slots, "id"), "open")
-    left = open_.select("key", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("slots").alias("x"))
-    right = open_.select("key", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("slots").alias("y"))
-    others = left.join(right, [left["key"] == right["key"], F.col("u") < F.col("v"), F.col("cu") != F.col("cv"), estimate(F.col("x"), F.col("y")) >= least])
-    more = confirmed(others.select("u", "v").distinct(), sets, percent)
-    groups = materialize(connected_components(links.unionByName(more)), "groups")
+    open_ = still_open(groups, buckets)
+    member = F.struct(F.col("id").alias("id"), F.col("component").alias("component"))
+    draw = F.xxhash64("id", "key")
+    drawn = open_.groupBy("key").agg(F.min_by(member, draw).alias("a"), F.max_by(member, draw).alias("b")).select("key", F.explode(F.array("a", "b")).alias("c"))
+    tried = open_.join(drawn, "key").where("component <> c.component").select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v"))
+    links = materialize(links.unionByName(confirmed(close(tried), sets, percent)), "links")
+    groups = materialize(connected_components(links), "groups")
+
+    rest = still_open(groups, open_)
     release(open_)
+    rest = rest.join(slots, "id").join(sets.select("id", "fine"), "id").join(nodes.select("id", "bands"), "id")
+    first_band = F.coalesce(*[F.when(F.get("bx", i) == F.get("by", i), i) for i in range(BANDS)])  # a pair is one row whatever it shares
+    nearly = estimate(F.col("fx"), F.col("fy"), FINE_SLOTS) >= percent / 100 - FINE_MARGIN
+    left = rest.select("key", "band", F.col("bands").alias("bx"), F.col("id").alias("u"), F.col("component").alias("cu"), F.col("slots").alias("x"), F.col("n").alias("nu"), F.col("fine").alias("fx"))
+    right = rest.select(F.col("key").alias("k"), F.col("bands").alias("by"), F.col("id").alias("v"), F.col("component").alias("cv"), F.col("slots").alias("y"), F.col("n").alias("nv"), F.col("fine").alias("fy"))
+    others = left.join(right, (F.col("key") == F.col("k")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & may_link & nearly & (first_band == F.col("band")))
+    more = materialize(confirmed(others.select("u", "v"), sets, percent), "links")
+    groups = materialize(connected_components(links.unionByName(more)), "groups")
     release(buckets)
     release(sets)
 
