@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.shipping import map_in_arrow
+
 from .common import materialize, read
 
 CAPACITY = 2048
@@ -144,7 +146,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(pieces, schema)
+    return map_in_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), pieces, schema)
 
 
 class _Sums:

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.shipping import map_in_arrow
+
 from .common import connected_components, materialize, read, release
 
 COSINE = 0.98
@@ -69,7 +71,7 @@ def with_codes(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "codes"])
 
     label = nodes.schema["label"].dataType.simpleString()
-    return nodes.mapInArrow(run, f"id bigint, label {label}, vector array<double>, copies bigint, codes array<int>")
+    return map_in_arrow(nodes, run, f"id bigint, label {label}, vector array<double>, copies bigint, codes array<int>")
 
 
 def _compare(ids, vectors, copies, codes, block, table: int, pair: tuple[int, int], cosine: float):
@@ -135,7 +137,7 @@ def _bucket_links(buckets: DataFrame, tables: int, cosine: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "links", "low"])
 
     key = names[:6]
-    return buckets.select(*names).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "id bigint, links bigint, low bigint")
+    return map_in_arrow(buckets.select(*names).repartition(*key).sortWithinPartitions(*key), run, "id bigint, links bigint, low bigint")
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
