@@ -98,8 +98,18 @@ _PART_OF = {
 }
 
 
+_MADE: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table as a DataFrame."""
+    """One derived table as a DataFrame, kept by the session so that queries do not derive it anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        _MADE[key] = _derived(spark, sf_dir, name).persist()
+    return _MADE[key]
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     text = PARTS[_PART_OF[name]].replace("varchar(99)", "string").replace("JSON_K", "get_json_object(props, '$.k')")
     text = text.replace("EPOCH_US(", "driftline_us(")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions.formats import tag_matches, temp_name
 from driftline.functions.globs import first_match_excludes
@@ -255,25 +256,26 @@ def dirfix(journal: DataFrame, dst: DataFrame) -> DataFrame:
 
 
 def apply_plan(dst: DataFrame, planned: DataFrame, deletes: DataFrame | None = None) -> DataFrame:
-    """The destination after the plan: copied and new objects from the source, fixed attributes, less deletes.
+    """The destination after the whole plan made for it: copied and new objects and fixed
+    attributes from the source, the rest as it was, less deletes.
 
-    Applying a plan twice gives the same snapshot. Written to a new path, it replaces the old one at once.
+    The plan holds both sides of every path, so no further join is needed; dst gives the
+    schema. Applying a plan twice gives the same snapshot. Written to a new path, it replaces
+    the old one at once.
     """
-    dst = as_listing(dst)
     if deletes is not None:
-        dst = dst.join(deletes.select("rel_path"), "rel_path", "left_anti")
-    fields = [c for c in dst.columns if c not in ("rel_path", "content")]
+        planned = planned.join(deletes.select("rel_path"), "rel_path", "left_anti")
+    changed = F.col("action").isin("COPY", "SYMLINK", "SPECIAL", "MKDIR", "META_FIX", "DIR")
     have = {side: set(planned.schema[side].dataType.names) for side in ("src", "dst")}
-    done = planned.where("action in ('COPY', 'SYMLINK', 'SPECIAL', 'MKDIR', 'META_FIX', 'DIR')")
-    content = [F.when(F.col("action") == "COPY", F.col("src.content")).otherwise(F.col("dst.content")).alias("content")] if "content" in dst.columns else []
-    kinds = {f.name: f.dataType for f in dst.schema.fields}
 
-    def from_source(c: str) -> Column:
-        own = [F.col(f"{side}.{c}") for side in (("src", "dst") if c == "xattrs" else ("src",)) if c in have[side]]
-        return F.coalesce(*own, F.lit(None)).cast(kinds[c])
+    def value(c: str, kind: T.DataType) -> Column:
+        old, new = (F.col(f"{side}.{c}") if c in have[side] else F.lit(None) for side in ("dst", "src"))
+        if c == "content":
+            return F.when(F.col("action") == "COPY", new).otherwise(old).cast(kind).alias(c)
+        return F.when(changed, F.coalesce(new, old) if c == "xattrs" else new).otherwise(old).cast(kind).alias(c)
 
-    new = done.select("rel_path", *[from_source(c).alias(c) for c in fields], *content)
-    return dst.join(done.select("rel_path"), "rel_path", "left_anti").unionByName(new)
+    kept = planned.where(changed | F.col("dst").isNotNull())
+    return kept.select("rel_path", *[value(f.name, f.dataType) for f in as_listing(dst).schema.fields if f.name != "rel_path"])
 
 
 #: Attributes of the fidelity report; ctime cannot be carried over and is left out.

@@ -9,22 +9,6 @@ import pytest
 from conftest import SF_DIR
 
 from driftline import queries
-from driftline.checks import base
-
-
-@pytest.fixture(scope="module")
-def kept_tables():
-    """Derived tables are computed once for all queries of this module."""
-    made, original = {}, base.table
-
-    def table(spark, sf_dir, name):
-        if name not in made:
-            made[name] = original(spark, sf_dir, name).persist()
-        return made[name]
-
-    base.table = table
-    yield
-    base.table = original
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +30,7 @@ def plain(v):
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
-def test_query(spark, con, kept_tables, name):
+def test_query(spark, con, name):
     df = queries.QUERIES[name](spark, SF_DIR)
     columns = sorted(df.columns)
     got = sorted(repr([plain(r[c]) for c in columns]) for r in df.collect())
