@@ -46,7 +46,7 @@ def scan_objects(spark: SparkSession, root: str, glob: str | None = None) -> Dat
     path = F.regexp_replace("path", "^[a-z0-9+]+:/*", "")
     return as_listing(
         found.select(
-            F.expr("1").alias("one"), F.substring(path, F.length(F.regexp_replace(base, "^/+", "")) + 2, F.length(path)).alias("rel_path"),
+            F.substring(path, F.length(F.regexp_replace(base, "^/+", "")) + 2, F.length(path)).alias("rel_path"),
             F.lit("FILE").alias("type"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content",
         )
     )
