@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.shipping import map_in_arrow
+
 from .common import read
 
-SAMPLE = 4000
-DIMENSIONS = 2048
+SAMPLE = 3000
+DIMENSIONS = 1024
 THRESHOLD = 0.5
 #: Votes need this many words; shorter texts get none.
 LEAST_WORDS = 5
@@ -116,12 +118,11 @@ def features(text: bytes, measures: np.ndarray, dimensions: int = DIMENSIONS) ->
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 1.0, penalty: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels by gradient descent with momentum; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, v = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    w, v = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
     for _ in range(rounds if len(x) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        v = 0.9 * v - rate * 0.1 * (x.T @ (p - y) / len(x) + penalty * w)
-        w = w + v
+        off = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) - y
+        v = 0.9 * v - rate * 0.1 * (np.append(off @ x, off.sum()) / len(x) + penalty * w)
+        w = (w + v).astype(np.float32)
     return w
 
 
@@ -141,7 +142,7 @@ def vote_patterns(docs: DataFrame) -> dict[int, int]:
                 seen[code] = seen.get(code, 0) + 1
         yield pa.RecordBatch.from_pydict({"code": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code bigint, n bigint")
+    counted = map_in_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "code bigint, n bigint")
     return {r["code"]: r["n"] for r in counted.groupBy("code").agg(F.sum("n").alias("n")).collect()}  # at most 3^labellers rows
 
 
@@ -162,9 +163,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) ->
 
     text = F.col("text").cast("string").alias("text")
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select(text)
-    rows = drawn.mapInArrow(run, "x binary, y double").orderBy("x").collect()  # about `sample` rows of `dimensions` floats
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), dimensions)
-    y = np.array([r["y"] for r in rows], np.float32)
+    rows = map_in_arrow(drawn, run, "x binary, y double").orderBy("x").toArrow()  # about `sample` rows of `dimensions` floats
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, dimensions)
+    y = np.array(rows["y"].to_pylist(), np.float32)
+    del rows
     return {"posterior": posterior, "weights": fit_scorer(x, y), "accuracies": chance, "prior": prior, "dimensions": dimensions}
 
 
@@ -189,7 +191,7 @@ def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
                 columns = [*part.columns, pa.array(weak, pa.float64()), pa.array(score), pa.array(score >= threshold)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return map_in_arrow(docs, run, schema)
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
