@@ -73,16 +73,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     execution. Each round is a table in the shared folder; the old one is removed.
     """
     now = materialize(_forward(edges), "edges")
-    before = _mark(now)
-    while before[0]:
-        mid = _star(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), larger=True)
-        new = materialize(_forward(_star(mid, larger=False)), "edges")
-        after = _mark(new)
+    while not _all_stars(now):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        new = materialize(_forward(_star(_star(both, larger=True), larger=False)), "edges")
         release(now)
         now = new
-        if after == before:
-            break
-        before = after
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
@@ -107,6 +102,10 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     )
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _all_stars(edges: DataFrame) -> bool:
+    """Every id hangs on one other, on which nothing but such ids hang."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("v").alias("id"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    ends = ends.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return ends.where("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
