@@ -1,14 +1,23 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 Every word of a document is hidden in turn and predicted from the two words on either
-side; the sum of the log-probabilities scores the document. Words are hashed to 65,536
-buckets whose counts are taken over the whole corpus; buckets are dealt to 64 classes of
-about equal mass, so P(word | sides) = P(class | sides) * count(bucket) / count(class).
-P(class | sides) is a small network in numpy (one table per place, a tanh layer, a
-softmax). It is trained on the whole corpus where the data lie: in a round each task
+side; the sum of the log-probabilities scores the document. P(word | sides) is the mean of
+two predictions, from the word before and the word after:
+
+    (n(beside, word) - 1 + own * net(word)) / (n(beside) - 1 + own),  own = 4 + 2 * sqrt(n(beside) - 1)
+
+n counts words and neighbours, as words and without a bound on the vocabulary, over all
+places of the whole corpus; the hidden place itself is taken off. The ends of a text are
+a neighbour like a word. net(word) = P(class | sides) * n(word) / n(class) is what a small
+network in numpy (one table per place, a tanh layer, a softmax) says: words are hashed to
+65,536 buckets, and these are dealt to 64 classes of about equal mass. It is trained on the whole corpus where the data lie: in a round each task
 starts from the common weights and descends over every `stride`-th word of each of its
 documents; weights are averaged by words, place by place, in one aggregate.
 
+The counts of words and neighbours stay distributed: a group of documents (by hash) counts
+its own keys, parts of the keys (by hash) are summed over all groups, and the sums go back
+to the groups that asked. A frequent word is one entry of a group.
+
 What reaches the driver is bound by parameters (bucket counts, one row per weight), not by
 the corpus; counts and weights are summed before and in the shuffle.
 
@@ -27,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.shipping import map_in_arrow
+from driftline.shipping import map_in_arrow, ship
 
 from .common import read
+from .minhash import _MIX, _longs, _mixed
 
 BUCKETS = 1 << 16
 CLASSES = 64
@@ -43,13 +53,22 @@ RATE = 0.3
 CACHE_WORDS = 1_000_000
 #: Words scored at once.
 CHUNK = 4096
+#: Words of a group of documents, and keys of a part, on average.
+GROUP_WORDS = 500_000
+PART_KEYS = 2_000_000
+#: The neighbour at the ends of a text.
+OUTSIDE = np.uint64(0)
 _PLACES = [p for p in range(-SIDE, SIDE + 1) if p]
 
 
 class _Buckets(dict):
+    """64-bit hashes of words; the low bits are the bucket."""
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = b = zlib.crc32(word) & (BUCKETS - 1)
-        return b
+        import xxhash
+
+        self[word] = h = xxhash.xxh64_intdigest(word) & -BUCKETS | zlib.crc32(word) & (BUCKETS - 1)
+        return h
 
 
 @lru_cache(maxsize=1)
@@ -57,18 +76,48 @@ def _buckets() -> _Buckets:
     return _Buckets()
 
 
-def _encoded(column: pa.Array) -> list[np.ndarray]:
-    """The buckets of the words of each text."""
+def _hashed(column: pa.Array) -> list[np.ndarray]:
+    """The hashes of the words of each text."""
     cache = _buckets()
     if len(cache) > CACHE_WORDS:
         cache.clear()
     out = []
     for text in column:
         words = text.as_buffer().to_pybytes().split() if text.is_valid else ()
-        out.append(np.fromiter(map(cache.__getitem__, words), np.int32, len(words)))
+        out.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
     return out
 
 
+def _bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int32)
+
+
+def _encoded(column: pa.Array) -> list[np.ndarray]:
+    """The buckets of the words of each text."""
+    return [_bucket_of(t) for t in _hashed(column)]
+
+
+def _keys(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words of all texts, each text followed by one end, and of each such place and the one before it."""
+    ends = np.cumsum([len(t) + 1 for t in texts if len(t)], dtype=np.int64)
+    words = np.full(int(ends[-1]) if len(ends) else 0, OUTSIDE)
+    at = np.ones(len(words), bool)
+    at[ends - 1] = False
+    words[at] = np.concatenate([np.empty(0, np.uint64), *texts])
+    before = np.concatenate([np.full(min(1, len(words)), OUTSIDE), words[:-1]])
+    return words, _mixed(before * np.uint64(3) + _mixed(words + _MIX))
+
+
+def _distinct(words: np.ndarray, pairs: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys by part, their counts, the parts, and the place of each word's and then each pair's key."""
+    keys, place, n = np.unique(np.concatenate([words, pairs]), return_inverse=True, return_counts=True)
+    part = (_mixed(keys) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return keys[order], n[order], part[order], back[place]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text"))
 
@@ -190,33 +239,72 @@ def train(docs: DataFrame, classes: np.ndarray, counts: np.ndarray, rounds: int
     return network
 
 
-def score(docs: DataFrame, network: Network, classes: np.ndarray, in_class: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob."""
-    flat = network.flat
-
-    def run(batches):
-        own = Network(flat)
-        for batch in batches:
-            for begin in range(0, len(batch), 512):
-                part = batch.slice(begin, 512)
-                texts = _encoded(part.column(1))
-                line, at, buckets, owner = _joined(texts, classes)
-                logs = own.log_probs(line, at) + in_class[buckets]
-                total = np.bincount(owner, logs, len(texts))
-                n = np.array([len(t) for t in texts], np.int64)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+def key_counts(grouped: DataFrame, parts: int) -> DataFrame:
+    """batch, part, totals: how often the keys that a group of documents has in a part occur in all, in the order of _distinct()."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys, n, part, _ = _distinct(*_keys(_hashed(table["text"])), parts)
+        found, begin = np.unique(part, return_index=True)
+        batch = pa.array(np.full(len(found), table["batch"][0].as_py()), pa.int64())
+        return pa.table({"batch": batch, "part": pa.array(found, pa.int64()), "keys": _longs(np.split(keys, begin[1:]) if len(keys) else []), "n": _longs([x.astype(np.uint64) for x in np.split(n, begin[1:])] if len(keys) else [])})
+
+    def add(table: pa.Table) -> pa.Table:
+        lists = table["keys"].combine_chunks()
+        _, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        total = np.bincount(place, table["n"].combine_chunks().flatten().to_numpy())[place].astype(np.uint64)
+        cuts = np.cumsum(lists.value_lengths().to_numpy())[:-1]
+        return pa.table({"batch": table["batch"], "part": table["part"], "totals": _longs(np.split(total, cuts))})
+
+    asked = grouped.select("batch", "text").groupBy("batch").applyInArrow(ask, "batch bigint, part bigint, keys array<bigint>, n array<bigint>")
+    return asked.groupBy("part").applyInArrow(add, "batch bigint, part bigint, totals array<bigint>")
+
+
+def mixed_with_counts(net: np.ndarray, pair: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """P(word | one neighbour): the counts without the hidden place, and the network's prediction for the rest."""
+    own = 4 + 2 * np.sqrt(beside - 1)
+    return (pair - 1 + own * net) / (beside - 1 + own)
+
+
+def score(docs: DataFrame, network: Network, classes: np.ndarray, in_class: np.ndarray, counts: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob; the counts are those of docs."""
+    ship(docs.sparkSession)
+    counts = bucket_counts(docs) if counts is None else counts
+    flat, of_class = network.flat, in_class - np.log(np.maximum(counts, 1))
+    groups, parts = 1 + int(counts.sum()) // GROUP_WORDS, 1 + 2 * int(counts.sum()) // PART_KEYS
+    text = F.col("text").cast("string")
+    grouped = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(groups)).alias("batch"))
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        own, texts = Network(flat), _hashed(table["text"])
+        n = np.array([len(t) for t in texts], np.int64)
+        words, pairs = _keys(texts)
+        total = np.empty(len(texts))
+        if len(words):
+            place = _distinct(words, pairs, parts)[3]
+            totals = answers.sort_by("part")["totals"].combine_chunks().flatten().to_numpy()[place].astype(float)
+            single, double = totals[: len(words)], totals[len(words) :]
+            inside = np.flatnonzero(words != OUTSIDE)
+            line, at, buckets, owner = _joined([_bucket_of(t) for t in texts], classes)
+            net = np.exp(own.log_probs(line, at) + of_class[buckets]) * single[inside]
+            before = mixed_with_counts(net, double[inside], single[inside - 1])  # at the very first place this is the last one, an end too
+            after = mixed_with_counts(net, double[inside + 1], single[inside + 1])
+            total = np.bincount(owner, np.log((before + after) / 2), len(texts))
+        total[n == 0] = 0
+        mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+        return pa.table({"doc_id": table["doc_id"], "n_tokens": pa.array(n), "log_prob": pa.array(total), "mean_log_prob": mean})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_in_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), 
-        run, f"doc_id {kind}, n_tokens bigint, log_prob double, mean_log_prob double"
+    return (
+        grouped.groupBy("batch")
+        .cogroup(key_counts(grouped, parts).groupBy("batch"))
+        .applyInArrow(run, f"doc_id {kind}, n_tokens bigint, log_prob double, mean_log_prob double")
     )
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
     counts = bucket_counts(docs)
     classes, in_class = class_table(counts)
-    return score(docs, train(docs, classes, counts, rounds, stride), classes, in_class)
+    return score(docs, train(docs, classes, counts, rounds, stride), classes, in_class, counts)
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -215,6 +215,43 @@ def test_scores(spark):
     assert pseudolikelihood.score_documents(documents(spark, ["a"]).where("false")).count() == 0
 
 
+def test_scores_are_of_words(spark, monkeypatch):
+    """The formula by loops over two groups and two parts; and words put for others of their class make a text less likely."""
+    monkeypatch.setattr(pseudolikelihood, "GROUP_WORDS", 2000)
+    monkeypatch.setattr(pseudolikelihood, "PART_KEYS", 4000)
+    r = random.Random(3)
+    follows = {f"w{i}": f"w{(i * 7 + 1) % 300}" for i in range(300)}
+    texts = [[f"w{r.randrange(300)}"] for _ in range(150)]
+    for t in texts:
+        while len(t) < 30:
+            t.append(follows[t[-1]])
+    docs = documents(spark, [" ".join(t) for t in texts])
+    counts = pseudolikelihood.bucket_counts(docs)
+    classes, _ = pseudolikelihood.class_table(counts)
+    bucket = lambda w: zlib.crc32(w.encode()) & 65535
+    alike = collections.defaultdict(list)
+    for w in sorted({w for t in texts for w in t}):
+        alike[classes[bucket(w)]].append(w)
+    texts.append([r.choice([x for x in alike[classes[bucket(w)]] if x != w] or [w]) for w in texts[0]])
+    docs = documents(spark, [*(" ".join(t) for t in texts), None, ""])
+    counts = pseudolikelihood.bucket_counts(docs)
+    classes, in_class = pseudolikelihood.class_table(counts)
+    net = pseudolikelihood.Network.start(np.bincount(classes, counts, 64) / counts.sum())
+    got = {row["doc_id"]: row for row in pseudolikelihood.score(docs, net, classes, in_class).collect()}
+    single = collections.Counter(w for t in texts for w in [*t, None])
+    double = collections.Counter(p for t in texts for p in zip([None, *t], [*t, None], strict=True))
+    for i, t in enumerate(texts):
+        line, at, _, _ = pseudolikelihood._joined([np.array([bucket(w) for w in t])], classes)
+        want = 0.0
+        for k, (w, log) in enumerate(zip(t, net.log_probs(line, at), strict=True)):
+            share = np.exp(log) * single[w] / counts[classes == classes[bucket(w)]].clip(1).sum()
+            sides = [((t[k - 1] if k else None), w), (w, (t[k + 1] if k + 1 < len(t) else None))]
+            beside = [single[sides[0][0]], single[sides[1][1]]]
+            want += np.log(sum((double[p] - 1 + (4 + 2 * (n - 1) ** 0.5) * share) / (n - 1 + 4 + 2 * (n - 1) ** 0.5) for p, n in zip(sides, beside, strict=True)) / 2)
+        assert abs(got[i]["log_prob"] - want) < 1e-3 and got[i]["n_tokens"] == 30
+    assert got[150]["mean_log_prob"] < got[0]["mean_log_prob"] - 1 and got[151]["n_tokens"] == got[152]["log_prob"] == 0
+
+
 def line_texts():
     para = "\n".join(f"short {c} line" for c in "abcdefg")
     long = "this line has more than eight words in it for sure"
