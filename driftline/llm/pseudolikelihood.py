@@ -11,8 +11,8 @@ places of the whole corpus; the hidden place itself is taken off. The ends of a
 a neighbour like a word. net(word) = P(class | sides) * n(word) / n(class) is what a small
 network in numpy (one table per place, a tanh layer, a softmax) says: words are hashed to
 65,536 buckets, and these are dealt to 64 classes of about equal mass. It is trained on the whole corpus where the data lie: in a round each task
-starts from the common weights and descends over every `stride`-th word of each of its
-documents; weights are averaged by words, place by place, in one aggregate.
+starts from the common weights and descends over every word (with a `stride`, every
+stride-th) of each of its documents; weights are averaged by words, place by place, in one aggregate.
 
 The counts of words and neighbours stay distributed: a group of documents (by hash) counts
 its own keys, parts of the keys (by hash) are summed over all groups, and the sums go back
@@ -45,7 +45,7 @@ BUCKETS = 1 << 16
 CLASSES = 64
 HIDDEN = 16
 SIDE = 2
-STRIDE = 8
+STRIDE = 1
 ROUNDS = 2
 BATCH = 512
 RATE = 0.3
@@ -54,7 +54,7 @@ CACHE_WORDS = 1_000_000
 #: Words scored at once.
 CHUNK = 4096
 #: Words of a group of documents, and keys of a part, on average.
-GROUP_WORDS = 500_000
+GROUP_WORDS = 1_000_000
 PART_KEYS = 2_000_000
 #: The neighbour at the ends of a text.
 OUTSIDE = np.uint64(0)
@@ -214,6 +214,12 @@ def _joined(texts: list[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, n
     return line, at, buckets, owner
 
 
+def targets(owner: np.ndarray, turn: int, stride: int = STRIDE) -> np.ndarray:
+    """Which places a round predicts; owner has the text's number at each place."""
+    first = np.searchsorted(owner, owner) if len(owner) else owner
+    return (np.arange(len(owner)) - first) % stride == turn % stride
+
+
 def train(docs: DataFrame, classes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE) -> Network:
     network = Network.start(np.bincount(classes, counts, CLASSES) / max(1, counts.sum()))
     for turn in range(rounds):
@@ -224,8 +230,7 @@ def train(docs: DataFrame, classes: np.ndarray, counts: np.ndarray, rounds: int
             for batch in batches:
                 for begin in range(0, len(batch), 256):
                     line, at, _, owner = _joined(_encoded(batch.column(0).slice(begin, 256)), classes)
-                    first = np.searchsorted(owner, owner) if len(owner) else owner
-                    at = kept.permutation(at[(np.arange(len(at)) - first) % stride == turn % stride])
+                    at = kept.permutation(at[targets(owner, turn, stride)])
                     for i in range(0, len(at), BATCH):
                         own.step(line, at[i : i + BATCH], rate * len(at[i : i + BATCH]) / BATCH)
                     seen += len(at)
@@ -255,7 +260,7 @@ def key_counts(grouped: DataFrame, parts: int) -> DataFrame:
         cuts = np.cumsum(lists.value_lengths().to_numpy())[:-1]
         return pa.table({"batch": table["batch"], "part": table["part"], "totals": _longs(np.split(total, cuts))})
 
-    asked = grouped.select("batch", "text").groupBy("batch").applyInArrow(ask, "batch bigint, part bigint, keys array<bigint>, n array<bigint>")
+    asked = grouped.groupBy("batch").applyInArrow(ask, "batch bigint, part bigint, keys array<bigint>, n array<bigint>")
     return asked.groupBy("part").applyInArrow(add, "batch bigint, part bigint, totals array<bigint>")
 
 

@@ -252,6 +252,13 @@ def test_scores_are_of_words(spark, monkeypatch):
     assert got[150]["mean_log_prob"] < got[0]["mean_log_prob"] - 1 and got[151]["n_tokens"] == got[152]["log_prob"] == 0
 
 
+def test_each_round_predicts_every_place():
+    owner = np.repeat(np.arange(4), [5, 0, 1, 19])
+    for turn in range(pseudolikelihood.ROUNDS):
+        assert pseudolikelihood.targets(owner, turn).all()
+    assert sum(pseudolikelihood.targets(owner, turn, 8).astype(int) for turn in range(8)).tolist() == [1] * 25
+
+
 def line_texts():
     para = "\n".join(f"short {c} line" for c in "abcdefg")
     long = "this line has more than eight words in it for sure"
