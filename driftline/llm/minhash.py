@@ -1,19 +1,20 @@
 """Near-duplicate documents by b-bit MinHash.
 
 A document is its set of distinct shingles (runs of `k` words, A-Z lower-cased). 128
-multiply-add permutations give minima; 25 bands of five minima make keys, and the low two
-bits of each minimum are packed into 256 bits. Two sets agree in a slot with probability
+multiply-add permutations give minima; 25 bands of five minima make keys, and two bits of
+each minimum's hash are packed into 256 bits. Two sets agree in a slot with probability
 J + (1 - J) / 4, so the share m of agreeing slots, counted by bits, estimates J as
 (m - 1/4) / (3/4). Pairs of a band whose estimate is 0.2 or more below the threshold
-(over four standard deviations) are not linked; all others are confirmed on full sets.
+(over four standard deviations) are not linked; all others, and all pairs whose smaller set
+has fewer than 200 shingles, are confirmed on full sets, as estimates of few shingles vary more.
 Bands find a pair at similarity 0.8 with probability 1 - (1 - 0.8^5)^25 = 0.99995.
 
 Equal sets are one node, so exact copies never pair. Within a bucket nodes are first
 compared with the smallest node only, then, where a bucket still has nodes of different
 components, with two nodes drawn by hash; the draws of a node's buckets differ, so a large
 group of near copies grows together by a few comparisons a node. Only pairs that then still
-lie in different components are all compared, by an estimate from 1024 further slots
-(within 0.06, again four deviations) that is part of the join. So every pair of a bucket is either compared or already connected, and groups of near copies
+lie in different components are all compared, small sets by their shingles and others by
+an estimate from 1024 further slots (within 0.09, over five deviations) that is part of the join. So every pair of a bucket is either compared or already connected, and groups of near copies
 do not become all their pairs.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing;
@@ -42,7 +43,9 @@ BITS = 2
 MARGIN = 0.2
 #: Slots of the finer estimate of documents that share a bucket, and its margin.
 FINE_SLOTS = 1024
-FINE_MARGIN = 0.06
+FINE_MARGIN = 0.09
+#: Pairs whose smaller set has fewer shingles are confirmed without an estimate.
+SMALL = 200
 #: Cached word hashes per Python worker; beyond it the cache starts anew.
 CACHE_WORDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -98,8 +101,8 @@ def _minima(shingles: np.ndarray, slots: int = SLOTS) -> np.ndarray:
 
 
 def _packed(minima: np.ndarray) -> np.ndarray:
-    """The low two bits of each minimum, 32 slots to a 64-bit word."""
-    pairs = (minima & np.uint32(3)).astype(np.uint64).reshape(-1, 32)
+    """Two bits of each minimum's hash, 32 slots to a 64-bit word; the minimum's own low bits agree in all slots or in none."""
+    pairs = (_mixed(minima.astype(np.uint64)) & np.uint64(3)).reshape(-1, 32)
     return (pairs << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64)
 
 
@@ -208,7 +211,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         shingle_sets(found, k).groupBy("id").agg(F.any_value("shingles").alias("shingles"), F.any_value("fine").alias("fine")), "sets"
     )
     like_sizes = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")  # else even the smaller set is too small a part
-    may_link = like_sizes & (estimate(F.col("x"), F.col("y")) >= percent / 100 - MARGIN)
+    small = F.least("nu", "nv") < SMALL
+    may_link = like_sizes & (small | (estimate(F.col("x"), F.col("y")) >= percent / 100 - MARGIN))
 
     def close(pairs: DataFrame) -> DataFrame:
         """The distinct pairs (u, v) whose estimate is near the threshold or above."""
@@ -240,12 +244,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     rest = still_open(groups, open_)
     release(open_)
-    rest = rest.join(slots, "id").join(sets.select("id", "fine"), "id").join(nodes.select("id", "bands"), "id")
+    rest = rest.join(slots, "id").join(sets.select("id", "fine", F.when(F.size("shingles") * percent < SMALL * 100, F.col("shingles")).alias("few")), "id").join(nodes.select("id", "bands"), "id")
     first_band = F.coalesce(*[F.when(F.get("bx", i) == F.get("by", i), i) for i in range(BANDS)])  # a pair is one row whatever it shares
     nearly = estimate(F.col("fx"), F.col("fy"), FINE_SLOTS) >= percent / 100 - FINE_MARGIN
-    left = rest.select("key", "band", F.col("bands").alias("bx"), F.col("id").alias("u"), F.col("component").alias("cu"), F.col("slots").alias("x"), F.col("n").alias("nu"), F.col("fine").alias("fx"))
-    right = rest.select(F.col("key").alias("k"), F.col("bands").alias("by"), F.col("id").alias("v"), F.col("component").alias("cv"), F.col("slots").alias("y"), F.col("n").alias("nv"), F.col("fine").alias("fy"))
-    others = left.join(right, (F.col("key") == F.col("k")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & may_link & nearly & (first_band == F.col("band")))
+    common = F.size(F.array_intersect("sx", "sy"))
+    alike = F.when(small, 100 * common >= percent * (F.col("nu") + F.col("nv") - common)).otherwise(nearly)
+    left = rest.select("key", "band", F.col("bands").alias("bx"), F.col("id").alias("u"), F.col("component").alias("cu"), F.col("slots").alias("x"), F.col("n").alias("nu"), F.col("fine").alias("fx"), F.col("few").alias("sx"))
+    right = rest.select(F.col("key").alias("k"), F.col("bands").alias("by"), F.col("id").alias("v"), F.col("component").alias("cv"), F.col("slots").alias("y"), F.col("n").alias("nv"), F.col("fine").alias("fy"), F.col("few").alias("sy"))
+    others = left.join(right, (F.col("key") == F.col("k")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & may_link & (first_band == F.col("band")) & alike)
     more = materialize(confirmed(others.select("u", "v"), sets, percent), "links")
     groups = materialize(connected_components(links.unionByName(more)), "groups")
     release(buckets)

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.llm import common, lines, minhash, mixing, packing, pseudolikelihood, quality, queries, rules, urls, vectors
 
@@ -367,6 +368,26 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(documents(spark, ["a"]).where("false")).count() == 0
 
 
+def test_small_sets_of_a_large_bucket(spark, monkeypatch):
+    """Short texts that all share a bucket: every pair at 0.8 links, whatever an estimate says."""
+    r, texts = random.Random(4), []
+    for g in range(150):
+        base = [f"g{g}x{i}" for i in range(r.choice([8, 9, 12]))]
+        texts += [" ".join(base), " ".join(base[:-1])]
+    r.shuffle(texts)
+    sketches = minhash.sketches
+
+    def in_one_bucket(docs, k):
+        made = sketches(docs, k)
+        key = F.when(F.size("bands") > 0, F.array_repeat(F.lit(7).cast("long"), minhash.BANDS)).otherwise(F.col("bands"))
+        return made.withColumn("bands", key)
+
+    monkeypatch.setattr(minhash, "sketches", in_one_bucket)
+    sets, group = brute_components(list(enumerate(texts)), 4)
+    got = {row["doc_id"]: row["component_id"] for row in minhash.near_duplicates(documents(spark, texts), k=4).collect()}
+    assert got == group and len(set(group.values())) == 150
+
+
 def test_sizes_of_estimates():
     r = np.random.default_rng(4)
     x = r.integers(0, 2**63, 1000).astype(np.uint64)
