@@ -61,4 +61,4 @@ add("A19_scaling", "op_latency", lambda m: fl.scaling(m).select("threads", F.rou
 add("A19_spread_ratio", "op_latency", lambda m: fl.spread_ratio(m).select(F.round("ratio", 6).alias("ratio")), "SELECT round(avg(latency_us) FILTER (dirs = 0) / avg(latency_us) FILTER (dirs = 1), 6) AS ratio FROM op_latency")
 add("A19_ablation", "op_latency", lambda m: fl.ablation(m).select("variant", F.round("speedup", 6).alias("speedup")),
     "SELECT variant, round((SELECT avg(latency_us) FROM op_latency WHERE variant = 'baseline') / avg(latency_us), 6) AS speedup FROM op_latency WHERE variant <> 'baseline' GROUP BY variant")
-add("W15_parked_digest", "work_items", lambda w: fl.parked_digest(w.where("state = 'PARKED'").select("job_id", "item_id", c("updated_ms").alias("parked_ms")), 86_400_000 * 30).select("job_id", "at_ms", F.size("items").alias("n")))
+add("W15_parked_digest", "work_items", lambda w: fl.parked_alerts(w.where("state = 'PARKED'").select("job_id", "item_id", c("updated_ms").alias("parked_ms")), 86_400_000 * 30).groupBy("job_id", "at_ms").agg(F.count("*").cast("int").alias("n")))

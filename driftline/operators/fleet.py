@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import groupby, islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from driftline.shipping import map_in_arrow
 
 ATTEMPT_CAP = 5
 #: Edges in seconds of the duration histogram, 0.1 * 3^i for i < 12.
@@ -187,29 +193,47 @@ def ablation(measured: DataFrame) -> DataFrame:
     return m.where("variant <> 'baseline'").crossJoin(F.broadcast(base)).select("variant", (F.col("base") / F.col("mean")).alias("speedup"))  # one row
 
 
+def digest_steps(parks, rollup_ms: int, until: int | None = None):
+    """(at_ms, at, item) of a job's parks (at, item) in order, each with the time of its alert; keeps the end of the open window only."""
+    held = False  # whether a park waits for `until`
+    for at, item in parks:
+        if at is None:  # first in order: told at once, opens nothing
+            yield at, at, item
+            continue
+        if until is not None and at > until and held:
+            until, held = until + rollup_ms, False
+        if until is None or at > until:
+            until = at + rollup_ms
+            yield at, at, item
+        else:
+            held = True
+            yield until, at, item
+
+
+def parked_alerts(parks: DataFrame, rollup_ms: int = 300_000) -> DataFrame:
+    """job_id, at_ms, parked_ms, item_id: one row per park, with the time of the alert that tells of it; parks as in parked_digest().
+
+    A job's parks are sorted and streamed through one task; no job is ever an array.
+    """
+    ordered = parks.select("job_id", F.col("parked_ms").cast("long").alias("at"), F.col("item_id").cast("long").alias("item"))
+    ordered = ordered.repartition("job_id").sortWithinPartitions("job_id", "at", "item")
+
+    def run(batches):
+        rows = ((r[0], (r[1], r[2])) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        told = ((job, *x) for job, own in groupby(rows, key=lambda r: r[0]) for x in digest_steps((r[1] for r in own), rollup_ms))
+        while part := list(islice(told, 10_000)):
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("job_id", "at_ms", "parked_ms", "item_id"), zip(*part, strict=True), kinds, strict=True)})
+
+    job = ordered.schema["job_id"].dataType
+    kinds = (to_arrow_type(job), pa.int64(), pa.int64(), pa.int64())
+    return map_in_arrow(ordered, run, f"job_id {job.simpleString()}, at_ms bigint, parked_ms bigint, item_id bigint")
+
+
 def parked_digest(parks: DataFrame, rollup_ms: int = 300_000) -> DataFrame:
     """job_id, at_ms, items: alerts about parked items. parks: job_id, item_id, parked_ms, ended_ms (null while parked).
 
     The first park of a job alerts at once and opens a rollup; parks until it elapses are sent
-    together when it does, which opens the next one. A fold over the job's parks in order.
+    together when it does, which opens the next one. An array holds the parks of one alert only.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("parked_ms").alias("at"), F.col("item_id").alias("id"))))
-    jobs = parks.groupBy("job_id").agg(ordered.alias("parks"))
-    kind = "array<struct<at:bigint,items:array<bigint>>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("until"), F.array().cast("array<bigint>").alias("held"), F.array().cast(kind).alias("sent"))
-
-    def step(s: Column, p: Column) -> Column:
-        alert = lambda at, items: F.array(F.struct(at.alias("at"), items.alias("items")))
-        one = F.array(p["id"])
-        quiet = s["until"].isNull() | (p["at"] > s["until"])
-        flushed = F.when(F.size(s["held"]) > 0, F.concat(s["sent"], alert(s["until"], s["held"]))).otherwise(s["sent"])
-        reopened = F.when(F.size(s["held"]) > 0, s["until"] + rollup_ms)
-        late = quiet & (reopened.isNull() | (p["at"] > reopened))
-        until = F.when(late, p["at"] + rollup_ms).when(quiet, reopened).otherwise(s["until"])
-        held = F.when(late, F.array().cast("array<bigint>")).when(quiet, one).otherwise(F.concat(s["held"], one))
-        sent = F.when(late, F.concat(flushed, alert(p["at"], one))).when(quiet, flushed).otherwise(s["sent"])
-        return F.struct(until.alias("until"), held.alias("held"), sent.alias("sent"))
-
-    last = lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["sent"], F.array(F.struct(s["until"].alias("at"), s["held"].alias("items"))))).otherwise(s["sent"])
-    folded = jobs.select("job_id", F.aggregate("parks", start, step, last).alias("sent"))
-    return folded.select("job_id", F.explode("sent").alias("a")).select("job_id", F.col("a.at").alias("at_ms"), F.col("a.items").alias("items"))
+    told = parked_alerts(parks, rollup_ms).groupBy("job_id", "at_ms").agg(F.array_sort(F.collect_list(F.struct("parked_ms", "item_id"))).alias("parks"))
+    return told.select("job_id", "at_ms", F.transform("parks", lambda p: p["item_id"]).alias("items"))

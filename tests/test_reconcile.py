@@ -1,5 +1,6 @@
 """Diff, application, links, verification and passes on hand-made listings."""
 
+import itertools
 import os
 
 from pyspark.sql import functions as F
@@ -125,6 +126,18 @@ def test_digest(spark):
     assert rows == [(0, [0]), (300, [1, 2]), (600, [3]), (1000, [4])]
 
 
+def test_parked_alerts_stream(spark):
+    """Memory of a job is one window's end: the fold takes parks without an end; rows equal the digest."""
+    endless = fleet.digest_steps(((5 * i, i) for i in itertools.count()), 300)
+    first = list(itertools.islice(endless, 50_000))
+    assert first[0] == (0, 0, 0) and first[1] == (300, 5, 1) and first[60] == (300, 300, 60) and first[61] == (600, 305, 61)
+    parks = spark.range(30_000).selectExpr("id % 2 as job_id", "id as item_id", "id * 7 as parked_ms", "cast(null as bigint) as ended_ms")
+    rows = fleet.parked_alerts(parks, 300)
+    assert rows.count() == 30_000 and "collect_list" not in rows._jdf.queryExecution().toString()
+    got = {(r["job_id"], r["at_ms"]): r["n"] for r in rows.groupBy("job_id", "at_ms").agg(F.count("*").alias("n")).collect()}
+    assert got == {(r["job_id"], r["at_ms"]): len(r["items"]) for r in fleet.parked_digest(parks, 300).collect()}
+
+
 def test_convergence_cases(spark):
     p = spark.createDataFrame([(1, 1, 0, 0, 0), (2, 1, 42, 0, 9), (3, 1, 0, 3, 0), (4, 3, 99, 0, 9), (5, 1, 5, 0, 9)], "job_id int, pass_no int, files_copied bigint, meta_fixed bigint, bytes_copied bigint")
     flags = lambda o: [r[0] for r in p.orderBy("job_id").select(ledger.converged(o)).collect()]
