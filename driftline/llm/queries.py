@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, pseudolikelihood, quality, rules, urls, vectors
+from . import lines, minhash, mixing, packing, pii, pseudolikelihood, quality, rules, urls, vectors
 
 QUERIES = {
+    "op1_pii_pseudonyms": pii.op1_pii_pseudonyms,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_url_filter": urls.op3_url_filter,
     "op4_embedding_near_dedup": vectors.op4_embedding_near_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 ORACLE_SQL = {
+    "op1_pii_pseudonyms": pii.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
     "op3_url_filter": urls.OP3_SQL,
     "op4_embedding_near_dedup": vectors.OP4_SQL,
