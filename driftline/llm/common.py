@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,31 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+class WordCache(dict):
+    """What a function says of words, kept for short ones up to a bound, so that a worker's memory stays bounded."""
+
+    LONGEST, MOST = 48, 1_000_000
+
+    def __init__(self, function: Callable):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, word: bytes):
+        found = self.function(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values, thoroughly mixed, one to one."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

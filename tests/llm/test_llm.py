@@ -4,14 +4,13 @@ import collections
 import itertools
 import random
 import re
-import zlib
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm import common, lines, minhash, mixing, packing, pseudolikelihood, quality, queries, rules, urls, vectors
+from driftline.llm import common, lines, minhash, mixing, packing, quality, queries, rules, urls, vectors
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, target string, taken int, words string, kept string, doc string"
@@ -183,83 +182,6 @@ def test_quality_on_labels_and_odd_rows(spark):
     assert quality.classify(odd.where("false"), quality.fit(odd.where("false"))).count() == 0
 
 
-def test_network_against_loops():
-    r = np.random.default_rng(0)
-    texts = [r.integers(0, pseudolikelihood.BUCKETS, n).astype(np.int32) for n in (5, 0, 1, 9)]
-    classes = r.integers(0, pseudolikelihood.CLASSES, pseudolikelihood.BUCKETS)
-    net = pseudolikelihood.Network.start(np.full(pseudolikelihood.CLASSES, 1 / 64))
-    line, at, buckets, owner = pseudolikelihood._joined(texts, classes)
-    got = net.log_probs(line, at)
-    k, outside = 0, pseudolikelihood.CLASSES
-    for t in texts:
-        c = [outside] * 2 + [int(classes[b]) for b in t] + [outside] * 2
-        for i in range(2, len(c) - 2):
-            h = np.tanh(sum(net.table[n][c[i + p]] for n, p in enumerate((-2, -1, 1, 2))))
-            z = net.out @ h + net.bias
-            assert abs(got[k] - (z[c[i]] - np.log(np.exp(z).sum()))) < 1e-4
-            k += 1
-    assert k == len(got) == len(owner)
-
-
-def test_scores(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    counts = pseudolikelihood.bucket_counts(docs)
-    words = [w for r in docs.collect() for w in r["text"].encode().split()]
-    want = np.bincount([zlib.crc32(w) & 65535 for w in words], minlength=65536)
-    assert (counts == want).all()
-    classes, in_class = pseudolikelihood.class_table(counts)
-    start = pseudolikelihood.Network.start(np.bincount(classes, counts, pseudolikelihood.CLASSES) / counts.sum())
-    mean = lambda net: pseudolikelihood.score(docs, net, classes, in_class).agg({"log_prob": "sum"}).first()[0]
-    assert mean(pseudolikelihood.train(docs, classes, counts, rounds=4, stride=2)) > mean(start)
-    odd = pseudolikelihood.score_documents(documents(spark, odd_texts())).collect()
-    assert len(odd) == len(odd_texts()) and all((r["n_tokens"] == 0) == (r["mean_log_prob"] is None) and r["log_prob"] <= 0 for r in odd)
-    assert pseudolikelihood.score_documents(documents(spark, ["a"]).where("false")).count() == 0
-
-
-def test_scores_are_of_words(spark, monkeypatch):
-    """The formula by loops over two groups and two parts; and words put for others of their class make a text less likely."""
-    monkeypatch.setattr(pseudolikelihood, "GROUP_WORDS", 2000)
-    monkeypatch.setattr(pseudolikelihood, "PART_KEYS", 4000)
-    r = random.Random(3)
-    follows = {f"w{i}": f"w{(i * 7 + 1) % 300}" for i in range(300)}
-    texts = [[f"w{r.randrange(300)}"] for _ in range(150)]
-    for t in texts:
-        while len(t) < 30:
-            t.append(follows[t[-1]])
-    docs = documents(spark, [" ".join(t) for t in texts])
-    counts = pseudolikelihood.bucket_counts(docs)
-    classes, _ = pseudolikelihood.class_table(counts)
-    bucket = lambda w: zlib.crc32(w.encode()) & 65535
-    alike = collections.defaultdict(list)
-    for w in sorted({w for t in texts for w in t}):
-        alike[classes[bucket(w)]].append(w)
-    texts.append([r.choice([x for x in alike[classes[bucket(w)]] if x != w] or [w]) for w in texts[0]])
-    docs = documents(spark, [*(" ".join(t) for t in texts), None, ""])
-    counts = pseudolikelihood.bucket_counts(docs)
-    classes, in_class = pseudolikelihood.class_table(counts)
-    net = pseudolikelihood.Network.start(np.bincount(classes, counts, 64) / counts.sum())
-    got = {row["doc_id"]: row for row in pseudolikelihood.score(docs, net, classes, in_class).collect()}
-    single = collections.Counter(w for t in texts for w in [*t, None])
-    double = collections.Counter(p for t in texts for p in zip([None, *t], [*t, None], strict=True))
-    for i, t in enumerate(texts):
-        line, at, _, _ = pseudolikelihood._joined([np.array([bucket(w) for w in t])], classes)
-        want = 0.0
-        for k, (w, log) in enumerate(zip(t, net.log_probs(line, at), strict=True)):
-            share = np.exp(log) * single[w] / counts[classes == classes[bucket(w)]].clip(1).sum()
-            sides = [((t[k - 1] if k else None), w), (w, (t[k + 1] if k + 1 < len(t) else None))]
-            beside = [single[sides[0][0]], single[sides[1][1]]]
-            want += np.log(sum((double[p] - 1 + (4 + 2 * (n - 1) ** 0.5) * share) / (n - 1 + 4 + 2 * (n - 1) ** 0.5) for p, n in zip(sides, beside, strict=True)) / 2)
-        assert abs(got[i]["log_prob"] - want) < 1e-3 and got[i]["n_tokens"] == 30
-    assert got[150]["mean_log_prob"] < got[0]["mean_log_prob"] - 1 and got[151]["n_tokens"] == got[152]["log_prob"] == 0
-
-
-def test_each_round_predicts_every_place():
-    owner = np.repeat(np.arange(4), [5, 0, 1, 19])
-    for turn in range(pseudolikelihood.ROUNDS):
-        assert pseudolikelihood.targets(owner, turn).all()
-    assert sum(pseudolikelihood.targets(owner, turn, 8).astype(int) for turn in range(8)).tolist() == [1] * 25
-
-
 def line_texts():
     para = "\n".join(f"short {c} line" for c in "abcdefg")
     long = "this line has more than eight words in it for sure"
