@@ -61,7 +61,7 @@ ROUNDS = 2
 BATCH = 4096
 RATE = 0.3
 #: Words and documents of a chunk, about, and keys of a part.
-CHUNK_WORDS, CHUNK_DOCS = 1 << 19, 100_000
+CHUNK_WORDS, CHUNK_DOCS = 1 << 20, 200_000
 PART_KEYS = 2_000_000
 #: The neighbour at the ends of a text.
 OUTSIDE = np.uint32(0)
@@ -282,8 +282,20 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
+def short(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; larger ones follow at the end."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.uint64).tobytes()
+
+
+def long(raw: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, np.uint64, -1, n) if len(raw) > n else 0
+    return counts
+
+
 def key_totals(made: DataFrame, parts: int) -> DataFrame:
-    """chunk, part, totals: how often the distinct keys that a chunk has in a part, in order, occur in all. Parts from `parts` on are of pairs."""
+    """chunk, part, asked (number of keys), totals: how often the distinct keys that a chunk has in a part, in order, occur in all. Parts from `parts` on are of pairs."""
 
     def ask(batches):
         for batch in batches:
@@ -292,21 +304,22 @@ def key_totals(made: DataFrame, parts: int) -> DataFrame:
                 for kind, keys in enumerate(keys_of(words, lengths)[1]):
                     keys.sort()
                     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys.astype(int)
-                    n, keys = np.diff(np.append(first, len(keys))).astype(np.uint32), keys[first]
+                    n, keys = np.diff(np.append(first, len(keys))), keys[first]
                     begin = parts_of(keys, parts).tolist()
-                    rows += [(chunk, kind * parts + i, packed(keys[a:z]), n[a:z].tobytes()) for i, (a, z) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if a < z]
+                    rows += [(chunk, kind * parts + i, packed(keys[a:z]), short(n[a:z])) for i, (a, z) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if a < z]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["chunk", "part", "keys", "n"])
 
     def add(table: pa.Table) -> pa.Table:
         keys = [unpacked(x.as_buffer()) for x in table["keys"].combine_chunks()]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, np.concatenate(_bytes(table["n"].combine_chunks(), np.uint32)))[place].astype(np.float32)
+        n = np.concatenate([long(x.as_buffer(), len(k)) for x, k in zip(table["n"].combine_chunks(), keys, strict=True)])
+        total = np.bincount(place, n)[place].astype(np.int64)
         pieces = np.split(total, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"chunk": table["chunk"], "part": table["part"], "totals": pa.array([x.tobytes() for x in pieces], pa.binary())})
+        return pa.table({"chunk": table["chunk"], "part": table["part"], "asked": pa.array([len(k) for k in keys]), "totals": pa.array([short(x) for x in pieces], pa.binary())})
 
     asked = map_in_arrow(made.select("chunk", "lengths", "words"), ask, "chunk bigint, part bigint, keys binary, n binary")
-    return asked.groupBy("part").applyInArrow(add, "chunk bigint, part bigint, totals binary")
+    return asked.groupBy("part").applyInArrow(add, "chunk bigint, part bigint, asked bigint, totals binary")
 
 
 def mixed_with_counts(net: np.ndarray, pair: np.ndarray, beside: np.ndarray) -> np.ndarray:
@@ -331,7 +344,8 @@ def score(made: DataFrame, network: Network, counts: np.ndarray) -> DataFrame:
                 line, keys = keys_of(words, n)
                 inside = np.flatnonzero(line != OUTSIDE)
                 places = [np.unique(k, return_inverse=True)[1] for k in keys]
-                totals = np.concatenate(_bytes(answers.sort_by("part")["totals"].combine_chunks(), np.float32)).astype(float)
+                answers = answers.sort_by("part").combine_chunks()
+                totals = np.concatenate([long(x.as_buffer(), k) for x, k in zip(answers["totals"], answers["asked"].to_pylist(), strict=True)]).astype(float)
                 single, double = totals[places[0]], totals[places[1] + places[0].max() + 1]
                 buckets, owner = laid_out(words, n)
                 net = np.exp(own.log_probs(buckets)) * single[inside] / counts[bucket_of(words)]

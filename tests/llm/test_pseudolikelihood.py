@@ -179,6 +179,11 @@ def test_packed_keys(parts):
     assert len(begin) == parts + 1 and begin[0] == 0
 
 
+def test_short_counts():
+    counts = np.array([0, 1, 254, 255, 256, 7, 2**40], np.int64)
+    assert pl.long(pl.short(counts), 7).tolist() == counts.tolist() and pl.long(pl.short(counts[:3]), 3).tolist() == [0, 1, 254]
+
+
 def test_odd_texts(spark):
     rows = [*odd_texts(), "aa bb", "aa bb", "x" * 100_000, "long " * 50_000]
     odd = pl.score_documents(documents(spark, rows)).collect()
