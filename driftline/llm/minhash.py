@@ -9,7 +9,7 @@ J + (1 - J) / 4, so the share m of agreeing slots, counted by bits, estimates J
 has fewer than 200 shingles, are confirmed on full sets, as estimates of few shingles vary more.
 Bands find a pair at similarity 0.8 with probability 1 - (1 - 0.8^5)^25 = 0.99995.
 
-Equal sets are one node, so exact copies never pair. Within a bucket nodes are first
+Equal sets are one node, with a number of its own, so exact copies never pair. Within a bucket nodes are first
 compared with the smallest node only, then, where a bucket still has nodes of different
 components, with two nodes drawn by hash; the draws of a node's buckets differ, so a large
 group of near copies grows together by a few comparisons a node. Only pairs that then still
@@ -19,9 +19,12 @@ do not become all their pairs.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing;
 fewer than k words are one shingle; texts are read whole whatever their length; rows that
-repeat, or share a doc_id, are one document to the links and a row each in the result; a
-row without doc_id takes its set's component (null if no row of it has an id); an empty
-table gives an empty result; other columns of the input are not read.
+repeat are a row each in the result; rows that share a doc_id are one document, which links
+with all that any of its texts links with; a row without doc_id links like any other and has
+the smallest id of its component (null if no row of it has one, and then kept); an empty
+table gives an empty result; other columns of the input are not read. one_per_group() keeps
+texts that share a doc_id apart: of each group of near-duplicates it leaves the row with the
+smallest doc_id (nulls last, then by hash of the text, then of the row), and all rows without words.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from driftline.shipping import map_in_arrow
 
-from .common import connected_components, materialize, read, release
+from .common import WORD, WordCache, connected_components, materialize, mixed, read, release
 
 SLOTS = 128
 BANDS, ROWS = 25, 5
@@ -46,22 +49,14 @@ FINE_SLOTS = 1024
 FINE_MARGIN = 0.09
 #: Pairs whose smaller set has fewer shingles are confirmed without an estimate.
 SMALL = 200
-#: Cached word hashes per Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 @lru_cache(maxsize=1)
-def _word_hashes() -> _WordHashes:
-    return _WordHashes()
+def _word_hashes() -> WordCache:
+    import xxhash
+
+    return WordCache(xxhash.xxh64_intdigest)
 
 
 @lru_cache(maxsize=4)
@@ -71,12 +66,6 @@ def _permutations(slots: int) -> tuple[np.ndarray, np.ndarray]:
     return a, random.integers(0, 2**32, slots, dtype=np.uint32)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 def shingle_set(text: bytes, k: int, hashes: dict) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a whole text."""
     words = text.lower().split()  # of bytes: A-Z, and the white space of the contract
@@ -86,7 +75,7 @@ def shingle_set(text: bytes, k: int, hashes: dict) -> np.ndarray:
     n = min(k, len(words))
     out = np.full(len(words) - n + 1, n, np.uint64)
     for i in range(n):
-        out = _mixed(out + h[i : i + len(out)])
+        out = mixed(out + h[i : i + len(out)])
     return np.unique(out)
 
 
@@ -102,7 +91,7 @@ def _minima(shingles: np.ndarray, slots: int = SLOTS) -> np.ndarray:
 
 def _packed(minima: np.ndarray) -> np.ndarray:
     """Two bits of each minimum's hash, 32 slots to a 64-bit word; the minimum's own low bits agree in all slots or in none."""
-    pairs = (_mixed(minima.astype(np.uint64)) & np.uint64(3)).reshape(-1, 32)
+    pairs = (mixed(minima.astype(np.uint64)) & np.uint64(3)).reshape(-1, 32)
     return (pairs << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64)
 
 
@@ -110,7 +99,7 @@ def _band_keys(minima: np.ndarray) -> np.ndarray:
     rows = minima[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
     for i in range(ROWS):
-        key = _mixed(key + rows[:, i])
+        key = mixed(key + rows[:, i])
     return key
 
 
@@ -124,52 +113,49 @@ def _bytes(value: pa.Scalar) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, the packed slots and the band keys."""
+    """doc_id, th (hash of the text), n_shingles, two hashes of the set, the packed slots and the band keys."""
 
     def run(batches):
         hashes = _word_hashes()
         for batch in batches:
-            if len(hashes) > CACHE_WORDS:
-                hashes.clear()
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 n, one, two, slots, keys = [], [], [], [], []
-                for text in part.column(1):
+                for text in part.column(2):
                     s = shingle_set(_bytes(text), k, hashes)
                     n.append(len(s))
                     one.append(s.sum(dtype=np.uint64))
-                    two.append(_mixed(s ^ _MIX).sum(dtype=np.uint64))
+                    two.append(mixed(s ^ _MIX).sum(dtype=np.uint64))
                     minima = _minima(s) if len(s) else None
                     slots.append(_packed(minima) if len(s) else np.empty(0, np.uint64))
                     keys.append(_band_keys(minima) if len(s) else np.empty(0, np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (one, two)), _longs(slots), _longs(keys)],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "slots", "bands"],
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (one, two)), _longs(slots), _longs(keys)],
+                    names=["doc_id", "th", "n_shingles", "set_a", "set_b", "slots", "bands"],
                 )
 
-    return map_in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), 
-        run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, slots array<bigint>, bands array<bigint>"
-    )
+    return map_in_arrow(_keyed(docs), run, "doc_id bigint, th bigint, n_shingles bigint, set_a bigint, set_b bigint, slots array<bigint>, bands array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """id, the sorted shingle hashes and the finer slots of each document."""
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """id, the sorted shingle hashes and the finer slots of each row of id and text."""
 
     def run(batches):
         hashes = _word_hashes()
         for batch in batches:
-            if len(hashes) > CACHE_WORDS:
-                hashes.clear()
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 sets = [shingle_set(_bytes(text), k, hashes) for text in part.column(1)]
                 fine = [_packed(_minima(s, FINE_SLOTS)) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), _longs(sets), _longs(fine)], names=["id", "shingles", "fine"])
 
-    return map_in_arrow(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), 
-        run, "id bigint, shingles array<bigint>, fine array<bigint>"
-    )
+    return map_in_arrow(texts.select("id", "text"), run, "id bigint, shingles array<bigint>, fine array<bigint>")
 
 
 def estimate(x: Column, y: Column, slots: int = SLOTS) -> Column:
@@ -191,22 +177,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * F.col("common").cast("long") >= percent * F.col("either").cast("long")).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per row of docs."""
+def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of sketches(), and node, low (smallest doc_id of its rows) and component (a node) of each set."""
     made = materialize(sketches(docs, k), "sketches")
-    whole = made.where("n_shingles > 0")
-    nodes = materialize(
-        whole.groupBy("n_shingles", "set_a", "set_b")
-        .agg(F.min("doc_id").alias("id"), F.any_value("slots").alias("slots"), F.any_value("bands").alias("bands"))
-        .where("id is not null"),
-        "nodes",
+    own = F.struct("doc_id", "th")
+    nodes = made.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(
+        F.min("doc_id").alias("low"), F.min(own).alias("rep"), F.any_value("slots").alias("slots"), F.any_value("bands").alias("bands")
     )
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     slots = nodes.select("id", "slots", F.col("n_shingles").alias("n"))
     members = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     buckets = materialize(members.join(shared.select("key", "low"), "key"), "buckets")
-    candidates = buckets.select(F.col("id").alias("doc_id")).distinct()
-    found = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "text").join(candidates, "doc_id", "left_semi")
+    candidates = nodes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+    found = _keyed(docs).join(candidates, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
     sets = materialize(
         shingle_sets(found, k).groupBy("id").agg(F.any_value("shingles").alias("shingles"), F.any_value("fine").alias("fine")), "sets"
     )
@@ -257,15 +241,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     release(buckets)
     release(sets)
 
-    labels = nodes.select("n_shingles", "set_a", "set_b", "id").join(groups, "id", "left").select(
-        "n_shingles", "set_a", "set_b", F.coalesce("component", "id").alias("component_id")
-    )
-    return (
-        made.select("doc_id", "n_shingles", "set_a", "set_b")
-        .join(labels, ["n_shingles", "set_a", "set_b"], "left")
-        .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    placed = nodes.select("n_shingles", "set_a", "set_b", "id", "low").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return made, placed
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row per row of docs."""
+    made, placed = linked_sets(docs, k, percent)
+    least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    labels = placed.join(least, "component").select("n_shingles", "set_a", "set_b", "component_id")
+    rows = made.select("doc_id", "n_shingles", "set_a", "set_b").join(labels, ["n_shingles", "set_a", "set_b"], "left")
+    rows = materialize(rows.select("doc_id", "n_shingles", "component_id"), "rows")
+    several = rows.groupBy("doc_id").agg(F.min("component_id").alias("v"), F.max("component_id").alias("last")).where("doc_id is not null and v < last")
+    joined = materialize(rows.join(several, "doc_id").select(F.col("component_id").alias("u"), "v").where("u is not null"), "joined")
+    if not joined.isEmpty():  # documents of several texts join what these link with
+        whole = connected_components(joined).select(F.col("id").alias("component_id"), F.col("component").alias("least"))
+        rows = rows.join(whole, "component_id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
+    rows = rows.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near-duplicates, and all rows without words."""
+    made, placed = linked_sets(docs, k, percent)
+    key = ["n_shingles", "set_a", "set_b"]
+    rows = made.select("doc_id", "th", *key).join(placed.select(*key, "component"), key)
+    rows = rows.groupBy("component", "doc_id", "th").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "copies")).alias("w"))
+    first = materialize(first.select(F.col("w.doc_id").alias("w_id"), F.col("w.th").alias("w_th"), F.col("w.copies").alias("w_copies")), "first")
+    worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    held = docs.where(worded).select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    held = held.join(first, (F.col("th") == F.col("w_th")) & F.col("d").eqNullSafe(F.col("w_id")))
+    repeated = held.where("w_copies > 1").groupBy("d", "th").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return docs.where(~worded).unionByName(held.where("w_copies = 1").select("row.*")).unionByName(repeated.select("row.*"))
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -142,6 +143,14 @@ def test_vectors(spark, block):
     assert vectors.near_duplicate_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_any_size(spark):
+    """Tiny and huge vectors link by direction; a shared vec_id mixes no vectors; bits grow with the largest label."""
+    rows = [(1, [1e-200, 2e-200], 1), (2, [1e-200, 2.0000001e-200], 1), (3, [1.0, 2.0], 1), (4, [1e200, 2e200], 1), (5, [1e-200, 1e-200], 1), (6, [5e-324, 0.0], 1), (7, [1.0, 1e-300], 1), (1, [-1.0, 0.0], 1), (8, [-1.0, 0.001], 1)]
+    got = {(r["vec_id"], r["n_links"]): r["component_id"] for r in vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), tables=40).collect()}
+    assert got == {(1, 3): 1, (2, 3): 1, (3, 3): 1, (4, 3): 1, (5, 0): 5, (6, 1): 6, (7, 1): 6, (1, 1): 1, (8, 1): 1}
+    assert [vectors.tables_for(0.98, b) for b in (12, 20)] == [12, 23] and 1 - (1 - 0.268) ** 23 > 0.999
+
+
 def test_vector_recall(spark):
     got = vectors.op4_embedding_near_dedup(spark, "/root/testdata/sf0.01")
     want = sql_rows(queries.ORACLE_SQL["op4_embedding_near_dedup"], embeddings=spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))
@@ -318,19 +327,169 @@ def test_sizes_of_estimates():
     assert abs(share - 0.8) < 0.15
 
 
+def test_estimates_from_bits(spark):
+    """Estimates from two bits a slot, corrected for chance, are near the similarity, and near that of the whole minima."""
+    r = np.random.default_rng(6)
+    rows, want = [], []
+    for common_part in (0, 100, 300, 600, 889, 1000):
+        x = r.integers(0, 2**63, 1000).astype(np.uint64)
+        y = np.concatenate([x[:common_part], r.integers(0, 2**63, 1000 - common_part).astype(np.uint64)])
+        want.append(common_part / (2000 - common_part))
+        for slots in (minhash.SLOTS, minhash.FINE_SLOTS):
+            rows.append((len(want) - 1, slots, *(minhash._packed(minhash._minima(np.unique(z), slots)).view(np.int64).tolist() for z in (x, y))))
+    df = spark.createDataFrame(rows, "i int, n int, x array<bigint>, y array<bigint>")
+    for slots, margin in ((minhash.SLOTS, minhash.MARGIN), (minhash.FINE_SLOTS, minhash.FINE_MARGIN)):
+        for row in df.where(f"n = {slots}").withColumn("e", minhash.estimate(F.col("x"), F.col("y"), slots)).collect():
+            assert abs(row["e"] - want[row["i"]]) < margin
+            agree = sum((a >> 2 * k & 3) == (b >> 2 * k & 3) for a, b in zip(row["x"], row["y"], strict=True) for k in range(32)) / slots
+            assert row["e"] == pytest.approx((agree - 0.25) / 0.75)
+
+
+def shared_ids():
+    """Rows that share an id though their texts differ, ids that are null, and copies of both."""
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = lambda words, *more: " ".join([*words, *more])
+    return [(1, near(a)), (1, near(b)), (2, near(a, "x")), (3, near(b, "x")), (None, near(a, "y")), (None, "only here without an id"), (None, "only here without an id"), (9, "alone in the world of texts"), (9, "alone in the world of texts"), (8, None), (8, None), (7, " ")]
+
+
+def test_documents_of_several_texts(spark):
+    got = minhash.near_duplicates(documents(spark, shared_ids())).collect()
+    found = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=str)
+    assert found == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (None, None, True), (9, 9, True), (9, 9, True), (8, 8, True), (8, 8, True), (7, 7, True)], key=str)
+    apart = [(5, t) if i == 1 else (i, t) for i, t in shared_ids()[:4]]  # two groups that meet in document 5 only
+    assert {r["component_id"] for r in minhash.near_duplicates(documents(spark, apart)).collect()} == {2}
+
+
+def test_one_row_of_each_group(spark):
+    docs = documents(spark, shared_ids())
+    left = minhash.one_per_group(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    rows = shared_ids()
+    assert got == sorted([rows[0], rows[1], rows[5], rows[7], rows[9], rows[10], rows[11]], key=str)  # texts that share an id stay, repeated rows do not
+    assert minhash.one_per_group(docs.where("false")).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_near_dedup", "mix_sources", "best_fit_packing"]
-    sizes = []
+    made = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.materialize(stage(spark, docs, SF), name)
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+        made.append((docs, out))
+        docs = out
+    check_stages(spark, made)
+    assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_rows(spark, empty):
+    """Nulls in every column, blank and long texts, repeated rows, shared ids, clashing columns: each stage against brute force."""
+    import corpus_pipeline
+
+    prose = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(40).collect()
+    texts = [*odd_texts(), *shared_ids(), *((100 + i, r["text"]) for i, r in enumerate(prose)), (100, prose[0]["text"]), ("null", None)]
+    texts = [(None, None) if t == ("null", None) else t for t in texts]
+    docs = documents(spark, texts, ["a", None, "b", "c"])
+    docs = (docs.where("false") if empty else docs).withColumn("component", F.lit(1)).withColumn("row", F.lit("r")).withColumn("score", F.lit("s")).withColumn("n_lines", F.lit(-1)).withColumn("block", F.lit(None).cast("int"))
+    made = []
     for name, stage in corpus_pipeline.STAGES:
         out = common.materialize(stage(spark, docs, SF), name)
         if name != "best_fit_packing":
             assert out.columns == docs.columns
-        sizes.append(out.count())
+        made.append((docs, out))
         docs = out
-    assert 0 < sizes[1] <= sizes[0] <= 200 and sizes[2] <= sizes[1]
-    assert corpus_pipeline.run(spark, SF).count() == sizes[-1]
-    texts = spark.createDataFrame([(1, " ".join(map(str, range(50))), "s"), (2, " ".join(map(str, range(51))), "s"), (3, None, "s"), (3, None, "s")], "doc_id bigint, text string, source string")
-    assert {r[0] for r in corpus_pipeline.near_duplicate_stage(spark, texts, SF).select("doc_id").collect()} == {1, 3}
+    if not empty:
+        check_stages(spark, made)
+    else:
+        assert docs.count() == 0
+
+
+def check_stages(spark, made):
+    """What each stage gave against a plain computation on its input."""
+    (docs, good), (_, fewer), (_, single), (_, mix), (_, packed) = made
+    model = quality.fit(docs)
+    judged = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect() if plain_score(r["text"], model) >= quality.THRESHOLD)
+    assert judged == collections.Counter((r["doc_id"], r["text"]) for r in good.collect())
+
+    kept_lines = collections.Counter(line for r in fewer.collect() for line in (r["text"] or "").split("\n") if len(line.split()) >= lines.MIN_WORDS)
+    assert set(kept_lines.values()) <= {1} and set(kept_lines) == {line for r in good.collect() for line in (r["text"] or "").split("\n") if len(line.split()) >= lines.MIN_WORDS}
+
+    texts = [(i, r["text"]) for i, r in enumerate(fewer.collect())]
+    sets, group = brute_components(texts, 5)
+    assert single.count() == len({group[i] for i, _ in texts if sets[i]}) + sum(not sets[i] for i, _ in texts)
+
+    words = collections.Counter(w for r in single.collect() for w in (r["text"] or "").split())
+    assert all(n <= 2 * words[w] for w, n in collections.Counter(w for r in mix.collect() for w in (r["text"] or "").split()).items())
+    mixed = mixing.mix_sources(single).agg({"taken": "sum"}).first()[0] or 0
+    assert sum(len((r["text"] or "").split()) for r in mix.collect()) == mixed
+
+    rows = packed.collect()
+    tokenizer = packing.word_ids(packing.default_tokenizer()).tokenizer
+    want = sum(len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in mix.collect())
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for placed in places.values():
+        placed.sort()
+        assert placed[0][0] == 0 and sum(n for _, n in placed) <= 2048 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(placed))
+    assert sum(r["length"] for r in rows) == want
+
+
+def plain_score(text, model):
+    """The scorer's verdict by loops over trigrams and measures."""
+    raw = (text or "").encode()
+    m, d = quality.measure(raw), model["dimensions"]
+    x = collections.Counter()
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        x[(((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF) >> 16) % d] += 1 / (len(raw) - 2)
+    z = float(model["weights"][-1]) + sum(v**0.5 * float(model["weights"][k]) for k, v in x.items())
+    for k, v in enumerate(m):
+        z += float(model["weights"][(k * 7919 + sum(e < v for e in quality.BINS) * 104729) % d])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_by_loops(spark):
+    docs = documents(spark, [*odd_texts(), "Some words, more words; and 12 | 13 !!"])
+    model = quality.fit(docs)
+    for r in quality.classify(docs, model).collect():
+        assert r["score"] == pytest.approx(plain_score(r["text"], model), abs=1e-4)
+
+
+def test_scorer_by_plain_descent():
+    """Gradient descent with momentum on soft labels, by loops over rows."""
+    r = np.random.default_rng(3)
+    x, y = r.normal(0, 1, (12, 3)).astype(np.float32), r.random(12).astype(np.float32)
+    w, v = [0.0] * 4, [0.0] * 4
+    for _ in range(30):
+        g = [0.0] * 4
+        for row, label in zip(x.tolist(), y.tolist(), strict=True):
+            off = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(row, w[:3], strict=True)) + w[3]))) - label
+            g = [a + off * b / 12 for a, b in zip(g, [*row, 1.0], strict=True)]
+        v = [0.9 * a - 0.1 * (b + 1e-4 * c) for a, b, c in zip(v, g, w, strict=True)]
+        w = [a + b for a, b in zip(w, v, strict=True)]
+    assert np.allclose(quality.fit_scorer(x, y, rounds=30), w, atol=1e-4)
+
+
+def test_sample_is_bounded_and_of_different_texts(spark):
+    docs = documents(spark, ["the same text again"] * 300 + [f"text {i} with other words" for i in range(300)])
+    asked = []
+    real = quality.fit_scorer
+    quality.fit_scorer = lambda x, y: asked.append(len(x)) or real(x, y)
+    try:
+        quality.fit(docs, sample=50)
+        quality.fit(docs, sample=5000)
+    finally:
+        quality.fit_scorer = real
+    assert 10 <= asked[0] <= 50 and asked[1] == 301
+
+
+def test_agreement_with_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(docs.select("doc_id", "text"), quality.fit(docs)).select("doc_id", "kept").collect()}
+    assert sum(got[i] == bool(q) for i, q in labels.items()) >= 0.98 * len(labels)
