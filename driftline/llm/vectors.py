@@ -2,9 +2,11 @@
 
 A table gives a vector the signs of its products with `bits` random planes as a code;
 vectors of one label meet in a bucket if their codes in a table are equal. Every pair that
-meets is compared by cosine in double precision, so nothing below the threshold is linked;
-a pair at cosine c meets in at least one table with probability
-1 - (1 - (1 - acos(c) / pi)^bits)^tables, 0.9993 at 0.98 with the defaults. A pair is
+meets is compared by cosine in double precision, so nothing below the threshold is linked.
+Bits grow with the vectors of the largest label, so that unrelated vectors share a bucket
+about BUCKET at a time whatever their number, and tables grow with the bits, so that a pair
+at the threshold c meets in at least one with probability 1 - (1 - (1 - acos(c) / pi)^bits)^tables
+>= RECALL, and nearer ones more surely. A pair is
 counted in the first table in which it meets, told by the codes both carry, so pairs are
 never rows: a bucket gives each vector its number of links there and the smallest id of
 its local component, and these stars are joined by distributed connected components.
@@ -13,16 +15,21 @@ Equal vectors of a label are one node with a count. A bucket of more than `block
 split into blocks and compared block pair by block pair in tasks of their own, all of it,
 so a hot bucket is spread and no task holds more than about two blocks.
 
+Cosines are of vectors divided by their largest component first, so that very large and
+very small numbers neither overflow nor vanish. Buckets of one vector are dropped by their
+keys before any vector moves.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers, and
 all with a null label, link with nothing (n_links 0, component their own id, kept);
 vectors of different lengths do not link; rows that repeat in id, vector and label count
-as one vector and give a row each; a row without vec_id is not counted and takes its
+as one vector and give a row each; rows that share a vec_id but not the vector are vectors of their own; a row without vec_id is not counted and takes its
 node's component (null if no row of it has an id); an empty table gives an empty result;
 other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -35,8 +42,9 @@ from driftline.shipping import map_in_arrow
 from .common import connected_components, materialize, read, release
 
 COSINE = 0.98
-TABLES = 12
-BITS = 12
+RECALL = 0.999
+#: The fewest bits, the most (codes are ints), and the vectors of one label per code aimed at.
+BITS, MOST_BITS, BUCKET = 12, 30, 64
 BLOCK = 1024
 SEED = 11
 
@@ -46,17 +54,29 @@ def planes(dimensions: int, tables: int, bits: int) -> np.ndarray:
     return np.random.default_rng([SEED, dimensions]).standard_normal((dimensions, tables * bits))
 
 
+def tables_for(cosine: float, bits: int) -> int:
+    """Tables in which a pair at this cosine meets at least once with probability RECALL."""
+    meet = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** bits
+    return 1 if meet >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+
+
 def _usable(vector: Column, label: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return label.isNotNull() & vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length 1; scaled by their largest component first, whatever its size."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def with_codes(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
-    """nodes (id, label, vector, copies) with codes, an int per table."""
+    """nodes (id, label, vector, copies, least) with codes, an int per table."""
 
     def run(batches):
         for batch in batches:
@@ -65,19 +85,19 @@ def with_codes(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
             codes = np.zeros((len(batch), tables), np.int32)
             for d in np.unique(lengths):
                 at = np.flatnonzero(lengths == d)
-                signs = _matrix(vectors.take(pa.array(at))) @ planes(int(d), tables, bits) > 0
+                signs = _directions(_matrix(vectors.take(pa.array(at)))) @ planes(int(d), tables, bits) > 0
                 codes[at] = signs.reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int32))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "codes"])
 
     label = nodes.schema["label"].dataType.simpleString()
-    return map_in_arrow(nodes, run, f"id bigint, label {label}, vector array<double>, copies bigint, codes array<int>")
+    return map_in_arrow(nodes, run, f"id bigint, label {label}, vector array<double>, copies bigint, least bigint, codes array<int>")
 
 
 def _compare(ids, vectors, copies, codes, block, table: int, pair: tuple[int, int], cosine: float):
     """Links of one bucket, or of one pair of its blocks: index, links and smallest id of the local component."""
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    linked = vectors @ vectors.T / (norms[:, None] * norms[None, :]) >= cosine
+    directions = _directions(vectors)
+    linked = directions @ directions.T >= cosine
     if pair[0] != pair[1]:
         linked &= block[:, None] != block[None, :]
     np.fill_diagonal(linked, False)
@@ -140,19 +160,23 @@ def _bucket_links(buckets: DataFrame, tables: int, cosine: float) -> DataFrame:
     return map_in_arrow(buckets.select(*names).repartition(*key).sortWithinPartitions(*key), run, "id bigint, links bigint, low bigint")
 
 
-def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, bits: int | None = None, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per row of vectors (vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("long").alias("label"))
     rows = rows.withColumn("usable", F.coalesce(_usable(F.col("vector"), F.col("label")), F.lit(False)))
+    if bits is None:
+        largest = rows.where("usable").groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        bits = min(MOST_BITS, max(BITS, math.ceil(math.log2(max(1, largest / BUCKET)))))
+    tables = tables or tables_for(cosine, bits)
     usable = rows.where("usable and vec_id is not null").dropDuplicates(["vec_id", "label", "vector"])
-    nodes = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    nodes = materialize(with_codes(nodes.select("id", "label", "vector", "copies"), tables, bits), "nodes")
+    nodes = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id())
+    nodes = materialize(with_codes(nodes.select("id", "label", "vector", "copies", "least"), tables, bits), "nodes")
 
     key = ["label", "dims", "t", "code"]
-    members = nodes.withColumn("dims", F.size("vector")).select("*", F.posexplode("codes").alias("t", "code"))
-    sizes = nodes.select("label", F.size("vector").alias("dims"), F.posexplode("codes").alias("t", "code")).groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    large = sizes.where("blocks > 1")
-    members = members.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    slim = nodes.select("id", "label", F.size("vector").alias("dims"), F.posexplode("codes").alias("t", "code"))
+    sizes = slim.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    shared = slim.join(sizes, key).select(*key, "blocks", F.col("id").alias("own"), F.col("label").alias("own_label"))
+    members = shared.join(nodes.drop("label"), F.col("own") == F.col("id"))
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -160,10 +184,11 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, tables: i
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = materialize(connected_components(found.select(F.col("id").alias("u"), F.col("low").alias("v"))), "groups")
+    placed = nodes.select("id", "label", "vector", "copies", "least").join(links, "id", "left").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    smallest = placed.groupBy("group").agg(F.min("least").alias("component"))
     judged = materialize(
-        nodes.select("id", "label", "vector", "copies").join(links, "id", "left").join(groups, "id", "left").select(
-            F.col("label").alias("n_label"), F.col("vector").alias("n_vector"),
-            (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("linked"), F.coalesce("component", "id").alias("component"),
+        placed.drop("component").join(smallest, "group").select(
+            F.col("label").alias("n_label"), F.col("vector").alias("n_vector"), (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("linked"), "component"
         ),
         "judged",
     )
