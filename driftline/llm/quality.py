@@ -5,7 +5,7 @@ each labeller votes what, given the true class, is estimated by expectation-maxi
 over the counts of vote patterns; these are at most 3^labellers rows whatever the corpus,
 and they count every document. The posterior of a document's pattern is its weak label.
 A logistic scorer over hashed features (byte trigrams, and each measurement's bin) is then
-fitted on the posteriors of at most about `sample` documents drawn by hash (a documented
+fitted on the posteriors of at most `sample` different texts drawn by hash (a documented
 bound: fitting only), and it judges every document, also where the labellers say nothing.
 
 Defined cases: null, empty and blank texts get no votes and the posterior of that pattern,
@@ -26,8 +26,8 @@ from driftline.shipping import map_in_arrow
 
 from .common import read
 
-SAMPLE = 3000
-DIMENSIONS = 1024
+SAMPLE = 4000
+DIMENSIONS = 2048
 THRESHOLD = 0.5
 #: Votes need this many words; shorter texts get none.
 LEAST_WORDS = 5
@@ -161,9 +161,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) ->
                 labels.append(posterior[pattern(m, len(text.split()))])
             yield pa.RecordBatch.from_pydict({"x": pa.array(rows, pa.binary()), "y": pa.array(labels, pa.float64())})
 
-    text = F.col("text").cast("string").alias("text")
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select(text)
-    rows = map_in_arrow(drawn, run, "x binary, y double").orderBy("x").toArrow()  # about `sample` rows of `dimensions` floats
+    text = F.col("text").cast("string")
+    drawn = docs.select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 30)).alias("h")).where(F.col("h") < int(share * (1 << 30)))
+    drawn = drawn.groupBy("h").agg(F.any_value("text").alias("text")).orderBy("h").limit(sample)  # a text that repeats is drawn once
+    rows = map_in_arrow(drawn.select("text"), run, "x binary, y double").toArrow()  # at most `sample` rows of `dimensions` floats
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, dimensions)
     y = np.array(rows["y"].to_pylist(), np.float32)
     del rows
