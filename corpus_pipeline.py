@@ -11,7 +11,7 @@ give nothing to the mix; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import lines, minhash, mixing, packing, quality
@@ -33,11 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    judged = minhash.near_duplicates(docs)
-    removed = judged.where("not kept and doc_id is not null").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    left = docs.join(removed, "doc_id", "left_anti").withColumn("__copy", F.row_number().over(one))
-    return left.where("__copy = 1 or doc_id is null").select(*docs.columns)
+    return minhash.one_per_group(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
