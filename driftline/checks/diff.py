@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftline.checks.base import Registry
 from driftline.functions import globs
 from driftline.operators import diff, tree
 from driftline.options import SyncOptions
-from driftline.sources.listing import slice_listing
+from driftline.sources.listing import as_listing, read_listing, slice_listing
+from driftline.storage import shared_folder
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -17,7 +20,7 @@ RULES = (("include", "fA/sF/**"), ("exclude", "**/*_3.dat"), ("exclude", "fR/s?/
 FILTERED = SyncOptions(rules=RULES)
 
 PAIRS = """
-p AS (SELECT coalesce(s.rel_path, d.rel_path) rel_path, s.rel_path IS NOT NULL has_s, d.rel_path IS NOT NULL has_d,
+p AS MATERIALIZED (SELECT coalesce(s.rel_path, d.rel_path) rel_path, s.rel_path IS NOT NULL has_s, d.rel_path IS NOT NULL has_d,
   s.type st, d.type dt, s.mode sm, d.mode dm, s.uid su, d.uid du, s.gid sg, d.gid dg, s.size ss, d.size ds, s.mtime_ns sn, d.mtime_ns dn, s.nlink nl,
   s.link_target sl, d.link_target dl, s.rdev_major sa, d.rdev_major da, s.rdev_minor si, d.rdev_minor di, s.blocks sb, d.blocks db
   FROM src s FULL OUTER JOIN dst d ON s.rel_path = d.rel_path),
@@ -27,17 +30,54 @@ r AS (SELECT *, CASE WHEN NOT has_s THEN NULL
    WHEN st = 'SYMLINK' THEN CASE WHEN NOT has_d THEN 'absent' WHEN st <> dt THEN 'type' WHEN sl <> dl THEN 'target' END
    WHEN st = 'DIR' THEN CASE WHEN NOT has_d THEN 'absent' WHEN st <> dt THEN 'type' END
    ELSE CASE WHEN NOT has_d THEN 'absent' WHEN st <> dt THEN 'type' WHEN sa <> da OR si <> di THEN 'rdev' END END reason FROM p),
-pl AS (SELECT *, CASE WHEN NOT has_s THEN 'DST_ONLY' WHEN st = 'DIR' THEN CASE WHEN reason IS NULL THEN 'DIR' ELSE 'MKDIR' END
+pl AS MATERIALIZED (SELECT *, CASE WHEN NOT has_s THEN 'DST_ONLY' WHEN st = 'DIR' THEN CASE WHEN reason IS NULL THEN 'DIR' ELSE 'MKDIR' END
    WHEN reason IS NULL THEN 'CLEAN' WHEN st = 'SYMLINK' THEN 'SYMLINK' WHEN st <> 'FILE' THEN 'SPECIAL' WHEN reason IN ('owner', 'mode') THEN 'META_FIX' ELSE 'COPY' END AS action FROM r),
-orphans AS (SELECT rel_path, type FROM dst d WHERE rel_path NOT IN (SELECT rel_path FROM src)
-   AND (CASE WHEN instr(rel_path, '/') > 0 THEN regexp_replace(rel_path, '/[^/]*$', '') ELSE '' END) IN (SELECT rel_path FROM src WHERE type = 'DIR' UNION ALL SELECT '')
-   AND regexp_extract(rel_path, '[^/]*$') NOT LIKE '.sync.tmp.%')"""
+walked AS (SELECT rel_path AS up FROM pl WHERE st = 'DIR' UNION ALL SELECT ''),
+extra AS MATERIALIZED (SELECT rel_path, dt AS type, CASE WHEN instr(rel_path, '/') > 0 THEN regexp_replace(rel_path, '/[^/]*$', '') ELSE '' END AS up FROM pl WHERE action = 'DST_ONLY'),
+orphans AS MATERIALIZED (SELECT rel_path, type FROM extra SEMI JOIN walked USING (up) WHERE NOT starts_with(regexp_extract(rel_path, '[^/]*$'), '.sync.tmp.')),
+aside AS MATERIALIZED (SELECT rel_path, CASE WHEN instr(rel_path, '/') > 0 THEN regexp_replace(rel_path, '/[^/]*$', '') || '/' ELSE '' END || '.sync.stale.1-1.' || ltrim(substr(md5(rel_path), 1, 15), '0') || '.0' AS stale
+   FROM pl SEMI JOIN (SELECT up AS rel_path FROM extra) USING (rel_path) WHERE reason = 'type' AND dt = 'DIR' AND action <> 'MKDIR')"""
+PAIRS += """,
+pre AS (SELECT rel_path, unnest(list_transform(range(1, len(string_split(rel_path, '/')) + 1), lambda i: array_to_string(string_split(rel_path, '/')[1:i], '/'))) AS root FROM extra),
+gone AS (SELECT DISTINCT rel_path FROM pre SEMI JOIN (SELECT rel_path AS root FROM orphans) USING (root)),
+moved AS (SELECT pre.rel_path, stale || substr(pre.rel_path, len(root) + 1) AS new FROM pre JOIN aside ON root = aside.rel_path)"""
 
 
 def _plan(src, dst, opts=SyncOptions()):
     return diff.plan(src, dst, opts)
 
 
+def _written(src, dst, opts=SyncOptions()):
+    return diff.written_plan(src, dst, opts)
+
+
+def _journal(src, dst, opts=SyncOptions()):
+    planned = _written(src, dst, opts)
+    return diff.to_journal(planned, diff.plan_orphans(planned, opts=opts), 1, 1, opts)
+
+
+def _counters(src, dst):
+    planned = _written(src, dst)
+    return diff.pass_counters(planned, diff.plan_orphans(planned))
+
+
+def _applied(src, dst, delete):
+    planned = _written(src, dst)
+    return diff.apply_plan(dst, planned, diff.plan_orphans(planned) if delete else None)
+
+
+def _read_back(src):
+    """The listing written and read again in each format."""
+    base = f"{shared_folder(src.sparkSession)}/driftline/listing-{uuid.uuid4().hex}"
+    found = []
+    rows = as_listing(src)
+    for fmt in ("parquet", "json", "csv"):
+        held = rows.drop("xattrs") if fmt == "csv" else rows
+        held.write.format(fmt).option("header", True).option("nullValue", "\\N").save(f"{base}/{fmt}")
+        found.append(read_listing(src.sparkSession, f"{base}/{fmt}", fmt).select(F.lit(fmt).alias("format"), "rel_path", "type", "size", "mtime_ns", "nlink", "link_target", "stat_errno"))
+    return found[0].union(found[1]).union(found[2])
+
+
 def add(name, run, sql, tables="src dst", more=PAIRS):
     R.add(name, tables, run, sql, more)
 
@@ -53,20 +93,21 @@ add("D3_mtime_equal", lambda s, d: diff.tree_diff(s, d).where("src.type = 'FILE'
 add("D4_symlinks", lambda s, d: _plan(s, d).where("src.type = 'SYMLINK'").select("rel_path", "action", "reason"), "SELECT rel_path, action, reason FROM pl WHERE st = 'SYMLINK'")
 add("D5_specials", lambda s, d: _plan(s, d).where("src.type = 'CHARDEV'").select("rel_path", "action", "reason"), "SELECT rel_path, action, reason FROM pl WHERE st = 'CHARDEV'")
 add("D6_directories", lambda s, d: _plan(s, d).where("src.type = 'DIR'").select("rel_path", "action", "reason"), "SELECT rel_path, action, reason FROM pl WHERE st = 'DIR'")
-add("D7_type_changes", lambda s, d: diff.type_changes(diff.tree_diff(s, d), d, 1, 1).select("rel_path", "src_type", "dst_type", "step"),
-    """SELECT rel_path, st AS src_type, dt AS dst_type, CASE WHEN dt = 'DIR' AND rel_path IN (SELECT regexp_replace(rel_path, '/[^/]*$', '') FROM dst) THEN 'SET_ASIDE' ELSE 'REMOVE' END AS step
-       FROM p WHERE has_s AND has_d AND st <> dt""")
+add("D7_type_changes", lambda s, d: diff.type_changes(diff.tree_diff(s, d), d, 1, 1).select("rel_path", "src_type", "dst_type", "step", "stale_path"),
+    """SELECT rel_path, st AS src_type, dt AS dst_type, CASE WHEN stale IS NULL THEN 'REMOVE' ELSE 'SET_ASIDE' END AS step, stale AS stale_path
+       FROM p LEFT JOIN aside USING (rel_path) WHERE has_s AND has_d AND st <> dt""")
 add("D8_orphans", lambda s, d: diff.orphans(s, d).select("rel_path", "type"), "SELECT rel_path, type FROM orphans")
-add("J2_dst_only_sweep", lambda s, d: diff.orphans(s, d).select("rel_path"), "SELECT rel_path FROM orphans")
+add("J2_dst_only_sweep", lambda s, d: diff.plan_orphans(_written(s, d)).select("rel_path", "type"), "SELECT rel_path, type FROM orphans UNION ALL SELECT stale, 'DIR' FROM aside")
 add("D9_temp_residue", lambda s, d: diff.temp_residue(s, d, 1, 1),
     r"SELECT rel_path, NOT regexp_matches(rel_path, '/\.sync\.tmp\.1-1\.') AS reclaim FROM p WHERE NOT has_s AND rel_path LIKE '%/.sync.tmp.%'")
 add("D10_scan_errors", lambda s, d: diff.plan(
-        s.where("type = 'FILE'").withColumn("stat_errno", F.when(F.col("ino") % 7 == 0, 13).when(F.col("ino") % 7 == 1, 2).otherwise(0)),
-        d.withColumn("stat_errno", F.when(F.col("ino") % 7 == 2, 5).otherwise(0))).where("src is not null").groupBy("action", "reason").agg(F.count("*").alias("n")),
-    """SELECT action, reason, count(*) AS n FROM (SELECT CASE WHEN e = 0 THEN 'ERROR' WHEN e = 1 THEN 'VANISHED' WHEN e = 2 THEN 'COPY' ELSE action END AS action,
-         CASE WHEN e IN (0, 1) THEN NULL WHEN e = 2 THEN 'absent' ELSE reason END AS reason
-       FROM (SELECT pl.*, ino % 7 AS e FROM pl JOIN src USING (rel_path) WHERE st = 'FILE') z) GROUP BY ALL""")
-add("D11_dry_run", lambda s, d: diff.to_journal(_plan(s, d, DRY), diff.orphans(s, d, DRY), 1, 1, DRY).groupBy("type").agg(F.count("*").alias("n")),
+        s.withColumn("stat_errno", F.when(F.length("rel_path") % 7 == 0, 13).when(F.length("rel_path") % 7 == 1, 2).otherwise(0)),
+        d.withColumn("stat_errno", F.when(F.length("rel_path") % 7 == 2, 5).otherwise(0))).groupBy("action", "reason").agg(F.count("*").alias("n")),
+    """SELECT action, reason, count(*) AS n FROM (SELECT CASE WHEN NOT has_s THEN action WHEN e = 0 THEN 'ERROR' WHEN e = 1 THEN 'VANISHED'
+           WHEN e = 2 AND has_d THEN CASE st WHEN 'FILE' THEN 'COPY' WHEN 'DIR' THEN 'MKDIR' WHEN 'SYMLINK' THEN 'SYMLINK' ELSE 'SPECIAL' END ELSE action END AS action,
+         CASE WHEN NOT has_s OR e IN (0, 1) THEN NULL WHEN e = 2 AND has_d THEN 'absent' ELSE reason END AS reason
+       FROM (SELECT *, length(rel_path) % 7 AS e FROM pl) z) GROUP BY ALL""")
+add("D11_dry_run", lambda s, d: _journal(s, d, DRY).groupBy("type").agg(F.count("*").alias("n")),
     """SELECT type, count(*) AS n FROM (SELECT 'WOULD_COPY' AS type FROM pl WHERE action = 'COPY' UNION ALL SELECT 'DIR_META' FROM pl WHERE st = 'DIR' UNION ALL SELECT 'DIR_META'
          UNION ALL SELECT 'ORPHAN' FROM orphans UNION ALL SELECT 'NLINK_DUP' FROM pl WHERE action IN ('COPY', 'META_FIX', 'CLEAN') AND st = 'FILE' AND nl > 1) GROUP BY type""")
 STRATEGY = SyncOptions(direct_write=True, chunk_threshold=5_000_000, chunk_size=2_000_000)
@@ -78,18 +119,23 @@ add("D14_drift", lambda s, d: diff.drift(_plan(s, d), s.where("ino % 5 <> 0").wi
         .withColumn("mtime_ns", F.col("mtime_ns") + F.when(F.col("ino") % 5 == 2, 1).otherwise(0))),
     """SELECT rel_path, CASE ino % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'size' ELSE 'mtime' END AS detail, 'SRC_CHANGED' AS type
        FROM pl JOIN src USING (rel_path) WHERE action = 'COPY' AND ino % 5 < 3""")
-add("D18_dirfix", lambda s, d: diff.dirfix(diff.to_journal(_plan(s, d), diff.orphans(s, d), 1, 1),
+add("D18_dirfix", lambda s, d: diff.dirfix(_journal(s, d),
         d.withColumn("mode", F.col("mode") + F.when(F.length("rel_path") % 2 == 0, 1).otherwise(0)).withColumn("mtime_ns", F.col("mtime_ns") + F.when(F.length("rel_path") % 3 == 0, 1).otherwise(0))),
     """SELECT rel_path, false AS owner, length(rel_path) % 2 = 0 AS mode, length(rel_path) % 3 = 0 AS mtime FROM src
        WHERE type = 'DIR' AND rel_path IN (SELECT rel_path FROM dst WHERE type = 'DIR') AND (length(rel_path) % 2 = 0 OR length(rel_path) % 3 = 0)""")
 JOURNAL = """SELECT 'COPIED' AS type, rel_path FROM pl WHERE action IN ('COPY', 'SYMLINK', 'SPECIAL') UNION ALL SELECT 'META_FIXED', rel_path FROM pl WHERE action = 'META_FIX'
   UNION ALL SELECT 'DIR_META', rel_path FROM pl WHERE st = 'DIR' UNION ALL SELECT 'DIR_META', '' UNION ALL SELECT 'ORPHAN', rel_path FROM orphans
-  UNION ALL SELECT 'NLINK_DUP', rel_path FROM pl WHERE action IN ('COPY', 'META_FIX', 'CLEAN') AND st = 'FILE' AND nl > 1"""
-add("D19_to_journal", lambda s, d: diff.to_journal(_plan(s, d), diff.orphans(s, d), 1, 1).select("type", "rel_path"), JOURNAL)
-add("D20_apply_plan", lambda s, d: diff.apply_plan(d, _plan(s, d), diff.orphans(s, d)).select("rel_path", "type", "size", "mtime_ns", "mode", "uid"),
-    """SELECT rel_path, type, size, mtime_ns, mode, uid FROM src WHERE rel_path NOT IN (SELECT rel_path FROM pl WHERE action = 'CLEAN')
-       UNION ALL SELECT rel_path, type, size, mtime_ns, mode, uid FROM dst WHERE rel_path IN (SELECT rel_path FROM pl WHERE action IN ('CLEAN', 'DST_ONLY')) AND rel_path NOT IN (SELECT rel_path FROM orphans)""")
-add("D20_apply_then_diff", lambda s, d: _plan(s, diff.apply_plan(d, _plan(s, d))).where("action not in ('CLEAN', 'DIR', 'DST_ONLY')").agg(F.count("*").alias("n")), "SELECT 0 AS n FROM (SELECT 1)")
+  UNION ALL SELECT 'NLINK_DUP', rel_path FROM pl WHERE action IN ('COPY', 'META_FIX', 'CLEAN') AND st = 'FILE' AND nl > 1
+  UNION ALL SELECT 'ORPHAN', stale FROM aside"""
+add("D19_to_journal", lambda s, d: _journal(s, d).select("type", "rel_path"), JOURNAL)
+add("D20_apply_plan", lambda s, d: _applied(s, d, True).select("rel_path", "type", "size", "mtime_ns", "mode", "uid"),
+    """SELECT rel_path, st AS type, ss AS size, sn AS mtime_ns, sm AS mode, su AS uid FROM pl WHERE has_s AND action <> 'CLEAN'
+       UNION ALL SELECT rel_path, dt, ds, dn, dm, du FROM pl WHERE action = 'CLEAN'
+       UNION ALL SELECT coalesce(new, pl.rel_path), dt, ds, dn, dm, du FROM pl LEFT JOIN moved ON pl.rel_path = moved.rel_path ANTI JOIN gone ON pl.rel_path = gone.rel_path WHERE action = 'DST_ONLY'
+       UNION ALL SELECT stale, dt, ds, dn, dm, du FROM pl JOIN aside USING (rel_path)""")
+add("D20_apply_then_diff", lambda s, d: _plan(s, _applied(s, d, False)).groupBy("action", "reason").agg(F.count("*").alias("n")),
+    """SELECT CASE WHEN st = 'DIR' THEN 'DIR' ELSE 'CLEAN' END AS action, NULL::VARCHAR AS reason, count(*) AS n FROM pl WHERE has_s GROUP BY 1
+       UNION ALL SELECT 'DST_ONLY', NULL, (SELECT count(*) FROM extra) + (SELECT count(*) FROM aside)""")
 add("D21_fidelity", lambda s, d: diff.fidelity(s, d),
     """SELECT attribute, sum(CASE WHEN same THEN 1 ELSE 0 END) AS n_match, sum(CASE WHEN NOT same THEN 1 ELSE 0 END) AS n_differ, 0 AS n_not_preservable FROM (
        SELECT unnest([{'attribute': 'type', 'same': st = dt}, {'attribute': 'size', 'same': CASE WHEN f THEN ss = ds END}, {'attribute': 'mtime', 'same': CASE WHEN f THEN abs(sn - dn) <= 1000000 END},
@@ -98,13 +144,13 @@ add("D21_fidelity", lambda s, d: diff.fidelity(s, d),
         {'attribute': 'link_target', 'same': CASE WHEN st = 'SYMLINK' THEN sl = dl END}], recursive := true) FROM (SELECT *, st = 'FILE' AND dt = 'FILE' AS f FROM p WHERE has_s AND has_d)) GROUP BY attribute""")
 add("J3_both_sides", diff.both_sides, "SELECT rel_path FROM p WHERE has_s AND has_d")
 add("U3_dst_only", diff.dst_only, "SELECT rel_path FROM p WHERE NOT has_s")
-add("A1_pass_counters", lambda s, d: diff.pass_counters(_plan(s, d), diff.orphans(s, d)),
+add("A1_pass_counters", _counters,
     """SELECT count(*) FILTER (has_s) AS entries_walked, count(*) FILTER (action IN ('COPY', 'SYMLINK', 'SPECIAL')) AS files_copied, coalesce(sum(ss) FILTER (action = 'COPY'), 0)::BIGINT AS bytes_copied,
        count(*) FILTER (action = 'META_FIX') AS meta_fixed, count(*) FILTER (action = 'CLEAN') AS clean, 0 AS errors, count(*) FILTER (st = 'DIR') AS dirs, count(*) FILTER (action = 'SYMLINK') AS symlinks,
        count(*) FILTER (st = 'CHARDEV') AS specials, count(*) FILTER (st = 'FILE' AND nl > 1) AS nlink_dup_files, coalesce(sum(ss) FILTER (st = 'FILE' AND nl > 1), 0)::BIGINT AS nlink_dup_bytes,
-       (SELECT count(*) FROM orphans) AS orphans FROM pl""")
+       (SELECT count(*) FROM orphans) + (SELECT count(*) FROM aside) AS orphans FROM pl""")
 add("A11_nlink_cost", diff.nlink_cost, "SELECT count(*) AS files, sum(size)::BIGINT AS bytes FROM src WHERE type = 'FILE' AND nlink > 1", "src", "")
-add("S1_read_listing", lambda s: s.groupBy("type").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "SELECT type, count(*) AS n, sum(size)::BIGINT AS bytes FROM src GROUP BY type", "src", "")
+add("S1_read_listing", _read_back, """SELECT unnest(['parquet', 'json', 'csv']) AS format, rel_path, type, size, mtime_ns, nlink, link_target, 0 AS stat_errno FROM src""", "src", "")
 add("S4_slice_listing", lambda s, d: slice_listing(s, d.where("size % 3 = 0").select(F.expr("substring_index(rel_path, '/', size(split(rel_path, '/')) - 1)").alias("parent"), F.substring_index("rel_path", "/", -1).alias("name"))).select("rel_path", "size"),
     "SELECT rel_path, size FROM src WHERE rel_path IN (SELECT rel_path FROM dst WHERE size % 3 = 0)", more="")
 
@@ -133,15 +179,15 @@ add("A25_wide_dirs", lambda s: tree.wide_dirs(s, 400, 100),
 add("A26_subtree_totals", lambda s: tree.subtree_totals(s), "SELECT dir, count(*) AS objects, sum(size)::BIGINT AS bytes FROM an GROUP BY dir", "src", ANCESTORS)
 add("A26_over_budget", lambda s: tree.over_budget(s, 500), "SELECT dir, count(*) AS objects, sum(size)::BIGINT AS bytes FROM an GROUP BY dir HAVING count(*) > 500", "src", ANCESTORS)
 add("J8_expand_deletes", lambda s, d: tree.expand_deletes(diff.orphans(s, d), d).select("rel_path", "type"),
-    "SELECT d.rel_path, d.type FROM dst d WHERE EXISTS (SELECT 1 FROM orphans o WHERE d.rel_path = o.rel_path OR starts_with(d.rel_path, o.rel_path || '/'))")
+    "SELECT d.rel_path, d.type FROM dst d WHERE d.rel_path IN (SELECT rel_path FROM gone)")
 add("U4_delete_plan", lambda s, d: tree.delete_plan(diff.orphans(s, d), d, "job-1", "job-1", 7).groupBy("depth").agg(F.count("*").alias("n"), F.countDistinct("rel_path").alias("paths")),
-    "SELECT len(string_split(d.rel_path, '/')) AS depth, count(*) AS n, count(*) AS paths FROM dst d WHERE EXISTS (SELECT 1 FROM orphans o WHERE d.rel_path = o.rel_path OR starts_with(d.rel_path, o.rel_path || '/')) GROUP BY 1")
+    "SELECT len(string_split(d.rel_path, '/')) AS depth, count(*) AS n, count(*) AS paths FROM dst d WHERE d.rel_path IN (SELECT rel_path FROM gone) GROUP BY 1")
 add("U5_delete_journal", lambda s, d: tree.delete_journal(tree.expand_deletes(diff.orphans(s, d), d), diff.orphans(s, d), False).groupBy("type").agg(F.count("*").alias("n")).unionByName(
         tree.delete_journal(tree.expand_deletes(diff.orphans(s, d), d), diff.orphans(s, d), True).groupBy("type").agg(F.count("*").alias("n"))),
-    "SELECT 'DELETED' AS type, count(*) AS n FROM dst d WHERE EXISTS (SELECT 1 FROM orphans o WHERE d.rel_path = o.rel_path OR starts_with(d.rel_path, o.rel_path || '/')) UNION ALL SELECT 'WOULD_DELETE', count(*) FROM orphans")
+    "SELECT 'DELETED' AS type, count(*) AS n FROM dst d WHERE d.rel_path IN (SELECT rel_path FROM gone) UNION ALL SELECT 'WOULD_DELETE', count(*) FROM orphans")
 add("O1_deepest_first", lambda s: tree.deepest_first(s.where("type = 'DIR'")).select("rel_path", "depth"), "SELECT rel_path, len(string_split(rel_path, '/')) AS depth FROM src WHERE type = 'DIR'", "src", "")
-add("W11_batches", lambda s: tree.batches(s.where("type = 'FILE'"), 100, ["type"], ["rel_path"]).groupBy("type", "batch").agg(F.count("*").alias("n")),
-    "SELECT type, batch, count(*) AS n FROM (SELECT type, (row_number() OVER (PARTITION BY type ORDER BY rel_path) - 1) // 100 AS batch FROM src WHERE type = 'FILE') GROUP BY ALL", "src", "")
+add("W11_batches", lambda s: tree.batches(tree.bucketed(s.where("type = 'FILE'"), 64).withColumn("parent", F.substring_index("rel_path", "/", 3)), 100, ["parent"], ["rel_path"]).select("rel_path", "batch"),
+    "SELECT rel_path, (row_number() OVER (PARTITION BY regexp_extract(rel_path, '^[^/]*/[^/]*/[^/]*') ORDER BY rel_path) - 1) // 100 AS batch FROM src WHERE type = 'FILE'", "src", "")
 add("W9_chunk_ranges", lambda s, d: tree.chunk_ranges(_plan(s, d).where("action = 'COPY'").select("rel_path", F.col("src.size").alias("size")), 1_000_000).select("rel_path", "chunk", "offset", "length", "kind"),
     """SELECT rel_path, i AS chunk, i * 1000000 AS "offset", least(1000000, ss - i * 1000000) AS length, CASE WHEN i = 0 THEN 'create' ELSE 'data' END AS kind
        FROM pl, unnest(range(0, greatest(1, ceil(ss / 1000000.0))::BIGINT)) u(i) WHERE action = 'COPY'
@@ -152,9 +198,9 @@ add("A22_chunk_progress", lambda s, d: tree.chunk_progress(
     """SELECT rel_path, n AS n_chunks, done AS n_done, done = n AND NOT bad AS ready, bad AS aborted FROM (SELECT rel_path, count(*) AS n, count(*) FILTER ((i + length(rel_path)) % 4 <> 0) AS done,
          coalesce(bool_or((i * 1000000) % 7000000 = 6000000 AND (i + length(rel_path)) % 4 <> 0), false) AS bad
        FROM pl, unnest(range(0, greatest(1, ceil(ss / 1000000.0))::BIGINT)) u(i) WHERE action = 'COPY' GROUP BY rel_path)""")
-add("A23_delete_closure", lambda d: tree.delete_closure(d.where("rel_path like 'orph/%'").select(F.expr("substring_index(rel_path, '/', size(split(rel_path, '/')) - 1)").alias("dir"), (F.col("size") % 5 != 0).alias("done"))),
+add("A23_delete_closure", lambda d: tree.delete_closure(d.select(F.expr("substring_index(rel_path, '/', size(split(rel_path, '/')) - 1)").alias("dir"), (F.col("size") % 5 != 0).alias("done"))),
     """SELECT dir, bool_and(done) AS closed FROM (SELECT unnest(list_transform(range(1, len(string_split(parent, '/')) + 1), lambda i: array_to_string(string_split(parent, '/')[1:i], '/'))) AS dir, done
-       FROM (SELECT regexp_replace(rel_path, '/[^/]*$', '') AS parent, size % 5 <> 0 AS done FROM dst WHERE rel_path LIKE 'orph/%')) GROUP BY dir""", "dst", "")
+       FROM (SELECT regexp_replace(rel_path, '/[^/]*$', '') AS parent, size % 5 <> 0 AS done FROM dst WHERE instr(rel_path, '/') > 0)) GROUP BY dir""", "dst", "")
 LINKS = """
 gr AS (SELECT ino, min(rel_path) AS anchor, max(nlink) AS nlink_expected, count(DISTINCT rel_path) AS members_seen FROM src WHERE type = 'FILE' AND nlink > 1 GROUP BY ino)"""
 add("A12_link_groups", lambda s: tree.link_groups(s, 2).select("ino", "anchor_path", "anchor_size", "nlink_expected", "members_seen", "fallback"),
@@ -165,3 +211,33 @@ add("J4_pending_links", lambda s, d: tree.pending_links(tree.link_groups(s, 0).w
 add("J5_link_outcomes", lambda s, d: tree.link_outcomes(tree.pending_links(tree.link_groups(s, 0).withColumn("anchor_state", F.lit("copied")), tree.link_members(s)), d.withColumn("dev", F.lit(1))).select("rel_path", "type", "detail"),
     """SELECT m.rel_path, CASE WHEN a.rel_path IS NULL THEN 'ERROR' WHEN a.size <> s.size OR a.mtime_ns <> s.mtime_ns THEN 'SRC_CHANGED' WHEN b.ino = a.ino THEN NULL ELSE 'LINK_CREATED' END AS type, anchor AS detail
        FROM gr JOIN src m ON m.ino = gr.ino AND m.type = 'FILE' AND m.nlink > 1 AND m.rel_path <> anchor JOIN src s ON s.rel_path = anchor LEFT JOIN dst a ON a.rel_path = anchor LEFT JOIN dst b ON b.rel_path = m.rel_path""", more=LINKS)
+
+
+XATTRS = """
+xa AS MATERIALIZED (SELECT rel_path, doc_id, lang, source FROM content),
+xd AS MATERIALIZED (SELECT rel_path, doc_id % 10 AS k FROM content_dst)"""
+
+
+def _xattrs(d, dst):
+    """user.lang, user.source and two system names; a third of the destination differs in one of them."""
+    text = lambda c: F.col(c).cast("binary")
+    changed = F.when(F.col("doc_id") % 10 == 4, F.lit("other")).otherwise(F.col("lang")) if dst else F.col("lang")
+    every = F.create_map(
+        F.lit("user.lang"), changed.cast("binary"), F.lit("user.source"), text("source"), F.lit("security.selinux"), F.lit("d" if dst else "s").cast("binary"),
+        F.lit("system.posix_acl_access"), F.lit("acl").cast("binary"),
+    )
+    held = F.map_filter(every, lambda k, v: (F.col("doc_id") % 10 != 2) | (k != "user.lang")) if dst else every
+    return d.withColumn("xattrs", F.when(F.col("doc_id") % 10 == 5, F.lit(None)).otherwise(held) if dst else held)
+
+
+def _pairs(s, d):
+    return diff.tree_diff(_xattrs(s, False), _xattrs(d, True))
+
+
+NO_ACL = SyncOptions(posix_acl=False)
+add("D15_copyable_xattrs", lambda s, d: _xattrs(s, False).select("rel_path", F.explode(F.map_keys(diff.copyable_xattrs(F.col("xattrs")))).alias("name"), F.size(diff.copyable_xattrs(F.col("xattrs"), NO_ACL)).alias("without_acl")),
+    "SELECT rel_path, unnest(['user.lang', 'user.source', 'system.posix_acl_access']) AS name, 2 AS without_acl FROM xa", "content content_dst", XATTRS)
+add("D16_xattrs_equal", lambda s, d: _pairs(s, d).where("in_src and in_dst").select("rel_path", diff.xattrs_equal(F.col("src.xattrs"), F.col("dst.xattrs")).alias("same")),
+    "SELECT rel_path, k NOT IN (2, 4) AS same FROM xd", "content content_dst", XATTRS)
+add("D17_xattr_delta", lambda s, d: diff.xattr_delta(_pairs(s, d).where("dst.xattrs is not null"), SyncOptions(), ["user.lang"]).select("rel_path", "name", "step", "type"),
+    "SELECT rel_path, 'user.lang' AS name, 'skip' AS step, 'FIDELITY_EXCEPTION' AS type FROM xd WHERE k IN (2, 4)", "content content_dst", XATTRS)

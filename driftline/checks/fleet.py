@@ -25,9 +25,9 @@ add("J10_covering_mount", "work_items", lambda w: fl.covering_mount(w.select(F.c
 add("W16_agent_roster", "agents inflight", lambda a, i: fl.agent_roster(a, i, 3, NOW),
     """SELECT agent_id, host, proto_minor < 3 AS stale, CASE WHEN NOT connected THEN 'disconnected' WHEN enabled THEN 'scheduling' ELSE 'disabled' END AS label, connected, greatest(0, 1700000100000 - heartbeat_ms) AS age_ms,
        (SELECT count(DISTINCT lease_id) FROM inflight i WHERE i.agent_id = agents.agent_id) AS n_inflight FROM agents""")
-add("W14_agent_activity", "agents inflight", lambda a, i: fl.agent_activity(a, i.where("agent_id <> 'agent-4' and agent_id <> 'agent-7'")),
+add("W14_agent_activity", "agents inflight", lambda a, i: fl.agent_activity(a, i),
     """SELECT agent_id, CASE WHEN NOT connected THEN 'disconnected' WHEN proto_minor < 1 THEN 'unsupported' WHEN NOT enabled THEN CASE WHEN b THEN 'draining' ELSE 'drained' END ELSE CASE WHEN b THEN 'active' ELSE 'idle' END END AS activity
-       FROM (SELECT *, agent_id IN (SELECT agent_id FROM inflight WHERE agent_id NOT IN ('agent-4', 'agent-7')) AS b FROM agents)""")
+       FROM (SELECT *, agent_id IN (SELECT agent_id FROM inflight) AS b FROM agents)""")
 add("A27_slot_activity", "inflight", fl.slot_activity, "SELECT agent_id, count(*) FILTER (running AND kind = 'chunk') AS copying, count(*) FILTER (running AND kind <> 'chunk') AS walking FROM inflight GROUP BY agent_id")
 add("O2_slowest_inflight", "inflight", lambda i: fl.slowest_inflight(i.groupBy("lease_id").agg(F.max("ts_us").alias("running_ms")), 20).select("lease_id"), "SELECT lease_id FROM (SELECT lease_id, max(ts_us) AS m FROM inflight GROUP BY lease_id ORDER BY m DESC, lease_id LIMIT 20)")
 RATES = "d AS (SELECT *, entries - lag(entries) OVER w AS x, ts_us - lag(ts_us) OVER w AS us FROM stats WINDOW w AS (PARTITION BY agent_id ORDER BY ts_us, seq)), rt AS (SELECT *, CASE WHEN x < 0 THEN entries ELSE x END AS delta FROM d WHERE us IS NOT NULL)"
@@ -47,12 +47,12 @@ add("A20_requeue_rate", "work_items", lambda w: fl.requeue_rate(w, EXPIRED), "SE
 EDGES = ", ".join(str(e) for e in fl.DURATION_EDGES)
 HIST = f"hs AS (SELECT kind, e AS le, count(*) FILTER (wall_ms <= e * 1000) AS n FROM work_items, unnest([{EDGES}, 'inf'::DOUBLE]) u(e) WHERE wall_ms > 0 GROUP BY ALL)"
 add("A15_duration_hist", "work_items", lambda w: fl.duration_hist(w).where("le < 1e300"), "SELECT * FROM hs WHERE le < 1e300", HIST)
-add("A16_duration_quantiles", "work_items", lambda w: fl.duration_quantiles(w), "SELECT kind, quantile_cont(wall_ms / 1000.0::DOUBLE, 0.5) AS p50, quantile_cont(wall_ms / 1000.0::DOUBLE, 0.99) AS p99 FROM work_items WHERE wall_ms > 0 GROUP BY kind")
+add("A16_duration_quantiles", "work_items", lambda w: fl.duration_quantiles(w, accuracy=None), "SELECT kind, quantile_cont(wall_ms / 1000.0::DOUBLE, 0.5) AS p50, quantile_cont(wall_ms / 1000.0::DOUBLE, 0.99) AS p99 FROM work_items WHERE wall_ms > 0 GROUP BY kind")
 add("A16_bucket_quantile", "work_items", lambda w: fl.bucket_quantile(fl.duration_hist(w), 0.5).select("kind", F.round("value", 6).alias("value")),
     """SELECT kind, round(CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (t * 0.5::DOUBLE - b) / (n - b) END, 6) AS value FROM (
        SELECT *, row_number() OVER (PARTITION BY kind ORDER BY le) AS k FROM (SELECT *, coalesce(lag(n) OVER w, 0) AS b, coalesce(lag(le) OVER w, 0) AS lo, max(n) OVER (PARTITION BY kind) AS t FROM hs WINDOW w AS (PARTITION BY kind ORDER BY le))
        WHERE n >= t * 0.5 AND n > b) WHERE k = 1""", HIST)
-add("A17_latency_summary", "op_latency", lambda m: fl.latency_summary(m).select("op", "n", F.round("mean", 6).alias("mean"), F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), F.round("p99", 6).alias("p99"), "max"),
+add("A17_latency_summary", "op_latency", lambda m: fl.latency_summary(m, accuracy=None).select("op", "n", F.round("mean", 6).alias("mean"), F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), F.round("p99", 6).alias("p99"), "max"),
     'SELECT op, count(*) AS n, round(avg(latency_us), 6) AS mean, round(quantile_cont(latency_us, 0.5), 6) AS p50, round(quantile_cont(latency_us, 0.9), 6) AS p90, round(quantile_cont(latency_us, 0.99), 6) AS p99, max(latency_us) AS "max" FROM op_latency GROUP BY op')
 add("A18_hist_merge", "op_latency", lambda m: fl.hist_merge(fl.latency_hist(m, ("op", "run"))).select("op", F.posexplode("buckets").alias("bucket", "n")).where("n > 0"),
     "SELECT op, floor(log2(greatest(latency_us, 1)))::INT AS bucket, count(*) AS n FROM op_latency GROUP BY ALL")
@@ -61,4 +61,13 @@ add("A19_scaling", "op_latency", lambda m: fl.scaling(m).select("threads", F.rou
 add("A19_spread_ratio", "op_latency", lambda m: fl.spread_ratio(m).select(F.round("ratio", 6).alias("ratio")), "SELECT round(avg(latency_us) FILTER (dirs = 0) / avg(latency_us) FILTER (dirs = 1), 6) AS ratio FROM op_latency")
 add("A19_ablation", "op_latency", lambda m: fl.ablation(m).select("variant", F.round("speedup", 6).alias("speedup")),
     "SELECT variant, round((SELECT avg(latency_us) FROM op_latency WHERE variant = 'baseline') / avg(latency_us), 6) AS speedup FROM op_latency WHERE variant <> 'baseline' GROUP BY variant")
-add("W15_parked_digest", "work_items", lambda w: fl.parked_alerts(w.where("state = 'PARKED'").select("job_id", "item_id", c("updated_ms").alias("parked_ms")), 86_400_000 * 30).groupBy("job_id", "at_ms").agg(F.count("*").cast("int").alias("n")))
+PARKS = """
+pk AS MATERIALIZED (SELECT job_id, item_id, updated_ms AS since, row_number() OVER (PARTITION BY job_id ORDER BY updated_ms NULLS FIRST, item_id) AS rn FROM work_items WHERE state = 'PARKED'),
+told AS (WITH RECURSIVE s AS (
+   SELECT job_id, rn, item_id, since AS parked_ms, since AS at_ms, since + 2592000000 AS until, false AS held FROM pk WHERE rn = 1
+   UNION ALL SELECT job_id, rn, item_id, since, CASE WHEN since > u THEN since ELSE u END, CASE WHEN since > u THEN since + 2592000000 ELSE u END, since <= u
+   FROM (SELECT pk.*, CASE WHEN pk.since > s.until AND s.held THEN s.until + 2592000000 ELSE s.until END AS u FROM s JOIN pk ON pk.job_id = s.job_id AND pk.rn = s.rn + 1) z) SELECT * FROM s)"""
+_parks = lambda w: w.where("state = 'PARKED'").select("job_id", "item_id", c("updated_ms").alias("parked_ms"))
+add("W15_parked_alerts", "work_items", lambda w: fl.parked_alerts(_parks(w), 86_400_000 * 30), "SELECT job_id, at_ms, parked_ms, item_id FROM told", PARKS)
+add("W15_parked_digest", "work_items", lambda w: fl.parked_digest(_parks(w), 86_400_000 * 30).select("job_id", "at_ms", F.array_join(c("items").cast("array<string>"), ",").alias("items")),
+    "SELECT job_id, at_ms, string_agg(item_id::VARCHAR, ',' ORDER BY parked_ms, item_id) AS items FROM told GROUP BY ALL", PARKS)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftline.checks.base import Registry
+from driftline.functions.hashing import in_sample
 from driftline.operators import journal as jr
 from driftline.operators import tree
+from driftline.sources.journal import append_journal, read_journal
+from driftline.storage import shared_folder
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -14,7 +19,37 @@ c = F.col
 ERRS = "e AS (SELECT *, CASE WHEN type = 'VERIFY_FAIL' THEN 'VERIFY_FAIL' WHEN errno = 13 THEN 'EACCES' WHEN errno = 116 THEN 'ESTALE' ELSE errno || '' END AS class FROM journal WHERE type IN ('ERROR', 'FIDELITY_EXCEPTION', 'VERIFY_FAIL'))"
 DEDUP = "tc AS (SELECT job_id, pass_no, type, count(*) AS n FROM (SELECT DISTINCT job_id, pass_no, type, rel_path FROM journal) GROUP BY ALL)"
 
-R.add("S5_read_journal", "journal", lambda j: j.where("job_id = 2 and pass_no in (1, 3)").select("seq", "type", "rel_path"), "SELECT seq, type, rel_path FROM journal WHERE job_id = 2 AND pass_no IN (1, 3)")
+
+def _path(df, name):
+    return f"{shared_folder(df.sparkSession)}/driftline/{name}-{uuid.uuid4().hex}"
+
+
+def _appended(j):
+    """The journal appended in two batches, of which the second repeats a third of the first."""
+    path = _path(j, "journal")
+    append_journal(j, path)
+    append_journal(j.where("seq % 3 = 0"), path)
+    return path
+
+
+def _counts_stored(j):
+    """The histogram written, and written again for one job."""
+    path = _path(j, "counts")
+    jr.persist_type_counts(j, path)
+    jr.persist_type_counts(j.where("job_id = 2"), path)
+    return j.sparkSession.read.parquet(path)
+
+
+def _exported(j):
+    path = _path(j, "export")
+    jr.export_jsonl(j, path)
+    return j.sparkSession.read.schema("pass_no int, type string, rel_path string, ts_ns bigint, mode string, sum string, errno string, detail string").json(path)
+
+
+R.add("S5_read_journal", "journal", lambda j: read_journal(j.sparkSession, _appended(j), 2, [1, 3]).select("seq", "pass_no", "type", "rel_path"),
+    "SELECT seq, pass_no, type, rel_path FROM journal WHERE job_id = 2 AND pass_no IN (1, 3)")
+R.add("S6_append_journal", "journal", lambda j: read_journal(j.sparkSession, _appended(j), 1, once=False).groupBy("pass_no", "agent_id").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("once")),
+    "SELECT pass_no, agent_id, count(*) + count(*) FILTER (seq % 3 = 0) AS n, count(DISTINCT seq) AS once FROM journal WHERE job_id = 1 GROUP BY ALL")
 R.add("P5_by_prefix", "journal", lambda j: jr.by_prefix(j, "u1").select("seq", "rel_path"), "SELECT seq, rel_path FROM journal WHERE starts_with(rel_path, 'u1')")
 R.add("P6_by_type", "journal", lambda j: jr.by_type(j, "jr_copied").select("seq", "type"), "SELECT seq, type FROM journal WHERE type = 'COPIED'")
 R.add("P7_errors", "journal", lambda j: jr.errors(j, "ESTALE", "u2").select("seq", "class", "rel_path"), "SELECT seq, class, rel_path FROM e WHERE class = 'ESTALE' AND starts_with(rel_path, 'u2')", ERRS)
@@ -24,13 +59,14 @@ R.add("P9_truncated", "journal", lambda j: jr.page(jr.errors(j), 50, 20)[1], "SE
 R.add("O4_paged_scan", "journal", lambda j: jr.page(jr.by_type(j, "ORPHAN"), 100, 0, ("ts_ns", "seq"))[0].select("seq", "rel_path"), "SELECT seq, rel_path FROM journal WHERE type = 'ORPHAN' ORDER BY ts_ns, seq LIMIT 100")
 R.add("P10_record_view", "journal", lambda j: jr.record_view(j).select("rel_path", "ts_ns", "mode", "errno", "detail"),
     "SELECT rel_path, ts_ns, lpad((mode // 64 % 8) || '' || (mode // 8 % 8) || (mode % 8), 4, '0') AS mode, CASE errno WHEN 0 THEN NULL WHEN 13 THEN 'EACCES' ELSE 'ESTALE' END AS errno, nullif(detail, '') AS detail FROM journal")
-R.add("S7_export_view", "journal", lambda j: jr.record_view(j).select(F.to_json(F.struct("pass_no", "type", "rel_path", "errno")).alias("line")).groupBy("line").agg(F.count("*").alias("n")))
+R.add("S7_export_jsonl", "journal", lambda j: _exported(j).select("pass_no", "type", "rel_path", "ts_ns", "mode", "errno", "detail"),
+    "SELECT pass_no, type, rel_path, ts_ns, lpad((mode // 64 % 8) || '' || (mode // 8 % 8) || (mode % 8), 4, '0') AS mode, CASE errno WHEN 0 THEN NULL WHEN 13 THEN 'EACCES' ELSE 'ESTALE' END AS errno, nullif(detail, '') AS detail FROM journal")
 R.add("P11_adhoc_filter", "journal", lambda j: jr.adhoc_filter(j, "type!=ORPHAN, errno>0, rel_path ~ U1, pass_no<3").select("seq"), "SELECT seq FROM journal WHERE type <> 'ORPHAN' AND errno > 0 AND rel_path ILIKE '%u1%' AND pass_no < 3")
 R.add("P12_suspicious", "journal", lambda j: jr.split_suspicious(j.withColumn("rel_path", F.when(c("seq") % 5 == 0, "").when(c("seq") % 5 == 1, F.concat(c("rel_path"), F.lit("/../x"))).otherwise(c("rel_path"))))[1].select("seq", "rel_path"),
     "SELECT seq, CASE WHEN seq % 5 = 0 THEN '' ELSE rel_path || '/../x' END AS rel_path FROM journal WHERE seq % 5 < 2")
 R.add("A5_type_hist", "journal", lambda j: jr.type_hist(j, None, "u3"), "SELECT type, count(*) AS n FROM journal WHERE starts_with(rel_path, 'u3') GROUP BY type")
 R.add("A6_type_counts", "journal", jr.type_counts, "SELECT * FROM tc", DEDUP)
-R.add("S9_stored_counts", "journal", lambda j: jr.type_counts(j).where("n > 0"), "SELECT * FROM tc WHERE n > 0", DEDUP)
+R.add("S9_stored_counts", "journal", lambda j: _counts_stored(j).select("job_id", "pass_no", "type", "n"), "SELECT * FROM tc", DEDUP)
 R.add("A7_job_type_counts", "journal", lambda j: jr.job_type_counts(jr.type_counts(j)), "SELECT job_id, type, sum(n)::BIGINT AS n FROM tc GROUP BY job_id, type", DEDUP)
 R.add("A8_errors_by_class", "journal", lambda j: jr.errors_by_class(jr.errors(j)), "SELECT class, count(*) AS n FROM e GROUP BY class", ERRS)
 R.add("A8_errors_by_class_page", "journal", lambda j: jr.errors_by_class(jr.page(jr.errors(j), 200, 0, ("pass_no", "ts_ns", "rel_path", "seq"))[0]),
@@ -43,20 +79,23 @@ def _with_bytes(d):
     return d.withColumn("content", F.encode("text", "UTF-8")).withColumn("size", F.length("content").cast("long"))
 
 
-def _rows(s):
-    return s.where("doc_id % 3 <> 2").select("rel_path", (c("doc_id") % 2 == 1).alias("sampled"))
+def _rows(s, ppm=1_000_000):
+    return s.select("rel_path", in_sample(c("rel_path"), ppm).alias("sampled"))
 
 
+#: FNV-1a of 64 bits, modulo one million.
+FNV = "(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, strlen({0})), lambda i: ascii({0}[i + 1])::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) % 1000000)"
 VERIFIED = """
-v AS (SELECT s.rel_path, CASE WHEN d.rel_path IS NULL THEN 'missing' WHEN octet_length(s.text::BLOB) <> octet_length(d.text::BLOB) THEN 'size mismatch' WHEN s.text <> d.text AND s.doc_id % 2 = 1 THEN 'checksum mismatch' END AS why
-   FROM content s LEFT JOIN content_dst d ON s.rel_path = d.rel_path WHERE s.doc_id % 3 <> 2)"""
-VERIFIED = VERIFIED.replace("octet_length(s.text::BLOB)", "strlen(s.text)").replace("octet_length(d.text::BLOB)", "strlen(d.text)")
+v AS (SELECT s.rel_path, CASE WHEN d.rel_path IS NULL THEN 'missing' WHEN strlen(s.text) <> strlen(d.text) THEN 'size mismatch' WHEN s.text <> d.text THEN 'checksum mismatch' END AS why
+   FROM content s LEFT JOIN content_dst d ON s.rel_path = d.rel_path)"""
 R.add("J6_verify", "content content_dst", lambda s, d: jr.verify(_rows(s), _with_bytes(s), _with_bytes(d)), "SELECT rel_path, CASE WHEN why IS NULL THEN 'VERIFY_OK' ELSE 'VERIFY_FAIL' END AS type, coalesce(why, '') AS detail FROM v", VERIFIED)
 R.add("J7_recopy", "content content_dst", lambda s, d: jr.recopy(jr.verify(_rows(s), _with_bytes(s), _with_bytes(d)), s), "SELECT rel_path FROM v WHERE why IS NOT NULL", VERIFIED)
 R.add("J15_audit_sums", "content content_dst", lambda s, d: jr.audit_sums(s.select("rel_path", F.sha2(F.encode("text", "UTF-8"), 256).alias("sum")), _with_bytes(d)),
     "SELECT s.rel_path, CASE WHEN d.rel_path IS NULL THEN 'missing' WHEN s.text = d.text THEN 'match' ELSE 'differs' END AS state FROM content s LEFT JOIN content_dst d ON s.rel_path = d.rel_path")
-R.add("F15_verify_sample", "journal", lambda j: jr.verify_sample(j, 0.01).groupBy("job_id", "pass_no", "type").agg(F.count("*").alias("n"), F.max("sampled").alias("any")),
-    "SELECT job_id, pass_no, type, count(*) AS n, type = 'COPIED' AS \"any\" FROM (SELECT DISTINCT job_id, pass_no, type, rel_path FROM journal WHERE type IN ('COPIED', 'META_FIXED')) GROUP BY ALL")
+R.add("F15_verify_sample", "journal", lambda j: jr.verify_sample(j, 0.01),
+    f"""SELECT job_id, pass_no, type, rel_path, type = 'COPIED' AND (hit OR NOT bool_or(hit) OVER w AND rel_path = min(rel_path) OVER w) AS sampled
+       FROM (SELECT job_id, pass_no, type, rel_path, ppm < 10000 AS hit FROM (SELECT DISTINCT job_id, pass_no, type, rel_path FROM journal WHERE type IN ('COPIED', 'META_FIXED')) JOIN
+         (SELECT rel_path, {FNV.format('rel_path')} AS ppm FROM (SELECT DISTINCT rel_path FROM journal)) USING (rel_path)) WINDOW w AS (PARTITION BY job_id, pass_no, type)""")
 R.add("W10_chunk_content", "content", lambda s: tree.split_content(_with_bytes(s), 1000).select("rel_path", "offset", F.length("data").alias("length")),
     """SELECT rel_path, i * 1000 AS "offset", least(1000, strlen(text) - i * 1000) AS length FROM content, unnest(range(0, greatest(1, ceil(strlen(text) / 1000.0))::BIGINT)) u(i)""")
 R.add("W10_assemble", "content", lambda s: tree.assemble(tree.split_content(_with_bytes(s), 777)).select("rel_path", F.decode("content", "UTF-8").alias("text")), "SELECT rel_path, text FROM content")

@@ -62,8 +62,8 @@ add("W4_latest_pass", "passes", lg.latest_pass, "SELECT job_id, max(pass_no) AS
 add("W4_active_pass", "passes", lg.active_pass, "SELECT job_id, max(pass_no) AS pass_no, arg_max(state, pass_no) AS state FROM passes WHERE state <> 'COMPLETE' GROUP BY job_id")
 add("W5_durations", "passes", lambda p: lg.durations(p, NOW), "SELECT job_id, pass_no, greatest(0, coalesce(finished_ms, 1000000000000) - started_ms) AS duration_ms FROM passes")
 add("W5_running_time", "jobs", lambda j: lg.running_time(j, NOW), "SELECT job_id, CASE WHEN state = 'RUNNING' THEN greatest(0, 1000000000000 - created_ms) END AS running_ms FROM jobs")
-add("W13_job_status", "jobs passes work_items", lambda j, p, w: lg.job_status(lg.job_report(j, p, w.where("job_id % 2 = 0"))),
-    "SELECT name, CASE WHEN parked > 0 AND job_id % 2 = 0 THEN 'needs attention' WHEN errors > 0 OR verify_fail > 0 THEN 'with errors' WHEN converged THEN 'converged' ELSE 'completed' END AS status FROM rep", REPORT)
+add("W13_job_status", "jobs passes work_items", lambda j, p, w: lg.job_status(lg.job_report(j, p, w)),
+    "SELECT name, CASE WHEN parked > 0 THEN 'needs attention' WHEN errors > 0 OR verify_fail > 0 THEN 'with errors' WHEN converged THEN 'converged' ELSE 'completed' END AS status FROM rep", REPORT)
 add("W13_pass_status", "passes jobs", lambda p, j: lg.pass_status(p, j, SPEC), f"SELECT job_id, pass_no, CASE WHEN errors > 0 OR verify_fail > 0 THEN 'with errors' WHEN j.state = 'COMPLETED' AND {CONV} THEN 'converged' ELSE 'ok' END AS status FROM passes JOIN jobs j USING (job_id)")
 for _when, _states in lg.HELD.items():
     add(f"J9_dest_conflicts_{_when}", "jobs", lambda j, w=_when: lg.dest_conflicts(j, w),
@@ -76,8 +76,8 @@ add("U6_retry_parked", "work_items", lambda w: lg.retry_parked(w, job_id=3).sele
     """SELECT item_id, CASE WHEN h THEN 'QUEUED' ELSE state END AS state, CASE WHEN h THEN 0 ELSE attempt END AS attempt, CASE WHEN h THEN NULL ELSE holder END AS holder, CASE WHEN h THEN '' ELSE error END AS error
        FROM (SELECT *, state = 'PARKED' AND job_id = 3 AS h FROM work_items)""")
 add("U6_drop_parked", "work_items", lambda w: lg.drop_parked(w, job_id=3).groupBy("state").agg(F.count("*").alias("n")), "SELECT state, count(*) AS n FROM work_items WHERE NOT (state = 'PARKED' AND job_id = 3) GROUP BY state")
-add("U6_auto_retry", "work_items passes", lambda w, p: lg.auto_retry(w.where("state in ('DONE', 'PARKED') or item_id % 13 = 0"), p.where("job_id % 5 = 0")),
-    "SELECT job_id, pass_no, count(*) FILTER (state = 'PARKED') AS parked FROM work_items WHERE (state IN ('DONE', 'PARKED') OR item_id % 13 = 0) AND job_id % 5 <> 0 GROUP BY job_id, pass_no HAVING count(*) FILTER (state IN ('QUEUED', 'LEASED')) = 0 AND count(*) FILTER (state = 'PARKED') > 0")
+add("U6_auto_retry", "work_items passes", lambda w, p: lg.auto_retry(w.withColumn("state", F.when(c("state").isin("QUEUED", "LEASED") & (c("pass_no") % 2 == 0), "DONE").otherwise(c("state"))), p.where("verify_fail > 0")),
+    "SELECT job_id, pass_no, count(*) FILTER (state = 'PARKED') AS parked FROM work_items WHERE NOT EXISTS (SELECT 1 FROM passes q WHERE q.job_id = work_items.job_id AND q.pass_no = work_items.pass_no AND q.verify_fail > 0) GROUP BY job_id, pass_no HAVING count(*) FILTER (state IN ('QUEUED', 'LEASED') AND pass_no % 2 <> 0) = 0 AND count(*) FILTER (state = 'PARKED') > 0")
 add("A24_compact_items", "work_items", lambda w: lg.compact_items(w, ["dir", "entrylist"])[1], "SELECT job_id, pass_no, count(*) AS items_reaped FROM work_items WHERE state = 'DONE' AND kind IN ('dir', 'entrylist') GROUP BY ALL")
 add("A24_remaining_items", "work_items", lambda w: lg.compact_items(w, ["dir", "entrylist"])[0].select("item_id"), "SELECT item_id FROM work_items WHERE NOT (state = 'DONE' AND kind IN ('dir', 'entrylist'))")
 add("J16_effective_results", "work_items", lambda w: lg.effective_results(w.unionByName(w).select("item_id", (c("lease_id") + F.when(c("item_id") % 4 == 0, 1).otherwise(0)).alias("lease_id")), w),

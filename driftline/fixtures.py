@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.storage import materialize
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 TEMP_PREFIX = ".sync.tmp."
 
@@ -39,6 +41,7 @@ dst AS (SELECT rel_path, CASE WHEN k = 6 THEN 'DIR' ELSE 'FILE' END type, CASE W
       UNION ALL SELECT DISTINCT 'orph', 'DIR', 493, 0, 0, 0, 0, 0, 2, 0, NULL, 0, 0 FROM part
       UNION ALL SELECT DISTINCT 'orph/p' || p_partkey % 10, 'DIR', 493, 0, 0, 0, 0, 0, 2, 0, NULL, 0, 0 FROM part WHERE p_partkey % 5 = 0
       UNION ALL SELECT 'orph/p' || p_partkey % 10 || '/' || p_partkey || '.dat', 'FILE', 420, 0, 0, 10 + p_partkey, 0, p_partkey, 1, 1, NULL, 0, 0 FROM part WHERE p_partkey % 5 = 0
+      UNION ALL SELECT rel_path || '/kid' || ino % 3, 'FILE', 420, 0, 0, 11, 0, ino, 1, 1, NULL, 0, 0 FROM f WHERE k = 6 AND ino % 2 = 0
       UNION ALL SELECT 'fA/extra' || n_nationkey || '.dat', 'FILE', 420, 0, 0, 7, 0, n_nationkey, 1, 1, NULL, 0, 0 FROM nation
       UNION ALL SELECT 'fA/{TEMP_PREFIX}1-' || (r_regionkey % 2 + 1) || '.' || r_regionkey || '.0', 'FILE', 420, 0, 0, 7, 0, r_regionkey, 1, 1, NULL, 0, 0 FROM region)"""
 
@@ -73,7 +76,7 @@ work_items AS (SELECT o_orderkey item_id, nk job_id, cast(y - 1994 AS int) pass_
         'd' || o_orderkey % 100 || '/o' || o_orderkey rel_path, cast(o_orderkey % 6 AS int) attempt, 'agent-' || ag holder, 'agent-' || (o_custkey % 12) target,
         o_orderkey * 3 lease_id, date_ms + 30000 lease_expiry_ms, date_ms updated_ms, CASE WHEN o_orderkey % 11 = 0 THEN 'gave up' ELSE '' END error, cents % 600000 wall_ms FROM od),
 agents AS (SELECT 'agent-' || c_custkey agent_id, 'host-' || c_custkey % 4 host, c_custkey % 2 = 0 enabled, c_custkey % 3 <> 0 connected,
-        cast(c_custkey % 4 AS int) proto_minor, 1700000000000 + c_custkey * 1000 heartbeat_ms FROM customer WHERE c_custkey < 10)"""
+        cast(c_custkey % 4 AS int) proto_minor, 1700000000000 + c_custkey * 1000 heartbeat_ms FROM customer)"""
 
 _TELEMETRY = """
 stats AS (SELECT agent_id, ts_us, seq, cast(sum(d) OVER (PARTITION BY agent_id, epoch ORDER BY ts_us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) entries FROM
@@ -102,10 +105,10 @@ _MADE: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table as a DataFrame, kept by the session so that queries do not derive it anew."""
+    """One derived table, written as Parquet in the shared folder once a session and read from there by every query."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _MADE:
-        _MADE[key] = _derived(spark, sf_dir, name).persist()
+        _MADE[key] = materialize(_derived(spark, sf_dir, name), f"table-{name}")
     return _MADE[key]
 
 
@@ -136,4 +139,6 @@ def duckdb_with(*names: str) -> str:
     """WITH clause that defines the named tables and those they come with."""
     parts = dict.fromkeys(_PART_OF[n] for n in names)
     text = ",".join(PARTS[p] for p in parts).replace("varchar(99)", "varchar").replace("JSON_K", "(props->>'$.k')").replace("EPOCH_US(", "epoch_us(")
+    for name in ("g", "f", "src", "dst", "od", "journal", "content", "content_dst"):
+        text = text.replace(f"\n{name} AS (", f"\n{name} AS MATERIALIZED (")
     return "WITH" + text

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def parent(path: Column) -> Column:
     """The directory of an entry; "" for an entry of the root."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+    return F.left(path, F.greatest(F.length(path) - F.length(leaf(path)) - 1, F.lit(0)))
 
 
 def leaf(path: Column) -> Column:
@@ -47,3 +47,15 @@ def paths_overlap(a: Column, b: Column) -> Column:
     """Equal, or one contains the other by whole components."""
     x, y = F.concat(trimmed(a), F.lit("/")), F.concat(trimmed(b), F.lit("/"))
     return x.startswith(y) | y.startswith(x)
+
+
+def root_above(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """paths (rel_path) joined to the roots (column root, and more) that they are or lie beneath; one row per such root.
+
+    Only prefixes as deep as some root are made, so a path gives as many keys as there are depths of roots.
+    """
+    depths = roots.agg(F.collect_set(depth(F.col("root")))).scalar()
+    keyed = paths.withColumn("__depths", depths)
+    each = F.filter("__depths", lambda n: n <= depth(F.col("rel_path")))
+    keys = keyed.select("rel_path", F.explode(F.transform(each, lambda n: F.call_function("substring_index", F.col("rel_path"), F.lit("/"), n))).alias("root"))
+    return keys.join(roots, "root")

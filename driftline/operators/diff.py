@@ -1,7 +1,8 @@
 """Diff of two listings: filters, pairs, classes, orphans, plans, and their application.
 
 Both sides are joined once on the path; everything else is an expression over the pair, a
-semi or anti join on paths, or an aggregate.
+semi or anti join on paths, or an aggregate. What follows from a plan (orphans, counters,
+journal, the next snapshot) is taken from the plan, which is best written once.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import types as T
 
 from driftline.functions.formats import tag_matches, temp_name
 from driftline.functions.globs import first_match_excludes
-from driftline.functions.paths import join, leaf, parent, prefixes
+from driftline.functions.paths import join, leaf, parent, prefixes, root_above
 from driftline.options import SyncOptions
 from driftline.sources.listing import SPECIAL_TYPES, as_listing
+from driftline.storage import materialize
 
 ENOENT = 2
 PERMISSIONS = 0o7777
@@ -44,17 +46,21 @@ def dst_only(src: DataFrame, dst: DataFrame) -> DataFrame:
 
 
 def tree_diff(src: DataFrame, dst: DataFrame, opts: SyncOptions = SyncOptions()) -> DataFrame:
-    """rel_path, src and dst (structs, null where absent) and excluded. Excluded source
-    entries stay in, so that they shield their destination twins.
+    """rel_path, src and dst (structs, null where absent), in_src, in_dst and excluded. Excluded
+    source entries stay in, so that they shield their destination twins.
+
+    Presence has columns of its own: whoever asks for them and for single fields leaves the
+    other fields to be pruned before the shuffle.
     """
 
     def packed(df: DataFrame, side: str) -> DataFrame:
         have = [c for c in as_listing(df).columns if c in df.columns and c != "rel_path"]
-        return as_listing(df).select("rel_path", F.struct(*have).alias(side))
+        return as_listing(df).select("rel_path", F.struct(*have).alias(side), F.lit(True).alias(f"in_{side}"))
 
     own = packed(src, "src").withColumn("excluded", excluded(F.col("rel_path"), opts.rules))
     pairs = own.join(packed(dst, "dst"), "rel_path", "full_outer")
-    return pairs.withColumn("excluded", F.coalesce("excluded", F.lit(False)))
+    absent = F.lit(False)
+    return pairs.select("rel_path", "src", "dst", *[F.coalesce(c, absent).alias(c) for c in ("in_src", "in_dst", "excluded")])
 
 
 def mtime_equal(a: Column, b: Column, slop_ns: int) -> Column:
@@ -82,63 +88,112 @@ def xattrs_equal(a: Column, b: Column, opts: SyncOptions = SyncOptions()) -> Col
     return F.coalesce(one == two, F.lit(True))
 
 
+#: Why an object is not as its source; the first that applies counts.
+REASONS = ("absent", "type", "size", "mtime", "owner", "mode", "xattrs", "target", "rdev")
+#: Outcomes that need no comparison, and what follows from a reason for each kind of entry.
+UNCOMPARED = ("DST_ONLY", "EXCLUDED", "VANISHED", "ERROR", "SKIPPED")
+KINDS = {"FILE": "COPY", "DIR": "MKDIR", "SYMLINK": "SYMLINK", "special": "SPECIAL"}
+
+
+def _outcomes() -> tuple[list[str], list[str | None]]:
+    """Actions and reasons by code: the uncompared ones, then for each kind no reason and each reason."""
+    actions, reasons = list(UNCOMPARED), [None] * len(UNCOMPARED)
+    for kind, change in KINDS.items():
+        actions.append("DIR" if kind == "DIR" else "CLEAN")
+        actions += ["META_FIX" if kind == "FILE" and r in ("owner", "mode", "xattrs") else change for r in REASONS]
+        reasons += [None, *REASONS]
+    return actions, reasons
+
+
 def classify(pairs: DataFrame, opts: SyncOptions = SyncOptions()) -> DataFrame:
-    """Adds action, reason (the first that applies) and strategy (of copies) to the pairs."""
+    """Adds action, reason (the first that applies) and strategy (of copies) to the pairs.
+
+    All follow from one small number, which tables of constants turn into names, so that a
+    filter on any of them stays one comparison over the columns of the scan.
+    """
     s, d = (lambda c: F.col(f"src.{c}")), (lambda c: F.col(f"dst.{c}"))
     own, twin = (set(pairs.schema[side].dataType.names) for side in ("src", "dst"))
     failed = F.coalesce(s("stat_errno"), F.lit(0)) if "stat_errno" in own else F.lit(0)
-    absent = F.col("dst").isNull()
+    absent = ~F.col("in_dst")
     if "stat_errno" in twin:
         absent = absent | (F.coalesce(d("stat_errno"), F.lit(0)) != 0)
-    other = s("type") != d("type")
-    moved = ~mtime_equal(s("mtime_ns"), d("mtime_ns"), opts.mtime_slop_ns) if opts.times else F.lit(False)
-    owner = ((s("uid") != d("uid")) | (s("gid") != d("gid"))) if opts.owner else F.lit(False)
-    mode = mode_differs(s("mode"), d("mode")) if opts.mode else F.lit(False)
-    xattr = ~xattrs_equal(s("xattrs"), d("xattrs"), opts) if opts.xattrs and "xattrs" in own & twin else F.lit(False)
-    rdev = (s("rdev_major") != d("rdev_major")) | (s("rdev_minor") != d("rdev_minor"))
-    of_file = (
-        F.when(absent, "absent").when(other, "type").when(s("size") != d("size"), "size").when(moved, "mtime")
-        .when(owner, "owner").when(mode, "mode").when(xattr, "xattrs")
-    )
-    rest = F.when(absent, "absent").when(other, "type")
-    rest = rest.when((s("type") == "SYMLINK") & ~s("link_target").eqNullSafe(d("link_target")), "target")
-    is_special = s("type").isin(*SPECIAL_TYPES)
-    rest = rest.when(is_special & rdev, "rdev")
-    walked = ~F.col("excluded") & F.col("src").isNotNull() & (failed == 0)
+    is_file, is_link, is_special = s("type") == "FILE", s("type") == "SYMLINK", s("type").isin(*SPECIAL_TYPES)
+    differs = {"absent": absent, "type": s("type") != d("type"), "size": is_file & (s("size") != d("size"))}
+    if opts.times:
+        differs["mtime"] = is_file & ~mtime_equal(s("mtime_ns"), d("mtime_ns"), opts.mtime_slop_ns)
+    if opts.owner:
+        differs["owner"] = is_file & ((s("uid") != d("uid")) | (s("gid") != d("gid")))
+    if opts.mode:
+        differs["mode"] = is_file & mode_differs(s("mode"), d("mode"))
+    if opts.xattrs and "xattrs" in own & twin:
+        differs["xattrs"] = is_file & ~xattrs_equal(s("xattrs"), d("xattrs"), opts)
+    if "link_target" in own & twin:
+        differs["target"] = is_link & ~s("link_target").eqNullSafe(d("link_target"))
+    if {"rdev_major", "rdev_minor"} <= own & twin:
+        differs["rdev"] = is_special & ((s("rdev_major") != d("rdev_major")) | (s("rdev_minor") != d("rdev_minor")))
+    why = F.lit(0)
+    for k, reason in reversed(list(enumerate(REASONS, 1))):
+        why = F.when(differs[reason], k).otherwise(why) if reason in differs else why
+    width, first = len(REASONS) + 1, len(UNCOMPARED)
+    kind = F.when(is_file, first).when(s("type") == "DIR", first + width).when(is_link, first + 2 * width).otherwise(first + 3 * width)
+    code = F.when(~F.col("in_src"), UNCOMPARED.index("DST_ONLY")).when(F.col("excluded"), UNCOMPARED.index("EXCLUDED"))
+    code = code.when(failed == ENOENT, UNCOMPARED.index("VANISHED")).when(failed != 0, UNCOMPARED.index("ERROR"))
     if not opts.specials:
-        walked = walked & ~is_special
-    reason = F.when(walked, F.when(s("type") == "FILE", of_file).otherwise(rest))
-    meta = F.col("reason").isin("owner", "mode", "xattrs")
-    changed = F.when(s("type") == "FILE", F.when(meta, "META_FIX").otherwise("COPY")).when(s("type") == "DIR", "MKDIR").when(s("type") == "SYMLINK", "SYMLINK").otherwise("SPECIAL")
-    action = (
-        F.when(F.col("src").isNull(), "DST_ONLY")
-        .when(F.col("excluded"), "EXCLUDED")
-        .when(failed == ENOENT, "VANISHED")
-        .when(failed != 0, "ERROR")
-        .when(is_special & ~F.lit(opts.specials), "SKIPPED")
-        .when(F.col("reason").isNotNull(), changed)
-        .when(s("type") == "DIR", "DIR")
-        .otherwise("CLEAN")
-    )
+        code = code.when(is_special, UNCOMPARED.index("SKIPPED"))
+    actions, reasons = (F.array(*[F.lit(x).cast("string") for x in names]) for names in _outcomes())
+    coded = pairs.withColumn("outcome", code.otherwise(kind + why))
+    named = coded.withColumn("reason", F.get(reasons, F.col("outcome"))).withColumn("action", F.get(actions, F.col("outcome")))
     strategy = F.when(
         F.col("action") == "COPY",
         F.when((s("size") >= opts.chunk_threshold) & (s("size") > opts.chunk_size), "CHUNKED")
         .when(F.lit(opts.direct_write) & (F.col("reason") == "absent"), "DIRECT")
         .otherwise("TEMP_RENAME"),
     )
-    return pairs.withColumn("reason", reason).withColumn("action", action).withColumn("strategy", strategy)
+    return named.drop("outcome").withColumn("strategy", strategy)
 
 
 def plan(src: DataFrame, dst: DataFrame, opts: SyncOptions = SyncOptions()) -> DataFrame:
     return classify(tree_diff(src, dst, opts), opts)
 
 
+def written_plan(src: DataFrame, dst: DataFrame, opts: SyncOptions = SyncOptions()) -> DataFrame:
+    """plan() in the shared folder: one join of the listings serves the journal, the counters, the orphans and the application."""
+    return materialize(plan(src, dst, opts), "plan")
+
+
+#: Parts into which the entries of a wide directory are split where they meet their directory.
+SALTS = 16
+
+
+def in_directories(entries: DataFrame, directories: DataFrame) -> DataFrame:
+    """Entries whose parent is among the directories (rel_path). A directory with most of the entries is spread over SALTS keys."""
+    keyed = entries.withColumn("__parent", parent(F.col("rel_path")))
+    used = keyed.select("__parent").distinct().join(directories.select(F.col("rel_path").alias("__parent")), "__parent", "left_semi")
+    spread = used.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = keyed.withColumn("__salt", F.pmod(F.hash("rel_path"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["__parent", "__salt"], "left_semi").drop("__parent", "__salt")
+
+
+def _with_root(directories: DataFrame) -> DataFrame:
+    return directories.unionByName(directories.sparkSession.range(1).select(F.lit("").alias("rel_path")))
+
+
+def plan_orphans(planned: DataFrame, job: int = 1, pass_no: int = 1, opts: SyncOptions = SyncOptions()) -> DataFrame:
+    """rel_path and type of the topmost destination-only entries, from the plan alone, and (but in
+    a dry run) the directories it sets aside, under their new names.
+    """
+    walked = planned.where(F.col("action").isin("DIR", "MKDIR")).select("rel_path")
+    only = planned.where(F.col("action") == "DST_ONLY").select("rel_path", F.col("dst.type").alias("type"))
+    found = in_directories(only.where(~leaf(F.col("rel_path")).startswith(opts.temp_prefix)), _with_root(walked))
+    if opts.dry_run:
+        return found
+    return found.unionByName(set_aside(planned, job, pass_no, opts).select(F.col("stale_path").alias("rel_path"), F.lit("DIR").alias("type")))
+
+
 def _orphan_candidates(src: DataFrame, dst: DataFrame, opts: SyncOptions) -> DataFrame:
     """Destination-only entries in directories that were walked."""
-    walked = apply_filters(as_listing(src), opts.rules).where("type = 'DIR' and coalesce(stat_errno, 0) = 0").select(F.col("rel_path").alias("walked"))
-    walked = walked.unionByName(walked.sparkSession.range(1).select(F.lit("").alias("walked")))
-    only = dst.join(src.select("rel_path"), "rel_path", "left_anti").withColumn("walked", parent(F.col("rel_path")))
-    return only.join(walked, "walked", "left_semi").drop("walked")
+    walked = apply_filters(as_listing(src), opts.rules).where("type = 'DIR' and coalesce(stat_errno, 0) = 0").select("rel_path")
+    return in_directories(dst.join(src.select("rel_path"), "rel_path", "left_anti"), _with_root(walked))
 
 
 def orphans(src: DataFrame, dst: DataFrame, opts: SyncOptions = SyncOptions()) -> DataFrame:
@@ -155,22 +210,36 @@ def temp_residue(src: DataFrame, dst: DataFrame, job: int, pass_no: int, opts: S
     return found.select("rel_path", (~tag_matches(tail, F.lit(job), F.lit(pass_no))).alias("reclaim"))
 
 
+def stale_path(path: Column, job: int, pass_no: int, opts: SyncOptions = SyncOptions()) -> Column:
+    """Where a directory in the way is set aside: in its own parent, under a name that is no temporary one."""
+    item = F.conv(F.substring(F.md5(path), 1, 15), 16, 10).cast("long")
+    return join(parent(path), temp_name(opts.stale_prefix, F.lit(job), F.lit(pass_no), item, F.lit(0)))
+
+
 def type_changes(pairs: DataFrame, dst: DataFrame, job: int, pass_no: int, opts: SyncOptions = SyncOptions()) -> DataFrame:
     """Destinations of another type: a directory with children in the way of something else is
     set aside under a stale name and reported, all else is removed. In a dry run nothing moves.
     """
-    changed = pairs.where("not excluded and src is not null and dst is not null and src.type <> dst.type")
-    parents = dst.select(parent(F.col("rel_path")).alias("rel_path"), F.lit(True).alias("full")).distinct()
+    changed = pairs.where("not excluded and in_src and in_dst and src.type <> dst.type")
+    parents = dst.select(parent(F.col("rel_path")).alias("rel_path")).distinct().withColumn("full", F.lit(True))
     marked = changed.join(parents, "rel_path", "left")
     aside = F.coalesce("full", F.lit(False)) & (F.col("dst.type") == "DIR")
-    stale = join(parent(F.col("rel_path")), temp_name(opts.temp_prefix, F.lit(job), F.lit(pass_no), F.xxhash64("rel_path"), F.lit(0)))
     step = F.when(F.lit(opts.dry_run), "NONE").when(aside, "SET_ASIDE").otherwise("REMOVE")
-    return marked.select(
-        "rel_path", F.col("src.type").alias("src_type"), F.col("dst.type").alias("dst_type"), step.alias("step"),
-        F.when(step == "SET_ASIDE", stale).alias("stale_path"), F.when(step == "SET_ASIDE", "ORPHAN").alias("journal_type"),
+    moved = marked.withColumn("step", step)
+    return moved.select(
+        "rel_path", F.col("src.type").alias("src_type"), F.col("dst.type").alias("dst_type"), "step",
+        F.when(F.col("step") == "SET_ASIDE", stale_path(F.col("rel_path"), job, pass_no, opts)).alias("stale_path"), F.when(F.col("step") == "SET_ASIDE", "ORPHAN").alias("journal_type"),
     )
 
 
+def set_aside(planned: DataFrame, job: int = 1, pass_no: int = 1, opts: SyncOptions = SyncOptions()) -> DataFrame:
+    """rel_path, stale_path of the directories that a plan sets aside, from the plan alone: what lies beneath them is the destination's only."""
+    beneath = planned.where(F.col("action") == "DST_ONLY").select(parent(F.col("rel_path")).alias("rel_path")).distinct()
+    in_the_way = planned.where(F.col("action").isin("COPY", "SYMLINK", "SPECIAL") & (F.col("reason") == "type")).where("dst.type = 'DIR'").select("rel_path")
+    found = in_the_way.join(beneath, "rel_path", "left_semi")
+    return found.select("rel_path", stale_path(F.col("rel_path"), job, pass_no, opts).alias("stale_path"))
+
+
 def to_journal(planned: DataFrame, orphan_rows: DataFrame, job: int, pass_no: int, opts: SyncOptions = SyncOptions()) -> DataFrame:
     """job_id, pass_no, type, rel_path, src, dst, errno, detail: one row per outcome that is not clean."""
     a = F.col("action")
@@ -191,13 +260,16 @@ def to_journal(planned: DataFrame, orphan_rows: DataFrame, job: int, pass_no: in
 
 
 def pass_counters(planned: DataFrame, orphan_rows: DataFrame) -> DataFrame:
-    """One row of counters of a pass."""
-    a, t, size = F.col("action"), F.col("src.type"), F.col("src.size")
-    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    total = lambda c: F.coalesce(F.sum(F.when(c, size).otherwise(0)), F.lit(0)).cast("long")
-    dup = ~a.isin("EXCLUDED", "ERROR", "VANISHED") & (t == "FILE") & (F.col("src.nlink") > 1)
-    counted = planned.agg(
-        count(F.col("src").isNotNull()).alias("entries_walked"),
+    """One row of counters of a pass, from counts by action, type and whether the entry has further links."""
+    linked = (F.col("src.type") == "FILE") & (F.col("src.nlink") > 1)
+    by = planned.groupBy("action", F.col("src.type").alias("type"), F.coalesce(linked, F.lit(False)).alias("linked"))
+    by = by.agg(F.count("*").alias("n"), F.sum("src.size").alias("size"))
+    a = F.col("action")
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n")).otherwise(0)), F.lit(0)).cast("long")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("size")).otherwise(0)), F.lit(0)).cast("long")
+    dup = ~a.isin("EXCLUDED", "ERROR", "VANISHED") & F.col("linked")
+    return by.agg(
+        count(a != "DST_ONLY").alias("entries_walked"),
         count(a.isin("COPY", "SYMLINK", "SPECIAL")).alias("files_copied"),
         total(a == "COPY").alias("bytes_copied"),
         count(a == "META_FIX").alias("meta_fixed"),
@@ -205,11 +277,10 @@ def pass_counters(planned: DataFrame, orphan_rows: DataFrame) -> DataFrame:
         count(a == "ERROR").alias("errors"),
         count(a.isin("DIR", "MKDIR")).alias("dirs"),
         count(a == "SYMLINK").alias("symlinks"),
-        count(a.isin("SPECIAL", "SKIPPED") | ((a == "CLEAN") & t.isin(*SPECIAL_TYPES))).alias("specials"),
+        count(a.isin("SPECIAL", "SKIPPED") | ((a == "CLEAN") & F.col("type").isin(*SPECIAL_TYPES))).alias("specials"),
         count(dup).alias("nlink_dup_files"),
         total(dup).alias("nlink_dup_bytes"),
-    )
-    return counted.crossJoin(orphan_rows.agg(F.count("*").alias("orphans")))
+    ).withColumn("orphans", orphan_rows.agg(F.count("*")).scalar())
 
 
 def nlink_cost(listing: DataFrame) -> DataFrame:
@@ -228,7 +299,7 @@ def drift(planned: DataFrame, fresh: DataFrame) -> DataFrame:
 def xattr_delta(pairs: DataFrame, opts: SyncOptions = SyncOptions(), unsupported: list[str] = ()) -> DataFrame:
     """rel_path, name, step (set, remove), type (null, ERROR, FIDELITY_EXCEPTION) per attribute that differs."""
     def entries(side: str) -> DataFrame:
-        return pairs.where("src is not null and dst is not null").select("rel_path", F.explode(F.map_entries(copyable_xattrs(F.col(f"{side}.xattrs"), opts))).alias("e")).select(
+        return pairs.where("in_src and in_dst").select("rel_path", F.explode(F.map_entries(copyable_xattrs(F.col(f"{side}.xattrs"), opts))).alias("e")).select(
             "rel_path", F.col("e.key").alias("name"), F.col("e.value").alias(side)
         )
 
@@ -241,41 +312,56 @@ def xattr_delta(pairs: DataFrame, opts: SyncOptions = SyncOptions(), unsupported
     )
 
 
-def dirfix(journal: DataFrame, dst: DataFrame) -> DataFrame:
-    """Directories whose owner, mode or exact mtime is not that of this pass's DIR_META record; vanished ones are skipped."""
+def dirfix(journal: DataFrame, dst: DataFrame, opts: SyncOptions = SyncOptions()) -> DataFrame:
+    """Directories whose owner, mode or exact mtime (as far as the options carry them) is not that of this pass's DIR_META record; vanished ones are skipped."""
     wanted = journal.where("type = 'DIR_META' and rel_path <> ''").groupBy("rel_path").agg(F.max_by("src", "ts_ns").alias("src") if "ts_ns" in journal.columns else F.any_value("src").alias("src"))
     now = dst.where("type = 'DIR'").select("rel_path", F.col("uid").alias("d_uid"), F.col("gid").alias("d_gid"), F.col("mode").alias("d_mode"), F.col("mtime_ns").alias("d_mtime"))
     joined = wanted.join(now, "rel_path")
+    no = F.lit(False)
     fix = joined.select(
         "rel_path",
-        ((F.col("src.uid") != F.col("d_uid")) | (F.col("src.gid") != F.col("d_gid"))).alias("owner"),
-        mode_differs(F.col("src.mode"), F.col("d_mode")).alias("mode"),
-        (F.col("src.mtime_ns") != F.col("d_mtime")).alias("mtime"),
+        (((F.col("src.uid") != F.col("d_uid")) | (F.col("src.gid") != F.col("d_gid"))) if opts.owner else no).alias("owner"),
+        (mode_differs(F.col("src.mode"), F.col("d_mode")) if opts.mode else no).alias("mode"),
+        ((F.col("src.mtime_ns") != F.col("d_mtime")) if opts.times else no).alias("mtime"),
     )
     return fix.where("owner or mode or mtime")
 
 
-def apply_plan(dst: DataFrame, planned: DataFrame, deletes: DataFrame | None = None) -> DataFrame:
+def apply_plan(dst: DataFrame, planned: DataFrame, deletes: DataFrame | None = None, job: int = 1, pass_no: int = 1, opts: SyncOptions = SyncOptions()) -> DataFrame:
     """The destination after the whole plan made for it: copied and new objects and fixed
-    attributes from the source, the rest as it was, less deletes.
+    attributes from the source, directories in the way moved aside with all beneath them, the
+    rest as it was, less deletes (roots) and all beneath them.
 
-    The plan holds both sides of every path, so no further join is needed; dst gives the
+    The plan holds both sides of every path, so the listings are not joined again; dst gives the
     schema. Applying a plan twice gives the same snapshot. Written to a new path, it replaces
     the old one at once.
     """
-    if deletes is not None:
-        planned = planned.join(deletes.select("rel_path"), "rel_path", "left_anti")
     changed = F.col("action").isin("COPY", "SYMLINK", "SPECIAL", "MKDIR", "META_FIX", "DIR")
     have = {side: set(planned.schema[side].dataType.names) for side in ("src", "dst")}
+    fields = [f for f in as_listing(dst).schema.fields if f.name != "rel_path"]
+
+    def old(c: str) -> Column:
+        return F.col(f"dst.{c}") if c in have["dst"] else F.lit(None)
 
     def value(c: str, kind: T.DataType) -> Column:
-        old, new = (F.col(f"{side}.{c}") if c in have[side] else F.lit(None) for side in ("dst", "src"))
+        new = F.col(f"src.{c}") if c in have["src"] else F.lit(None)
         if c == "content":
-            return F.when(F.col("action") == "COPY", new).otherwise(old).cast(kind).alias(c)
-        return F.when(changed, F.coalesce(new, old) if c == "xattrs" else new).otherwise(old).cast(kind).alias(c)
-
-    kept = planned.where(changed | F.col("dst").isNotNull())
-    return kept.select("rel_path", *[value(f.name, f.dataType) for f in as_listing(dst).schema.fields if f.name != "rel_path"])
+            return F.when(F.col("action") == "COPY", new).otherwise(old(c)).cast(kind).alias(c)
+        return F.when(F.col("changed"), F.coalesce(new, old(c)) if c == "xattrs" else new).otherwise(old(c)).cast(kind).alias(c)
+
+    flagged = planned.withColumn("changed", changed)
+    stay = flagged.where("changed or (in_src and in_dst)").select("rel_path", *[value(f.name, f.dataType) for f in fields])
+    was = [old(f.name).cast(f.dataType).alias(f.name) for f in fields]
+    only = planned.where(F.col("action") == "DST_ONLY")
+    roots = set_aside(planned, job, pass_no, opts)
+    keys = roots.select(F.col("rel_path").alias("root"), "stale_path", F.lit(False).alias("gone"))
+    if deletes is not None:
+        keys = keys.unionByName(deletes.select(F.col("rel_path").alias("root"), F.lit(None).cast("string").alias("stale_path"), F.lit(True).alias("gone")))
+    hit = root_above(only.select("rel_path"), keys).groupBy("rel_path").agg(F.bool_or("gone").alias("gone"), F.min_by(F.struct("root", "stale_path"), F.length("root")).alias("to"))
+    kept = only.join(hit, "rel_path", "left").where("not coalesce(gone, false)")
+    moved = F.when(F.col("to.stale_path").isNotNull(), F.concat("to.stale_path", F.substring("rel_path", F.length("to.root") + 1, F.length("rel_path")))).otherwise(F.col("rel_path"))
+    aside = planned.join(roots, "rel_path").select(F.col("stale_path").alias("rel_path"), *was)
+    return stay.unionByName(kept.select(moved.alias("rel_path"), *was)).unionByName(aside)
 
 
 #: Attributes of the fidelity report; ctime cannot be carried over and is left out.
@@ -284,7 +370,7 @@ FIDELITY = ("type", "size", "mtime", "owner", "mode", "xattrs", "sparse", "rdev"
 
 def fidelity(src: DataFrame, dst: DataFrame, opts: SyncOptions = SyncOptions()) -> DataFrame:
     """attribute, n_match, n_differ, n_not_preservable over objects that both sides have."""
-    both = tree_diff(src, dst, opts).where("not excluded and src is not null and dst is not null")
+    both = tree_diff(src, dst, opts).where("not excluded and in_src and in_dst")
     s, d = (lambda c: F.col(f"src.{c}")), (lambda c: F.col(f"dst.{c}"))
     is_file = (s("type") == "FILE") & (d("type") == "FILE")
     has_xattrs = all("xattrs" in both.schema[side].dataType.names for side in ("src", "dst"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.paths import ancestors, depth, parent, prefixes
+from driftline.functions.paths import ancestors, depth, parent, prefixes, root_above
 
 
 def directory_sizes(listing: DataFrame) -> DataFrame:
@@ -35,8 +35,7 @@ def over_budget(listing: DataFrame, budget: int = 2000) -> DataFrame:
 
 def expand_deletes(roots: DataFrame, dst: DataFrame) -> DataFrame:
     """Every destination row that is an orphan root or lies beneath one; each once."""
-    keys = dst.select("rel_path", F.explode(prefixes(F.col("rel_path"))).alias("root"))
-    hit = keys.join(roots.select(F.col("rel_path").alias("root")), "root", "left_semi").select("rel_path").distinct()
+    hit = root_above(dst.select("rel_path"), roots.select(F.col("rel_path").alias("root")).distinct()).select("rel_path").distinct()
     return dst.join(hit, "rel_path", "left_semi")
 
 

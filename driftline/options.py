@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 TEMP_PREFIX = ".sync.tmp."
+STALE_PREFIX = ".sync.stale."
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class SyncOptions:
     on_mismatch: str = "recopy"
     verify_rate: float = 0.01
     temp_prefix: str = TEMP_PREFIX
+    stale_prefix: str = STALE_PREFIX
     max_passes: int = 5
     delta_files_below: int = 0
     delta_bytes_below: int = 0

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftline.operators.diff import apply_plan, orphans, pass_counters, plan, to_journal
+from driftline.operators.diff import apply_plan, pass_counters, plan, plan_orphans, to_journal
+from driftline.operators.tree import delete_journal, expand_deletes
 from driftline.options import SyncOptions
 
 
@@ -23,11 +25,11 @@ def run_passes(spark: SparkSession, src: Callable[[int], DataFrame], dst: DataFr
         base = f"{out}/pass={pass_no}"
         plan(source, dst, opts).write.mode("overwrite").parquet(f"{base}/plan")
         planned = spark.read.parquet(f"{base}/plan")
-        lost = orphans(source, dst, opts)
+        lost = plan_orphans(planned, job, pass_no, opts)
         to_journal(planned, lost.select("rel_path"), job, pass_no, opts).write.mode("overwrite").parquet(f"{base}/journal")
         counters = pass_counters(planned, lost).first().asDict() | {"pass_no": pass_no}
         if not opts.dry_run:
-            apply_plan(dst, planned).write.mode("overwrite").parquet(f"{base}/snapshot")
+            apply_plan(dst, planned, None, job, pass_no, opts).write.mode("overwrite").parquet(f"{base}/snapshot")
             dst = spark.read.parquet(f"{base}/snapshot")
         files = counters["files_copied"] + counters["meta_fixed"]
         counters["converged"] = (
@@ -39,3 +41,24 @@ def run_passes(spark: SparkSession, src: Callable[[int], DataFrame], dst: DataFr
         if counters["converged"] or opts.dry_run:
             break
     return done
+
+
+def delete_pass(spark: SparkSession, out: str, pass_no: int, dst: DataFrame, job_name: str, confirm: str, job: int = 1, dry_run: bool = False) -> DataFrame:
+    """Delete what pass `pass_no` reported as orphans, with all beneath it, from the snapshot dst.
+
+    Nothing is scanned again: the roots are those of the pass's journal. The journal of the
+    delete pass and the new snapshot are written below `out`; a dry run reports the roots only
+    and leaves dst. The caller must name the job, and there must be orphans.
+    """
+    if confirm != job_name:
+        raise ValueError("a delete pass needs a confirmation equal to the job name")
+    roots = spark.read.parquet(f"{out}/pass={pass_no}/journal").where("type = 'ORPHAN'").select("rel_path").distinct()
+    if roots.isEmpty():
+        raise ValueError("the previous pass reported no orphans")
+    base, removed = f"{out}/pass={pass_no + 1}-delete", expand_deletes(roots, dst)
+    rows = delete_journal(removed, roots, dry_run).select(F.lit(job).alias("job_id"), F.lit(pass_no + 1).alias("pass_no"), "type", "rel_path")
+    rows.write.mode("overwrite").parquet(f"{base}/journal")
+    if dry_run:
+        return dst
+    dst.join(removed.select("rel_path"), "rel_path", "left_anti").write.mode("overwrite").parquet(f"{base}/snapshot")
+    return spark.read.parquet(f"{base}/snapshot")

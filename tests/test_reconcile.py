@@ -65,7 +65,7 @@ def test_orphans_and_residue(spark):
 def test_type_change(spark):
     src, dst = sides(spark)
     rows = {r["rel_path"]: r for r in diff.type_changes(diff.tree_diff(src, dst), dst, 1, 1).collect()}
-    assert rows["was_dir"]["step"] == "SET_ASIDE" and rows["was_dir"]["stale_path"].startswith(".sync.tmp.1-1.") and rows["was_dir"]["journal_type"] == "ORPHAN"
+    assert rows["was_dir"]["step"] == "SET_ASIDE" and rows["was_dir"]["stale_path"].startswith(".sync.stale.1-1.") and rows["was_dir"]["journal_type"] == "ORPHAN"
     assert rows["was_empty"]["step"] == "REMOVE"
     assert {r["step"] for r in diff.type_changes(diff.tree_diff(src, dst), dst, 1, 1, SyncOptions(dry_run=True)).collect()} == {"NONE"}
 
