@@ -2,55 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.storage import materialize, release, shared_folder  # noqa: F401
+
 #: A word is a run of characters outside this class (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir.
-
-    Only where that setting is missing (a local session, as in tests) a temporary
-    folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="driftline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    This cuts the lineage, fixes what is computed once, and survives lost executors.
-    The files stay under <spark.checkpoint.dir>/driftline until released or removed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/driftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._driftline_path = path
-    return out
-
-
-def release(df: DataFrame | None) -> None:
-    """Remove the files of a table made by materialize() that nothing reads any more."""
-    path = getattr(df, "_driftline_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -64,7 +28,7 @@ def words_of(text: Column) -> Column:
 class WordCache(dict):
     """What a function says of words, kept for short ones up to a bound, so that a worker's memory stays bounded."""
 
-    LONGEST, MOST = 48, 1_000_000
+    LONGEST, MOST = 48, 500_000
 
     def __init__(self, function: Callable):
         super().__init__()

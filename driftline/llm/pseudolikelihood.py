@@ -61,7 +61,7 @@ ROUNDS = 2
 BATCH = 4096
 RATE = 0.3
 #: Words and documents of a chunk, about, and keys of a part.
-CHUNK_WORDS, CHUNK_DOCS = 1 << 20, 200_000
+CHUNK_WORDS, CHUNK_DOCS = 1 << 19, 100_000
 PART_KEYS = 2_000_000
 #: The neighbour at the ends of a text.
 OUTSIDE = np.uint32(0)
@@ -105,6 +105,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     yield row()
                     begin, number, ids, texts, words = k + 1, number + 1, [], [], 0
             ids.append(batch.column(0).slice(begin))
+        _words().clear()  # the worker lives on
         if texts:
             yield row()
 
