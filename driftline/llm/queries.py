@@ -13,6 +13,7 @@ QUERIES = {
     "op6_lm_scoring": pseudolikelihood.op6_lm_scoring,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_quality_rules": rules.op8_quality_rules,
+    "rule_ablations": rules.rule_ablations,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
@@ -23,4 +24,6 @@ ORACLE_SQL = {
     "op4_embedding_near_dedup": vectors.OP4_SQL,
     "op7_line_dedup": lines.OP7_SQL,
     "op8_quality_rules": rules.OP8_SQL,
+    "rule_ablations": rules.ABLATIONS_SQL,
+    "op10_minhash_near_dedup": minhash.OP10_SQL,
 }
