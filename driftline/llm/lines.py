@@ -23,7 +23,7 @@ execution splits.
 Defined cases: a null text stays null with no lines; empty and blank texts stay as they
 are; rows that repeat in doc_id and text are copies, the first of them (by a hash of the
 other columns) stays; a null doc_id comes last; a text that loses all its lines is empty;
-an empty table gives an empty result; columns with clashing names are kept as they are.
+an empty table gives an empty result; a column named n_lines or n_removed is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -130,12 +130,25 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return lost.groupBy(*_KEY).agg(F.flatten(F.collect_list("span")).alias("gone"), F.count("*").alias("n_gone"))
 
 
+def _numbered(held: DataFrame) -> DataFrame:
+    """held with `copy`: 1 for the first of the rows that repeat in doc_id and text (by a hash of the row), more for the others.
+
+    Only keys that repeat are grouped, equal rows combine before the shuffle, and no group of rows is ever in one task.
+    """
+    repeated = materialize(held.groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1").select(*_KEY), "repeated")
+    once = held.join(repeated, _KEY, "left_anti").withColumn("copy", F.lit(1))
+    equal = held.join(repeated, _KEY, "left_semi").withColumn("of_row", F.xxhash64("row")).groupBy(*_KEY, "of_row")
+    equal = equal.agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"), F.any_value("row").alias("row"), F.count("*").alias("n"))
+    first = equal.groupBy(*_KEY).agg(F.min("of_row").alias("first"))
+    copies = equal.join(first, _KEY).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copy = F.when((F.col("of_row") == F.col("first")) & (F.col("i") == 1), 1).otherwise(2)
+    return once.unionByName(copies.withColumn("copy", copy).select(*once.columns))
+
+
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with `text` less its later copies, and n_lines and n_removed (lines, blank ones too)."""
     gone = materialize(later_copies(docs, min_words).select(F.col("doc").alias("g_doc"), F.col("th").alias("g_th"), "gone", "n_gone"), "gone")
-    held = _doc_key(docs.select("doc_id", "text", F.struct("*").alias("row")))
-    order = Window.partitionBy("doc", "th").orderBy(F.xxhash64("row"))
-    held = held.withColumn("copy", F.row_number().over(order)).join(gone, (F.col("doc") == F.col("g_doc")) & (F.col("th") == F.col("g_th")), "left")
+    held = _numbered(_doc_key(docs.select("doc_id", "text", F.struct("*").alias("row")))).join(gone, (F.col("doc") == F.col("g_doc")) & (F.col("th") == F.col("g_th")), "left")
     held = held.withColumn("lines", F.split("text", "\n")).withColumn(
         "left", F.array_except(F.sequence(F.lit(0), F.greatest(F.size("lines"), F.lit(1)) - 1), "gone")
     )
@@ -163,7 +176,8 @@ def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = rf"""
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-u AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line, len(regexp_extract_all(lines[i], '[^ 	-]+')) AS words FROM s, unnest(range(1, len(lines) + 1)) t(i)),
+u AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line, len(regexp_extract_all(lines[i], '[^ 	-
+]+')) AS words FROM s, unnest(range(1, len(lines) + 1)) t(i)),
 w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS stop FROM u WHERE words > 0),
 a AS (SELECT doc_id, list(line ORDER BY seq) AS ls, list(words ORDER BY seq) AS ws FROM w GROUP BY doc_id),
 c AS (SELECT doc_id, ls, ws, s, m, list_sum(ws[s:s + m - 1]) AS n FROM a, unnest(range(1, len(ls) + 1)) t(s), unnest(range(1, {MIN_WORDS + 1})) k(m) WHERE s + m - 1 <= len(ls)),
