@@ -158,23 +158,35 @@ def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
     return map_in_arrow(texts.select("id", "text"), run, "id bigint, shingles array<bigint>, fine array<bigint>")
 
 
-def estimate(x: Column, y: Column, slots: int = SLOTS) -> Column:
-    """Similarity from packed slots, corrected for slots that agree by chance."""
-    odd = F.lit(0x5555555555555555)
-    apart = [F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i)).bitwiseOR(F.shiftrightunsigned(F.get(x, i).bitwiseXOR(F.get(y, i)), 1)).bitwiseAND(odd)) for i in range(slots // 32)]
+def estimate(x: str, y: str, slots: int = SLOTS) -> Column:
+    """Similarity from the packed slots in columns x and y, corrected for slots that agree by chance."""
+    apart = [f"bit_count(({d} | shiftrightunsigned({d}, 1)) & {0x5555555555555555}L)" for d in (f"(get({x}, {i}) ^ get({y}, {i}))" for i in range(slots // 32))]
     chance = 2.0**-BITS
-    return ((1 - sum(apart[1:], apart[0]) / slots) - chance) / (1 - chance)
+    return F.expr(f"((1 - ({' + '.join(apart)}) / {slots}) - {chance}D) / {1 - chance}D")  # one text, parsed at once
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (u, v, and what else they carry) whose full sets have 100 * intersection >= percent * union."""
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u").join(
         sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v"
     )
     sized = both.withColumn("common", F.size(F.array_intersect("su", "sv"))).select(
-        "u", "v", "common", (F.size("su") + F.size("sv") - F.col("common")).alias("either")
+        *pairs.columns, "common", (F.size("su") + F.size("sv") - F.col("common")).alias("either")
     )
-    return sized.where(100 * F.col("common").cast("long") >= percent * F.col("either").cast("long")).select("u", "v")
+    return sized.where(100 * F.col("common").cast("long") >= percent * F.col("either").cast("long")).select(*pairs.columns)
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (id, component) after links between components (cu, cv) have joined some; an id without a group is its own component.
+
+    Only the components that links touch are joined anew, not the links that made them.
+    """
+    joined = materialize(connected_components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v"))), "joined")
+    relabelled = groups.join(joined.select(F.col("id").alias("component"), F.col("component").alias("least")), "component", "left")
+    alone = joined.join(groups.select("id"), "id", "left_anti")
+    out = materialize(relabelled.select("id", F.coalesce("least", "component").alias("component")).unionByName(alone), "groups")
+    release(joined, groups)
+    return out
 
 
 def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +208,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     )
     like_sizes = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")  # else even the smaller set is too small a part
     small = F.least("nu", "nv") < SMALL
-    may_link = like_sizes & (small | (estimate(F.col("x"), F.col("y")) >= percent / 100 - MARGIN))
+    may_link = like_sizes & (small | (estimate("x", "y") >= percent / 100 - MARGIN))
 
     def close(pairs: DataFrame) -> DataFrame:
         """The distinct pairs (u, v) whose estimate is near the threshold or above."""
@@ -205,7 +217,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
             .join(slots.select(F.col("id").alias("u"), F.col("slots").alias("x"), F.col("n").alias("nu")), "u")
             .join(slots.select(F.col("id").alias("v"), F.col("slots").alias("y"), F.col("n").alias("nv")), "v")
             .where(may_link)
-            .select("u", "v")
+            .select(*pairs.columns)
         )
 
     def still_open(groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -222,24 +234,21 @@ def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     member = F.struct(F.col("id").alias("id"), F.col("component").alias("component"))
     draw = F.xxhash64("id", "key")
     drawn = open_.groupBy("key").agg(F.min_by(member, draw).alias("a"), F.max_by(member, draw).alias("b")).select("key", F.explode(F.array("a", "b")).alias("c"))
-    tried = open_.join(drawn, "key").where("component <> c.component").select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v"))
-    links = materialize(links.unionByName(confirmed(close(tried), sets, percent)), "links")
-    groups = materialize(connected_components(links), "groups")
+    tried = open_.join(drawn, "key").where("component <> c.component").select(F.col("id").alias("u"), F.col("c.id").alias("v"), F.col("component").alias("cu"), F.col("c.component").alias("cv"))
+    groups = merged(groups, confirmed(close(tried), sets, percent))
 
     rest = still_open(groups, open_)
     release(open_)
     rest = rest.join(slots, "id").join(sets.select("id", "fine", F.when(F.size("shingles") * percent < SMALL * 100, F.col("shingles")).alias("few")), "id").join(nodes.select("id", "bands"), "id")
-    first_band = F.coalesce(*[F.when(F.get("bx", i) == F.get("by", i), i) for i in range(BANDS)])  # a pair is one row whatever it shares
-    nearly = estimate(F.col("fx"), F.col("fy"), FINE_SLOTS) >= percent / 100 - FINE_MARGIN
+    first_band = F.expr("array_position(zip_with(bx, by, (a, b) -> a = b), true) - 1")  # a pair is one row whatever it shares
+    nearly = estimate("fx", "fy", FINE_SLOTS) >= percent / 100 - FINE_MARGIN
     common = F.size(F.array_intersect("sx", "sy"))
     alike = F.when(small, 100 * common >= percent * (F.col("nu") + F.col("nv") - common)).otherwise(nearly)
     left = rest.select("key", "band", F.col("bands").alias("bx"), F.col("id").alias("u"), F.col("component").alias("cu"), F.col("slots").alias("x"), F.col("n").alias("nu"), F.col("fine").alias("fx"), F.col("few").alias("sx"))
     right = rest.select(F.col("key").alias("k"), F.col("bands").alias("by"), F.col("id").alias("v"), F.col("component").alias("cv"), F.col("slots").alias("y"), F.col("n").alias("nv"), F.col("fine").alias("fy"), F.col("few").alias("sy"))
     others = left.join(right, (F.col("key") == F.col("k")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & may_link & (first_band == F.col("band")) & alike)
-    more = materialize(confirmed(others.select("u", "v"), sets, percent), "links")
-    groups = materialize(connected_components(links.unionByName(more)), "groups")
-    release(buckets)
-    release(sets)
+    groups = merged(groups, confirmed(others.select("u", "v", "cu", "cv"), sets, percent))
+    release(buckets, sets, links)
 
     placed = nodes.select("n_shingles", "set_a", "set_b", "id", "low").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return made, placed
@@ -278,3 +287,17 @@ def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=4)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM d),
+k AS MATERIALIZED (SELECT rid, doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN md5(array_to_string(list_sort(g), chr(10))) END AS h, g FROM g),
+s AS MATERIALIZED (SELECT h, any_value(n) AS n, any_value(g) AS g, min(doc_id) AS low FROM k WHERE h IS NOT NULL GROUP BY h),
+x AS MATERIALIZED (SELECT h, n, unnest(g) AS x FROM s),
+p AS MATERIALIZED (SELECT a.h AS u, b.h AS v FROM x a JOIN x b ON a.x = b.x AND a.h <> b.h GROUP BY a.h, a.n, b.h, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT h AS a, h AS b FROM s UNION SELECT r.a, p.v FROM r JOIN p ON r.b = p.u),
+c AS (SELECT a AS h, min(low) AS component_id FROM r JOIN s ON s.h = r.b GROUP BY a)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM k LEFT JOIN c USING (h)
+"""

@@ -211,21 +211,33 @@ def test_lines_repeated_rows_and_columns(spark):
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     assert sorted(r["text"] for r in out.where("doc_id = 1").collect()) == ["", "a b c d e f g h i"]
     assert out.where("doc_id is null").first()["text"] == ""
+    many = documents(spark, [(1, "a b c d e f g h i")] * 50 + [(2, "short")] * 3).withColumn("n_chars", (F.monotonically_increasing_id() % 2).cast("int"))
+    left = lines.line_dedup(many).collect()
+    assert len(left) == 53 and [r["text"] for r in left if r["doc_id"] == 1].count("a b c d e f g h i") == 1 and all(r["text"] == "short" for r in left if r["doc_id"] == 2)
+    assert [r["n_removed"] for r in left if r["doc_id"] == 1].count(1) == 49
     assert lines.line_dedup(docs.where("false")).count() == 0
 
 
-def test_rules_on_odd_rows(spark):
-    docs = documents(spark, odd_texts())
-    ledger = rules.rule_ledger(docs)
+def test_rules_on_odd_rows(spark, tmp_path):
+    more = ["- one\n* two\n\u2022 three", "and so on ...\nmore\u2026  \nend.", "the end of it is in that place. " * 12 + "\nq\nr", '"Said." ' * 3, "12 34 56\n78\n90", "x\ny\nz"]
+    docs = documents(spark, [*odd_texts(), *more])
+    ledger = rules.stored_ledger(docs, str(tmp_path / "ledger"))
     base = (ledger["fail_bits"].bitwiseAND(3) != 0).alias("base_failed")
-    got = rules.apply_policy(ledger, "v2").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base, "kept", "n_lines", "fail_bits")
+    passes = [(ledger["fail_bits"].bitwiseAND(rules.mask_of(v)) == 0).alias(f"passes_{v}") for v in ("v1", "v3")]
+    got = rules.apply_policy(ledger, "v2").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base, "kept", "n_lines", "fail_bits", "rule_set", *passes)
     assert spark_rows(got) == sql_rows(rules.OP8_SQL, documents=docs.select("doc_id", "text"))
+    assert spark_rows(rules.ablations(ledger)) == sql_rows(rules.ABLATIONS_SQL, documents=docs.select("doc_id", "text"))
     table = {(r["policy"], r["rule"]): r for r in rules.ablations(ledger).collect()}
     bits = [r["fail_bits"] for r in ledger.collect()]
+    assert all(any(b >> i & 1 for b in bits) for i in range(len(rules.RULES)))
     for (policy, rule), r in table.items():
         mask, bit = rules.mask_of(policy), 1 << list(rules.RULES).index(rule)
         assert r["n_failed"] == sum(bool(b & bit) for b in bits) and r["n_failed_alone"] == sum(b & mask == bit for b in bits)
         assert r["n_kept"] == sum(not b & mask for b in bits) and r["n_kept_without"] == sum(not b & mask & ~bit for b in bits)
+    ledger.withColumn("rule_set", F.lit(1)).write.parquet(str(tmp_path / "older"))
+    with pytest.raises(ValueError):
+        rules.read_ledger(spark, str(tmp_path / "older"))
+    assert rules.stored_ledger(docs.where("false")).count() == 0
 
 
 def test_packing(spark):
@@ -299,6 +311,12 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(documents(spark, ["a"]).where("false")).count() == 0
 
 
+def test_near_duplicates_match_sql(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = minhash.op10_minhash_near_dedup(spark, "/root/testdata/sf0.01")
+    assert spark_rows(got) == sql_rows(minhash.OP10_SQL, documents=docs)
+
+
 def test_small_sets_of_a_large_bucket(spark, monkeypatch):
     """Short texts that all share a bucket: every pair at 0.8 links, whatever an estimate says."""
     r, texts = random.Random(4), []
@@ -339,7 +357,7 @@ def test_estimates_from_bits(spark):
             rows.append((len(want) - 1, slots, *(minhash._packed(minhash._minima(np.unique(z), slots)).view(np.int64).tolist() for z in (x, y))))
     df = spark.createDataFrame(rows, "i int, n int, x array<bigint>, y array<bigint>")
     for slots, margin in ((minhash.SLOTS, minhash.MARGIN), (minhash.FINE_SLOTS, minhash.FINE_MARGIN)):
-        for row in df.where(f"n = {slots}").withColumn("e", minhash.estimate(F.col("x"), F.col("y"), slots)).collect():
+        for row in df.where(f"n = {slots}").withColumn("e", minhash.estimate("x", "y", slots)).collect():
             assert abs(row["e"] - want[row["i"]]) < margin
             agree = sum((a >> 2 * k & 3) == (b >> 2 * k & 3) for a, b in zip(row["x"], row["y"], strict=True) for k in range(32)) / slots
             assert row["e"] == pytest.approx((agree - 0.25) / 0.75)
