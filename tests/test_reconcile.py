@@ -3,11 +3,12 @@
 import itertools
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import diff, fleet, journal, ledger, tree
 from driftline.options import SyncOptions
-from driftline.plans.passes import run_passes
+from driftline.plans.passes import delete_pass, run_passes
 from driftline.sources.generate import gen_listing
 from driftline.sources.journal import append_journal, read_journal
 from driftline.sources.listing import read_listing, scan_objects
@@ -189,9 +190,101 @@ def test_posix_listing(spark, tmp_path):
     assert {r[0] for r in df.where(F.col("rel_path").startswith("d/e")).select("rel_path").collect()} == {"d/e", "d/e/f"}
 
 
+def test_wide_directories_and_xattrs(spark, tmp_path):
+    """A directory wider than a slice is read in slices, each entry once, with all beneath it; attributes come along."""
+    from driftline.sources.posix import PosixReader, read_posix
+
+    for i in range(25):
+        (tmp_path / "wide" / f"d{i}" / "deep").mkdir(parents=True)
+        (tmp_path / "wide" / f"d{i}" / "deep" / "f").write_text("x")
+        (tmp_path / "wide" / f"f{i}").write_text("x")
+    (tmp_path / "wide" / "link").symlink_to(tmp_path / "wide")
+    expected = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*"))
+    try:
+        os.setxattr(tmp_path / "wide" / "f3", "user.note", b"kept")
+        noted = b"kept"
+    except OSError:
+        noted = None
+    for depth in (0, 1, 2):
+        df = read_posix(spark, str(tmp_path), depth, names=7)
+        assert sorted(r[0] for r in df.select("rel_path").collect()) == expected
+    assert len(PosixReader(str(tmp_path), 1, 7, True).partitions()) == 9
+    rows = {r["rel_path"]: r for r in read_posix(spark, str(tmp_path)).collect()}
+    assert (rows["wide/f3"]["xattrs"] or {}).get("user.note") == noted and rows["wide/f3"]["xattrs"] is not None
+    assert read_posix(spark, str(tmp_path), xattrs=False).where("xattrs is not null").count() == 0
+
+
+def without_parent(snapshot):
+    """Rows whose directory is missing or is no directory."""
+    kinds = {r["rel_path"]: r["type"] for r in snapshot.collect()}
+    return [p for p in kinds if "/" in p and kinds.get(p.rsplit("/", 1)[0]) != "DIR"]
+
+
+def test_apply_moves_and_deletes_whole_subtrees(spark):
+    src, dst = sides(spark)
+    dst = dst.unionByName(listing(spark, entry("was_dir/sub", "DIR"), entry("was_dir/sub/f"), entry("o/deep2", "DIR"), entry("o/deep2/f")))
+    planned = diff.plan(src, dst)
+    lost = diff.plan_orphans(planned)
+    assert {r[0] for r in diff.orphans(src, dst).select("rel_path").collect()} == {"o", "skip/lost", "skip2"}
+    stale = next(r[0] for r in lost.select("rel_path").collect() if r[0].startswith(".sync.stale."))
+    assert {r[0] for r in lost.select("rel_path").collect()} == {"o", "skip/lost", "skip2", stale}
+    kept = diff.apply_plan(dst, planned)
+    paths = {r["rel_path"]: r["type"] for r in kept.collect()}
+    assert paths["was_dir"] == "FILE" and paths[stale] == "DIR" and paths[f"{stale}/sub"] == "DIR" and f"{stale}/sub/f" in paths and f"{stale}/kid" in paths
+    assert not any(p.startswith("was_dir/") for p in paths) and "o/deep2/f" in paths and len(paths) == kept.count()
+    assert without_parent(kept) == []
+    gone = diff.apply_plan(dst, planned, lost)
+    assert not any(p == "o" or p.startswith("o/") or p.startswith("skip2") for p in (r[0] for r in gone.select("rel_path").collect())) and without_parent(gone) == []
+
+
+def test_delete_pass(spark, tmp_path):
+    src, dst = sides(spark)
+    out = str(tmp_path)
+    run_passes(spark, lambda n: src, dst, out, SyncOptions(max_passes=1))
+    snapshot = spark.read.parquet(f"{out}/pass=1/snapshot")
+    for wrong in ("", "other"):
+        with pytest.raises(ValueError):
+            delete_pass(spark, out, 1, snapshot, "job", wrong)
+    assert delete_pass(spark, out, 1, snapshot, "job", "job", dry_run=True) is snapshot
+    left = delete_pass(spark, out, 1, snapshot, "job", "job")
+    again = {r["action"]: r["count"] for r in diff.plan(src, left).groupBy("action").count().collect()}
+    assert again.pop("DST_ONLY") == 2 and set(again) <= {"CLEAN", "DIR", "ERROR", "VANISHED"}  # temporary names are no orphans
+    assert without_parent(left) == []
+    journalled = spark.read.parquet(f"{out}/pass=2-delete/journal")
+    assert journalled.count() == snapshot.count() - left.count() and {r[0] for r in journalled.select("type").distinct().collect()} == {"DELETED"}
+    with pytest.raises(ValueError):
+        run_passes(spark, lambda n: src, left, out + "/b", SyncOptions(max_passes=1))
+        delete_pass(spark, out + "/b", 1, left, "job", "job")
+
+
+def test_wide_directory_of_orphans(spark):
+    """Most entries lie in one directory: they meet it under several keys."""
+    src = listing(spark, entry("d", "DIR"))
+    dst = listing(spark, entry("d", "DIR"), *[entry(f"d/x{i}") for i in range(200)])
+    assert diff.orphans(src, dst).count() == diff.plan_orphans(diff.plan(src, dst)).count() == 200
+
+
+def test_dirfix_follows_the_options(spark):
+    src = listing(spark, entry("a", "DIR"), entry("b", "DIR", mode=0o755), entry("c", "DIR", mtime=5))
+    dst = listing(spark, entry("a", "DIR", uid=9), entry("b", "DIR", mode=0o700), entry("c", "DIR"))
+    planned = diff.plan(src, dst)
+    rows = diff.to_journal(planned, diff.plan_orphans(planned), 1, 1)
+    assert {r[0] for r in diff.dirfix(rows, dst).select("rel_path").collect()} == {"a", "b", "c"}
+    assert {r[0] for r in diff.dirfix(rows, dst, SyncOptions(owner=False, times=False)).select("rel_path").collect()} == {"b"}
+
+
+def test_quantiles_by_sketch(spark):
+    rows = spark.range(20_000).selectExpr("'k' as kind", "id + 1 as wall_ms")
+    exact, near = fleet.duration_quantiles(rows, accuracy=None).first(), fleet.duration_quantiles(rows).first()
+    assert abs(exact["p50"] - near["p50"]) < 0.01 and abs(exact["p99"] - near["p99"]) < 0.01
+
+
 def test_plan_shapes(spark):
     src, dst = sides(spark)
     text = diff.plan(src, dst)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    counted = diff.pass_counters(diff.plan(src, dst), diff.plan_orphans(diff.plan(src, dst)))
+    text = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in text and len(text) < 60_000
     text = tree.expand_deletes(diff.orphans(src, dst), dst)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
