@@ -6,10 +6,10 @@ in driftline/checks fill both.
 
 from __future__ import annotations
 
-from driftline.checks import diff, fleet, functions, journal, ledger
+from driftline.checks import diff, fleet, functions, journal, ledger, streams
 
 QUERIES: dict = {}
 SQL: dict = {}
-for part in (diff, functions, journal, ledger, fleet):
+for part in (diff, functions, journal, ledger, fleet, streams):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

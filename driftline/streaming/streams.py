@@ -2,6 +2,7 @@
 
 Joins and aggregates are those of the batch form; only transitions, digests and stuck items
 need state of their own, kept per key with event-time timers where something must happen later.
+These sort a key's rows of one micro-batch in memory, which the source's rate options bound.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -44,22 +45,66 @@ def event_feed(stream: DataFrame, job_id: int) -> DataFrame:
     return stream.where(F.col("job_id") == job_id)
 
 
-def upsert_by_key(path: str, keys: list[str], order: str):
-    """For foreachBatch: the newest row per key in a Parquet snapshot. Every event is a whole
-    state, so lost and late ones do no harm. Snapshots are written side by side by batch id.
+def _newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*").select(*rows.columns)
+
+
+def _complete(spark: SparkSession, path: str) -> list[int]:
+    """Numbers n of the finished writes path/n=..., in order."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = fs.globStatus(sc._jvm.org.apache.hadoop.fs.Path(f"{path}/n=*/_SUCCESS")) if fs.exists(target) else []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("n=")) for f in found or [])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def read_upserts(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
+    """The newest row per key over the last base and the batches written since."""
+    bases = _complete(spark, f"{path}/base")
+    base = bases[-1] if bases else -1
+    parts = [f"{path}/base/n={base}"] * bool(bases) + [f"{path}/batch/n={n}" for n in _complete(spark, f"{path}/batch") if n > base]
+    return _newest(spark.read.parquet(*parts), keys, order)
+
+
+def upsert_by_key(path: str, keys: list[str], order: str, compact_every: int = 20):
+    """For foreachBatch: the newest row per key. Every event is a whole state, so lost and late ones do no harm.
+
+    A batch writes its own rows only, under its number, so one that is run again replaces itself.
+    Every compact_every batches what there is becomes a new base, and what the base before it
+    was made of goes; readers of read_upserts() find the last base and two rounds of batches at most.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if batch_id and batch_id > 0:
-            rows = batch.unionByName(spark.read.parquet(f"{path}/batch={batch_id - 1}"))
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("r"))
-        newest.select(*keys, "r.*").select(*rows.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _newest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch/n={batch_id}")
+        if (batch_id + 1) % compact_every:
+            return
+        before = [n for n in _complete(spark, f"{path}/base") if n < batch_id]
+        read_upserts(spark, path, keys, order).write.mode("overwrite").parquet(f"{path}/base/n={batch_id}")
+        for n in before[:-1]:
+            _remove(spark, f"{path}/base/n={n}")
+        if before:
+            for n in _complete(spark, f"{path}/batch"):
+                if n <= before[-1]:
+                    _remove(spark, f"{path}/batch/n={n}")
 
     return write
 
 
+def stats_events(stream: DataFrame, tick: str = "2 seconds", running: tuple[str, ...] = ("RUNNING",), late: str = "10 seconds") -> DataFrame:
+    """One event per tick and running key, with its newest row of the tick. stream: key, ts, state and counters."""
+    rest = [c for c in stream.columns if c not in ("key", "ts")]
+    ticks = stream.withWatermark("ts", late).groupBy(F.window("ts", tick).alias("w"), "key").agg(F.max_by(F.struct(*rest), "ts").alias("r"))
+    return ticks.where(F.col("r.state").isin(*running)).select("key", F.col("w.end").alias("tick"), "r.*")
+
+
 class _Transitions(StatefulProcessor):
     """Emits (key, ts, was, state) when a key's state changes; the first one primes silently."""
 

@@ -68,7 +68,21 @@ def test_digest_equals_batch(spark, tmp_path):
 def test_feed_and_upsert(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "b", 1)], "job_id int, key string, n int")
     assert len(replay(spark, tmp_path / "f", df, lambda s: streams.event_feed(s, 1))) == 2
-    write = streams.upsert_by_key(str(tmp_path / "u"), ["job_id", "key"], "n")
+    write = streams.upsert_by_key(str(tmp_path / "u"), ["job_id", "key"], "n", compact_every=3)
+    seen = lambda: {tuple(r) for r in streams.read_upserts(spark, str(tmp_path / "u"), ["job_id", "key"], "n").select("job_id", "key", "n").collect()}
     write(df.where("n = 2"), 0)
     write(df.where("n = 1"), 1)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "u/batch=1")).select("job_id", "key", "n").collect()} == {(1, "a", 2), (2, "b", 1)}
+    assert seen() == {(1, "a", 2), (2, "b", 1)}
+    write(df.where("n = 1"), 1)  # a batch that is run again
+    newest = spark.createDataFrame([(2, "b", 9)], df.schema)
+    for n in range(2, 9):
+        write(newest if n == 4 else df, n)
+        assert seen() == ({(1, "a", 2), (2, "b", 9)} if n >= 4 else {(1, "a", 2), (2, "b", 1)})
+    assert sorted(p.name for p in (tmp_path / "u" / "base").iterdir()) == ["n=5", "n=8"] and sorted(p.name for p in (tmp_path / "u" / "batch").iterdir()) == ["n=6", "n=7", "n=8"]
+
+
+def test_stats_events(spark, tmp_path):
+    rows = [("j", at(0), "RUNNING", 1), ("j", at(1), "RUNNING", 2), ("j", at(2), "PAUSED", 3), ("j", at(5), "RUNNING", 4), ("k", at(5), "DONE", 1), ("j", at(100), "RUNNING", 9)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, state string, files int")
+    got = replay(spark, tmp_path, df, streams.stats_events, files=1)
+    assert sorted((r["key"], r["tick"], r["files"]) for r in got) == [("j", at(2), 2), ("j", at(6), 4)]
