@@ -34,8 +34,26 @@ def add(name, tables, run, sql=None, more=""):
 
 
 add("P13_jobs_by_phase", "jobs", lambda j: lg.jobs_by_phase(j, "Running").select("name", "state"), "SELECT name, state FROM jobs WHERE state IN ('RUNNING', 'PAUSED')")
-add("S11_purge_jobs", "jobs", lambda j: lg.purge_jobs(j, "TERMINAL", 1000, 902_000_000_000 + 1000).select("name"), "SELECT name FROM jobs WHERE state IN ('COMPLETED', 'CANCELLED', 'FAILED') AND updated_ms < 902000000000")
+add("S11_purge_jobs", "jobs", lambda j: lg.purge_jobs(j, "TERMINAL", 1000, 996_500_000_000 + 1000).select("name"), "SELECT name FROM jobs WHERE state IN ('COMPLETED', 'CANCELLED', 'FAILED') AND updated_ms < 996500000000")
 add("S11_purge_children", "jobs passes", lambda j, p: lg.without_jobs(p, lg.purge_jobs(j, "TERMINAL")).select("job_id", "pass_no"), "SELECT job_id, pass_no FROM passes WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE state IN ('COMPLETED', 'CANCELLED', 'FAILED'))")
+
+
+def _purged(j, p, w):
+    """Names of the victims, and rows left in each table after a purge and after a dry run."""
+    names, left = lg.purge({"jobs": j, "passes": p, "work_items": w}, "TERMINAL")
+    _, same = lg.purge({"jobs": j, "passes": p, "work_items": w}, "TERMINAL", dry_run=True)
+    rows = names.select(F.lit("victim").alias("what"), c("name").alias("of"), F.lit(1).cast("long").alias("n"))
+    for what, tables in (("left", left), ("dry run", same)):
+        for name, table in tables.items():
+            rows = rows.unionByName(table.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), F.lit(name).alias("of"), "n"))
+    return rows
+
+
+add("S11_purge_all", "jobs passes work_items", _purged,
+    """SELECT 'victim' AS what, name AS "of", 1 AS n FROM vi UNION ALL SELECT 'left', 'jobs', count(*) FROM jobs WHERE job_id NOT IN (SELECT job_id FROM vi)
+       UNION ALL SELECT 'left', 'passes', count(*) FROM passes WHERE job_id NOT IN (SELECT job_id FROM vi) UNION ALL SELECT 'left', 'work_items', count(*) FROM work_items WHERE job_id NOT IN (SELECT job_id FROM vi)
+       UNION ALL SELECT 'dry run', 'jobs', count(*) FROM jobs UNION ALL SELECT 'dry run', 'passes', count(*) FROM passes UNION ALL SELECT 'dry run', 'work_items', count(*) FROM work_items""",
+    "vi AS (SELECT * FROM jobs WHERE state IN ('COMPLETED', 'CANCELLED', 'FAILED'))")
 add("J11_ledger", "work_items passes jobs", lambda w, p, j: lg.ledger(w, p, j).select("item_id", "name", "pass_state", "job_state"),
     "SELECT item_id, name, p.state AS pass_state, j.state AS job_state FROM work_items w JOIN passes p USING (job_id, pass_no) JOIN jobs j USING (job_id)")
 add("A2_accumulate", "work_items", lambda w: lg.accumulate(w.withColumn("bytes", c("wall_ms") * 3), ["wall_ms", "bytes"]), "SELECT job_id, pass_no, sum(wall_ms)::BIGINT AS wall_ms, sum(wall_ms * 3)::BIGINT AS bytes FROM work_items GROUP BY ALL")

@@ -40,6 +40,13 @@ def without_jobs(child: DataFrame, victims: DataFrame) -> DataFrame:
     return child.join(victims.select("job_id"), "job_id", "left_anti")
 
 
+def purge(tables: dict[str, DataFrame], state: str = "COMPLETED", older_than_ms: int | None = None, now_ms: int = 0, dry_run: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The jobs that go (job_id, name), and all tables (jobs and whatever hangs on a job_id) less their rows; in a dry run the tables as they are."""
+    victims = purge_jobs(tables["jobs"], state, older_than_ms, now_ms)
+    left = tables if dry_run else {name: without_jobs(table, victims) for name, table in tables.items()}
+    return victims.select("job_id", "name"), left
+
+
 def ledger(items: DataFrame, passes: DataFrame, jobs: DataFrame) -> DataFrame:
     named = jobs.select("job_id", "name", F.col("state").alias("job_state"))
     return items.join(passes.select(*_PASS, F.col("state").alias("pass_state")), _PASS).join(named, "job_id")

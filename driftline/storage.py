@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope(*kept: str) -> Iterator[None]:
+    """Releases, at its end, all tables made inside it but those of the names to be kept. Results must have been written or read by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        made = _OPEN.pop()
+        release(*[t for t in made if t._driftline_name not in kept])
+        if _OPEN:
+            _OPEN[-1].extend(t for t in made if t._driftline_name in kept)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -29,7 +47,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/driftline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._driftline_path = path
+    out._driftline_path, out._driftline_name = path, name
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 

@@ -288,3 +288,15 @@ def test_plan_shapes(spark):
     assert "Join Cross" not in text and len(text) < 60_000
     text = tree.expand_deletes(diff.orphans(src, dst), dst)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_scope_releases_what_is_not_kept(spark):
+    from driftline import storage
+
+    with storage.scope("outer"):
+        with storage.scope("kept", "outer"):
+            gone, kept, outer = (storage.materialize(spark.range(3), n) for n in ("gone", "kept", "outer"))
+        assert not os.path.exists(gone._driftline_path) and os.path.exists(kept._driftline_path)
+    assert not os.path.exists(kept._driftline_path) and outer.count() == 3
+    storage.release(outer)
+    assert not os.path.exists(outer._driftline_path)
