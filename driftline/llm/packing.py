@@ -34,8 +34,8 @@ from .common import materialize, read
 CAPACITY = 2048
 END_ID = 0
 SALTS = 64
-#: Cached words per Python worker (about 200 bytes each); beyond it the cache starts anew.
-CACHE_WORDS = 700_000
+#: Cached words per Python worker, of at most so many bytes (about 200 with what they map to); beyond it the cache starts anew.
+CACHE_WORDS, LONGEST = 700_000, 64
 
 
 def default_tokenizer() -> str:
@@ -76,7 +76,10 @@ class WordIds(dict):
             out = b"".join(map(self.ids.__getitem__, self.ranks.encode_ordinary(parts)))
         else:
             out = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
-        self[word] = out
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -124,8 +127,6 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
     def pieces(batches):
         ids = word_ids(path)
         for batch in batches:
-            if len(ids) > CACHE_WORDS:
-                ids.clear()
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 rows, values = [], []
