@@ -12,8 +12,9 @@ A hot source is split over shards (at most `max_shards` a source); sums are comb
 the shuffle. The table of sources is small and is ordered in one task; nothing else is.
 
 Defined cases: a null text has size 0 and takes 0; null sources form one source, ordered
-last; a null doc_id is a value like others; rows that repeat are rows of their own; an empty
-table gives an empty result; columns of the input that carry the names of results do not
+last; rows without a doc_id are placed by their text, and rows that share one are ordered by it;
+rows that repeat are rows of their own; a document may miss its even share by a block, and a
+source smaller than a few blocks its target; an empty table gives an empty result; columns of the input that carry the names of results do not
 matter, only doc_id, source and text are read (mix_documents keeps all columns).
 """
 
@@ -114,7 +115,7 @@ def _placed(sized: DataFrame, weights, block, shard_words, max_shards, epochs, s
         ),
         "sources",
     )
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("th"))))
     docs = (
         sized.withColumn("mix_key", key)
         .join(sources, F.col("source").eqNullSafe(F.col("s_source")))
@@ -127,7 +128,7 @@ def _placed(sized: DataFrame, weights, block, shard_words, max_shards, epochs, s
     shards = materialize(shards, "quotas")
     shard = Window.partitionBy("source", "shard")
     return (
-        docs.withColumn("stop", F.sum("size").over(shard.orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+        docs.withColumn("stop", F.sum("size").over(shard.orderBy("mix_key", "doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("start", F.col("stop") - F.col("size"))
         .withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.sum("size").over(shard) / block)).cast("long"))
         .join(shards, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("shard") == F.col("k_shard")))
@@ -144,9 +145,14 @@ _TAKEN = (
 )
 
 
+def _text_hash() -> Column:
+    """Tells rows with one doc_id apart, and rows without one."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, block=BLOCK, shard_words=SHARD_WORDS, max_shards=MAX_SHARDS, epochs=EPOCHS, seed=SEED, share=(3, 2)) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted), shard, quota."""
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _text_hash().alias("th")), "sized")
     placed = _placed(sized, weights, block, shard_words, max_shards, epochs, seed, share)
     taken = F.expr(_TAKEN.format(x="stop", b=block)) - F.expr(_TAKEN.format(x="start", b=block))
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "shard", "quota")
@@ -157,7 +163,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, block=BLOCK, shard_words=SHA
     once more cut to the blocks that are taken once more often; a document of which nothing
     is taken goes. n_chars, where docs has it, is the length of the text that is left.
     """
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("doc")), "sized")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _text_hash().alias("th"), F.struct("*").alias("doc")), "sized")
     placed = _placed(sized, weights, block, shard_words, max_shards, epochs, seed, share)
     words = F.regexp_extract_all("doc.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
     kept = F.filter("words", lambda w, i: _in_extra(i, block))
@@ -187,7 +193,7 @@ def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
 #: The same mix by plain counting: every quotient of every party is ranked.
 OP2_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS th FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w,
              row_number() OVER (ORDER BY source NULLS LAST) AS rk, sum(source_size) OVER () AS total FROM src),
@@ -200,7 +206,7 @@ sq AS (SELECT source, row_number() OVER (ORDER BY target / (2 * s - 1) DESC, sou
 sk AS (SELECT source, count(*) AS n FROM sq, seats WHERE r <= k GROUP BY source),
 so AS (SELECT tg.source, source_size, target, coalesce(n, 0) AS n, least({MAX_SHARDS}, greatest(1, ceil(source_size / {SHARD_WORDS})))::BIGINT AS shards
        FROM tg LEFT JOIN sk ON tg.source IS NOT DISTINCT FROM sk.source),
-d AS (SELECT sized.*, source_size, target, n, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM sized JOIN so ON sized.source IS NOT DISTINCT FROM so.source),
+d AS (SELECT sized.*, source_size, target, n, md5('{SEED}:' || coalesce(doc_id::VARCHAR, th)) AS h FROM sized JOIN so ON sized.source IS NOT DISTINCT FROM so.source),
 ds AS (SELECT d.*, ('0x' || substr(h, 1, 8))::BIGINT % shards AS shard FROM d JOIN so ON d.source IS NOT DISTINCT FROM so.source),
 sh AS (SELECT source, shard, sum(size) AS words, any_value(n) AS n, greatest(1, ceil(sum(size) / {BLOCK}))::BIGINT AS blocks FROM ds GROUP BY source, shard),
 hq AS (SELECT source, shard, n, row_number() OVER (PARTITION BY source ORDER BY words::DOUBLE / (2 * s - 1) DESC, shard, s) AS r
@@ -209,7 +215,7 @@ hk AS (SELECT source, shard, count(*) AS q FROM hq WHERE r <= n GROUP BY source,
 qq AS (SELECT sh.source, sh.shard, blocks, least(2 * blocks, coalesce(q, 0)) AS q,
               ('0x' || substr(md5('{SEED}:' || coalesce(sh.source, chr(0)) || ':' || sh.shard), 1, 8))::BIGINT % blocks AS seed
        FROM sh LEFT JOIN hk ON sh.source IS NOT DISTINCT FROM hk.source AND sh.shard = hk.shard),
-p AS (SELECT ds.*, sum(size) OVER (PARTITION BY source, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS z FROM ds),
+p AS (SELECT ds.*, sum(size) OVER (PARTITION BY source, shard ORDER BY h, doc_id, size, th ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS z FROM ds),
 f AS (SELECT p.*, blocks, q, seed, [z - size, z] AS ends FROM p JOIN qq ON p.source IS NOT DISTINCT FROM qq.source AND p.shard = qq.shard),
 t AS (SELECT *, list_transform(ends, lambda x: ((x // {BLOCK}) * q + seed) // blocks * {BLOCK}
              + (((x // {BLOCK} + 1) * q + seed) // blocks - ((x // {BLOCK}) * q + seed) // blocks) * (x % {BLOCK})) AS f FROM f)
