@@ -240,7 +240,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     rest = still_open(groups, open_)
     release(open_)
     rest = rest.join(slots, "id").join(sets.select("id", "fine", F.when(F.size("shingles") * percent < SMALL * 100, F.col("shingles")).alias("few")), "id").join(nodes.select("id", "bands"), "id")
-    first_band = F.expr("array_position(zip_with(bx, by, (a, b) -> a = b), true) - 1")  # a pair is one row whatever it shares
+    first_band = F.expr("case " + " ".join(f"when bx[{i}] = by[{i}] then {i}" for i in range(BANDS)) + " end")  # a pair is one row whatever it shares
     nearly = estimate("fx", "fy", FINE_SLOTS) >= percent / 100 - FINE_MARGIN
     common = F.size(F.array_intersect("sx", "sy"))
     alike = F.when(small, 100 * common >= percent * (F.col("nu") + F.col("nv") - common)).otherwise(nearly)

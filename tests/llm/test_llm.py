@@ -75,10 +75,13 @@ def test_apportionment_is_highest_quotients(spark):
 
 
 def test_mix_matches_sql_on_odd_rows(spark):
-    docs = documents(spark, odd_texts(), ["b", None, "a", "\U0001f600", "c"]).dropDuplicates(["doc_id"])
+    tied = [(900, "same id w"), (900, "another text"), (900, "another text"), (None, "no id " * 90), (None, "nor here " * 70), (None, "no id " * 90)]
+    docs = documents(spark, [*odd_texts(), *tied], ["b", None, "a", "\U0001f600", "c"])
     got = mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
     assert spark_rows(got) == sql_rows(mixing.OP2_SQL, documents=docs.select("doc_id", "text", "source"))
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in got.collect())
+    again = mixing.mix_documents(docs.orderBy(F.rand(1)).repartition(5), block=4)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, mixing.mix_documents(docs, block=4).collect()))
     assert mixing.mix_sources(docs.where("false")).count() == 0
 
 
