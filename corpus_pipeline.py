@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import lines, minhash, mixing, packing, quality
-from driftline.llm.common import materialize, read
+from driftline.llm.common import read
+from driftline.storage import materialize, release, scope
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The pieces of all documents; a stage's own tables go as soon as its result is written, and that when the next one is."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scope(name):
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
