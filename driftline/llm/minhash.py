@@ -139,6 +139,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(n, pa.int64()), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (one, two)), _longs(slots), _longs(keys)],
                     names=["doc_id", "th", "n_shingles", "set_a", "set_b", "slots", "bands"],
                 )
+        hashes.clear()  # the worker lives on, beside others
 
     return map_in_arrow(_keyed(docs), run, "doc_id bigint, th bigint, n_shingles bigint, set_a bigint, set_b bigint, slots array<bigint>, bands array<bigint>")
 
@@ -154,6 +155,7 @@ def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
                 sets = [shingle_set(_bytes(text), k, hashes) for text in part.column(1)]
                 fine = [_packed(_minima(s, FINE_SLOTS)) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), _longs(sets), _longs(fine)], names=["id", "shingles", "fine"])
+        hashes.clear()
 
     return map_in_arrow(texts.select("id", "text"), run, "id bigint, shingles array<bigint>, fine array<bigint>")
 

@@ -144,6 +144,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
                 if with_ids:
                     out.append(pa.array(values, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", *(f for f, _ in fields), *["ids"] * with_ids])
+        ids.clear()  # the worker lives on, beside others
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids

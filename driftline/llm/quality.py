@@ -29,6 +29,8 @@ from .common import read
 SAMPLE = 4000
 DIMENSIONS = 2048
 THRESHOLD = 0.5
+#: Bytes of a text whose trigrams are hashed at once.
+CHUNK = 1 << 20
 #: Votes need this many words; shorter texts get none.
 LEAST_WORDS = 5
 
@@ -108,9 +110,12 @@ def features(text: bytes, measures: np.ndarray, dimensions: int = DIMENSIONS) ->
     """Hashed byte trigrams (root of their share) and the hashed bin of each measure."""
     out = np.zeros(dimensions, np.float32)
     if len(text) >= 3:
-        b = np.frombuffer(text, np.uint8).astype(np.uint32)
-        h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)
-        out += np.sqrt(np.bincount(h % np.uint32(dimensions), minlength=dimensions) / len(h))
+        counts = np.zeros(dimensions, np.int64)
+        for at in range(0, len(text) - 2, CHUNK):
+            b = np.frombuffer(text, np.uint8, min(CHUNK + 2, len(text) - at), at).astype(np.uint32)
+            h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)
+            counts += np.bincount(h % np.uint32(dimensions), minlength=dimensions)
+        out += np.sqrt(counts / (len(text) - 2))
     for k, x in enumerate(measures):
         out[(k * 7919 + int(np.searchsorted(BINS, x)) * 104729) % dimensions] += 1
     return out
@@ -180,8 +185,8 @@ def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
                 weak, x = [], []
                 for text in _texts(part):
                     m = measure(text)

@@ -481,6 +481,14 @@ def test_scores_by_loops(spark):
         assert r["score"] == pytest.approx(plain_score(r["text"], model), abs=1e-4)
 
 
+def test_features_of_long_texts(monkeypatch):
+    text = bytes(np.random.default_rng(5).integers(0, 256, 5000, dtype=np.uint8))
+    whole = quality.features(text, quality.measure(text))
+    for chunk in (1, 2, 7, 4998, 4999, 5000):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        assert np.array_equal(quality.features(text, quality.measure(text)), whole)
+
+
 def test_scorer_by_plain_descent():
     """Gradient descent with momentum on soft labels, by loops over rows."""
     r = np.random.default_rng(3)
