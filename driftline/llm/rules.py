@@ -110,7 +110,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.size(F.filter("words", lambda x: x.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
+        F.regexp_count("text", F.lit(r"\p{L}[^\x20\x09-\x0D]*")).cast("long").alias("n_letter_words"),  # once a word: a match takes the rest of it
         F.size(F.filter("words", lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         *[_matching(pattern).alias(name) for name, pattern in LINE_PATTERNS.items()],
     )
