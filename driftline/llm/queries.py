@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, pii, pseudolikelihood, quality, rules, urls, vectors
+from . import alignment, lines, minhash, mixing, packing, periodic, pii, pseudolikelihood, quality, rules, urls, vectors, warc
 
 QUERIES = {
     "op1_pii_pseudonyms": pii.op1_pii_pseudonyms,
@@ -16,6 +16,9 @@ QUERIES = {
     "rule_ablations": rules.rule_ablations,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_warc_archive": warc.op13_warc_archive,
 }
 ORACLE_SQL = {
     "op1_pii_pseudonyms": pii.OP1_SQL,
@@ -26,4 +29,5 @@ ORACLE_SQL = {
     "op8_quality_rules": rules.OP8_SQL,
     "rule_ablations": rules.ABLATIONS_SQL,
     "op10_minhash_near_dedup": minhash.OP10_SQL,
+    "op13_warc_archive": warc.OP13_SQL,
 }
