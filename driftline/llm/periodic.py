@@ -197,8 +197,9 @@ def planted(doc_id: Column, text: Column) -> Column:
     g = F.floor(h / 10).cast("long")
     a = F.pmod(g, n)
     p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("long")
-    repeated = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+    period = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    repeated = F.slice(F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), repeated), " ")).otherwise(text)
 
 
 def op12_periodic_runs(spark, sf_dir: str) -> DataFrame:
