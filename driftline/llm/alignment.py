@@ -6,10 +6,11 @@ ids weighs as many documents. Measures go back to the documents by a join on the
 the text (copies are counted before the shuffle, and a very common text on the documents'
 side of that join is one that adaptive execution splits).
 
-Neither tokenizer joins anything across a single space between two characters that are no
-white space, so a text is cut there into units, and units are aligned once a worker: a text
-of n words costs n look-ups, and new units are encoded together. Whatever else a unit holds
-(line ends, runs of spaces) goes through the tokenizers as it stands.
+Neither tokenizer joins anything across a single space or line end between two characters
+that are no white space (the pieces of the second are searched for such ones), so a text is
+cut there into units, and units are aligned once a worker: a text of n words costs n look-ups,
+and new units are encoded and aligned together, as arrays. Whatever else a unit holds (runs of
+spaces, tabs) goes through the tokenizers as it stands.
 
 Two tokenisations of the same bytes overlap in as many pairs as there are ends of tokens of
 either kind; where both end, a group ends.
@@ -72,8 +73,8 @@ class ByteLevel:
         self.bytes_of = {i: token for token, i in ranks.items()}
         self.own = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})  # merges are in the order of ids
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.own.encode_ordinary(" " + t) for t in texts]
+    def encode(self, units: list[str]) -> list[list[int]]:
+        return [self.own.encode_ordinary(u) for u in units]
 
 
 class Pieces:
@@ -83,69 +84,96 @@ class Pieces:
         import sentencepiece
 
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
-        piece = self.own.id_to_piece
-        self.bytes_of = {i: bytes([int(piece(i)[1:-1], 16)]) if self.own.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.own.vocab_size())}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.own.encode(texts, num_threads=1)
-
-
-def overlaps(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
-    """The groups as text, their number, and all pairs of tokens whose bytes overlap; ends: of each token, the last ones equal."""
-    groups, links, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-    while i < len(a):
-        links.append((a[i], b[j]))
-        x, y = ends_a[i], ends_b[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-            from_i, from_j = i, j
-    return ";".join(groups), len(groups), links
+        pieces = [self.own.id_to_piece(i) for i in range(self.own.vocab_size())]
+        self.bytes_of = {i: bytes([int(p[1:-1], 16)]) if self.own.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+        #: Whether no piece reaches across a space or the start of a line.
+        self.cut = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+
+    def encode(self, units: list[str]) -> list[list[int]]:
+        """Units begin with a space, which the model adds, or with a line end, before which its own space goes."""
+        found = self.own.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        return [ids if u[0] == " " else ids[1:] for u, ids in zip(units, found, strict=True)]
+
+
+class Side:
+    """By id: the length in bytes, and the text of an id after each of the separators."""
+
+    def __init__(self, bytes_of: dict[int, bytes], separators: tuple[bytes, ...]):
+        self.bytes_of, n = bytes_of, max(bytes_of) + 1
+        self.size = np.zeros(n, np.int64)
+        self.size[list(bytes_of)] = list(map(len, bytes_of.values()))
+        texts = [[sep + b"%d" % i for i in range(n)] for sep in separators]
+        self.text = np.array(texts, object)
+        self.long = np.array([[len(t) for t in row] for row in texts])
+
+
+def align_units(a: Side, b: Side, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """measures (four columns), the groups as text, and the pairs of units whose two lists of ids have the same bytes."""
+    n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
+    flat_a, flat_b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
+    ends_a, ends_b = np.cumsum(a.size[flat_a]), np.cumsum(b.size[flat_b])  # over all units, which follow each other without a gap
+    cuts = np.union1d(ends_a, ends_b)
+    pairs = flat_a[np.searchsorted(ends_a, cuts)] << 32 | flat_b[np.searchsorted(ends_b, cuts)]
+    groups = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    unit_ends = ends_a[np.cumsum(n_a) - 1]
+    n_groups = np.diff(np.searchsorted(groups, unit_ends, side="right"), prepend=0)
+    n_links = np.diff(np.searchsorted(cuts, unit_ends, side="right"), prepend=0)
+    # the ids in the order of the groups' text, each after `;` or nothing, `,` or `|`
+    group_a, group_b = np.searchsorted(groups, ends_a), np.searchsorted(groups, ends_b)
+    starts_unit = np.zeros(len(groups), bool)
+    starts_unit[np.cumsum(n_groups) - n_groups] = True
+    first_a, first_b = np.r_[True, group_a[1:] != group_a[:-1]], np.r_[True, group_b[1:] != group_b[:-1]]
+    kind_a = np.where(first_a, np.where(starts_unit[group_a], 2, 0), 1)
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+    kind_b = np.where(first_b, 0, 1)
+    texts = np.concatenate([a.text[kind_a, flat_a], b.text[kind_b, flat_b]])[order]
+    long = np.concatenate([a.long[kind_a, flat_a], b.long[kind_b, flat_b]])[order]
+    whole = b"".join(texts.tolist())
+    ends = np.cumsum(long)[np.cumsum(n_a + n_b) - 1].tolist()
+    return np.stack([n_a, n_b, n_groups, n_links], axis=1), [whole[x:y] for x, y in zip([0, *ends], ends, strict=False)], pairs
 
 
 class Units(dict):
     """The number of each unit met; what is known of units is held by number."""
 
-    CUT = re.compile(r"(?<=\S) (?=\S)")
+    CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
     def __init__(self, path_a: str, path_b: str):
         super().__init__()
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
+        self.side_a, self.side_b = Side(self.a.bytes_of, (b";", b",", b"")), Side(self.b.bytes_of, (b"|", b","))
         self.forget()
 
+    def cut(self, text: str) -> list[str]:
+        """The units of a text with a space before it."""
+        return self.CUT.split(" " + text) if self.b.cut else [" " + text]
+
     def forget(self) -> None:
         self.clear()
         self.groups: list[bytes] = []
-        self.whole: list[bool] = []
+        self.whole = np.empty(0, bool)
         self.measures = np.empty((0, 4), np.int64)
         self.starts = np.zeros(1, np.int64)
         self.pairs = np.empty(0, np.int64)
 
     def learn(self, units: list[str]) -> None:
-        measures, starts, pairs, end = [], [], [], int(self.starts[-1])
-        for unit, a, b in zip(units, self.a.encode(units), self.b.encode(units), strict=True):
-            pieces_a, pieces_b = [self.a.bytes_of[i] for i in a], [self.b.bytes_of[i] for i in b]
-            whole = b"".join(pieces_a) == b"".join(pieces_b) == b" " + unit.encode()
-            groups, n_groups, links = overlaps(a, b, _ends(pieces_a), _ends(pieces_b)) if whole else ("", 0, [])
-            self[unit] = len(self.groups)
-            self.groups.append(groups.encode())
-            self.whole.append(whole)
-            measures.append((len(a), len(b), n_groups, len(links)))
-            pairs += [x << 32 | y for x, y in links]
-            end += len(links)
-            starts.append(end)
-        self.measures = np.concatenate([self.measures, np.array(measures, np.int64).reshape(-1, 4)])
-        self.starts = np.concatenate([self.starts, np.array(starts, np.int64)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
-
-
-def _ends(pieces: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for p in pieces:
-        at += len(p)
-        out.append(at)
-    return out
+        if not units:
+            return
+        ids_a, ids_b = self.a.encode(units), self.b.encode(units)
+        bytes_a, bytes_b = self.side_a.bytes_of, self.side_b.bytes_of
+        whole = [b"".join([bytes_a[i] for i in x]) == b"".join([bytes_b[i] for i in y]) == u.encode() for u, x, y in zip(units, ids_a, ids_b, strict=True)]
+        if not all(whole):
+            units = [u for u, w in zip(units, whole, strict=True) if w] + [u for u, w in zip(units, whole, strict=True) if not w]
+            ids_a, ids_b = ([x for x, w in zip(ids, whole, strict=True) if w] for ids in (ids_a, ids_b))
+        sound, n = sum(whole), len(self.groups)
+        self.update(zip(units, range(n, n + len(units)), strict=True))
+        self.whole = np.concatenate([self.whole, np.arange(len(units)) < sound])
+        measures, groups, pairs = align_units(self.side_a, self.side_b, ids_a, ids_b) if sound else (np.empty((0, 4), np.int64), [], self.pairs[:0])
+        lost = len(units) - sound
+        self.groups += groups + [b""] * lost
+        self.measures = np.concatenate([self.measures, measures, np.zeros((lost, 4), np.int64)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.r_[measures[:, 3], np.zeros(lost, np.int64)])])
+        self.pairs = np.concatenate([self.pairs, pairs])
 
 
 @lru_cache(maxsize=1)
@@ -158,26 +186,26 @@ def _aligned(known: Units, raw: list[bytes]) -> list[tuple]:
     texts = []
     for t in raw:
         try:
-            texts.append(known.CUT.split(t.decode()))
+            texts.append(known.cut(t.decode()) if t else None)
         except UnicodeDecodeError:
             texts.append(None)
     valid = [t for t in texts if t is not None]
-    new = {u for t in valid for u in t if u not in known}
+    new = set().union(*valid) - known.keys()
     if len(known) + len(new) > CACHE_UNITS:
         known.forget()
-        new = {u for t in valid for u in t}
+        new = set().union(*valid)
     known.learn(sorted(new))
     out: list[tuple | None] = []
     for t in texts:
-        numbers = [known[u] for u in t] if t is not None else []
-        if not numbers or not all([known.whole[k] for k in numbers]):
+        numbers = list(map(known.__getitem__, t or ()))
+        at = np.array(numbers, np.int64)
+        if not numbers or not known.whole[at].all():
             out.append(None)
             continue
-        at = np.array(numbers)
         first, many = known.starts[at], known.starts[at + 1] - known.starts[at]
         flat = known.pairs[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())]
         pairs, links = np.unique(flat, return_counts=True)
-        out.append((*known.measures[at].sum(axis=0).tolist(), b";".join([known.groups[k] for k in numbers]), pairs, links))
+        out.append((*known.measures[at].sum(axis=0).tolist(), b";".join(map(known.groups.__getitem__, numbers)), pairs, links))
     for u in [u for u in new if len(u) > LONGEST]:
         del known[u]
     return out

@@ -88,4 +88,4 @@ def test_units_met_again_after_the_bound(spark, monkeypatch):
 
 def test_invalid_bytes_have_no_tokens(spark):
     known = alignment.Units(*alignment.default_tokenizers())
-    assert alignment._aligned(known, [b"\xff\xfe bad", b""]) == [None, None] or alignment._aligned(known, [b"\xff\xfe bad"]) == [None]
+    assert alignment._aligned(known, [b"\xff\xfe bad", b""]) == [None, None]
