@@ -11,6 +11,7 @@ from driftline.functions import globs
 from driftline.operators import diff, tree
 from driftline.options import SyncOptions
 from driftline.sources.listing import as_listing, read_listing, slice_listing
+from driftline.sources.snapshots import store_bucketed
 from driftline.storage import shared_folder
 
 R = Registry()
@@ -86,6 +87,16 @@ add("D1_tree_diff", lambda s, d: diff.tree_diff(s, d).select("rel_path", F.col("
     "SELECT rel_path, has_s AS in_src, has_d AS in_dst FROM p")
 add("J1_full_outer", lambda s, d: diff.tree_diff(s, d).select("rel_path", F.col("src.size").alias("src_size"), F.col("dst.size").alias("dst_size")),
     "SELECT rel_path, ss AS src_size, ds AS dst_size FROM p")
+
+
+def _bucketed(s, d):
+    """Both listings stored in buckets of their paths, then joined bucket by bucket."""
+    base = f"{shared_folder(s.sparkSession)}/driftline/bucketed-{uuid.uuid4().hex}"
+    stored = [store_bucketed(df, f"bucketed_{side}_{uuid.uuid4().hex}", f"{base}/{side}", 8) for side, df in (("src", s), ("dst", d))]
+    return diff.tree_diff(*stored)
+
+
+add("J1_bucketed_join", lambda s, d: _bucketed(s, d).select("rel_path", F.col("src.size").alias("src_size"), F.col("dst.size").alias("dst_size")), "SELECT rel_path, ss AS src_size, ds AS dst_size FROM p")
 add("D2_classify", lambda s, d: _plan(s, d).select("rel_path", "action", "reason"), "SELECT rel_path, action, reason FROM pl")
 add("D3_mtime_equal", lambda s, d: diff.tree_diff(s, d).where("src.type = 'FILE' and dst.type = 'FILE'").select(
         "rel_path", diff.mtime_equal(F.col("src.mtime_ns"), F.col("dst.mtime_ns"), 1_000_000).alias("same")),

@@ -28,11 +28,11 @@ R.add("F3_human_duration", "work_items", lambda w: w.select("item_id", fm.human_
 R.add("F4_commas", "src", lambda s: s.select("rel_path", fm.commas(c("size") * 97).alias("text")), "SELECT rel_path, format('{:,}', size * 97) AS text FROM src")
 R.add("F5_octal_mode", "src", lambda s: s.select("rel_path", fm.octal_mode(c("mode")).alias("text")),
     "SELECT rel_path, lpad((mode // 512 % 8) || '' || (mode // 64 % 8) || (mode // 8 % 8) || (mode % 8), 4, '0') AS text FROM src")
-R.add("F6_sum_hex", "journal", lambda j: j.select("seq", fm.sum_hex(c("sum_hi"), c("sum_lo")).alias("text")),
-    "SELECT seq, lpad(printf('%x', (sum_hi::HUGEINT + CASE WHEN sum_hi < 0 THEN 18446744073709551616 ELSE 0 END)::UBIGINT), 16, '0') || lpad(printf('%x', (sum_lo::HUGEINT + CASE WHEN sum_lo < 0 THEN 18446744073709551616 ELSE 0 END)::UBIGINT), 16, '0') AS text FROM journal")
+R.add("F6_sum_hex", "journal", lambda j: j.select("event_id", fm.sum_hex(c("sum_hi"), c("sum_lo")).alias("text")),
+    "SELECT event_id, lpad(printf('%x', (sum_hi::HUGEINT + CASE WHEN sum_hi < 0 THEN 18446744073709551616 ELSE 0 END)::UBIGINT), 16, '0') || lpad(printf('%x', (sum_lo::HUGEINT + CASE WHEN sum_lo < 0 THEN 18446744073709551616 ELSE 0 END)::UBIGINT), 16, '0') AS text FROM journal")
 R.add("F7_verify_text", "passes", lambda p: p.select("job_id", "pass_no", fm.verify_text(c("verify_ok") * 1000, c("verify_fail")).alias("text")),
     "SELECT job_id, pass_no, format('{:,}', verify_ok * 1000) || ' ok' || CASE WHEN verify_fail > 0 THEN ' / ' || format('{:,}', verify_fail) || ' FAIL' ELSE '' END AS text FROM passes")
-R.add("F8_errno_class", "journal", lambda j: j.select("seq", fm.errno_class(c("errno")).alias("class")), "SELECT seq, CASE errno WHEN 13 THEN 'EACCES' WHEN 116 THEN 'ESTALE' ELSE errno || '' END AS class FROM journal")
+R.add("F8_errno_class", "journal", lambda j: j.select("event_id", fm.errno_class(c("errno")).alias("class")), "SELECT event_id, CASE errno WHEN 13 THEN 'EACCES' WHEN 116 THEN 'ESTALE' ELSE errno || '' END AS class FROM journal")
 R.add("F9_paths", "src", lambda s: s.select("rel_path", paths.parent(c("rel_path")).alias("parent"), paths.leaf(c("rel_path")).alias("leaf"), paths.depth(c("rel_path")).alias("depth"),
         paths.join(paths.parent(c("rel_path")), paths.leaf(c("rel_path"))).alias("again"), F.array_join(paths.ancestors(c("rel_path")), "|").alias("above")),
     """SELECT rel_path, array_to_string(p[1:-2], '/') AS parent, p[-1] AS leaf, len(p) AS depth, rel_path AS again,
@@ -46,8 +46,8 @@ R.add("F12_temp_name", "work_items", lambda w: w.select("item_id", fm.temp_name(
 R.add("F13_temp_tag", "work_items", lambda w: w.withColumn("tail", F.concat(F.when(c("item_id") % 4 == 0, "+").when(c("item_id") % 4 == 1, "0").otherwise(""), F.lower(F.hex(c("job_id"))), F.lit("-"), F.lower(F.hex(c("pass_no"))), F.lit(".1.0"))).select(
         "item_id", fm.temp_tag(c("tail"))[0].alias("job"), fm.temp_tag(c("tail"))[1].alias("pass"), fm.tag_matches(c("tail"), c("job_id"), F.lit(2)).alias("own")),
     """SELECT item_id, CASE WHEN item_id % 4 <> 0 THEN printf('%x', job_id::BIGINT) END AS job, CASE WHEN item_id % 4 <> 0 THEN printf('%x', pass_no::BIGINT) END AS pass, item_id % 4 <> 0 AND pass_no = 2 AS own FROM work_items""")
-R.add("F14_times", "journal", lambda j: j.select("seq", fm.ts_to_ns(fm.ns_to_ts(c("ts_ns") + 999)).alias("ns"), F.abs(c("ts_ns") - F.lit(1704067200000000000)).alias("apart")),
-    "SELECT seq, ts_ns AS ns, abs(ts_ns - 1704067200000000000) AS apart FROM journal")
+R.add("F14_times", "journal", lambda j: j.select("event_id", fm.ts_to_ns(fm.ns_to_ts(c("ts_ns") + 999)).alias("ns"), F.abs(c("ts_ns") - F.lit(1704067200000000000)).alias("apart")),
+    "SELECT event_id, ts_ns AS ns, abs(ts_ns - 1704067200000000000) AS apart FROM journal")
 FNV = """list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(rel_path, ''), lambda x: ascii(x)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"""
 R.add("F15_in_sample", "src", lambda s: s.select("rel_path", hashing.fnv1a_ppm(c("rel_path")).alias("ppm"), hashing.in_sample(c("rel_path"), hashing.sample_ppm(0)).alias("sampled")),
     f"SELECT rel_path, ({FNV} % 1000000)::BIGINT AS ppm, ({FNV} % 1000000)::BIGINT < 10000 AS sampled FROM src")

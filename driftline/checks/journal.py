@@ -10,7 +10,7 @@ from driftline.checks.base import Registry
 from driftline.functions.hashing import in_sample
 from driftline.operators import journal as jr
 from driftline.operators import tree
-from driftline.sources.journal import append_journal, read_journal
+from driftline.sources.journal import append_journal, append_once, read_journal, read_once
 from driftline.storage import shared_folder
 
 R = Registry()
@@ -25,13 +25,27 @@ def _path(df, name):
 
 
 def _appended(j):
-    """The journal appended in two batches, of which the second repeats a third of the first."""
+    """The journal appended in two deliveries, of which the second replays a third of the batches."""
     path = _path(j, "journal")
     append_journal(j, path)
     append_journal(j.where("seq % 3 = 0"), path)
     return path
 
 
+#: Deliveries by batch: most arrive in order of their number, every seventh late; each brings replays of older ones, and a part of a batch before the rest.
+_DELIVERIES = 4
+
+
+def _delivered(j):
+    path = _path(j, "journal-once")
+    due = F.when(c("seq") % 7 == 0, 3).otherwise(c("seq") % 3)
+    for n in range(_DELIVERIES):
+        replayed = (due < n) & (c("seq") % 2 == n % 2)
+        partly = (due == n + 1) & (c("place") == 0)
+        acks = append_once(j.where((due == n) | replayed | partly).repartition(3), path, n)
+    return path, acks
+
+
 def _counts_stored(j):
     """The histogram written, and written again for one job."""
     path = _path(j, "counts")
@@ -46,31 +60,35 @@ def _exported(j):
     return j.sparkSession.read.schema("pass_no int, type string, rel_path string, ts_ns bigint, mode string, sum string, errno string, detail string").json(path)
 
 
-R.add("S5_read_journal", "journal", lambda j: read_journal(j.sparkSession, _appended(j), 2, [1, 3]).select("seq", "pass_no", "type", "rel_path"),
-    "SELECT seq, pass_no, type, rel_path FROM journal WHERE job_id = 2 AND pass_no IN (1, 3)")
-R.add("S6_append_journal", "journal", lambda j: read_journal(j.sparkSession, _appended(j), 1, once=False).groupBy("pass_no", "agent_id").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("once")),
-    "SELECT pass_no, agent_id, count(*) + count(*) FILTER (seq % 3 = 0) AS n, count(DISTINCT seq) AS once FROM journal WHERE job_id = 1 GROUP BY ALL")
-R.add("P5_by_prefix", "journal", lambda j: jr.by_prefix(j, "u1").select("seq", "rel_path"), "SELECT seq, rel_path FROM journal WHERE starts_with(rel_path, 'u1')")
-R.add("P6_by_type", "journal", lambda j: jr.by_type(j, "jr_copied").select("seq", "type"), "SELECT seq, type FROM journal WHERE type = 'COPIED'")
-R.add("P7_errors", "journal", lambda j: jr.errors(j, "ESTALE", "u2").select("seq", "class", "rel_path"), "SELECT seq, class, rel_path FROM e WHERE class = 'ESTALE' AND starts_with(rel_path, 'u2')", ERRS)
+R.add("S5_read_journal", "journal", lambda j: read_journal(j.sparkSession, _appended(j), 2, [1, 3]).select("event_id", "seq", "place", "pass_no", "type", "rel_path"),
+    """SELECT event_id, seq, place, pass_no, type, rel_path FROM journal WHERE job_id = 2 AND pass_no IN (1, 3)
+       UNION ALL SELECT event_id, seq, place, pass_no, type, rel_path FROM journal WHERE job_id = 2 AND pass_no IN (1, 3) AND seq % 3 = 0""")
+R.add("S5_read_journal_once", "journal", lambda j: read_journal(j.sparkSession, _appended(j), 2, once=True).select("event_id", "seq", "place"), "SELECT event_id, seq, place FROM journal WHERE job_id = 2")
+R.add("S6_append_journal", "journal", lambda j: read_journal(j.sparkSession, _appended(j), 1).groupBy("pass_no", "agent_id", "seq").agg(F.count("*").alias("n"), F.countDistinct("place").alias("once")),
+    "SELECT pass_no, agent_id, seq, count(*) + count(*) FILTER (seq % 3 = 0) AS n, count(DISTINCT place) AS once FROM journal WHERE job_id = 1 GROUP BY ALL")
+R.add("S6_append_once", "journal", lambda j: read_once(j.sparkSession, _delivered(j)[0]).select("job_id", "pass_no", "agent_id", "seq", "place", "event_id", "type"), "SELECT job_id, pass_no, agent_id, seq, place, event_id, type FROM journal")
+R.add("S6_acks", "journal", lambda j: _delivered(j)[1], "SELECT agent_id, max(seq) AS acked_seq FROM journal GROUP BY agent_id")
+R.add("P5_by_prefix", "journal", lambda j: jr.by_prefix(j, "u1").select("event_id", "rel_path"), "SELECT event_id, rel_path FROM journal WHERE starts_with(rel_path, 'u1')")
+R.add("P6_by_type", "journal", lambda j: jr.by_type(j, "jr_copied").select("event_id", "type"), "SELECT event_id, type FROM journal WHERE type = 'COPIED'")
+R.add("P7_errors", "journal", lambda j: jr.errors(j, "ESTALE", "u2").select("event_id", "class", "rel_path"), "SELECT event_id, class, rel_path FROM e WHERE class = 'ESTALE' AND starts_with(rel_path, 'u2')", ERRS)
 R.add("P8_select_passes", "passes", lambda p: jr.select_passes(p, "latest").select("job_id", "pass_no", "state"), "SELECT job_id, pass_no, state FROM passes p WHERE pass_no = (SELECT max(pass_no) FROM passes q WHERE q.job_id = p.job_id)")
-R.add("P9_page", "journal", lambda j: jr.page(jr.errors(j), 50, 20, ("pass_no", "ts_ns", "rel_path", "seq"))[0].select("seq", "pass_no"), "SELECT seq, pass_no FROM e ORDER BY pass_no, ts_ns, rel_path, seq LIMIT 50 OFFSET 20", ERRS)
+R.add("P9_page", "journal", lambda j: jr.page(jr.errors(j), 50, 20, ("pass_no", "ts_ns", "rel_path", "event_id"))[0].select("event_id", "pass_no"), "SELECT event_id, pass_no FROM e ORDER BY pass_no, ts_ns, rel_path, event_id LIMIT 50 OFFSET 20", ERRS)
 R.add("P9_truncated", "journal", lambda j: jr.page(jr.errors(j), 50, 20)[1], "SELECT count(*) - 20 > 50 AS truncated FROM e", ERRS)
-R.add("O4_paged_scan", "journal", lambda j: jr.page(jr.by_type(j, "ORPHAN"), 100, 0, ("ts_ns", "seq"))[0].select("seq", "rel_path"), "SELECT seq, rel_path FROM journal WHERE type = 'ORPHAN' ORDER BY ts_ns, seq LIMIT 100")
+R.add("O4_paged_scan", "journal", lambda j: jr.page(jr.by_type(j, "ORPHAN"), 100, 0, ("ts_ns", "event_id"))[0].select("event_id", "rel_path"), "SELECT event_id, rel_path FROM journal WHERE type = 'ORPHAN' ORDER BY ts_ns, event_id LIMIT 100")
 R.add("P10_record_view", "journal", lambda j: jr.record_view(j).select("rel_path", "ts_ns", "mode", "errno", "detail"),
     "SELECT rel_path, ts_ns, lpad((mode // 64 % 8) || '' || (mode // 8 % 8) || (mode % 8), 4, '0') AS mode, CASE errno WHEN 0 THEN NULL WHEN 13 THEN 'EACCES' ELSE 'ESTALE' END AS errno, nullif(detail, '') AS detail FROM journal")
 R.add("S7_export_jsonl", "journal", lambda j: _exported(j).select("pass_no", "type", "rel_path", "ts_ns", "mode", "errno", "detail"),
     "SELECT pass_no, type, rel_path, ts_ns, lpad((mode // 64 % 8) || '' || (mode // 8 % 8) || (mode % 8), 4, '0') AS mode, CASE errno WHEN 0 THEN NULL WHEN 13 THEN 'EACCES' ELSE 'ESTALE' END AS errno, nullif(detail, '') AS detail FROM journal")
-R.add("P11_adhoc_filter", "journal", lambda j: jr.adhoc_filter(j, "type!=ORPHAN, errno>0, rel_path ~ U1, pass_no<3").select("seq"), "SELECT seq FROM journal WHERE type <> 'ORPHAN' AND errno > 0 AND rel_path ILIKE '%u1%' AND pass_no < 3")
-R.add("P12_suspicious", "journal", lambda j: jr.split_suspicious(j.withColumn("rel_path", F.when(c("seq") % 5 == 0, "").when(c("seq") % 5 == 1, F.concat(c("rel_path"), F.lit("/../x"))).otherwise(c("rel_path"))))[1].select("seq", "rel_path"),
-    "SELECT seq, CASE WHEN seq % 5 = 0 THEN '' ELSE rel_path || '/../x' END AS rel_path FROM journal WHERE seq % 5 < 2")
+R.add("P11_adhoc_filter", "journal", lambda j: jr.adhoc_filter(j, "type!=ORPHAN, errno>0, rel_path ~ U1, pass_no<3").select("event_id"), "SELECT event_id FROM journal WHERE type <> 'ORPHAN' AND errno > 0 AND rel_path ILIKE '%u1%' AND pass_no < 3")
+R.add("P12_suspicious", "journal", lambda j: jr.split_suspicious(j.withColumn("rel_path", F.when(c("event_id") % 5 == 0, "").when(c("event_id") % 5 == 1, F.concat(c("rel_path"), F.lit("/../x"))).otherwise(c("rel_path"))))[1].select("event_id", "rel_path"),
+    "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE rel_path || '/../x' END AS rel_path FROM journal WHERE event_id % 5 < 2")
 R.add("A5_type_hist", "journal", lambda j: jr.type_hist(j, None, "u3"), "SELECT type, count(*) AS n FROM journal WHERE starts_with(rel_path, 'u3') GROUP BY type")
 R.add("A6_type_counts", "journal", jr.type_counts, "SELECT * FROM tc", DEDUP)
 R.add("S9_stored_counts", "journal", lambda j: _counts_stored(j).select("job_id", "pass_no", "type", "n"), "SELECT * FROM tc", DEDUP)
 R.add("A7_job_type_counts", "journal", lambda j: jr.job_type_counts(jr.type_counts(j)), "SELECT job_id, type, sum(n)::BIGINT AS n FROM tc GROUP BY job_id, type", DEDUP)
 R.add("A8_errors_by_class", "journal", lambda j: jr.errors_by_class(jr.errors(j)), "SELECT class, count(*) AS n FROM e GROUP BY class", ERRS)
-R.add("A8_errors_by_class_page", "journal", lambda j: jr.errors_by_class(jr.page(jr.errors(j), 200, 0, ("pass_no", "ts_ns", "rel_path", "seq"))[0]),
-    "SELECT class, count(*) AS n FROM (SELECT * FROM e ORDER BY pass_no, ts_ns, rel_path, seq LIMIT 200) GROUP BY class", ERRS)
+R.add("A8_errors_by_class_page", "journal", lambda j: jr.errors_by_class(jr.page(jr.errors(j), 200, 0, ("pass_no", "ts_ns", "rel_path", "event_id"))[0]),
+    "SELECT class, count(*) AS n FROM (SELECT * FROM e ORDER BY pass_no, ts_ns, rel_path, event_id LIMIT 200) GROUP BY class", ERRS)
 R.add("O5_orphan_paths", "journal", jr.orphan_paths, "SELECT DISTINCT rel_path FROM journal WHERE type = 'ORPHAN'")
 R.add("U2_distinct_orphans", "journal", lambda j: jr.orphan_paths(j.where("job_id = 1")), "SELECT DISTINCT rel_path FROM journal WHERE type = 'ORPHAN' AND job_id = 1")
 

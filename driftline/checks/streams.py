@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from driftline.checks.base import Registry
 from driftline.checks.diff import PAIRS
-from driftline.plans.passes import run_passes
+from driftline.plans.passes import incremental_passes, pass_history, run_passes
+from driftline.sources.journal import journal_sink, read_once
+from driftline.sources.snapshots import read_snapshot, write_base
 from driftline.storage import shared_folder
 from driftline.streaming import streams
 
@@ -22,19 +24,26 @@ def _base(df):
     return f"{shared_folder(df.sparkSession)}/driftline/stream-{uuid.uuid4().hex}"
 
 
-def _replayed(df, build, mode="append"):
-    """All rows that build(stream) emits when df's rows arrive as one set of files."""
+def _replayed(df, build, mode="append", arrivals=None):
+    """All rows that build(stream) emits when df's rows arrive as one set of files; or in so many
+    sets as `arrivals` has conditions, each by a query that goes on from the checkpoint of the one before.
+    """
     spark, base = df.sparkSession, _base(df)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    df.write.parquet(f"{base}/in")
-    out = build(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
-    schema = out.schema
+    for n, due in enumerate(arrivals or [F.lit(True)]):
+        df.where(due).write.mode("append").parquet(f"{base}/in")
+        out = build(spark.readStream.schema(df.schema).parquet(f"{base}/in"))
 
-    def keep(batch, _):
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{base}/out")
+        def keep(batch, k, n=n):
+            batch.write.mode("overwrite").parquet(f"{base}/out/run={n}/batch={k}" if mode == "append" else f"{base}/out/run=0/batch=0")
 
-    out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/out")
+        out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
+
+
+def _shuffled(n, *keys):
+    """Conditions of n arrivals that deal out rows without regard to their time."""
+    return [F.pmod(F.hash(*keys), F.lit(n)) == k for k in range(n)]
 
 
 def _timed(df, us):
@@ -42,10 +51,22 @@ def _timed(df, us):
 
 
 def _twice(j):
-    return _timed(j.unionByName(j.where("seq % 3 = 0")), (c("ts_ns") / 1000).cast("long")).select("job_id", "pass_no", "agent_id", "seq", "type", "rel_path", "ts")
+    return _timed(j.withColumn("copy", F.explode(F.when(c("seq") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))), (c("ts_ns") / 1000).cast("long")).select("job_id", "pass_no", "agent_id", "seq", "place", "record_count", "event_id", "type", "rel_path", "ts", "copy")
+
 
+def _sunk(j):
+    """The journal through the exactly-once sink: four arrivals without regard to order, replays in others than the first copies."""
+    spark, base = j.sparkSession, _base(j)
+    rows = _twice(j).withColumn("due", F.pmod(F.hash("agent_id", "seq") + c("copy"), F.lit(4)))
+    for n in range(4):
+        rows.where(c("due") == n).drop("due", "copy").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.drop("due", "copy").schema).parquet(f"{base}/in")
+        stream.writeStream.foreachBatch(journal_sink(f"{base}/journal")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return read_once(spark, f"{base}/journal").select("job_id", "pass_no", "agent_id", "seq", "place", "event_id", "type")
 
-R.add("T1_ingest_journal", "journal", lambda j: _replayed(_twice(j), streams.ingest_journal).select("job_id", "pass_no", "agent_id", "seq", "type"), "SELECT job_id, pass_no, agent_id, seq, type FROM journal")
+
+R.add("T1_ingest_journal", "journal", lambda j: _replayed(_twice(j), lambda x: streams.ingest_journal(x, "60 days"), arrivals=_shuffled(4, "seq", "copy")).select("job_id", "pass_no", "agent_id", "seq", "place", "event_id", "type"), "SELECT job_id, pass_no, agent_id, seq, place, event_id, type FROM journal")
+R.add("T1_journal_sink", "journal", _sunk, "SELECT job_id, pass_no, agent_id, seq, place, event_id, type FROM journal")
 R.add("T2_live_counters", "journal", lambda j: _replayed(j.select("job_id", "pass_no", "type"), streams.live_counters, "complete"), "SELECT job_id, pass_no, type, count(*) AS n FROM journal GROUP BY ALL")
 R.add("T3_stream_rates", "stats", lambda s: _replayed(_timed(s, c("ts_us")), lambda x: streams.stream_rates(x, "6 hours")).select(F.unix_micros("start").alias("start_us"), "agent_id", "delta"),
     """SELECT start_us, agent_id, delta FROM (SELECT ts_us // 21600000000 * 21600000000 AS start_us, agent_id, max(entries) - min(entries) AS delta FROM stats GROUP BY ALL)
@@ -64,19 +85,19 @@ R.add("T5_agent_sessions", "inflight", lambda i: _replayed(_timed(i, c("ts_us"))
 R.add("T7_inflight_health", "inflight", lambda i: _replayed(_timed(i, c("seq")).select("lease_id", "ts", "running", "entries_done"), streams.stream_inflight_health).select("lease_id", F.unix_micros("ts").alias("seq"), "health"),
     """SELECT lease_id, seq, CASE WHEN NOT running THEN 'queued' WHEN was IS NULL THEN 'new' WHEN entries_done > was THEN 'slow' ELSE 'stuck' END AS health
        FROM (SELECT *, lag(entries_done) OVER (PARTITION BY lease_id ORDER BY seq) AS was FROM inflight)""")
-R.add("T9_event_feed", "journal", lambda j: _replayed(j, lambda x: streams.event_feed(x, 2)).select("seq", "type"), "SELECT seq, type FROM journal WHERE job_id = 2")
+R.add("T9_event_feed", "journal", lambda j: _replayed(j, lambda x: streams.event_feed(x, 2)).select("event_id", "type"), "SELECT event_id, type FROM journal WHERE job_id = 2")
 
 
 def _upserted(j):
     base, keys = _base(j), ["job_id", "rel_path"]
-    rows = j.select(*keys, "seq", "type")
-    write = streams.upsert_by_key(base, keys, "seq", compact_every=2)
+    rows = j.select(*keys, "event_id", "type")
+    write = streams.upsert_by_key(base, keys, "event_id", compact_every=2)
     for n in range(5):
-        write(rows.where(F.pmod(F.hash("seq"), F.lit(5)) == n), n)
-    return streams.read_upserts(j.sparkSession, base, keys, "seq")
+        write(rows.where(F.pmod(F.hash("event_id"), F.lit(5)) == n), n)
+    return streams.read_upserts(j.sparkSession, base, keys, "event_id")
 
 
-R.add("T8_upsert_by_key", "journal", _upserted, "SELECT job_id, rel_path, max(seq) AS seq, arg_max(type, seq) AS type FROM journal GROUP BY ALL")
+R.add("T8_upsert_by_key", "journal", _upserted, "SELECT job_id, rel_path, max(event_id) AS event_id, arg_max(type, event_id) AS type FROM journal GROUP BY ALL")
 
 
 def _passes(s, d):
@@ -88,3 +109,30 @@ def _passes(s, d):
 R.add("T10_run_passes", "src dst", _passes,
     """SELECT 1 AS pass_no, count(*) FILTER (action IN ('COPY', 'SYMLINK', 'SPECIAL')) AS files_copied, coalesce(sum(ss) FILTER (action = 'COPY'), 0)::BIGINT AS bytes_copied, count(*) FILTER (action = 'META_FIX') AS meta_fixed, false AS converged FROM pl
        UNION ALL SELECT 2, 0, 0, 0, true""", PAIRS)
+
+
+def _incremental(s, d):
+    """The source in three arrivals, directories first, against the destination as a base; the path of the passes."""
+    spark, base = s.sparkSession, _base(s)
+    write_base(d, f"{base}/dst", buckets=8)
+    due = F.when(c("type") == "DIR", 0).otherwise(F.pmod(c("ino"), F.lit(3)))
+    for n in range(3):
+        arrived = s.where(due == n).withColumn("removed", F.lit(False))
+        arrived.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(arrived.schema).parquet(f"{base}/in")
+        incremental_passes(stream, base, buckets=8).start().awaitTermination()
+    return base
+
+
+def _incremental_counters(s, d):
+    counters = pass_history(s.sparkSession, _incremental(s, d))
+    return counters.select("pass_no", "files_copied", "bytes_copied", "meta_fixed", "clean", "dirs")
+
+
+DUE = "due AS (SELECT pl.*, CASE WHEN st = 'DIR' THEN 0 ELSE coalesce(s.ino, 0) % 3 END + 1 AS pass_no FROM pl JOIN src s USING (rel_path))"
+R.add("T10_incremental_counters", "src dst", _incremental_counters,
+    """SELECT pass_no, count(*) FILTER (action IN ('COPY', 'SYMLINK', 'SPECIAL')) AS files_copied, coalesce(sum(ss) FILTER (action = 'COPY'), 0)::BIGINT AS bytes_copied, count(*) FILTER (action = 'META_FIX') AS meta_fixed,
+         count(*) FILTER (action = 'CLEAN') AS clean, count(*) FILTER (action IN ('DIR', 'MKDIR')) AS dirs FROM due GROUP BY pass_no""", f"{PAIRS}, {DUE}")
+R.add("T10_incremental_snapshot", "src dst", lambda s, d: read_snapshot(s.sparkSession, f"{_incremental(s, d)}/dst").where("rel_path not like '%.sync.stale.%'").select("rel_path", "type", "size", "mtime_ns", "mode", "uid"),
+    """SELECT rel_path, CASE WHEN has_s THEN st ELSE dt END AS type, CASE WHEN action IN ('CLEAN', 'DST_ONLY') THEN ds ELSE ss END AS size, CASE WHEN action IN ('CLEAN', 'DST_ONLY') THEN dn ELSE sn END AS mtime_ns,
+         CASE WHEN action IN ('CLEAN', 'DST_ONLY') THEN dm ELSE sm END AS mode, CASE WHEN action IN ('CLEAN', 'DST_ONLY') THEN du ELSE su END AS uid FROM pl WHERE rel_path NOT IN (SELECT rel_path FROM moved)""", PAIRS)

@@ -46,14 +46,18 @@ dst AS (SELECT rel_path, CASE WHEN k = 6 THEN 'DIR' ELSE 'FILE' END type, CASE W
       UNION ALL SELECT 'fA/{TEMP_PREFIX}1-' || (r_regionkey % 2 + 1) || '.' || r_regionkey || '.0', 'FILE', 420, 0, 0, 7, 0, r_regionkey, 1, 1, NULL, 0, 0 FROM region)"""
 
 _JOURNAL = """
-journal AS (SELECT user_id % 3 + 1 job_id, cast(floor((day(ts) - 1) / 10.0) AS int) + 1 pass_no, 'agent-' || user_id % 10 agent_id, event_id seq,
+jr AS (SELECT user_id % 3 + 1 job_id, cast(floor((day(ts) - 1) / 10.0) AS int) + 1 pass_no, 'agent-' || user_id % 10 agent_id, event_id,
         CASE event_type WHEN 'view' THEN 'COPIED' WHEN 'signup' THEN 'META_FIXED' WHEN 'click' THEN 'VERIFY_OK' WHEN 'purchase' THEN 'ORPHAN'
           ELSE CASE WHEN event_id % 3 = 0 THEN 'VERIFY_FAIL' ELSE 'ERROR' END END type,
         'u' || user_id % 50 || '/k' || JSON_K rel_path, EPOCH_US(ts) * 1000 ts_ns,
         CASE WHEN event_type = 'error' AND event_id % 3 = 1 THEN 13 WHEN event_type = 'error' AND event_id % 3 = 2 THEN 116 ELSE 0 END errno,
         CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'mtime mismatch' ELSE '' END detail,
         420 + cast(event_id % 8 AS int) mode, event_id * 1315423911 sum_hi, event_id * 2654435761 - 9007199254740993 sum_lo
-      FROM events)"""
+      FROM events),
+jn AS (SELECT *, row_number() OVER (PARTITION BY agent_id, job_id, pass_no ORDER BY event_id) - 1 k FROM jr),
+jb AS (SELECT *, cast(floor(k / 5.0) AS int) b FROM jn),
+journal AS (SELECT job_id, pass_no, agent_id, cast(dense_rank() OVER (PARTITION BY agent_id ORDER BY pass_no, job_id, b) AS bigint) seq, cast(k % 5 AS int) place,
+        cast(count(*) OVER (PARTITION BY agent_id, job_id, pass_no, b) AS int) record_count, event_id, type, rel_path, ts_ns, errno, detail, mode, sum_hi, sum_lo FROM jb)"""
 
 _LEDGER = """
 oc AS (SELECT o.*, c_nationkey nk, c_custkey % 10 ag, cast(round(o_totalprice * 100) AS bigint) cents, EPOCH_US(o_orderdate) / 1000 odate_us FROM orders o JOIN customer ON o_custkey = c_custkey),

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators.diff import apply_plan, pass_counters, plan, plan_orphans, to_journal
+from driftline.functions.paths import root_above
+from driftline.operators.diff import apply_plan, pass_counters, plan, plan_orphans, set_aside, to_journal
 from driftline.operators.tree import delete_journal, expand_deletes
 from driftline.options import SyncOptions
+from driftline.sources.snapshots import BUCKETS, changed_buckets, compact, read_snapshot, write_delta
+from driftline.storage import complete_numbers
 
 
 def run_passes(spark: SparkSession, src: Callable[[int], DataFrame], dst: DataFrame, out: str, opts: SyncOptions = SyncOptions(), job: int = 1) -> list[dict]:
@@ -62,3 +65,83 @@ def delete_pass(spark: SparkSession, out: str, pass_no: int, dst: DataFrame, job
         return dst
     dst.join(removed.select("rel_path"), "rel_path", "left_anti").write.mode("overwrite").parquet(f"{base}/snapshot")
     return spark.read.parquet(f"{base}/snapshot")
+
+
+def _in_the_way(pairs: DataFrame) -> DataFrame:
+    """Directories of the destination that something else of the source is to replace."""
+    return pairs.where("in_src and in_dst and dst.type = 'DIR' and src.type <> 'DIR'").select(F.col("rel_path").alias("root"))
+
+
+def _topmost_lost(planned: DataFrame, job: int, number: int, opts: SyncOptions) -> DataFrame:
+    """rel_path and type of what the source lost and the destination still has, as far as nothing above it is so, and of directories set aside."""
+    lost = planned.where("action = 'DST_ONLY'").select("rel_path", F.col("dst.type").alias("type"))
+    aside = set_aside(planned, job, number, opts)
+    above = lost.select(F.col("rel_path").alias("root")).unionByName(aside.select(F.col("rel_path").alias("root")))
+    beneath = root_above(lost.select("rel_path"), above).where("root <> rel_path").select("rel_path")
+    return lost.join(beneath, "rel_path", "left_anti").unionByName(aside.select(F.col("stale_path").alias("rel_path"), F.lit("DIR").alias("type")))
+
+
+def incremental_pass(arrived: DataFrame, out: str, number: int, opts: SyncOptions = SyncOptions(), job: int = 1, buckets: int = BUCKETS, compact_every: int = 10) -> dict:
+    """Reconcile what arrived, and nothing else: the paths of the batch are joined with their buckets of the destination.
+
+    arrived: entries of the source that are new or changed, and removed (true for a path that is
+    gone there); a path that comes more than once counts with its largest `ts_ns` if there is one.
+    The destination is the snapshot <out>/dst (base and deltas), of which only the buckets of
+    those paths are read, and to which a delta with the changes is written. Directories in the
+    way of something else are rare and deep: only if there are any, what lies beneath them is
+    looked up in the other buckets. A pass that fails is run again under its number from the
+    snapshot before it. Returns the counters of the pass.
+    """
+    spark, base = arrived.sparkSession, f"{out}/pass={number}"
+    order = F.struct(F.col("ts_ns"), F.col("removed")) if "ts_ns" in arrived.columns else F.col("removed")
+    own = [c for c in arrived.columns if c not in ("rel_path", "ts_ns")]
+    newest = arrived.groupBy("rel_path").agg(F.max_by(F.struct(*own), order).alias("r")).select("rel_path", "r.*")
+    newest.write.mode("overwrite").parquet(f"{base}/arrived")
+    newest = spark.read.parquet(f"{base}/arrived")
+    dst = read_snapshot(spark, f"{out}/dst", changed_buckets(newest, buckets), number - 1)
+    src, there = newest.where("not removed").drop("removed"), dst.join(newest.select("rel_path"), "rel_path", "left_semi")
+    plan(src, there, opts).write.mode("overwrite").parquet(f"{base}/plan")
+    planned = spark.read.parquet(f"{base}/plan")
+    roots = _in_the_way(planned)
+    if not roots.isEmpty():
+        whole = read_snapshot(spark, f"{out}/dst", None, number - 1)
+        beneath = root_above(whole.select("rel_path"), roots).select("rel_path").distinct().join(newest.select("rel_path"), "rel_path", "left_anti")
+        deep = plan(src.where("false"), whole.join(beneath, "rel_path", "left_semi"), opts)
+        planned.unionByName(deep).write.mode("overwrite").parquet(f"{base}/plan-deep")
+        planned = spark.read.parquet(f"{base}/plan-deep")
+    lost = _topmost_lost(planned, job, number, opts)
+    lost.write.mode("overwrite").parquet(f"{base}/orphans")
+    lost = spark.read.schema(lost.schema).parquet(f"{base}/orphans")
+    to_journal(planned, lost.select("rel_path"), job, number, opts).write.mode("overwrite").parquet(f"{base}/journal")
+    counters = pass_counters(planned, lost).first().asDict() | {"pass_no": number}
+    if not opts.dry_run:
+        after = apply_plan(dst, planned, None, job, number, opts)
+        names = dst.columns
+        changed = after.select(*[c for c in names if c in after.columns])
+        same = planned.where("action in ('CLEAN', 'DST_ONLY')").select("rel_path")  # written only if they moved
+        gone = planned.where("in_dst").select("rel_path").join(after.select("rel_path"), "rel_path", "left_anti")
+        write_delta(changed.join(same, "rel_path", "left_anti"), gone, f"{out}/dst", number, buckets)
+        compact(spark, f"{out}/dst", compact_every, buckets)
+    return counters
+
+
+def incremental_passes(changes: DataFrame, out: str, opts: SyncOptions = SyncOptions(), job: int = 1, buckets: int = BUCKETS, compact_every: int = 10):
+    """A streaming query over the changes of the source: each trigger reconciles what arrived since the last one.
+
+    Passes are numbered from 1 by micro-batch; start() it with a checkpoint below `out`, so that
+    a query that ends goes on where it stopped. Counters are written to <out>/counters.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        row = incremental_pass(batch, out, batch_id + 1, opts, job, buckets, compact_every)
+        spark.createDataFrame([row], ", ".join(f"{k} bigint" for k in row)).write.mode("overwrite").parquet(f"{out}/counters/n={batch_id + 1}")  # one row
+
+    return changes.writeStream.foreachBatch(one).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True)
+
+
+def pass_history(spark: SparkSession, out: str) -> DataFrame:
+    """The counters of all incremental passes."""
+    return spark.read.parquet(*[f"{out}/counters/n={n}" for n in complete_numbers(spark, f"{out}/counters")])

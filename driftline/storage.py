@@ -58,6 +58,19 @@ def release(*tables: DataFrame | None) -> None:
     for df in tables:
         path = getattr(df, "_driftline_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            remove(df.sparkSession, path)
+
+
+def complete_numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers n of the finished writes path/n=..., in order."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = fs.globStatus(sc._jvm.org.apache.hadoop.fs.Path(f"{path}/n=*/_SUCCESS")) if fs.exists(target) else []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("n=")) for f in found or [])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)

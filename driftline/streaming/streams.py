@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftline.shipping import ship
+from driftline.sources.journal import IDENTITY
+from driftline.storage import complete_numbers, remove
 
 
 def ingest_journal(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Records once each: replays carry the same job, pass, agent, seq and place in the batch."""
-    keys = [c for c in ("job_id", "pass_no", "agent_id", "seq", "place") if c in stream.columns]
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    """Records once each: replays carry the same job, pass, agent, seq and place in the batch. sources.journal.journal_sink() needs no bound of time."""
+    lacking = [c for c in IDENTITY if c not in stream.columns]
+    if lacking:
+        raise ValueError(f"journal records need {', '.join(IDENTITY)}; there is no {', '.join(lacking)}")
+    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(IDENTITY))
 
 
 def live_counters(stream: DataFrame) -> DataFrame:
@@ -50,26 +54,11 @@ def _newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*").select(*rows.columns)
 
 
-def _complete(spark: SparkSession, path: str) -> list[int]:
-    """Numbers n of the finished writes path/n=..., in order."""
-    sc = spark.sparkContext
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
-    found = fs.globStatus(sc._jvm.org.apache.hadoop.fs.Path(f"{path}/n=*/_SUCCESS")) if fs.exists(target) else []
-    return sorted(int(f.getPath().getParent().getName().removeprefix("n=")) for f in found or [])
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def read_upserts(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
     """The newest row per key over the last base and the batches written since."""
-    bases = _complete(spark, f"{path}/base")
+    bases = complete_numbers(spark, f"{path}/base")
     base = bases[-1] if bases else -1
-    parts = [f"{path}/base/n={base}"] * bool(bases) + [f"{path}/batch/n={n}" for n in _complete(spark, f"{path}/batch") if n > base]
+    parts = [f"{path}/base/n={base}"] * bool(bases) + [f"{path}/batch/n={n}" for n in complete_numbers(spark, f"{path}/batch") if n > base]
     return _newest(spark.read.parquet(*parts), keys, order)
 
 
@@ -86,14 +75,14 @@ def upsert_by_key(path: str, keys: list[str], order: str, compact_every: int = 2
         _newest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch/n={batch_id}")
         if (batch_id + 1) % compact_every:
             return
-        before = [n for n in _complete(spark, f"{path}/base") if n < batch_id]
+        before = [n for n in complete_numbers(spark, f"{path}/base") if n < batch_id]
         read_upserts(spark, path, keys, order).write.mode("overwrite").parquet(f"{path}/base/n={batch_id}")
         for n in before[:-1]:
-            _remove(spark, f"{path}/base/n={n}")
+            remove(spark, f"{path}/base/n={n}")
         if before:
-            for n in _complete(spark, f"{path}/batch"):
+            for n in complete_numbers(spark, f"{path}/batch"):
                 if n <= before[-1]:
-                    _remove(spark, f"{path}/batch/n={n}")
+                    remove(spark, f"{path}/batch/n={n}")
 
     return write
 

@@ -148,16 +148,18 @@ def test_convergence_cases(spark):
 
 
 def test_journal_table(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 1, "a", 1, "COPIED", "x"), (1, 1, "a", 1, "COPIED", "x"), (1, 2, "a", 2, "ERROR", "x"), (2, 1, "a", 3, "COPIED", "x")], "job_id int, pass_no int, agent_id string, seq bigint, type string, rel_path string")
+    rows = spark.createDataFrame([(1, 1, "a", 1, 0, "COPIED", "x"), (1, 1, "a", 1, 0, "COPIED", "x"), (1, 1, "a", 1, 1, "COPIED", "y"), (1, 2, "a", 2, 0, "ERROR", "x"), (2, 1, "a", 3, 0, "COPIED", "x")], "job_id int, pass_no int, agent_id string, seq bigint, place int, type string, rel_path string")
     path = str(tmp_path / "journal")
     append_journal(rows, path)
-    assert read_journal(spark, path, 1).count() == 2 and read_journal(spark, path, 1, [2]).count() == 1 and read_journal(spark, path, 1, once=False).count() == 3
+    assert read_journal(spark, path, 1).count() == 4 and read_journal(spark, path, 1, [2]).count() == 1 and read_journal(spark, path, 1, once=True).count() == 3
+    with pytest.raises(ValueError, match="place"):
+        append_journal(rows.drop("place"), path)
     counts = str(tmp_path / "counts")
     journal.persist_type_counts(rows, counts)
     journal.persist_type_counts(rows.where("job_id = 2"), counts)
     assert spark.read.parquet(counts).count() == 3
     journal.export_jsonl(rows.withColumns({c: F.lit(None).cast(t) for c, t in (("ts_ns", "long"), ("mode", "int"), ("sum_hi", "long"), ("sum_lo", "long"), ("errno", "int"), ("detail", "string"))}), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 4
+    assert spark.read.json(str(tmp_path / "out")).count() == 5
 
 
 def test_listing_files_and_generator(spark, tmp_path):

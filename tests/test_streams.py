@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import fleet
@@ -24,9 +25,12 @@ def replay(spark, tmp_path, df, build, mode="append", files=2):
 
 
 def test_ingest_drops_replays(spark, tmp_path):
-    rows = [(1, 1, "a", i % 5, at(i), "COPIED") for i in range(20)]
-    df = spark.createDataFrame(rows, "job_id int, pass_no int, agent_id string, seq bigint, ts timestamp, type string")
-    assert sorted(r["seq"] for r in replay(spark, tmp_path, df, streams.ingest_journal)) == [0, 1, 2, 3, 4]
+    rows = [(1, 1, "a", i % 10 // 2, i % 2, at(i), "COPIED") for i in range(40)]
+    df = spark.createDataFrame(rows, "job_id int, pass_no int, agent_id string, seq bigint, place int, ts timestamp, type string")
+    got = replay(spark, tmp_path, df, streams.ingest_journal)
+    assert sorted((r["seq"], r["place"]) for r in got) == [(seq, place) for seq in range(5) for place in range(2)]
+    with pytest.raises(ValueError, match="place"):
+        streams.ingest_journal(df.drop("place"))
 
 
 def test_live_counters(spark, tmp_path):
