@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftline.checks.base import Registry
 from driftline.checks.diff import PAIRS
+from driftline.checks.fleet import PARKS
 from driftline.plans.passes import incremental_passes, pass_history, run_passes
 from driftline.sources.journal import journal_sink, read_once
 from driftline.sources.snapshots import read_snapshot, write_base
@@ -71,8 +72,28 @@ R.add("T2_live_counters", "journal", lambda j: _replayed(j.select("job_id", "pas
 R.add("T3_stream_rates", "stats", lambda s: _replayed(_timed(s, c("ts_us")), lambda x: streams.stream_rates(x, "6 hours")).select(F.unix_micros("start").alias("start_us"), "agent_id", "delta"),
     """SELECT start_us, agent_id, delta FROM (SELECT ts_us // 21600000000 * 21600000000 AS start_us, agent_id, max(entries) - min(entries) AS delta FROM stats GROUP BY ALL)
        WHERE start_us + 21600000000 <= (SELECT max(ts_us) - 600000000 FROM stats)""")
+def _flushed(df, key, us, at_us):
+    """df with one more row far ahead of all others, under a key of its own, so that the watermark passes them; it comes with the last arrival."""
+    end = df.agg((F.max(us) + at_us).alias(us)).withColumn(key, F.lit(None).cast(df.schema[key].dataType))
+    return df.unionByName(end, allowMissingColumns=True)
+
+
+def _late(build, key, order):
+    """Rows dealt over four arrivals without regard to their times, and the row that ends the stream after them."""
+    def run(rows):
+        ends = c(key).isNull()
+        return _replayed(rows, build, arrivals=[*[~ends & due for due in _shuffled(4, *order)], ends]).where(c(key).isNotNull())
+    return run
+
+
 _states = lambda i: _timed(i, c("seq")).select(c("agent_id").alias("key"), "ts", F.when(c("running"), c("kind")).otherwise("idle").alias("state"))
-R.add("T4_stream_transitions", "inflight", lambda i: _replayed(_states(i), streams.stream_transitions).select("key", F.unix_micros("ts").alias("seq"), "was", "state"),
+def _seconds(i):
+    """Samples one second apart in the order of seq, and the end. The first stands at second 1: a stream's watermark begins at 0."""
+    return _timed(_flushed(i.withColumn("us", (c("seq") + 1) * 1_000_000), "agent_id", "us", 400 * 86_400_000_000), c("us"))
+
+
+_transitions_in = lambda i: _seconds(i).select(c("agent_id").alias("key"), "ts", F.when(c("running"), c("kind")).otherwise("idle").alias("state"))
+R.add("T4_stream_transitions", "inflight", lambda i: _late(lambda x: streams.stream_transitions(x, "300 days"), "key", ["ts"])(_transitions_in(i)).select("key", (F.unix_micros("ts") / 1_000_000 - 1).cast("long").alias("seq"), "was", "state"),
     """SELECT agent_id AS key, seq, was, state FROM (SELECT *, lag(state) OVER (PARTITION BY agent_id ORDER BY seq) AS was FROM
        (SELECT *, CASE WHEN running THEN kind ELSE 'idle' END AS state FROM inflight)) WHERE was <> state""")
 R.add("T4_stats_events", "inflight", lambda i: _replayed(_states(i), lambda x: streams.stats_events(x, "1 millisecond", ("dir", "chunk"), "0 seconds")).select("key", F.unix_micros("tick").alias("tick_us"), "state"),
@@ -82,7 +103,11 @@ R.add("T5_agent_sessions", "inflight", lambda i: _replayed(_timed(i, c("ts_us"))
     """SELECT agent_id, min(ts_us) AS start_us, count(*) AS beats FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 1200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY ts_us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session
          FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY agent_id ORDER BY ts_us, seq) AS gap FROM inflight)) GROUP BY agent_id, session
        HAVING max(ts_us) + 1200000000 <= (SELECT max(ts_us) - 60000000 FROM inflight)""")
-R.add("T7_inflight_health", "inflight", lambda i: _replayed(_timed(i, c("seq")).select("lease_id", "ts", "running", "entries_done"), streams.stream_inflight_health).select("lease_id", F.unix_micros("ts").alias("seq"), "health"),
+_parked = lambda w: _timed(_flushed(w.where("state = 'PARKED'").select(c("job_id").cast("long").alias("job_id"), c("item_id").cast("long").alias("item_id"), (c("updated_ms") * 1000).alias("us")), "job_id", "us", 4000 * 86_400_000_000).fillna(0, ["item_id"]), c("us"))
+R.add("T6_parked_digest", "work_items", lambda w: _late(lambda x: streams.stream_parked_digest(x, 86_400_000 * 30, "3900 days"), "job_id", ["item_id"])(_parked(w).select("job_id", "item_id", "ts")).select("job_id", "at_ms", F.array_join(c("items").cast("array<string>"), ",").alias("items")),
+    "SELECT job_id, at_ms, string_agg(item_id::VARCHAR, ',' ORDER BY parked_ms, item_id) AS items FROM told GROUP BY ALL", PARKS)
+R.add("T7_inflight_health", "inflight", lambda i: _late(lambda x: streams.stream_inflight_health(x, "300 days"), "lease_id", ["ts"])(_seconds(i).withColumn("lease_id", F.when(c("agent_id").isNotNull(), c("lease_id"))).select("lease_id", "ts", F.coalesce("running", F.lit(False)).alias("running"), F.coalesce("entries_done", F.lit(0)).alias("entries_done")))
+    .select("lease_id", (F.unix_micros("ts") / 1_000_000 - 1).cast("long").alias("seq"), "health"),
     """SELECT lease_id, seq, CASE WHEN NOT running THEN 'queued' WHEN was IS NULL THEN 'new' WHEN entries_done > was THEN 'slow' ELSE 'stuck' END AS health
        FROM (SELECT *, lag(entries_done) OVER (PARTITION BY lease_id ORDER BY seq) AS was FROM inflight)""")
 R.add("T9_event_feed", "journal", lambda j: _replayed(j, lambda x: streams.event_feed(x, 2)).select("event_id", "type"), "SELECT event_id, type FROM journal WHERE job_id = 2")

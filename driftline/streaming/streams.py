@@ -2,7 +2,7 @@
 
 Joins and aggregates are those of the batch form; only transitions, digests and stuck items
 need state of their own, kept per key with event-time timers where something must happen later.
-These sort a key's rows of one micro-batch in memory, which the source's rate options bound.
+They hold a key's rows until the watermark has passed them, so late rows of later micro-batches find their place.
 """
 
 from __future__ import annotations
@@ -94,107 +94,162 @@ def stats_events(stream: DataFrame, tick: str = "2 seconds", running: tuple[str,
     return ticks.where(F.col("r.state").isin(*running)).select("key", F.col("w.end").alias("tick"), "r.*")
 
 
-class _Transitions(StatefulProcessor):
-    """Emits (key, ts, was, state) when a key's state changes; the first one primes silently."""
+class _InOrder(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them, then hands them on in event order.
+
+    A timer stands at the earliest row held; when it fires, every row that the watermark has
+    passed is complete, as rows behind the watermark are late and dropped. Rows may come in any
+    order and any number of micro-batches. The state of a key is what arrived within the delay
+    of the watermark, and `last`.
+    """
+
+    #: Columns of a held row after `us` (its time in microseconds), and of the state kept between rows.
+    held_schema, last_schema = "", ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "state string")
+        self.handle = handle
+        self.held = handle.getListState("held", f"us bigint, {self.held_schema}")
+        self.last = handle.getValueState("last", self.last_schema)
+
+    def values(self, rows: pd.DataFrame) -> Iterator[tuple]:
+        """The values held of each row, plain Python ones."""
+        raise NotImplementedError
+
+    def step(self, key, last, row) -> tuple[tuple | None, tuple]:
+        """What a row gives (or None) after the last one, and what is kept of it."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        was = self.last.get()[0] if self.last.exists() else None
+        first = None
+        for part in rows:
+            us = (part["ts"].astype("datetime64[us]").astype("int64")).tolist()
+            self.held.appendList([(u, *v) for u, v in zip(us, self.values(part), strict=True)])
+            first = min([*us, first] if first is not None else us)
+        self._wake(first)
+        yield from ()
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(r) for r in self.held.get())
+        ready, rest = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
+        last = tuple(self.last.get()) if self.last.exists() else None
         out = []
-        for r in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
-            if was is not None and r.state != was:
-                out.append((key[0], r.ts, was, r.state))
-            was = r.state
-        self.last.update((was,))
+        for row in ready:
+            given, last = self.step(key, last, row)
+            if given:
+                out.append(given)
+        self.held.clear()
+        if rest:
+            self.held.put(rest)
+            self._wake(rest[0][0])
+        if last is not None:
+            self.last.update(last)
         if out:
-            yield pd.DataFrame(out, columns=["key", "ts", "was", "state"])
+            frame = pd.DataFrame(out, columns=self.columns)
+            frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
+            yield frame
 
     def close(self) -> None:
         pass
 
 
-def stream_transitions(stream: DataFrame) -> DataFrame:
-    """stream: key, ts, state. Needs the RocksDB state store."""
-    ship(stream.sparkSession)
-    return stream.groupBy("key").transformWithStateInPandas(_Transitions(), "key string, ts timestamp, was string, state string", "append", "None")
+class _Transitions(_InOrder):
+    """(key, ts, was, state) when a key's state changes; the first one primes silently."""
 
+    held_schema, last_schema, columns = "state string", "state string", ("key", "ts", "was", "state")
 
-class _Health(StatefulProcessor):
-    """Emits (lease_id, ts, health) per sample against the one before."""
+    def values(self, rows):
+        return zip(rows["state"].tolist(), strict=True)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "entries bigint")
+    def step(self, key, last, row):
+        us, state = row
+        return ((key[0], us, last[0], state) if last and last[0] != state else None), (state,)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        before = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for r in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
-            health = "queued" if not r.running else "new" if before is None else "slow" if r.entries_done > before else "stuck"
-            out.append((key[0], r.ts, health))
-            before = r.entries_done
-        self.last.update((int(before),))
-        yield pd.DataFrame(out, columns=["lease_id", "ts", "health"])
 
-    def close(self) -> None:
-        pass
+class _Health(_InOrder):
+    """(lease_id, ts, health) per sample against the one before."""
+
+    held_schema, last_schema, columns = "running boolean, entries bigint", "entries bigint", ("lease_id", "ts", "health")
 
+    def values(self, rows):
+        return zip(rows["running"].astype(bool).tolist(), rows["entries_done"].astype("int64").tolist(), strict=True)
 
-def stream_inflight_health(stream: DataFrame) -> DataFrame:
-    """stream: lease_id, ts, running, entries_done."""
+    def step(self, key, last, row):
+        us, running, entries = row
+        return (key[0], us, "queued" if not running else "new" if last is None else "slow" if entries > last[0] else "stuck"), (entries,)
+
+
+def _in_event_order(stream: DataFrame, key: str, processor: _InOrder, schema: str, late: str) -> DataFrame:
     ship(stream.sparkSession)
-    return stream.groupBy("lease_id").transformWithStateInPandas(_Health(), "lease_id bigint, ts timestamp, health string", "append", "None")
+    return stream.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def stream_transitions(stream: DataFrame, late: str = "1 minute") -> DataFrame:
+    """stream: key, ts, state. Rows up to `late` behind the newest one are taken in event order, whatever micro-batch brings
+    them; of rows of a key at the same time the smaller state counts first. Needs the RocksDB state store.
+    """
+    return _in_event_order(stream.select("key", "ts", "state"), "key", _Transitions(), "key string, ts timestamp, was string, state string", late)
 
 
-class _Digest(StatefulProcessor):
-    """Per job: the first parked item alerts at once, later ones are held until the rollup elapses."""
+def stream_inflight_health(stream: DataFrame, late: str = "1 minute") -> DataFrame:
+    """stream: lease_id, ts, running, entries_done; order as for stream_transitions()."""
+    return _in_event_order(stream.select("lease_id", "ts", "running", "entries_done"), "lease_id", _Health(), "lease_id bigint, ts timestamp, health string", late)
+
+
+class _Digest(_InOrder):
+    """Per job: the first parked item alerts at once, later ones are held until the rollup elapses, which opens the next one."""
+
+    held_schema = "item bigint"
 
     def __init__(self, rollup_ms: int):
         self.rollup_ms = rollup_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.held = handle.getListState("held", f"us bigint, {self.held_schema}")
         self.until = handle.getValueState("until", "ms bigint")
-        self.held = handle.getListState("held", "item bigint")
+        self.waiting = handle.getListState("waiting", "item bigint")
 
-    def _send(self, key, at: int, items: list[int]) -> pd.DataFrame:
-        self.until.update((at + self.rollup_ms,))
-        self.handle.registerTimer(at + self.rollup_ms)
-        return pd.DataFrame({"job_id": [key[0]], "at_ms": [at], "items": [sorted(items)]})
+    def values(self, rows):
+        return zip(rows["item_id"].astype("int64").tolist(), strict=True)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        for r in pd.concat(list(rows)).sort_values(["ts", "item_id"], kind="stable").itertuples():
-            at = int(r.ts.timestamp() * 1000)
-            until = self.until.get()[0] if self.until.exists() else None
-            if until is not None and at > until and self.held.exists():  # its timer has not fired yet
-                items = [x[0] for x in self.held.get()]
-                self.held.clear()
-                yield self._send(key, until, items)
-                until += self.rollup_ms
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
+        rest = [r for r in held if r[0] > passed * 1000]
+        until = self.until.get()[0] if self.until.exists() else None
+        waiting = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
+        told = []
+        for us, item in held[: len(held) - len(rest)]:
+            at = us // 1000
+            if waiting and at > until:
+                told.append((key[0], until, waiting))
+                until, waiting = until + self.rollup_ms, []
             if until is None or at > until:
-                yield self._send(key, at, [r.item_id])
+                told.append((key[0], at, [item]))
+                until = at + self.rollup_ms
             else:
-                self.held.appendValue((int(r.item_id),))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if self.until.exists() and self.until.get()[0] != at:
-            return
-        items = [x[0] for x in self.held.get()] if self.held.exists() else []
+                waiting = [*waiting, item]
+        if waiting and until <= passed:
+            told.append((key[0], until, waiting))
+            until, waiting = until + self.rollup_ms, []
         self.held.clear()
-        if items:
-            yield self._send(key, at, items)
-        else:
-            self.until.clear()
-
-    def close(self) -> None:
-        pass
+        self.waiting.clear()
+        if rest:
+            self.held.put(rest)
+            self._wake(rest[0][0])
+        if waiting:
+            self.waiting.put([(i,) for i in waiting])
+            self.handle.registerTimer(until)
+        if until is not None:
+            self.until.update((until,))
+        if told:
+            yield pd.DataFrame(told, columns=["job_id", "at_ms", "items"])
 
 
 def stream_parked_digest(stream: DataFrame, rollup_ms: int = 300_000, late: str = "1 minute") -> DataFrame:
-    """stream: job_id, item_id, ts. Alerts with event-time timers; the batch form is fleet.parked_digest."""
-    ship(stream.sparkSession)
-    return stream.withWatermark("ts", late).groupBy("job_id").transformWithStateInPandas(
-        _Digest(rollup_ms), "job_id bigint, at_ms bigint, items array<bigint>", "append", "EventTime"
-    )
+    """stream: job_id, item_id, ts. Alerts once the watermark has passed them, whatever order parks come in; the batch form is fleet.parked_digest."""
+    return _in_event_order(stream.select("job_id", "item_id", "ts"), "job_id", _Digest(rollup_ms), "job_id bigint, at_ms bigint, items array<bigint>", late)

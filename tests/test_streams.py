@@ -48,23 +48,45 @@ def test_rates_and_sessions(spark, tmp_path):
     assert sorted((r["beats"], r["at_risk"][0]) for r in got) == [(2, 610), (3, 20)]
 
 
-def test_transitions(spark, tmp_path):
-    df = spark.createDataFrame([("k", at(i), s) for i, s in enumerate("AABBA")] + [("q", at(0), "Z")], "key string, ts timestamp, state string")
-    got = replay(spark, tmp_path, df, streams.stream_transitions, files=1)
-    assert sorted((r["key"], r["was"], r["state"]) for r in got) == [("k", "A", "B"), ("k", "B", "A")]
+def late_rows(df, key, parts=4):
+    """Rows dealt over files without regard to time, and a last file with a row far ahead under no key."""
+    end = spark_row(df, key)
+    return [*[df.where(F.pmod(F.hash("ts"), F.lit(parts)) == k) for k in range(parts)], end]
+
+
+def spark_row(df, key):
+    values = {f.name: F.lit(at(10**6)) if f.name == "ts" else F.lit(None) if f.name == key else F.lit({"boolean": False, "string": ""}.get(f.dataType.simpleString(), 0)) for f in df.schema.fields}
+    return df.sparkSession.range(1).select(*[v.cast(df.schema[n].dataType).alias(n) for n, v in values.items()])
+
+
+def replay_late(spark, tmp_path, df, key, build):
+    """What build(stream) emits for the keys of df when its rows come late, by a query that starts anew for every file."""
+    for n, part in enumerate(late_rows(df, key)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = build(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+        keep = lambda batch, k, n=n: batch.write.mode("overwrite").parquet(str(tmp_path / f"out/r{n}b{k}"))
+        out.writeStream.foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
+    return spark.read.option("recursiveFileLookup", True).schema(out.schema).parquet(str(tmp_path / "out")).where(f"{key} is not null").collect()
+
+
+def test_transitions_of_late_rows(spark, tmp_path):
+    states = "AABBACCCABBBAACA"
+    df = spark.createDataFrame([("k", at(i), s) for i, s in enumerate(states)] + [("q", at(0), "Z")], "key string, ts timestamp, state string")
+    got = replay_late(spark, tmp_path, df, "key", lambda s: streams.stream_transitions(s, "1 hour"))
     batch = fleet.transitions(df, ["key"], ["ts"])
-    assert sorted((r["key"], r["was"], r["state"]) for r in batch.collect()) == [("k", "A", "B"), ("k", "B", "A")]
+    assert sorted((r["ts"], r["was"], r["state"]) for r in got) == sorted((r["ts"], r["was"], r["state"]) for r in batch.collect())
 
 
-def test_inflight_health(spark, tmp_path):
-    df = spark.createDataFrame([(1, at(0), True, 1), (1, at(1), True, 5), (1, at(2), True, 5), (1, at(3), False, 5)], "lease_id bigint, ts timestamp, running boolean, entries_done bigint")
-    got = replay(spark, tmp_path, df, streams.stream_inflight_health, files=1)
-    assert [r["health"] for r in sorted(got, key=lambda r: r["ts"])] == ["new", "slow", "stuck", "queued"]
+def test_inflight_health_of_late_rows(spark, tmp_path):
+    rows = [(1, at(0), True, 1), (1, at(1), True, 5), (1, at(2), True, 5), (1, at(3), False, 5), (1, at(4), True, 6), (2, at(3), True, 1), (2, at(9), True, 1)]
+    df = spark.createDataFrame(rows, "lease_id bigint, ts timestamp, running boolean, entries_done bigint")
+    got = replay_late(spark, tmp_path, df, "lease_id", lambda s: streams.stream_inflight_health(s, "1 hour"))
+    assert [r["health"] for r in sorted(got, key=lambda r: (r["lease_id"], r["ts"]))] == ["new", "slow", "stuck", "queued", "slow", "new", "stuck"]
 
 
-def test_digest_equals_batch(spark, tmp_path):
-    df = spark.createDataFrame([(1, i, at(s)) for i, s in enumerate([0, 10, 20, 350, 1000, 5000])], "job_id bigint, item_id bigint, ts timestamp")
-    got = replay(spark, tmp_path, df, lambda s: streams.stream_parked_digest(s, 300_000), files=1)
+def test_digest_of_late_rows_equals_batch(spark, tmp_path):
+    df = spark.createDataFrame([(1, i, at(s)) for i, s in enumerate([0, 10, 20, 350, 1000, 1300, 1301, 1599, 1600, 5000, 5000])], "job_id bigint, item_id bigint, ts timestamp")
+    got = replay_late(spark, tmp_path, df, "job_id", lambda s: streams.stream_parked_digest(s, 300_000, "2 hours"))
     batch = fleet.parked_digest(df.select("job_id", "item_id", F.unix_millis("ts").alias("parked_ms")), 300_000)
     assert sorted((r["at_ms"], r["items"]) for r in got) == sorted((r["at_ms"], r["items"]) for r in batch.collect())
 
