@@ -170,9 +170,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) ->
     drawn = docs.select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 30)).alias("h")).where(F.col("h") < int(share * (1 << 30)))
     drawn = drawn.groupBy("h").agg(F.any_value("text").alias("text")).orderBy("h").limit(sample)  # a text that repeats is drawn once
     rows = map_in_arrow(drawn.select("text"), run, "x binary, y double").toArrow()  # at most `sample` rows of `dimensions` floats
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, dimensions)
-    y = np.array(rows["y"].to_pylist(), np.float32)
+    x, y = np.empty((len(rows), dimensions), np.float32), rows["y"].to_numpy().astype(np.float32)
+    for k, row in enumerate(rows["x"]):
+        x[k] = np.frombuffer(row.as_buffer(), np.float32)  # no copies beside the table and x
     del rows
+    pa.default_memory_pool().release_unused()
     return {"posterior": posterior, "weights": fit_scorer(x, y), "accuracies": chance, "prior": prior, "dimensions": dimensions}
 
 
