@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.checks.base import Registry
 from driftline.operators import fleet as fl
+from driftline.storage import materialize
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -48,6 +49,23 @@ EDGES = ", ".join(str(e) for e in fl.DURATION_EDGES)
 HIST = f"hs AS (SELECT kind, e AS le, count(*) FILTER (wall_ms <= e * 1000) AS n FROM work_items, unnest([{EDGES}, 'inf'::DOUBLE]) u(e) WHERE wall_ms > 0 GROUP BY ALL)"
 add("A15_duration_hist", "work_items", lambda w: fl.duration_hist(w).where("le < 1e300"), "SELECT * FROM hs WHERE le < 1e300", HIST)
 add("A16_duration_quantiles", "work_items", lambda w: fl.duration_quantiles(w, accuracy=None), "SELECT kind, quantile_cont(wall_ms / 1000.0::DOUBLE, 0.5) AS p50, quantile_cont(wall_ms / 1000.0::DOUBLE, 0.99) AS p99 FROM work_items WHERE wall_ms > 0 GROUP BY kind")
+def _rank_errors(rows, quantiles, by, value, quants):
+    """Whether each quantile lies within a hundredth of its rank among all rows of its group."""
+    joined = rows.join(quantiles, by)
+    ranks = [F.avg(F.when(c(value) < c(f"p{q}"), 1.0).otherwise(0.0)).alias(f"below{q}") for q in quants] + [F.avg(F.when(c(value) <= c(f"p{q}"), 1.0).otherwise(0.0)).alias(f"upto{q}") for q in quants]
+    found = joined.groupBy(by).agg(F.count("*").alias("rows"), F.max("n").alias("n"), *ranks)
+    return found.select(by, "n", *[((c(f"below{q}") <= q / 100 + 0.01) & (c(f"upto{q}") >= q / 100 - 0.01)).alias(f"p{q}_ok") for q in quants], (c("n") == c("rows")).alias("all_rows"))
+
+
+def _stored_sketches(df, value, by, part):
+    """Sketches per group and part, written and read back before they are merged."""
+    return materialize(fl.quantile_sketches(df, value, (by, part)), "sketches")
+
+
+add("A16_merged_quantiles", "work_items", lambda w: _rank_errors(w.where("wall_ms > 0"), fl.merged_quantiles(_stored_sketches(w.where("wall_ms > 0"), "wall_ms", "kind", "pass_no"), ("kind",)), "kind", "wall_ms", (50, 90, 99)),
+    "SELECT kind, count(*) AS n, true AS p50_ok, true AS p90_ok, true AS p99_ok, true AS all_rows FROM work_items WHERE wall_ms > 0 GROUP BY kind")
+add("A17_merged_latencies", "op_latency", lambda m: _rank_errors(m, fl.merged_quantiles(_stored_sketches(m, "latency_us", "op", "run"), ("op",)), "op", "latency_us", (50, 90, 99)),
+    "SELECT op, count(*) AS n, true AS p50_ok, true AS p90_ok, true AS p99_ok, true AS all_rows FROM op_latency GROUP BY op")
 add("A16_bucket_quantile", "work_items", lambda w: fl.bucket_quantile(fl.duration_hist(w), 0.5).select("kind", F.round("value", 6).alias("value")),
     """SELECT kind, round(CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (t * 0.5::DOUBLE - b) / (n - b) END, 6) AS value FROM (
        SELECT *, row_number() OVER (PARTITION BY kind ORDER BY le) AS k FROM (SELECT *, coalesce(lag(n) OVER w, 0) AS b, coalesce(lag(le) OVER w, 0) AS lo, max(n) OVER (PARTITION BY kind) AS t FROM hs WINDOW w AS (PARTITION BY kind ORDER BY le))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +11,10 @@ from driftline.checks.base import Registry
 from driftline.functions.hashing import in_sample
 from driftline.operators import journal as jr
 from driftline.operators import tree
+from driftline.sources.generate import gen_listing
 from driftline.sources.journal import append_journal, append_once, read_journal, read_once
+from driftline.sources.listing import scan_objects
+from driftline.sources.posix import read_posix
 from driftline.storage import shared_folder
 
 R = Registry()
@@ -118,3 +122,27 @@ R.add("W10_chunk_content", "content", lambda s: tree.split_content(_with_bytes(s
     """SELECT rel_path, i * 1000 AS "offset", least(1000, strlen(text) - i * 1000) AS length FROM content, unnest(range(0, greatest(1, ceil(strlen(text) / 1000.0))::BIGINT)) u(i)""")
 R.add("W10_assemble", "content", lambda s: tree.assemble(tree.split_content(_with_bytes(s), 777)).select("rel_path", F.decode("content", "UTF-8").alias("text")), "SELECT rel_path, text FROM content")
 R.add("S2_content_listing", "content", lambda s: _with_bytes(s).groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM content GROUP BY source")
+
+
+def _tree(content):
+    """The texts as files, in one directory for each language, one text a line; the root of the tree."""
+    root = _path(content, "tree")
+    content.select("lang", c("text").alias("value")).repartition("lang").write.partitionBy("lang").text(root)
+    return root
+
+
+_lang = F.regexp_extract("rel_path", "^lang=([^/]*)/", 1)
+_LANGS = "l AS (SELECT lang, sum(coalesce(octet_length(encode(text)), 0) + 1)::BIGINT AS bytes FROM content GROUP BY lang)"
+R.add("S2_scan_objects", "content", lambda t: scan_objects(t.sparkSession, _tree(t), "part-*.txt").groupBy(_lang.alias("lang")).agg(F.sum("size").alias("bytes"), F.sum(F.octet_length("content")).alias("read")),
+    "SELECT lang, bytes, bytes AS read FROM l", _LANGS)
+
+
+def _mounted(t):
+    """The tree as every executor sees it: the shared folder is a mount."""
+    return re.sub("^file:/*", "/", _tree(t))
+
+
+R.add("S3_read_posix", "content", lambda t: read_posix(t.sparkSession, _mounted(t), names=3).where("type = 'DIR' or rel_path rlike '/part-[^/]*txt$'").groupBy("type", _lang.alias("lang")).agg(F.sum("size").alias("bytes"), F.sum(F.when(c("type") == "DIR", 1).otherwise(0)).alias("dirs")),
+    """SELECT 'FILE' AS type, lang, bytes, 0::BIGINT AS dirs FROM l UNION ALL SELECT 'DIR', '', 0, count(*) FROM l""", _LANGS)
+R.add("S10_gen_listing", "agents", lambda a: gen_listing(a.sparkSession, a.count()).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("rel_path").alias("paths")).where("type <> 'FILE'"),
+    """SELECT type, n * (SELECT count(*) FROM agents) - root AS n, n * (SELECT count(*) FROM agents) - root AS paths FROM (VALUES ('DIR', 1, 1), ('SYMLINK', 3, 0), ('FIFO', 1, 0)) v(type, n, root)""")

@@ -145,6 +145,17 @@ def duration_quantiles(results: DataFrame, quantiles=(0.5, 0.99), accuracy: int
     return results.where("wall_ms > 0").groupBy("kind").agg(*[_quantile(F.col("wall_ms") / 1000, q, accuracy).alias(f"p{round(q * 100)}") for q in quantiles])
 
 
+def quantile_sketches(measured: DataFrame, value: str, by: tuple[str, ...], k: int = 400) -> DataFrame:
+    """One KLL sketch of a whole-number column per group (column sketch), of a size that k bounds. Sketches of passes, days or agents are stored and merged."""
+    return measured.where(F.col(value).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_bigint(F.col(value).cast("long"), F.lit(k)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, by: tuple[str, ...], quantiles=(0.5, 0.9, 0.99)) -> DataFrame:
+    """n and the quantiles of all that went into the sketches of a group; the rank of each is within about 2 / k."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch").alias("s"))
+    return merged.select(*by, F.kll_sketch_get_n_bigint("s").alias("n"), *[F.kll_sketch_get_quantile_bigint("s", F.lit(q)).alias(f"p{round(q * 100)}") for q in quantiles])
+
+
 def bucket_quantile(hist: DataFrame, q: float) -> DataFrame:
     """kind, value: the quantile by linear interpolation within its bucket; in the open bucket, its lower edge."""
     w = Window.partitionBy("kind").orderBy("le")
