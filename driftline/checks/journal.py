@@ -131,9 +131,12 @@ def _tree(content):
     return root
 
 
-_lang = F.regexp_extract("rel_path", "^lang=([^/]*)/", 1)
+def _lang():
+    return F.regexp_extract("rel_path", "^lang=([^/]*)/", 1).alias("lang")
+
+
 _LANGS = "l AS (SELECT lang, sum(coalesce(octet_length(encode(text)), 0) + 1)::BIGINT AS bytes FROM content GROUP BY lang)"
-R.add("S2_scan_objects", "content", lambda t: scan_objects(t.sparkSession, _tree(t), "part-*.txt").groupBy(_lang.alias("lang")).agg(F.sum("size").alias("bytes"), F.sum(F.octet_length("content")).alias("read")),
+R.add("S2_scan_objects", "content", lambda t: scan_objects(t.sparkSession, _tree(t), "part-*.txt").groupBy(_lang()).agg(F.sum("size").alias("bytes"), F.sum(F.octet_length("content")).alias("read")),
     "SELECT lang, bytes, bytes AS read FROM l", _LANGS)
 
 
@@ -142,7 +145,7 @@ def _mounted(t):
     return re.sub("^file:/*", "/", _tree(t))
 
 
-R.add("S3_read_posix", "content", lambda t: read_posix(t.sparkSession, _mounted(t), names=3).where("type = 'DIR' or rel_path rlike '/part-[^/]*txt$'").groupBy("type", _lang.alias("lang")).agg(F.sum("size").alias("bytes"), F.sum(F.when(c("type") == "DIR", 1).otherwise(0)).alias("dirs")),
+R.add("S3_read_posix", "content", lambda t: read_posix(t.sparkSession, _mounted(t), names=3).where("type = 'DIR' or rel_path rlike '/part-[^/]*txt$'").groupBy("type", _lang()).agg(F.sum("size").alias("bytes"), F.sum(F.when(c("type") == "DIR", 1).otherwise(0)).alias("dirs")),
     """SELECT 'FILE' AS type, lang, bytes, 0::BIGINT AS dirs FROM l UNION ALL SELECT 'DIR', '', 0, count(*) FROM l""", _LANGS)
 R.add("S10_gen_listing", "agents", lambda a: gen_listing(a.sparkSession, a.count()).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("rel_path").alias("paths")).where("type <> 'FILE'"),
     """SELECT type, n * (SELECT count(*) FROM agents) - root AS n, n * (SELECT count(*) FROM agents) - root AS paths FROM (VALUES ('DIR', 1, 1), ('SYMLINK', 3, 0), ('FIFO', 1, 0)) v(type, n, root)""")
