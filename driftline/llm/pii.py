@@ -13,26 +13,35 @@ valid values, and a value has the same pseudonym wherever and however it is writ
 values stay linked across documents. restore() undoes it with the key.
 
     card    13 to 19 digits, plain or grouped; the first digit stays, the last is computed
-    phone   North American numbers: area and exchange stay in 2-9xx; others after + keep 3 digits
+    phone   North American numbers, also bare: area and exchange stay in 2-9xx; others after + keep 3 digits
     ssn     area, group and serial within what is issued
     ipv4    first number 1 to 223
-    date    1900 to 2084, as Y-M-D, Y/M/D, D.M.Y or M/D/Y: 67571 days = 197 * 343
+    date    1900 to 2084, as Y-M-D, Y/M/D, D.M.Y, M/D/Y, or D/M/Y if the day is beyond 12
     iban    country and length stay, check digits are computed
     email   the name before @; the domain stays
     key     32, 40 or 64 hexadecimal digits in one case, letters and digits both
 
+Days written with two digits each move among all 67571 = 197 * 343 days. If month or day has
+one digit, or the date can be read as D/M/Y only, a day moves among those of the same widths
+and reading, so that it takes as many characters: year and day of the year are the halves, and
+29 February, which few years have, moves among leap years. Such a day need not be linked with
+the same day in other widths. A key that the rounds leave without letters or without digits
+goes through them again until it has both; three such passes in a row, at odds below 10^-19, end that.
+After +1 only North American numbers are valid.
+
 A number ends where a character other than A-Z, a-z, 0-9 stands; longer runs are no match.
 All is done with SQL functions in the row: no shuffle, no Python.
 
 Defined cases: a null text stays null with no finds; empty texts stay empty; very long texts
 are read whole; repeated rows are changed alike; an empty table gives an empty result; other
 columns are kept, but those named like the counts, which are replaced. Groups joined by single
-spaces are taken from the left. Dates not padded with zeros may become longer, and restore()
-pads them. The key is a parameter and part of the plan: give a secret one.
+spaces are taken from the left. The key is a parameter and part of the plan: give a secret one.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +72,7 @@ _FAST = CANDIDATE.replace("{1,64}@", "{1,64}+@")
 FORMS = {
     "email": r"^[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,63}$",
     "key": r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$",
-    "phone": r"^(\+?1[ .-]?)?\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[-. ][0-9]{4}$|^(1-)?[2-9][0-9]{2}-[2-9][0-9]{2}-[0-9]{4}$|^(1\.)?[2-9][0-9]{2}\.[2-9][0-9]{2}\.[0-9]{4}$|^\+[1-9][0-9 .-]*$",
+    "phone": r"^(\+?1[ .-]?)?\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[-. ][0-9]{4}$|^(1-)?[2-9][0-9]{2}-[2-9][0-9]{2}-[0-9]{4}$|^(1\.)?[2-9][0-9]{2}\.[2-9][0-9]{2}\.[0-9]{4}$|^[2-9][0-9]{2}[2-9][0-9]{6}$|^\+[1-9][0-9 .-]*$",
     "card": r"^[1-9][0-9]{12,18}$|^[1-9][0-9]{3}( [0-9]{4}){3}$|^[1-9][0-9]{3}(-[0-9]{4}){3}$|^[1-9][0-9]{3}( [0-9]{6} |-[0-9]{6}-)[0-9]{5}$",
     "ssn": r"^[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}$",
     "ipv4": r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$",
@@ -71,6 +80,23 @@ FORMS = {
     "iban": r"^[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}$|^[A-Z]{2}[0-9]{2}( [0-9A-Z]{4}){2,7}( [0-9A-Z]{1,3})?$",
 }
 LAST_YEAR, DATE_P, DATE_Q = 2084, 197, 343
+NANP = "^1[2-9][0-9]{2}[2-9][0-9]{6}$"
+
+#: Dates that are read as D/M/Y, and those whose month or day has one digit.
+DAY_FIRST = "^(1[3-9]|[23][0-9])/"
+SHORT_MONTH = "^[0-9]{4}[-/][0-9][-/]|[.][0-9][.]|^[0-9]/"
+SHORT_DAY = "^[0-9]{4}[-/][0-9]{1,2}[-/][0-9](T|$)|^[0-9][.]|^[0-9]{1,2}/[0-9]/"
+YEARS, LEAP_P, LEAP_Q = LAST_YEAR - 1899, 2, 23
+
+
+def _days(last_month: int, first: int, last: int) -> list[int]:
+    """The days of an ordinary year within the bounds, as month * 100 + day."""
+    year = (datetime.date(2001, 1, 1) + datetime.timedelta(n) for n in range(365))
+    return [t.month * 100 + t.day for t in year if t.month <= last_month and first <= t.day <= last]
+
+
+#: Days by widths and reading; dates with both widths 2 are in none.
+DAYS = {"day first, short month": _days(9, 13, 31), "day first": _days(12, 13, 31), "short both": _days(9, 1, 9), "short month": _days(9, 1, 31), "short day": _days(12, 1, 9)}
 
 
 def _quoted(s: str) -> str:
@@ -101,8 +127,14 @@ def _part(c: str, i: int) -> str:
 
 def _order(m: str) -> tuple[str, str, str]:
     """Where year, month and day stand: 0, 1 or 2."""
-    iso, point = f"{m} rlike '^[0-9]{{4}}'", f"{m} like '%.%'"
-    return f"case when {iso} then 0 else 2 end", f"case when {iso} or {point} then 1 else 0 end", f"case when {iso} then 2 when {point} then 0 else 1 end"
+    iso, day_first = f"{m} rlike '^[0-9]{{4}}'", f"({m} like '%.%' or {m} rlike '{DAY_FIRST}')"
+    return f"case when {iso} then 0 else 2 end", f"case when {iso} or {day_first} then 1 else 0 end", f"case when {iso} then 2 when {day_first} then 0 else 1 end"
+
+
+def _widths(matches) -> str:
+    """The class of DAYS of a date, '' if none; matches(pattern) tests the date in SQL."""
+    return f"""case when {matches(DAY_FIRST)} then case when {matches('/[0-9]/')} then 'day first, short month' else 'day first' end
+      when {matches(SHORT_MONTH)} then case when {matches(SHORT_DAY)} then 'short both' else 'short month' end when {matches(SHORT_DAY)} then 'short day' else '' end"""
 
 
 def _valid(kind: str) -> str:
@@ -114,7 +146,7 @@ def _valid(kind: str) -> str:
     if kind == "key":
         return "m rlike '[a-fA-F]' and m rlike '[0-9]'"
     if kind == "phone":
-        return "m not like '+%' or length(d) between 8 and 15"
+        return f"m not like '+%' or case when d like '1%' then d rlike '{NANP}' else length(d) between 8 and 15 end"
     if kind == "ssn":
         return "substr(m, 1, 3) not in ('000', '666') and substr(m, 5, 2) <> '00' and substr(m, 8) <> '0000'"
     if kind == "ipv4":
@@ -146,7 +178,12 @@ def _halves() -> str:
         return number(f"substr({s}, 1, {half})", f"substr({s}, {half} + 1)", f"pow(10, {half})", f"pow(10, length({s}) - {half})", tweak)
 
     ten = "right(x.d, 10)"
-    day = f"datediff(make_date({', '.join(f'cast(x.parts[{at}] as int)' for at in _order('x.m'))}), date'1900-01-01')"
+    y, mo, d = (f"cast(x.parts[{at}] as int)" for at in _order("x.m"))
+    day = f"datediff(make_date({y}, {mo}, {d}), date'1900-01-01')"
+    leap = f"({y} - 1904) div 4"
+    narrow = " ".join(f"when cls = '{name}' then {number(f'{y} - 1900', f'array_position(array({str(days)[1:-1]}), {mo} * 100 + {d}) - 1', YEARS, len(days), 'cls')}" for name, days in DAYS.items())
+    date = _let("cls", _widths(lambda p: f"x.m rlike '{p}'"), f"""case when cls = '' then {number(f"floor({day} / {DATE_Q})", f"{day} % {DATE_Q}", DATE_P, DATE_Q)}
+      when {mo} = 2 and {d} = 29 then {number(f"{leap} div {LEAP_Q}", f"{leap} % {LEAP_Q}", LEAP_P, LEAP_Q, "cls || ' leap'")} {narrow} end""")
     area = "cast(substr(x.m, 1, 3) as int)"
     return f"""case x.kind
       when 'card' then {digits("substr(x.d, 2, length(x.d) - 2)", "substr(x.d, 1, 1) || length(x.d)")}
@@ -154,7 +191,7 @@ def _halves() -> str:
                              else {digits("substr(x.d, 4)", "substr(x.d, 1, 3) || length(x.d)")} end
       when 'ssn' then {number(f"{area} - 1 - case when {area} > 666 then 1 else 0 end", "(cast(substr(x.m, 5, 2) as int) - 1) * 9999 + cast(substr(x.m, 8) as int) - 1", 898, 99 * 9999)}
       when 'ipv4' then {number(f"{_part('x.m', 0)} - 1", f"({_part('x.m', 1)} * 256 + {_part('x.m', 2)}) * 256 + {_part('x.m', 3)}", 223, 256**3)}
-      when 'date' then {number(f"floor({day} / {DATE_Q})", f"{day} % {DATE_Q}", DATE_P, DATE_Q)}
+      when 'date' then {date}
       when 'iban' then {text("substr(x.w, 5)", "substr(x.w, 1, 2)")}
       when 'email' then {text("substring_index(x.m, '@', 1)", "lower(substring_index(x.m, '@', -1))")}
       when 'key' then {text("x.m")} end"""
@@ -184,7 +221,9 @@ def _rounds(inverse: bool) -> str:
     state = "named_struct('a', {}, 'b', {}, 'l', {}, 'r', {})"
     even = state.format(moved("a", "b", "p"), "s.b", _shifted("s.l", "s.r", sign), "s.r")
     odd = state.format("s.a", moved("b", "a", "q"), "s.l", _shifted("s.r", "s.l", sign))
-    return f"aggregate({order}, {state.format('x.h.a', 'x.h.b', 'x.h.l', 'x.h.r')}, (s, i) -> case when i % 2 = 0 then {even} else {odd} end)"
+    once = f"aggregate({order}, t, (s, i) -> case when i % 2 = 0 then {even} else {odd} end)"
+    done = "n > 1 and (x.kind <> 'key' or (t.l || t.r) rlike '[a-fA-F]' and (t.l || t.r) rlike '[0-9]')"
+    return f"aggregate(sequence(1, 3), {state.format('x.h.a', 'x.h.b', 'x.h.l', 'x.h.r')}, (t, n) -> case when {done} then t else {once} end)"
 
 
 def _filled(chars: str) -> str:
@@ -209,7 +248,9 @@ def _written() -> str:
     new = f"array(case ({y}) when 0 then year(t) when 2 then case when ({mo}) = 0 then month(t) else day(t) end end, case when ({mo}) = 1 then month(t) else day(t) end, case when ({y}) = 2 then year(t) else day(t) end)"
     each = "transform(n, (v, k) -> lpad(cast(v as string), greatest(length(x.parts[k]), length(cast(v as string))), '0'))"
     mark = "case when x.m like '%-%' then '-' when x.m like '%.%' then '.' else '/' end"
-    date = _let("t", f"date_add(date'1900-01-01', cast(x.y.a * {DATE_Q} + x.y.b as int))", f"array_join({_let('n', new, each)}, {mark}) || case when x.m like '%T%' then right(x.m, 3) else '' end")
+    narrow = " ".join(f"when x.h.tweak = '{name}' then {_let('md', f'array({str(days)[1:-1]})[cast(x.y.b as int)]', 'make_date(cast(x.y.a + 1900 as int), md div 100, md % 100)')}" for name, days in DAYS.items())
+    moved = f"case when x.h.tweak = '' then date_add(date'1900-01-01', cast(x.y.a * {DATE_Q} + x.y.b as int)) {narrow} else make_date(cast(1904 + 4 * (x.y.a * {LEAP_Q} + x.y.b) as int), 2, 29) end"
+    date = _let("t", moved, f"array_join({_let('n', new, each)}, {mark}) || case when x.m like '%T%' then right(x.m, 3) else '' end")
     account = "x.y.l || x.y.r"
     remainder = _mod97(f"({account} || left(x.w, 2) || '00')")
     iban = _let("n", f"left(x.w, 2) || lpad(cast(98 - {remainder} as string), 2, '0') || {account}", _filled("n"))
@@ -223,7 +264,7 @@ def _changed(docs: DataFrame, key: str, inverse: bool) -> DataFrame:
     columns = out.columns
     own = F.struct(*[F.col(c) if c != "text" else F.col(c).cast("string").alias(c) for c in columns])
     df = out.select(own.alias("row")).withColumn("found", F.expr(f"case when row.text rlike '[0-9@]' then regexp_extract_all(row.text, {_quoted(_FAST)}, 0) when row.text is not null then array() end"))
-    nanp = "(m not like '+%' or d rlike '^1[2-9][0-9]{2}[2-9][0-9]{6}$')"
+    nanp = "(m not like '+%' or d like '1%')"
     parts = "split(regexp_replace(m, 'T.*', ''), '[-./]')"
     judged = "named_struct('m', m, 'd', d, 'w', w, 'kind', " + _kind() + f", 'nanp', {nanp}, 'parts', {parts}, 'digits', case when m rlike '[A-F]' then '0123456789ABCDEF' else '0123456789abcdef' end)"
     df = df.withColumn("found", F.expr("transform(found, m -> " + _let("d", "regexp_replace(m, '[^0-9]', '')", _let("w", "regexp_replace(m, '[^0-9A-Z]', '')", judged)) + ")"))
@@ -274,7 +315,7 @@ def _sql(key: str = KEY) -> str:
         return f"(list_reduce(list_transform(string_split({w}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN [10, c::INT] ELSE [100, ascii(c) - 55] END), lambda s, c: [0, (s[2] * c[1] + c[2]) % 97], [0, 0]))[2]"
 
     kinds = {
-        "email": "true", "key": "regexp_matches(m, '[a-fA-F]') AND regexp_matches(m, '[0-9]')", "phone": "m[1] <> '+' OR len(d) BETWEEN 8 AND 15", "card": f"{luhn('d')} % 10 = 0",
+        "email": "true", "key": "regexp_matches(m, '[a-fA-F]') AND regexp_matches(m, '[0-9]')", "phone": f"m[1] <> '+' OR CASE WHEN d[1] = '1' THEN regexp_matches(d, '{NANP}') ELSE len(d) BETWEEN 8 AND 15 END", "card": f"{luhn('d')} % 10 = 0",
         "ssn": "m[1:3] NOT IN ('000', '666') AND m[5:6] <> '00' AND m[8:11] <> '0000'",
         "ipv4": "c[1]::INT BETWEEN 1 AND 223 AND greatest(c[2]::INT, c[3]::INT, c[4]::INT) < 256 AND NOT regexp_matches(m, '(^|[.])0[0-9]')",
         "date": f"try_cast(c[yy] || '-' || c[mm] || '-' || c[dd] AS DATE) IS NOT NULL AND c[yy]::INT <= {LAST_YEAR}", "iban": f"len(w) BETWEEN 15 AND 34 AND {mod97('w[5:] || w[1:4]')} = 1",
@@ -285,11 +326,14 @@ def _sql(key: str = KEY) -> str:
     day = "date_diff('day', DATE '1900-01-01', (c[yy] || '-' || c[mm] || '-' || c[dd])::DATE)"
     numeric = "kind = 'card' OR kind = 'phone' AND NOT nanp"
     area = "m[1:3]::INT"
-    a = f"CASE WHEN {numeric} THEN (s[1:len(s) // 2])::BIGINT WHEN kind = 'phone' THEN right(d, 10)[1:3]::INT - 200 WHEN kind = 'ssn' THEN {area} - 1 - ({area} > 666)::INT WHEN kind = 'ipv4' THEN c[1]::INT - 1 WHEN kind = 'date' THEN {day} // {DATE_Q} END"
-    b = f"CASE WHEN {numeric} THEN (s[len(s) // 2 + 1:])::BIGINT WHEN kind = 'phone' THEN right(d, 7)::INT - 2000000 WHEN kind = 'ssn' THEN (m[5:6]::INT - 1) * 9999 + m[8:11]::INT - 1 WHEN kind = 'ipv4' THEN c[2]::INT * 65536 + c[3]::INT * 256 + c[4]::INT WHEN kind = 'date' THEN {day} % {DATE_Q} END"
-    p = f"CASE WHEN {numeric} THEN 10 ** (len(s) // 2) WHEN kind = 'phone' THEN 800 WHEN kind = 'ssn' THEN 898 WHEN kind = 'ipv4' THEN 223 ELSE {DATE_P} END"
-    q = f"CASE WHEN {numeric} THEN 10 ** (len(s) - len(s) // 2) WHEN kind = 'phone' THEN 8000000 WHEN kind = 'ssn' THEN {99 * 9999} WHEN kind = 'ipv4' THEN {256**3} ELSE {DATE_Q} END"
-    tweak = "CASE WHEN kind = 'card' THEN d[1] || len(d) WHEN kind = 'phone' AND NOT nanp THEN d[1:3] || len(d) WHEN kind = 'iban' THEN w[1:2] WHEN kind = 'email' THEN lower(split_part(m, '@', 2)) ELSE '' END"
+    year, md, leap = "c[yy]::INT", "(c[mm]::INT * 100 + c[dd]::INT)", "((c[yy]::INT - 1904) // 4)"
+    days = "CASE cls " + " ".join(f"WHEN '{name}' THEN {listed}" for name, listed in DAYS.items()) + " END"
+    is_leap, narrow = f"kind = 'date' AND cls <> '' AND {md} = 229", "kind = 'date' AND cls <> ''"
+    a = f"CASE WHEN {numeric} THEN (s[1:len(s) // 2])::BIGINT WHEN kind = 'phone' THEN right(d, 10)[1:3]::INT - 200 WHEN kind = 'ssn' THEN {area} - 1 - ({area} > 666)::INT WHEN kind = 'ipv4' THEN c[1]::INT - 1 WHEN {is_leap} THEN {leap} // {LEAP_Q} WHEN {narrow} THEN {year} - 1900 WHEN kind = 'date' THEN {day} // {DATE_Q} END"
+    b = f"CASE WHEN {numeric} THEN (s[len(s) // 2 + 1:])::BIGINT WHEN kind = 'phone' THEN right(d, 7)::INT - 2000000 WHEN kind = 'ssn' THEN (m[5:6]::INT - 1) * 9999 + m[8:11]::INT - 1 WHEN kind = 'ipv4' THEN c[2]::INT * 65536 + c[3]::INT * 256 + c[4]::INT WHEN {is_leap} THEN {leap} % {LEAP_Q} WHEN {narrow} THEN list_position({days}, {md}) - 1 WHEN kind = 'date' THEN {day} % {DATE_Q} END"
+    p = f"CASE WHEN {numeric} THEN 10 ** (len(s) // 2) WHEN kind = 'phone' THEN 800 WHEN kind = 'ssn' THEN 898 WHEN kind = 'ipv4' THEN 223 WHEN {is_leap} THEN {LEAP_P} WHEN {narrow} THEN {YEARS} ELSE {DATE_P} END"
+    q = f"CASE WHEN {numeric} THEN 10 ** (len(s) - len(s) // 2) WHEN kind = 'phone' THEN 8000000 WHEN kind = 'ssn' THEN {99 * 9999} WHEN kind = 'ipv4' THEN {256**3} WHEN {is_leap} THEN {LEAP_Q} WHEN {narrow} THEN len({days}) ELSE {DATE_Q} END"
+    tweak = f"CASE WHEN {is_leap} THEN cls || ' leap' WHEN kind = 'date' THEN cls WHEN kind = 'card' THEN d[1] || len(d) WHEN kind = 'phone' AND NOT nanp THEN d[1:3] || len(d) WHEN kind = 'iban' THEN w[1:2] WHEN kind = 'email' THEN lower(split_part(m, '@', 2)) ELSE '' END"
     rounds = ""
     for i in range(ROUNDS):
         x, y, modulus, u, v = ("a", "b", "p", "l", "r") if i % 2 == 0 else ("b", "a", "q", "r", "l")
@@ -312,15 +356,16 @@ r{i + 1} AS (SELECT * EXCLUDE (x, h) REPLACE ({number} AS {x}, coalesce(array_to
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, text, regexp_extract_all(text, {re(CANDIDATE)}) AS ms, string_split_regex(text, {re(CANDIDATE)}) AS gaps FROM documents),
 e AS (SELECT rid, unnest(range(1, len(ms) + 1)) AS k, unnest(ms) AS m FROM t),
 f AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d, regexp_replace(m, '[^0-9A-Z]', '', 'g') AS w, string_split_regex(regexp_replace(m, 'T.*', ''), '[-./]') AS c,
-  CASE WHEN regexp_matches(m, '^[0-9]{{4}}') THEN 1 ELSE 3 END AS yy, CASE WHEN regexp_matches(m, '^[0-9]{{4}}') OR contains(m, '.') THEN 2 ELSE 1 END AS mm,
-  CASE WHEN regexp_matches(m, '^[0-9]{{4}}') THEN 3 WHEN contains(m, '.') THEN 1 ELSE 2 END AS dd FROM e),
-g AS (SELECT *, {case} AS kind, m[1] <> '+' OR regexp_matches(d, '^1[2-9][0-9]{{2}}[2-9][0-9]{{6}}$') AS nanp, CASE WHEN regexp_matches(m, '[A-F]') THEN '0123456789ABCDEF' ELSE '0123456789abcdef' END AS hexes FROM f),
+  CASE WHEN regexp_matches(m, '^[0-9]{{4}}') THEN 1 ELSE 3 END AS yy, CASE WHEN regexp_matches(m, '^[0-9]{{4}}') OR contains(m, '.') OR regexp_matches(m, '{DAY_FIRST}') THEN 2 ELSE 1 END AS mm,
+  CASE WHEN regexp_matches(m, '^[0-9]{{4}}') THEN 3 WHEN contains(m, '.') OR regexp_matches(m, '{DAY_FIRST}') THEN 1 ELSE 2 END AS dd FROM e),
+g AS (SELECT *, {case} AS kind, m[1] <> '+' OR d[1] = '1' AS nanp, {_widths(lambda p: f"regexp_matches(m, '{p}')")} AS cls, CASE WHEN regexp_matches(m, '[A-F]') THEN '0123456789ABCDEF' ELSE '0123456789abcdef' END AS hexes FROM f),
 s AS (SELECT *, {body} AS s FROM g WHERE kind IS NOT NULL),
 r0 AS (SELECT *, {a} AS a, {b} AS b, ({p})::BIGINT AS p, ({q})::BIGINT AS q, {tweak} AS tweak,
   CASE WHEN kind IN ('email', 'key', 'iban') THEN s[1:len(s) // 2] ELSE '' END AS l, CASE WHEN kind IN ('email', 'key', 'iban') THEN s[len(s) // 2 + 1:] ELSE '' END AS r FROM s){rounds},
 n AS (SELECT *, CASE kind WHEN 'card' THEN d[1] || {middle} WHEN 'phone' THEN CASE WHEN nanp THEN d[1:len(d) - 10] || (a + 200) || (b + 2000000) ELSE d[1:3] || {middle} END
   WHEN 'ssn' THEN lpad((a + 1 + (a + 1 > 665)::INT)::VARCHAR, 3, '0') || lpad((b // 9999 + 1)::VARCHAR, 2, '0') || lpad((b % 9999 + 1)::VARCHAR, 4, '0')
-  WHEN 'iban' THEN w[1:2] || lpad((98 - {mod97("(l || r || w[1:2] || '00')")})::VARCHAR, 2, '0') || l || r END AS new, DATE '1900-01-01' + CASE WHEN kind = 'date' THEN a * {DATE_Q} + b ELSE 0 END::INT AS new_day FROM r{ROUNDS}),
+  WHEN 'iban' THEN w[1:2] || lpad((98 - {mod97("(l || r || w[1:2] || '00')")})::VARCHAR, 2, '0') || l || r END AS new, CASE WHEN kind <> 'date' THEN DATE '1900-01-01' WHEN tweak = '' THEN DATE '1900-01-01' + (a * {DATE_Q} + b)::INT
+  WHEN tweak = cls THEN make_date(1900 + a, ({days})[b + 1] // 100, ({days})[b + 1] % 100) ELSE make_date(1904 + 4 * (a * {LEAP_Q} + b), 2, 29) END AS new_day FROM r{ROUNDS}),
 o AS (SELECT rid, k, kind, CASE kind WHEN 'card' THEN {filled("new || ((10 - " + luhn("(new || '0')") + " % 10) % 10)")} WHEN 'ipv4' THEN concat_ws('.', a + 1, b // 65536, b // 256 % 256, b % 256)
   WHEN 'date' THEN lpad(x[1], greatest(len(x[1]), len(c[1]))::INT, '0') || {mark} || lpad(x[2], greatest(len(x[2]), len(c[2]))::INT, '0') || {mark} || lpad(x[3], greatest(len(x[3]), len(c[3]))::INT, '0') || CASE WHEN contains(m, 'T') THEN right(m, 3) ELSE '' END
   WHEN 'email' THEN l || r || '@' || split_part(m, '@', 2) WHEN 'key' THEN l || r ELSE {filled('new')} END AS y
