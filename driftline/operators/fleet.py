@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from driftline.operators.slices import SLICES, bounds, lagged, upheld, with_slice
 from driftline.shipping import map_in_arrow
 
 ATTEMPT_CAP = 5
@@ -67,10 +68,10 @@ def slowest_inflight(inflight: DataFrame, n: int, order: str = "running_ms") ->
     return inflight.orderBy(F.col(order).desc(), "lease_id").limit(n)
 
 
-def counter_rates(stats: DataFrame, value: str = "entries") -> DataFrame:
-    """agent_id, ts_us, delta, seconds, rate from cumulative counters; after a reset the new value is the delta."""
-    w = Window.partitionBy("agent_id").orderBy("ts_us", "seq")
-    rows = stats.withColumn("d", F.col(value) - F.lag(value).over(w)).withColumn("us", F.col("ts_us") - F.lag("ts_us").over(w)).where("us is not null")
+def counter_rates(stats: DataFrame, value: str = "entries", slices: int = SLICES) -> DataFrame:
+    """agent_id, ts_us, delta, seconds, rate from cumulative counters; after a reset the new value is the delta. An agent's rows are spread over slices of time."""
+    rows = lagged(stats.select("agent_id", "ts_us", "seq", value), ["agent_id"], ["ts_us", "seq"], {"before": value, "ts_before": "ts_us"}, slices)
+    rows = rows.withColumn("d", F.col(value) - F.col("before")).withColumn("us", F.col("ts_us") - F.col("ts_before")).where("us is not null")
     delta = F.when(F.col("d") < 0, F.col(value)).otherwise(F.col("d"))
     return rows.select("agent_id", "ts_us", "seq", delta.alias("delta"), "us", F.when(F.col("us") > 0, delta * 1_000_000 / F.col("us")).alias("rate"))
 
@@ -95,10 +96,12 @@ def over_granted(samples: DataFrame) -> DataFrame:
     return samples.groupBy("agent_id").agg((F.avg(F.when(F.col("running"), 0.0).otherwise(1.0)) > 0.5).alias("over_granted"))
 
 
-def transitions(snapshots: DataFrame, key: list[str], order: list[str], state: str = "state", silent_first: tuple[str, ...] = ()) -> DataFrame:
-    """Rows where the state of a key differs from its previous one, with the previous as `was`. The first row of a key is silent."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    rows = snapshots.withColumn("was", F.lag(state).over(w)).where(f"was is not null and was <> {state}")
+def transitions(snapshots: DataFrame, key: list[str], order: list[str], state: str = "state", silent_first: tuple[str, ...] = (), slices: int = SLICES) -> DataFrame:
+    """Rows where the state of a key differs from its previous one, with the previous as `was`. The first row of a key is silent.
+
+    A key's rows are spread over slices of the first column of `order`, which is a number, a day or a time.
+    """
+    rows = lagged(snapshots, key, order, {"was": state}, slices).where(f"was is not null and was <> {state}")
     return rows.where(~F.col("was").isin(*silent_first)) if silent_first else rows
 
 
@@ -226,23 +229,51 @@ def digest_steps(parks, rollup_ms: int, until: int | None = None):
             yield until, at, item
 
 
-def parked_alerts(parks: DataFrame, rollup_ms: int = 300_000) -> DataFrame:
+def digest_starts(gaps, rollup_ms: int):
+    """Times of the alerts that open a chain of rollups in a job. gaps, in order: (the park before or None, how many parks it has, park), more than a rollup apart.
+
+    Parks that are nearer never end a chain, so gaps are all it takes: at most a job's time over the rollup.
+    """
+    start = None
+    for before, n, at in gaps:
+        if start is not None:
+            told = start if before == start and n == 1 else start + max(1, -(-(before - start) // rollup_ms)) * rollup_ms
+            if at <= told + rollup_ms:
+                continue
+        start = at
+        yield at
+
+
+def parked_alerts(parks: DataFrame, rollup_ms: int = 300_000, slices: int = SLICES) -> DataFrame:
     """job_id, at_ms, parked_ms, item_id: one row per park, with the time of the alert that tells of it; parks as in parked_digest().
 
-    A job's parks are sorted and streamed through one task; no job is ever an array.
+    Within a chain of rollups the time of an alert is arithmetic; chains begin at some of the
+    gaps longer than a rollup, which alone are followed one by one. A job's parks are spread over slices of time.
     """
-    ordered = parks.select("job_id", F.col("parked_ms").cast("long").alias("at"), F.col("item_id").cast("long").alias("item"))
-    ordered = ordered.repartition("job_id").sortWithinPartitions("job_id", "at", "item")
+    rows = parks.select("job_id", F.col("parked_ms").cast("long").alias("at"), F.col("item_id").cast("long").alias("item"))
+    timed = rows.where("at is not null")
+    times = timed.groupBy("job_id", "at").agg(F.count("*").alias("n"))
+    gaps = lagged(times, ["job_id"], ["at"], {"before": "at", "many": "n"}, slices).where(F.col("before").isNull() | (F.col("at") - F.col("before") > rollup_ms))
+    gaps = gaps.select("job_id", "before", "many", "at").repartition("job_id").sortWithinPartitions("job_id", "at")
 
     def run(batches):
-        rows = ((r[0], (r[1], r[2])) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        told = ((job, *x) for job, own in groupby(rows, key=lambda r: r[0]) for x in digest_steps((r[1] for r in own), rollup_ms))
-        while part := list(islice(told, 10_000)):
-            yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("job_id", "at_ms", "parked_ms", "item_id"), zip(*part, strict=True), kinds, strict=True)})
-
-    job = ordered.schema["job_id"].dataType
-    kinds = (to_arrow_type(job), pa.int64(), pa.int64(), pa.int64())
-    return map_in_arrow(ordered, run, f"job_id {job.simpleString()}, at_ms bigint, parked_ms bigint, item_id bigint")
+        found = ((r[0], r[1:]) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        begun = ((job, at) for job, own in groupby(found, key=lambda r: r[0]) for at in digest_starts((r[1] for r in own), rollup_ms))
+        while part := list(islice(begun, 10_000)):
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("job_id", "start"), zip(*part, strict=True), (kind, pa.int64()), strict=True)})
+
+    job = gaps.schema["job_id"].dataType
+    kind = to_arrow_type(job)
+    cuts = bounds(times, "at", slices)
+    starts = upheld(map_in_arrow(gaps, run, f"job_id {job.simpleString()}, start bigint"), "job_id", "start", cuts, slices)
+    own = with_slice(timed, "at", cuts).withColumn("own", F.lit(True))
+    both = own.unionByName(starts.select("job_id", F.col("start").alias("at"), "_slice", "start", F.lit(False).alias("own")), allowMissingColumns=True)
+    w = Window.partitionBy("job_id", "_slice").orderBy("at", "own", "item")
+    both = both.withColumn("opens", ~F.lag("own").over(w)).withColumn("start", F.last("start", ignorenulls=True).over(w)).where("own")
+    rollups = F.greatest(F.lit(1), F.expr(f"(at - start + {rollup_ms - 1}) div {rollup_ms}"))
+    told = F.when((F.col("at") == F.col("start")) & F.col("opens"), F.col("at")).otherwise(F.col("start") + rollups * rollup_ms)
+    at_once = rows.where("at is null").select("job_id", F.col("at").alias("at_ms"), F.col("at").alias("parked_ms"), F.col("item").alias("item_id"))
+    return both.select("job_id", told.alias("at_ms"), F.col("at").alias("parked_ms"), F.col("item").alias("item_id")).unionByName(at_once)
 
 
 def parked_digest(parks: DataFrame, rollup_ms: int = 300_000) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.paths import ancestors, depth, parent, prefixes, root_above
+from driftline.functions.paths import depth, parent, prefixes, root_above
 
 
 def directory_sizes(listing: DataFrame) -> DataFrame:
@@ -23,9 +23,10 @@ def wide_dirs(listing: DataFrame, threshold: int = 50_000, batch: int = 4000) ->
 
 
 def subtree_totals(listing: DataFrame) -> DataFrame:
-    """dir, objects and bytes of everything beneath each directory, the root included."""
-    rows = listing.select(F.explode(ancestors(F.col("rel_path"))).alias("dir"), "size")
-    return rows.groupBy("dir").agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
+    """dir, objects and bytes of everything beneath each directory, the root included. Entries are summed by their parent first; only parents are exploded."""
+    own = listing.where("rel_path <> ''").groupBy(parent(F.col("rel_path")).alias("parent")).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    rows = own.select(F.explode(F.concat(F.array(F.lit("")), prefixes(F.col("parent")))).alias("dir"), "n", "size")
+    return rows.groupBy("dir").agg(F.sum("n").alias("objects"), F.sum("size").alias("bytes"))
 
 
 def over_budget(listing: DataFrame, budget: int = 2000) -> DataFrame:
@@ -77,7 +78,8 @@ def delete_journal(removed: DataFrame, roots: DataFrame, dry_run: bool) -> DataF
 
 def delete_closure(work: DataFrame) -> DataFrame:
     """dir, closed: a directory closes when its own batches and those of all directories beneath it are done. work: dir, done."""
-    rows = work.select(F.explode(prefixes(F.col("dir"))).alias("dir"), "done")
+    own = work.groupBy("dir").agg(F.bool_and("done").alias("done"))
+    rows = own.select(F.explode(prefixes(F.col("dir"))).alias("dir"), "done")
     return rows.groupBy("dir").agg(F.bool_and("done").alias("closed"))
 
 

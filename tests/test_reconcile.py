@@ -2,11 +2,13 @@
 
 import itertools
 import os
+import random
 
 import pytest
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
-from driftline.operators import diff, fleet, journal, ledger, tree
+from driftline.operators import diff, fleet, journal, ledger, slices, tree
 from driftline.options import SyncOptions
 from driftline.plans.passes import delete_pass, run_passes
 from driftline.sources.generate import gen_listing
@@ -139,6 +141,42 @@ def test_parked_alerts_stream(spark):
     assert got == {(r["job_id"], r["at_ms"]): len(r["items"]) for r in fleet.parked_digest(parks, 300).collect()}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_alerts_follow_the_fold(spark, seed):
+    """Parks with dense runs, gaps near one and two rollups, ties, repeats and nulls get the alerts of the plain fold, in any number of slices."""
+    rng, rows = random.Random(seed), []
+    for job in (1, 2, None):
+        at = 0
+        for i in range(400):
+            at += rng.choice((0, 0, 1, 3, 9, 10, 11, 12, 15, 19, 20, 21, 22, 45))
+            rows.append((job, rng.choice((i, i, 7, None)), at if rng.random() > 0.02 else None))
+    parks = spark.createDataFrame(rows, "job_id bigint, item_id bigint, parked_ms bigint")
+    first = lambda v: (v is not None, v or 0)
+    expected = [(job, *told) for job in (1, 2, None) for told in fleet.digest_steps(sorted(((t, i) for j, i, t in rows if j == job), key=lambda r: (first(r[0]), first(r[1]))), 10)]
+    for slices in (2, 9):
+        assert sorted(map(str, fleet.parked_alerts(parks, 10, slices).collect())) == sorted(str(Row(job_id=a, at_ms=b, parked_ms=c, item_id=d)) for a, b, c, d in expected)
+    assert fleet.parked_alerts(parks.where("false"), 10).count() == 0
+
+
+def test_lag_over_a_hot_key(spark):
+    """Values of the row before, over slices, equal lag(); a key with most of the rows lies in many partitions of the window."""
+    df = spark.range(4000).selectExpr("case when id % 10 = 0 then id % 7 when id % 10 < 9 then -1 end as k", "case when id % 97 > 0 then cast(hash(id) % 500 as bigint) end as at", "id as seq", "case when id % 5 > 0 then id end as v")
+    w = Window.partitionBy("k").orderBy("at", "seq")
+    plain = df.withColumn("before", F.lag("v").over(w)).withColumn("was_at", F.lag("at").over(w))
+    got = slices.lagged(df, ["k"], ["at", "seq"], {"before": "v", "was_at": "at"}, 8)
+    assert got.columns == plain.columns and got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+    cut = slices.with_slice(df.where("k = -1"), "at", slices.bounds(df, "at", 8)).groupBy("_slice").count()
+    assert cut.count() == 8 and cut.agg(F.max("count")).first()[0] < 700
+    assert slices.lagged(df.where("false"), ["k"], ["at", "seq"], {"before": "v"}).count() == 0
+
+
+def test_totals_are_summed_by_parent_first(spark):
+    df = spark.createDataFrame([("", 9), ("a", 1), ("a/b", 2), ("a/b/c", 3), ("a/b/d", None), ("z", 4)], "rel_path string, size bigint")
+    assert {tuple(r) for r in tree.subtree_totals(df).collect()} == {("", 5, 10), ("a", 3, 5), ("a/b", 2, 3)}
+    plan = tree.subtree_totals(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate"):]  # beneath the explode
+
+
 def test_convergence_cases(spark):
     p = spark.createDataFrame([(1, 1, 0, 0, 0), (2, 1, 42, 0, 9), (3, 1, 0, 3, 0), (4, 3, 99, 0, 9), (5, 1, 5, 0, 9)], "job_id int, pass_no int, files_copied bigint, meta_fixed bigint, bytes_copied bigint")
     flags = lambda o: [r[0] for r in p.orderBy("job_id").select(ledger.converged(o)).collect()]
