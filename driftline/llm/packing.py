@@ -8,8 +8,9 @@ longest; the gap each leaves is looked up among the sums of one, two and three l
 still there, a combination that fills it exactly is used as often as the counts allow, and
 what has no exact complement is filled by the longest lengths that fit.
 
-Ranks within one length are counted per salt and then offset, so a length that a third of
-all pieces have is spread over `salts` tasks.
+Ranks within one length are counted per salt and then offset; a length has a salt for every
+`rows_per_salt` pieces, so one that a third of all pieces have is spread over as many tasks as it
+needs. Slots of a length are looked up by blocks of ranks, about two to a block.
 
 Defined cases: a null or empty text is the end id alone; a very long text is cut, every
 piece but the last full; repeated rows are packed as rows of their own; null doc_ids are
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,7 +35,7 @@ from .common import materialize, read
 
 CAPACITY = 2048
 END_ID = 0
-SALTS = 64
+ROWS_PER_SALT = 250_000
 #: Cached words per Python worker, of at most so many bytes (about 200 with what they map to); beyond it the cache starts anew.
 CACHE_WORDS, LONGEST = 700_000, 64
 
@@ -223,14 +225,11 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return plan
 
 
-def pack_sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, salts: int = SALTS) -> DataFrame:
+def pack_sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """The pieces with sequence_id and offset."""
     spark = docs.sparkSession
-    pieces = materialize(tokenize_pieces(docs, tokenizer, capacity, with_ids), "pieces").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
-    )
-    salted = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in salted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    pieces = materialize(tokenize_pieces(docs, tokenizer, capacity, with_ids), "pieces")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     slots, first, sequences = [], {}, 0
     for items, times in packing_plan(counts, capacity):
         at = 0
@@ -239,7 +238,13 @@ def pack_sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int
             first[n] = first.get(n, 0) + times
             at += n
         sequences += times
-    slots = spark.createDataFrame(slots, "slot_length bigint, first bigint, times bigint, sequence bigint, offset bigint")
+    many = Counter(slot[0] for slot in slots)
+    ranks = {n: -(-counts[n] // many[n]) for n in many}  # of a block; a length has no more blocks than slots
+    blocks = [(*slot, b) for slot in slots for b in range(slot[1] // ranks[slot[0]], (slot[1] + slot[2] - 1) // ranks[slot[0]] + 1)]
+    slots = spark.createDataFrame(blocks, "slot_length bigint, first bigint, times bigint, sequence bigint, offset bigint, slot_block bigint")
+    lengths = spark.createDataFrame([(n, -(-counts[n] // rows_per_salt), ranks[n]) for n in many], "length bigint, salts bigint, ranks bigint")
+    pieces = pieces.join(F.broadcast(lengths), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts"))  # at most `capacity` rows
+    salted = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select(
         F.col("length").alias("o_length"), F.col("salt").alias("o_salt"), "before"
@@ -247,12 +252,13 @@ def pack_sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         pieces.withColumn("own", F.row_number().over(own) - 1)
-        .join(F.broadcast(offsets), (F.col("length") == F.col("o_length")) & (F.col("salt") == F.col("o_salt")))  # at most capacity * salts rows
+        .join(offsets, (F.col("length") == F.col("o_length")) & (F.col("salt") == F.col("o_salt")))  # pieces lie by these keys since the window
         .withColumn("rank", F.col("own") + F.col("before"))
+        .withColumn("block", F.expr("rank div ranks"))
     )
     placed = ranked.join(
         F.broadcast(slots),  # its size is bound by the capacity, not by the corpus
-        (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("times")),
+        (F.col("length") == F.col("slot_length")) & (F.col("block") == F.col("slot_block")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("times")),
     )
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

@@ -243,13 +243,14 @@ def test_rules_on_odd_rows(spark, tmp_path):
     assert rules.stored_ledger(docs.where("false")).count() == 0
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("rows_per_salt", [2, packing.ROWS_PER_SALT])
+def test_packing(spark, rows_per_salt):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
     texts = [*odd_texts(), "Don't, l'été ÀÉ's 12 <|endoftext|> a<|b İ ΣΑΣ _x_ 日本語"]
     docs = documents(spark, texts)
-    got = packing.pack_sequences(docs, capacity=64, with_ids=True).collect()
+    got = packing.pack_sequences(docs, capacity=64, with_ids=True, rows_per_salt=rows_per_salt).collect()
     want = collections.Counter()
     for i, t in enumerate(texts):
         doc_id, text = t if isinstance(t, tuple) else (i, t)
