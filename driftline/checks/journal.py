@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from driftline.checks.base import Registry
 from driftline.functions.hashing import in_sample
+from driftline.operators import chunks, tree
 from driftline.operators import journal as jr
-from driftline.operators import tree
 from driftline.sources.generate import gen_listing
 from driftline.sources.journal import append_journal, append_once, read_journal, read_once
 from driftline.sources.listing import scan_objects
@@ -121,6 +121,9 @@ R.add("F15_verify_sample", "journal", lambda j: jr.verify_sample(j, 0.01),
 R.add("W10_chunk_content", "content", lambda s: tree.split_content(_with_bytes(s), 1000).select("rel_path", "offset", F.length("data").alias("length")),
     """SELECT rel_path, i * 1000 AS "offset", least(1000, strlen(text) - i * 1000) AS length FROM content, unnest(range(0, greatest(1, ceil(strlen(text) / 1000.0))::BIGINT)) u(i)""")
 R.add("W10_assemble", "content", lambda s: tree.assemble(tree.split_content(_with_bytes(s), 777)).select("rel_path", F.decode("content", "UTF-8").alias("text")), "SELECT rel_path, text FROM content")
+R.add("W10_stream_sums", "content", lambda s: chunks.stream_sums(tree.split_content(_with_bytes(s), 777)), "SELECT rel_path, strlen(text)::BIGINT AS size, sha256(text) AS sum, text IS NOT NULL AS whole FROM content")
+R.add("W10_verify_pieces", "content content_dst", lambda s, d: chunks.verify_pieces(tree.split_content(_with_bytes(s), 1000), tree.split_content(_with_bytes(d), 777)),
+    "SELECT rel_path, coalesce(s.text = d.text, false) AS ok FROM content s FULL JOIN content_dst d USING (rel_path)")
 R.add("S2_content_listing", "content", lambda s: _with_bytes(s).groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM content GROUP BY source")
 
 

@@ -113,12 +113,13 @@ def unfinalized(progress: DataFrame, finalized: DataFrame) -> DataFrame:
 def split_content(objects: DataFrame, size: int) -> DataFrame:
     """rel_path, offset, data: content (binary) in pieces of `size` bytes."""
     n = F.greatest(F.lit(1), F.ceil(F.length("content") / F.lit(float(size)))).cast("int")
-    rows = objects.select("rel_path", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    return rows.select("rel_path", (F.col("i") * size).cast("long").alias("offset"), F.substring("content", F.col("i") * size + 1, F.lit(size)).alias("data"))
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("content"), i * size + 1, F.lit(size)))
+    rows = objects.select("rel_path", F.posexplode(pieces).alias("i", "data"))  # the array holds an object once, its rows a piece each
+    return rows.select("rel_path", (F.col("i") * F.lit(size).cast("long")).alias("offset"), "data")
 
 
 def assemble(pieces: DataFrame) -> DataFrame:
-    """rel_path and content, the pieces joined in order of their offsets."""
+    """rel_path and content, the pieces joined in order of their offsets; for small objects, as each is one row. Large ones: operators/chunks.py."""
     parts = F.array_sort(F.collect_list(F.struct("offset", F.hex("data").alias("data"))))
     return pieces.groupBy("rel_path").agg(parts.alias("parts")).select("rel_path", F.unhex(F.array_join(F.transform("parts", lambda p: p["data"]), "")).alias("content"))
 
