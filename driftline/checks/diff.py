@@ -12,7 +12,7 @@ from driftline.operators import diff, tree
 from driftline.options import SyncOptions
 from driftline.sources.listing import as_listing, read_listing, slice_listing
 from driftline.sources.snapshots import store_bucketed
-from driftline.storage import shared_folder
+from driftline.storage import materialize, shared_folder
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -193,8 +193,17 @@ add("J8_expand_deletes", lambda s, d: tree.expand_deletes(diff.orphans(s, d), d)
     "SELECT d.rel_path, d.type FROM dst d WHERE d.rel_path IN (SELECT rel_path FROM gone)")
 add("U4_delete_plan", lambda s, d: tree.delete_plan(diff.orphans(s, d), d, "job-1", "job-1", 7).groupBy("depth").agg(F.count("*").alias("n"), F.countDistinct("rel_path").alias("paths")),
     "SELECT len(string_split(d.rel_path, '/')) AS depth, count(*) AS n, count(*) AS paths FROM dst d WHERE d.rel_path IN (SELECT rel_path FROM gone) GROUP BY 1")
-add("U5_delete_journal", lambda s, d: tree.delete_journal(tree.expand_deletes(diff.orphans(s, d), d), diff.orphans(s, d), False).groupBy("type").agg(F.count("*").alias("n")).unionByName(
-        tree.delete_journal(tree.expand_deletes(diff.orphans(s, d), d), diff.orphans(s, d), True).groupBy("type").agg(F.count("*").alias("n"))),
+
+
+def _delete_journals(s, d):
+    """Counts of the rows of a delete pass and of its dry run; orphans are found once and written."""
+    roots = materialize(diff.orphans(s, d), "orphans")
+    removed = tree.expand_deletes(roots, d)
+    real, dry = (tree.delete_journal(removed, roots, dry_run).groupBy("type").agg(F.count("*").alias("n")) for dry_run in (False, True))
+    return real.unionByName(dry)
+
+
+add("U5_delete_journal", _delete_journals,
     "SELECT 'DELETED' AS type, count(*) AS n FROM dst d WHERE d.rel_path IN (SELECT rel_path FROM gone) UNION ALL SELECT 'WOULD_DELETE', count(*) FROM orphans")
 add("O1_deepest_first", lambda s: tree.deepest_first(s.where("type = 'DIR'")).select("rel_path", "depth"), "SELECT rel_path, len(string_split(rel_path, '/')) AS depth FROM src WHERE type = 'DIR'", "src", "")
 add("W11_batches", lambda s: tree.batches(tree.bucketed(s.where("type = 'FILE'"), 64).withColumn("parent", F.substring_index("rel_path", "/", 3)), 100, ["parent"], ["rel_path"]).select("rel_path", "batch"),

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.formats import ERRNO_NAMES, errno_class, octal_mode, sum_hex
+from driftline.functions.formats import errno_class, octal_mode, sum_hex
 from driftline.functions.hashing import content_sum, in_sample, sample_ppm
 from driftline.operators.diff import mode_differs, mtime_equal, xattrs_equal
 from driftline.options import SyncOptions
@@ -170,7 +170,3 @@ def audit_sums(journal: DataFrame, dst: DataFrame) -> DataFrame:
 
 def export_jsonl(journal: DataFrame, path: str) -> None:
     record_view(journal).write.mode("overwrite").json(path)
-
-
-def known_errnos() -> list[int]:
-    return sorted(ERRNO_NAMES)
