@@ -5,7 +5,7 @@ their host's. Hosts most of whose pages are allowed by rules are trusted seeds,
 of whose pages are blocked are blocked seeds. Trust is personalised PageRank from the
 trusted seeds along links; distrust is the same from the blocked seeds against them, since
 who links to blocked hosts vouches for them. A host is blocked if its distrust is greater
-than its trust times `tolerance`.
+than its trust times `most_distrust`. Rounds end when one adds next to nothing (`tolerance`).
 
 Links of one pair of hosts are one weighted edge, counted before the shuffle; both
 spreads run as one table, a join and a sum a round, written to the shared folder. Mass is
@@ -35,7 +35,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-ROUNDS = 12
+#: Rounds end when one adds no more than this share of a side's mass.
+TOLERANCE = 1e-5
 DAMPING = 0.85
 UNIT = 10**15
 #: The host of an absolute link.
@@ -69,8 +70,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", _lower(F.col("dst")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust for hosts that have any."""
+def _total(masses: DataFrame) -> int:
+    return masses.agg(F.sum("mass")).first()[0] or 0
+
+
+def host_scores(judged: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """host, trust, distrust for hosts that have any.
+
+    Mass starts at the seeds' own share and only grows, in whole numbers, so the rounds end for every
+    graph: what a round adds falls by the damping.
+    """
     hosts = judged.where("host <> ''").groupBy("host").agg(
         F.count("*").alias("n"), *[F.sum(F.when(F.col("rule_verdict") == v, 1).otherwise(0)).alias(v) for v in ("allow", "block")]
     )
@@ -82,28 +91,29 @@ def host_scores(judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS, dampi
     out = both.groupBy("side", "src").agg(F.sum("n").alias("out"))
     both = materialize(both.join(out, ["side", "src"]), "links")
     base = seeds.select("side", "host", F.floor(F.col("mass") * (1 - damping)).cast("long").alias("mass"))
-    now = seeds
-    for _ in range(rounds):
+    now = base = materialize(base, "base")
+    before, total = 0, _total(base)
+    while total - before > tolerance * UNIT:
         sent = now.join(both, (now["side"] == both["side"]) & (now["host"] == both["src"])).select(
             both["side"], F.col("dst").alias("host"), F.floor(F.col("mass").cast("double") * F.col("n") / F.col("out") * damping).cast("long").alias("mass")
         )
         new = materialize(base.unionByName(sent).groupBy("side", "host").agg(F.sum("mass").alias("mass")), "mass")
-        if now is not seeds:
+        if now is not base:
             release(now)
-        now = new
+        now, before, total = new, total, _total(new)
     one = [F.sum(F.when(F.col("side") == k, F.col("mass")).otherwise(0)).alias(c) for k, c in enumerate(("trust", "distrust"))]
     return now.groupBy("host").agg(*one)
 
 
-def filter_pages(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = 1.0) -> DataFrame:
+def filter_pages(pages: DataFrame, rules=RULES, tolerance: float = TOLERANCE, damping: float = DAMPING, most_distrust: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust; one row per page."""
     judged = with_rule(with_host(pages.select("page_id", "url", "html")), rules)
     edges = materialize(host_edges(judged), "host_edges")
     judged = judged.drop("html", "url")
-    scores = host_scores(judged, edges, rounds, damping)
+    scores = host_scores(judged, edges, tolerance, damping)
     named = judged.join(scores.withColumnRenamed("host", "s_host"), F.col("host") == F.col("s_host"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
-    verdict = F.coalesce("rule_verdict", F.when(distrust > trust * tolerance, "block").otherwise("allow"))
+    verdict = F.coalesce("rule_verdict", F.when(distrust > trust * most_distrust, "block").otherwise("allow"))
     return named.select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
@@ -112,20 +122,13 @@ def op3_url_filter(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same with one common table expression per round."""
+    """The same with a recursive table: its rows are those of one round, with the sums of the masses before and after it."""
     rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN" for _, h, p in rules]
     case = lambda values: "CASE " + " ".join(f"{f} '{v}'" for f, v in zip(fits, values, strict=True)) + " END"
     link = LINK.replace("'", "''")
-    rounds = "".join(
-        f""",
-m{i + 1} AS MATERIALIZED (SELECT side, host, sum(mass)::BIGINT AS mass FROM (
-  SELECT side, host, floor(mass * (1 - {DAMPING}::DOUBLE))::BIGINT AS mass FROM m0
-  UNION ALL SELECT l.side, dst, floor(mass::DOUBLE * n / o * {DAMPING}::DOUBLE)::BIGINT FROM m{i} m JOIN l ON m.side = l.side AND m.host = l.src) GROUP BY side, host)"""
-        for i in range(ROUNDS)
-    )
     return rf"""
-WITH h AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+WITH RECURSIVE h AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 j AS (SELECT page_id, html, host, path, {case([h + p for _, h, p in rules])} AS rule, {case([v for v, _, _ in rules])} AS rv FROM h),
 e AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM j WHERE host <> '')
@@ -134,8 +137,13 @@ b AS (SELECT 0 AS side, src, dst, n FROM e UNION ALL SELECT 1, dst, src, n FROM
 l AS (SELECT *, sum(n) OVER (PARTITION BY side, src) AS o FROM b),
 hs AS (SELECT host, count(*) AS n, count(*) FILTER (rv = 'allow') AS a, count(*) FILTER (rv = 'block') AS b FROM j WHERE host <> '' GROUP BY host),
 sd AS (SELECT 0 AS side, host FROM hs WHERE 2 * a > n UNION ALL SELECT 1, host FROM hs WHERE 2 * b > n),
-m0 AS (SELECT side, host, floor({UNIT} / count(*) OVER (PARTITION BY side))::BIGINT AS mass FROM sd){rounds},
-s AS (SELECT host, coalesce(sum(mass) FILTER (side = 0), 0)::BIGINT AS trust, coalesce(sum(mass) FILTER (side = 1), 0)::BIGINT AS distrust FROM m{ROUNDS} GROUP BY host)
+b0 AS (SELECT side, host, floor(floor({UNIT} / count(*) OVER (PARTITION BY side))::BIGINT * (1 - {DAMPING}::DOUBLE))::BIGINT AS mass FROM sd),
+m AS (SELECT side, host, mass, 0 AS i, 0::BIGINT AS before, (sum(mass) OVER ())::BIGINT AS total FROM b0
+  UNION ALL SELECT side, host, sum(mass)::BIGINT, i, before, (sum(sum(mass)) OVER ())::BIGINT FROM (
+    SELECT b0.side, b0.host, b0.mass, p.i + 1 AS i, p.total AS before FROM b0, (SELECT DISTINCT i, total FROM m WHERE total - before > {TOLERANCE * UNIT}) p
+    UNION ALL SELECT l.side, dst, floor(mass::DOUBLE * n / o * {DAMPING}::DOUBLE)::BIGINT, i + 1, total FROM m JOIN l ON m.side = l.side AND m.host = l.src WHERE total - before > {TOLERANCE * UNIT})
+  GROUP BY side, host, i, before),
+s AS (SELECT host, coalesce(sum(mass) FILTER (side = 0), 0)::BIGINT AS trust, coalesce(sum(mass) FILTER (side = 1), 0)::BIGINT AS distrust FROM m WHERE i = (SELECT max(i) FROM m) GROUP BY host)
 SELECT page_id, j.host, path, rule, coalesce(rv, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM j LEFT JOIN s ON j.host = s.host
 """

@@ -119,6 +119,27 @@ def test_urls(spark):
     assert urls.filter_pages(df.where("false")).count() == 0
 
 
+def test_trust_reaches_far_hosts_and_cycles_end(spark):
+    """A chain of 16 hosts from a trusted one, and a blocked host in a ring of three."""
+    chain = ["seed.com", *[f"h{k}.org" for k in range(16)]]
+    link = lambda host: f'<a href="https://{host}/x">'
+    rows = [(k, f"https://{a}/p", link(b)) for k, (a, b) in enumerate(itertools.pairwise(chain))]
+    ring = ["bad.net", "r1.org", "r2.org"]
+    rows += [(100 + k, f"https://{h}/es/p", link(ring[(k + 1) % 3])) for k, h in enumerate(ring)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    judged = urls.filter_pages(df)
+    got = {r["host"]: r for r in judged.collect()}
+    mass = int(urls.UNIT * (1 - urls.DAMPING))
+    for host in chain[:-1]:
+        assert got[host]["trust"] == mass and got[host]["verdict"] == "allow"
+        mass = int(float(mass) * urls.DAMPING)
+    assert got[chain[-2]]["trust"] > 0
+    exact = {h: (1 - urls.DAMPING) * urls.DAMPING**k / (1 - urls.DAMPING**3) for h, k in (("bad.net", 0), ("r2.org", 1), ("r1.org", 2))}
+    assert all(abs(got[h]["distrust"] / urls.UNIT - x) < 1e-4 for h, x in exact.items())
+    assert [got[h]["verdict"] for h in ring] == ["block"] * 3
+    assert spark_rows(judged) == sql_rows(urls.OP3_SQL, pages=df)
+
+
 @pytest.mark.parametrize("block", [1024, 3])
 def test_vectors(spark, block):
     r = np.random.default_rng(3)
