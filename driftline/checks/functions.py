@@ -37,8 +37,13 @@ R.add("F9_paths", "src", lambda s: s.select("rel_path", paths.parent(c("rel_path
         paths.join(paths.parent(c("rel_path")), paths.leaf(c("rel_path"))).alias("again"), F.array_join(paths.ancestors(c("rel_path")), "|").alias("above")),
     """SELECT rel_path, array_to_string(p[1:-2], '/') AS parent, p[-1] AS leaf, len(p) AS depth, rel_path AS again,
          array_to_string(list_transform(range(0, len(p)), lambda i: array_to_string(p[1:i], '/')), '|') AS above FROM (SELECT rel_path, string_split(rel_path, '/') AS p FROM src)""")
-R.add("F10_paths_overlap", "jobs", lambda j: j.alias("a").join(j.alias("b"), c("a.state") == c("b.state")).select(c("a.name").alias("a"), c("b.name").alias("b"), paths.paths_overlap(c("a.destination"), F.concat(c("b.destination"), F.lit("/"))).alias("overlap")),
-    "SELECT a.name AS a, b.name AS b, starts_with(a.destination || '/', b.destination || '/') OR starts_with(b.destination || '/', a.destination || '/') AS overlap FROM jobs a JOIN jobs b ON a.state = b.state")
+_SLASHED = "rtrim({}, '/') || '/'"
+_OVERLAP = f"starts_with({_SLASHED}, {_SLASHED}) OR starts_with({_SLASHED}, {_SLASHED})"
+R.add("F10_paths_overlap", "src", lambda s: s.select(F.concat(F.lit("/"), "rel_path").alias("path"), F.explode(F.transform(paths.ancestors(c("rel_path")), lambda p: F.concat(F.lit("/"), p))).alias("above")).select(
+        "path", "above", paths.paths_overlap(c("path"), F.concat("above", F.lit("/"))).alias("beneath"), paths.paths_overlap(c("above"), c("path")).alias("around"), paths.paths_overlap(c("path"), F.concat("above", F.lit(".old"))).alias("beside")),
+    f"""SELECT path, above, {_OVERLAP.format("path", "above || '/'", "above || '/'", "path")} AS beneath, {_OVERLAP.format("above", "path", "path", "above")} AS around,
+         {_OVERLAP.format("path", "above || '.old'", "above || '.old'", "path")} AS beside FROM (SELECT '/' || rel_path AS path, '/' || unnest(list_transform(range(0, len(p)), lambda i: array_to_string(p[1:i], '/'))) AS above
+         FROM (SELECT rel_path, string_split(rel_path, '/') AS p FROM src))""")
 R.add("F11_mode_bits", "src", lambda s: s.select("rel_path", *[v.alias(k) for k, v in fm.mode_bits(c("mode") + (c("size") % 8 * 512).cast("int")).items()]),
     "SELECT rel_path, m % 4096 AS perm, m // 2048 % 2 = 1 AS setuid, m // 1024 % 2 = 1 AS setgid, m // 512 % 2 = 1 AS sticky FROM (SELECT rel_path, mode + size % 8 * 512 AS m FROM src)")
 R.add("F12_temp_name", "work_items", lambda w: w.select("item_id", fm.temp_name(".sync.tmp.", c("job_id"), c("pass_no"), c("item_id"), c("attempt")).alias("name")),
