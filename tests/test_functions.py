@@ -112,6 +112,13 @@ def test_formats(spark):
     assert one(fm.journal_label(F.lit("COPIED"))) == "copied" and one(fm.type_category(F.lit("ODD"))) == "unknown"
 
 
+def test_human_bytes_rounds_as_c(spark):
+    numbers = [1280, 1792, 21760, 452864, (1 << 20) - 1, (5 << 30) + (1 << 28), (1 << 63) - 1, *[(7 << k) + (b << (k - 2)) for k in (20, 40, 50, 60) for b in range(4)]]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", fm.human_bytes(F.col("n")).alias("t")).collect()
+    unit = lambda n: (n.bit_length() - 1) // 10
+    assert [r["t"] for r in rows] == [f"{float(r['n']) / (1 << (10 * unit(r['n']))):.1f} {'KMGTPE'[unit(r['n']) - 1]}iB" for r in rows]
+
+
 def test_root_above(spark):
     rows = spark.createDataFrame([("a",), ("a/b",), ("a/b/c",), ("ab",), ("d/e/f/g",), ("",)], "rel_path string")
     roots = spark.createDataFrame([("a/b", 1), ("d/e/f/g", 2), ("d", 3), ("nowhere", 4)], "root string, n int")
