@@ -4,7 +4,12 @@ import os
 
 from conftest import SF_DIR
 
+from pyspark.sql import functions as F
+
 from driftline import fixtures
+from driftline.checks import journal
+from driftline.operators import diff
+from driftline.sources.listing import as_listing, slice_listing
 
 COLUMNS = ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
 
@@ -37,3 +42,50 @@ def test_listings_take_one_shuffle_of_the_rows(spark, tmp_path):
     sf_dir = copied(tmp_path)
     derived = shuffled(spark, lambda: [fixtures.table(spark, sf_dir, name) for name in ("src", "dst")])
     assert 0 < derived < 1.5 * once
+
+
+def _sides(spark):
+    """A source and a destination of many files, with a directory and a left-over temporary name."""
+    files = spark.range(20000).select(F.concat(F.lit("d/f"), F.col("id").cast("string")).alias("rel_path"), F.lit("FILE").alias("type"), F.col("id").alias("size"), F.xxhash64("id").alias("mtime_ns"))
+    rest = spark.createDataFrame([("d", "DIR", 0, 0), ("e", "DIR", 0, 0)], files.schema)
+    left = spark.createDataFrame([("d", "DIR", 0, 0), ("d/.sync.tmp.1-1.5.0", "FILE", 0, 0), ("d/.sync.tmp.2-1.5.0", "FILE", 0, 0), ("x/.sync.tmp.2-1.5.0", "FILE", 0, 0)], files.schema)
+    return as_listing(files.union(rest)), as_listing(files.union(left))
+
+
+def _unbroadcast(spark, run):
+    """run() as it goes with tables too large to be sent to all tasks by their size."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, 4000)
+    try:
+        return run()
+    finally:
+        spark.conf.unset(name)
+
+
+def test_few_entries_leave_the_destination_where_it_is(spark):
+    src, dst = _sides(spark)
+    found = diff.plan_of(src.where("type = 'DIR'"), dst).select("rel_path", "action", "reason")
+    assert {tuple(r) for r in found.collect()} == {("d", "DIR", None), ("e", "MKDIR", "absent")}
+    assert _unbroadcast(spark, lambda: shuffled(spark, lambda: stored(found))) < 10_000
+
+
+def test_temporary_names_are_looked_at_first(spark):
+    src, dst = _sides(spark)
+    found = diff.temp_residue(src, dst, 1, 1)
+    assert {tuple(r) for r in found.collect()} == {("d/.sync.tmp.1-1.5.0", False), ("d/.sync.tmp.2-1.5.0", True)}
+    assert _unbroadcast(spark, lambda: shuffled(spark, lambda: stored(found))) < 20_000
+
+
+def test_texts_of_a_language_are_many_files(spark):
+    texts = spark.range(500).select(F.lit("en").alias("lang"), F.col("id").cast("string").alias("text")).coalesce(1)
+    rows = journal.scan_objects(spark, journal._tree(texts, 100), "part-*.txt").select("size", F.octet_length("content").alias("read")).collect()
+    assert len(rows) == 5 and sum(r["size"] for r in rows) == sum(r["read"] for r in rows) == 500 * 4 - 110
+
+
+def test_slices_move_paths_only(spark):
+    src, _ = _sides(spark)
+    names = spark.createDataFrame([("d", "f1"), ("d", "f20001"), ("", "d"), ("", "d/f2"), (None, "f3")], "parent string, name string")
+    assert {r["rel_path"] for r in slice_listing(src, names).collect()} == {"d/f1", "d"}
+    every = src.select(F.substring_index("rel_path", "/", -1).alias("name"), F.when(F.contains("rel_path", F.lit("/")), "d").otherwise("").alias("parent"))
+    paths = shuffled(spark, lambda: stored(src.select("rel_path").repartition("rel_path")))
+    assert _unbroadcast(spark, lambda: shuffled(spark, lambda: stored(slice_listing(src, every).select("rel_path")))) < 2.5 * paths
