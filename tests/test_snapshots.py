@@ -111,6 +111,23 @@ def test_incremental_passes(spark, tmp_path):
     assert sizes(snapshots.read_snapshot(spark, f"{out}/dst"))["z"] == ("FILE", 2) and snapshots._parts(spark, f"{out}/dst", None)[1] == []
 
 
+def test_incremental_pass_moves_what_changed(spark, tmp_path):
+    """What lies beneath a directory in the way is planned beside the arrivals' plan, and the delta is what applying the whole plan would alter."""
+    out = str(tmp_path)
+    start = listing(spark, *[(p, "FILE" if p[-1].isdigit() else "DIR", 1) for p in ("d", "d/1", "d/e", "d/e/2", "e", "e/3", "f", "f/g", "f/g/4", "same5", "size6")])
+    snapshots.write_base(start, f"{out}/dst", 0, 8)
+    arrived = arrival(spark, ("d", "FILE", 8), ("f/g", "SYMLINK", 0), ("same5", "FILE", 1), ("size6", "FILE", 2), removed=("d/1", "none"))
+    passes.incremental_pass(arrived, out, 1, buckets=8)
+    assert {r["rel_path"] for r in spark.read.parquet(f"{out}/pass=1/plan-deep").collect()} == {"d/e", "d/e/2", "f/g/4"}
+    planned = spark.read.parquet(f"{out}/pass=1/plan", f"{out}/pass=1/plan-deep")
+    changed, gone = diff.plan_changes(start, planned, diff.set_aside(planned))
+    whole = start.where(~F.col("rel_path").isin(*[r["rel_path"] for r in planned.select("rel_path").collect()])).select("rel_path", "type", "size")
+    want = whole.unionByName(diff.apply_plan(start, planned).select("rel_path", "type", "size"))
+    got = start.join(gone.unionByName(changed.select("rel_path")), "rel_path", "left_anti").select("rel_path", "type", "size").unionByName(changed.select("rel_path", "type", "size"))
+    assert sorted(want.collect()) == sorted(got.collect()) == sorted(snapshots.read_snapshot(spark, f"{out}/dst").select("rel_path", "type", "size").collect())
+    assert {r["rel_path"] for r in gone.collect()} == {"d/1", "d/e", "d/e/2", "f/g/4"} and "same5" not in {r["rel_path"] for r in changed.collect()}
+
+
 def test_journal_is_taken_once(spark, tmp_path):
     """Several records per batch, gaps, parts of batches, replays of old and new ones, and a delivery that runs again."""
     path = str(tmp_path / "journal")
