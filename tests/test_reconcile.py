@@ -361,3 +361,21 @@ def test_scope_releases_what_is_not_kept(spark):
     assert not os.path.exists(kept._driftline_path) and outer.count() == 3
     storage.release(outer)
     assert not os.path.exists(outer._driftline_path)
+
+
+def test_plans_hold_what_is_read(spark):
+    """A narrow plan gives the journal, counters and orphans of the whole one, and its files hold no other fields; an outline gives the orphans from paths and types."""
+    rows = lambda *r: spark.createDataFrame([(p, t, 420, 1, 1, n, 5, k) for p, t, n, k in r], "rel_path string, type string, mode int, uid bigint, gid bigint, size bigint, mtime_ns bigint, nlink int")
+    src = rows(("d", "DIR", 0, 1), ("d/a", "FILE", 1, 1), ("d/b", "FILE", 2, 2), ("d/c", "FILE", 3, 1), ("d/t", "FILE", 4, 1))
+    dst = rows(("d", "DIR", 0, 1), ("d/a", "FILE", 1, 1), ("d/b", "FILE", 2, 1), ("d/c", "FILE", 9, 1), ("d/t", "DIR", 0, 1), ("d/t/x", "FILE", 1, 1), ("d/lost", "FILE", 1, 1))
+    whole = diff.plan(src, dst)
+    narrow = diff.written_plan(src, dst, fields=("nlink",), clean=False)
+    counted = diff.written_plan(src, dst, fields=("nlink", "size"))
+    outline = diff.outline(src, dst)
+    assert narrow.schema["src"].dataType.names == ["type", "nlink"] and outline.schema["src"].dataType.names == ["type"]
+    assert {r["rel_path"] for r in narrow.collect()} == {r["rel_path"] for r in whole.collect()} - {"d/a"}
+    found = lambda p: sorted(map(tuple, diff.plan_orphans(p).collect()))
+    assert found(whole) == found(narrow) == found(outline) and len(found(outline)) == 2
+    journal = lambda p: sorted(map(tuple, diff.to_journal(p, diff.plan_orphans(p).select("rel_path"), 1, 1).select("type", "rel_path").collect()))
+    assert journal(whole) == journal(narrow)
+    assert diff.pass_counters(whole, diff.plan_orphans(whole)).first() == diff.pass_counters(counted, diff.plan_orphans(counted)).first()
