@@ -159,20 +159,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) ->
 
     def run(batches):
         for batch in batches:
-            rows, labels = [], []
+            rows, values, labels = [], [], []
             for text in _texts(batch):
                 m = measure(text)
-                rows.append(features(text, m, dimensions).tobytes())
+                x = features(text, m, dimensions)
+                at = np.flatnonzero(x)
+                rows.append(at.astype(np.uint16 if dimensions <= 1 << 16 else np.uint32).tobytes())
+                values.append(x[at].tobytes())
                 labels.append(posterior[pattern(m, len(text.split()))])
-            yield pa.RecordBatch.from_pydict({"x": pa.array(rows, pa.binary()), "y": pa.array(labels, pa.float64())})
+            yield pa.RecordBatch.from_pydict({"at": pa.array(rows, pa.binary()), "x": pa.array(values, pa.binary()), "y": pa.array(labels, pa.float64())})
 
     text = F.col("text").cast("string")
     drawn = docs.select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 30)).alias("h")).where(F.col("h") < int(share * (1 << 30)))
     drawn = drawn.groupBy("h").agg(F.any_value("text").alias("text")).orderBy("h").limit(sample)  # a text that repeats is drawn once
-    rows = map_in_arrow(drawn.select("text"), run, "x binary, y double").toArrow()  # at most `sample` rows of `dimensions` floats
-    x, y = np.empty((len(rows), dimensions), np.float32), rows["y"].to_numpy().astype(np.float32)
-    for k, row in enumerate(rows["x"]):
-        x[k] = np.frombuffer(row.as_buffer(), np.float32)  # no copies beside the table and x
+    rows = map_in_arrow(drawn.select("text"), run, "at binary, x binary, y double").toArrow()  # at most `sample` rows, of the features that are not 0
+    x, y = np.zeros((len(rows), dimensions), np.float32), rows["y"].to_numpy().astype(np.float32)
+    for k, (at, row) in enumerate(zip(rows["at"], rows["x"], strict=True)):
+        x[k, np.frombuffer(at.as_buffer(), np.uint16 if dimensions <= 1 << 16 else np.uint32)] = np.frombuffer(row.as_buffer(), np.float32)
     del rows
     pa.default_memory_pool().release_unused()
     return {"posterior": posterior, "weights": fit_scorer(x, y), "accuracies": chance, "prior": prior, "dimensions": dimensions}
