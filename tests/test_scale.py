@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from driftline import fixtures
 from driftline.checks import journal
 from driftline.operators import diff
+from driftline.plans.passes import run_passes
 from driftline.sources.listing import as_listing, slice_listing
 
 COLUMNS = ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
@@ -89,3 +90,15 @@ def test_slices_move_paths_only(spark):
     every = src.select(F.substring_index("rel_path", "/", -1).alias("name"), F.when(F.contains("rel_path", F.lit("/")), "d").otherwise("").alias("parent"))
     paths = shuffled(spark, lambda: stored(src.select("rel_path").repartition("rel_path")))
     assert _unbroadcast(spark, lambda: shuffled(spark, lambda: stored(slice_listing(src, every).select("rel_path")))) < 2.5 * paths
+
+
+def test_passes_move_both_sides_once_each(spark, tmp_path):
+    """Directories in the way are set aside without another look at the whole plan."""
+    src, dst = _sides(spark)
+    in_the_way = dst.where("rel_path <> 'd/f7'").unionByName(as_listing(spark.createDataFrame([("d/f7", "DIR"), ("d/f7/kid", "FILE")], "rel_path string, type string")))
+    both = shuffled(spark, lambda: [stored(side.repartition("rel_path")) for side in (src, in_the_way)])
+    found = []
+    moved = _unbroadcast(spark, lambda: shuffled(spark, lambda: found.extend(run_passes(spark, lambda n: src, in_the_way, str(tmp_path)))))
+    assert [(r["files_copied"], r["orphans"], r["converged"]) for r in found] == [(1, 1, False), (0, 1, True)] and moved < 2.4 * both
+    left = {r["rel_path"]: r["type"] for r in spark.read.parquet(f"{tmp_path}/pass=2/snapshot").where("rel_path = 'd/f7' or rel_path like 'd/f7/%' or rel_path like 'd/.sync.stale.%'").collect()}
+    assert left.pop("d/f7") == "FILE" and sorted(left.values()) == ["DIR", "FILE"] and "d/f7/kid" not in left
