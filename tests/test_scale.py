@@ -102,3 +102,10 @@ def test_passes_move_both_sides_once_each(spark, tmp_path):
     assert [(r["files_copied"], r["orphans"], r["converged"]) for r in found] == [(1, 1, False), (0, 1, True)] and moved < 2.4 * both
     left = {r["rel_path"]: r["type"] for r in spark.read.parquet(f"{tmp_path}/pass=2/snapshot").where("rel_path = 'd/f7' or rel_path like 'd/f7/%' or rel_path like 'd/.sync.stale.%'").collect()}
     assert left.pop("d/f7") == "FILE" and sorted(left.values()) == ["DIR", "FILE"] and "d/f7/kid" not in left
+
+
+def test_listings_read_the_same_written_files(spark, tmp_path):
+    sf_dir = copied(tmp_path)
+    src, dst = (set(fixtures.table(spark, sf_dir, name).inputFiles()) for name in ("src", "dst"))
+    files = set(fixtures._MADE[spark.sparkContext.applicationId, sf_dir, "files"].inputFiles())
+    assert files < src and files < dst and src & dst == files
