@@ -6,9 +6,10 @@ from conftest import SF_DIR
 
 from pyspark.sql import functions as F
 
-from driftline import fixtures
+from driftline import fixtures, storage
+from driftline.checks import diff as checked
 from driftline.checks import journal
-from driftline.operators import diff
+from driftline.operators import diff, tree
 from driftline.plans.passes import run_passes
 from driftline.sources.listing import as_listing, slice_listing
 
@@ -104,6 +105,21 @@ def test_passes_move_both_sides_once_each(spark, tmp_path):
     assert left.pop("d/f7") == "FILE" and sorted(left.values()) == ["DIR", "FILE"] and "d/f7/kid" not in left
 
 
+def test_links_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS", 1000)
+    src = as_listing(spark.range(20000).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("rel_path"), F.lit("FILE").alias("type"), (F.col("id") % 10000).alias("ino"), F.lit(2).alias("nlink")))
+    groups, members = tree.link_groups(src).withColumn("anchor_state", F.lit("copied")), tree.link_members(src)
+    assert groups.rdd.getNumPartitions() == members.rdd.getNumPartitions() == 20
+    links = tree.pending_links(groups, members).select("ino", "rel_path", "anchor_path").collect()
+    assert len(links) == 10000 and all(r["anchor_path"] == min(f"f{r['ino']}", f"f{r['ino'] + 10000}") != r["rel_path"] for r in links)
+
+
+def test_links_need_the_source_only(spark, tmp_path):
+    sf_dir = copied(tmp_path)
+    assert checked.QUERIES["J4_pending_links"](spark, sf_dir).count() > 0
+    assert {name for _, of, name in fixtures._MADE if of == sf_dir} == {"src", "files", "dirs"}
+
+
 def test_listings_read_the_same_written_files(spark, tmp_path):
     sf_dir = copied(tmp_path)
     src, dst = (set(fixtures.table(spark, sf_dir, name).inputFiles()) for name in ("src", "dst"))
