@@ -125,3 +125,11 @@ def test_listings_read_the_same_written_files(spark, tmp_path):
     src, dst = (set(fixtures.table(spark, sf_dir, name).inputFiles()) for name in ("src", "dst"))
     files = set(fixtures._MADE[spark.sparkContext.applicationId, sf_dir, "files"].inputFiles())
     assert files < src and files < dst and src & dst == files
+
+
+def test_counted_sides_are_not_sorted(spark):
+    src, dst = _sides(spark)
+    found = _unbroadcast(spark, lambda: diff.plan(src, dst, rows=40_000)._jdf.queryExecution().executedPlan().toString())
+    assert "ShuffledHashJoin" in found and "Sort" not in found
+    same = lambda df: sorted((r["rel_path"], r["action"], r["reason"] or "") for r in df.select("rel_path", "action", "reason").collect())
+    assert same(diff.plan(src, dst, rows=40_000)) == same(diff.plan(src, dst))
