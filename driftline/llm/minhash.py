@@ -15,7 +15,9 @@ components, with two nodes drawn by hash; the draws of a node's buckets differ,
 group of near copies grows together by a few comparisons a node. Only pairs that then still
 lie in different components are all compared, small sets by their shingles and others by
 an estimate from 1024 further slots (within 0.09, over five deviations) that is part of the join. So every pair of a bucket is either compared or already connected, and groups of near copies
-do not become all their pairs.
+do not become all their pairs. Where more than LARGE nodes of a bucket are still open (copies of one text that
+differ from each other by just too much), pairs are no rows at all: nodes lie in blocks, and the full sets of two blocks that
+share such a bucket are compared in one task, which gives the links only.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing;
 fewer than k words are one shingle; texts are read whole whatever their length; rows that
@@ -49,6 +51,9 @@ FINE_SLOTS = 1024
 FINE_MARGIN = 0.09
 #: Pairs whose smaller set has fewer shingles are confirmed without an estimate.
 SMALL = 200
+#: Buckets with more open nodes are compared in blocks, of so many nodes and shingles at most, about.
+LARGE = 64
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,6 +183,94 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * F.col("common").cast("long") >= percent * F.col("either").cast("long")).select(*pairs.columns)
 
 
+def _in_common(shingles: np.ndarray, sizes: np.ndarray, left: int) -> np.ndarray:
+    """How many shingles each of the first `left` sets shares with each of the rest; if there is no rest, sets with later ones among themselves."""
+    start = left % len(sizes)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(shingles, kind="stable")
+    row, value = row[order], shingles[order]
+    column = np.cumsum(np.append(False, value[1:] != value[:-1]))
+    count = np.bincount(column)
+    often = count > max(2, len(sizes) // 32)
+    out = np.zeros((left, len(sizes) - start), np.float32)  # whole numbers, exact up to 2**24
+    at = often[column]
+    r, c = row[at], (np.cumsum(often) - 1)[column[at]]
+    for low in range(0, int(often.sum()), 1024):  # frequent ones by products of matrices
+        own = slice(*np.searchsorted(c, [low, low + 1024]))
+        holds = np.zeros((len(sizes), 1024), np.float32)
+        holds[r[own], c[own] - low] = 1
+        out += holds[:left] @ holds[start:].T
+    at = ~at & (count[column] > 1)
+    r, c, step = row[at], column[at], 1
+    while len(same := np.flatnonzero(c[step:] == c[:-step])):  # rare ones by their pairs
+        x, y = r[same], r[same + step]
+        if start:
+            across = (x < left) & (y >= left)
+            x, y = x[across], y[across]
+        np.add.at(out, (x, y - start), 1)
+        step += 1
+    return out
+
+
+def _linked_components(sets: pa.ListArray, component: np.ndarray, left: int, percent: int) -> np.ndarray:
+    """The pairs of components that a link between two sets joins; of the first `left` sets with the rest, or of all if there is no rest."""
+    n = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+    start = left % len(n)
+    common = _in_common(sets.flatten().to_numpy().view(np.uint64), n, left).astype(np.int64)
+    linked = (100 + percent) * common >= percent * (n[:left, None] + n[None, start:])
+    linked &= component[:left, None] != component[None, start:]
+    u, v = np.nonzero(linked if start else np.triu(linked, 1))
+    return np.unique(np.stack([component[u], component[v + start]], axis=1), axis=0)
+
+
+def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """cu, cv from rows (a, b, side, component, shingles): the sets of two blocks a and b, or of one."""
+
+    def groups(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            a, b = held.column("a").to_numpy(), held.column("b").to_numpy()
+            ends = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+            for at, to in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=False):
+                yield held.slice(at, to - at)
+            held = held.slice(ends[-1]) if len(ends) else held  # a pair of blocks may go on in the next batch
+        if held is not None and len(held):
+            yield held
+
+    def run(batches):
+        for table in groups(batches):
+            left = len(table) - int(table.column("side").to_numpy().sum())
+            found = _linked_components(pa.concat_arrays(table.column("shingles").chunks), table.column("component").to_numpy(), left, percent)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["cu", "cv"])
+
+    return map_in_arrow(rows.repartition("a", "b").sortWithinPartitions("a", "b", "side"), run, "cu bigint, cv bigint")
+
+
+def crowded_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (cu, cv) between components, from all pairs of each bucket of members (key, id, component, m: nodes of the bucket), compared on full sets.
+
+    A node's home is the largest bucket among its own and those of the nodes it meets; homes are cut into blocks. Nodes
+    of a group of near copies share most buckets, so they have one home, and a pair is compared once whatever it shares.
+    """
+    met = members.select("key", "id", F.struct("m", "key").alias("home"))
+    largest = met.groupBy("id").agg(F.max("home").alias("home"))
+    near = met.select("key", "id").join(largest, "id").groupBy("key").agg(F.max("home").alias("home"))
+    homes = members.select("key", "id", "component").join(near, "key").groupBy("id").agg(F.max("home").alias("home"), F.any_value("component").alias("component"))
+    homes = materialize(homes.join(sets.select("id", F.size("shingles").alias("n")), "id").select("id", "component", "n", F.col("home.key").alias("home")), "homes")
+    cut = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = homes.join(cut, "home").select("id", "component", F.xxhash64("home", F.pmod(F.xxhash64("id"), "blocks")).alias("block"))
+    there = members.select("key", "id").join(placed, "id").select("key", "block").distinct()
+    pairs = there.select("key", F.col("block").alias("a")).join(there.select("key", F.col("block").alias("b")), "key").where("a <= b").select("a", "b").distinct()
+    pairs = materialize(pairs, "pairs")
+    sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(pairs.where("a < b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("block")))
+    found = materialize(_block_links(sides.join(placed.join(sets.select("id", "shingles"), "id"), "block").select("a", "b", "side", "component", "shingles"), percent).distinct(), "found")
+    release(homes, pairs)
+    return found
+
+
 def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     """groups (id, component) after links between components (cu, cv) have joined some; an id without a group is its own component.
 
@@ -223,10 +316,10 @@ def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
         )
 
     def still_open(groups: DataFrame, members: DataFrame) -> DataFrame:
-        """key, band, id, component of buckets whose members lie in different components."""
+        """key, band, id, component, m (open nodes of the bucket) of buckets whose members lie in different components."""
         placed = members.select("key", "band", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        ends = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-        return materialize(placed.join(ends.where("a < b").select("key"), "key"), "open")
+        ends = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m"))
+        return materialize(placed.join(ends.where("a < b").select("key", "m"), "key"), "open")
 
     stars = close(buckets.where("low < id").select(F.col("low").alias("u"), F.col("id").alias("v")))
     links = materialize(confirmed(stars, sets, percent), "links")
@@ -239,8 +332,10 @@ def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     tried = open_.join(drawn, "key").where("component <> c.component").select(F.col("id").alias("u"), F.col("c.id").alias("v"), F.col("component").alias("cu"), F.col("c.component").alias("cv"))
     groups = merged(groups, confirmed(close(tried), sets, percent))
 
-    rest = still_open(groups, open_)
+    opened = still_open(groups, open_)
     release(open_)
+    crowded = opened.where(F.col("m") > LARGE)
+    rest = opened.where(F.col("m") <= LARGE)
     rest = rest.join(slots, "id").join(sets.select("id", "fine", F.when(F.size("shingles") * percent < SMALL * 100, F.col("shingles")).alias("few")), "id").join(nodes.select("id", "bands"), "id")
     first_band = F.expr("case " + " ".join(f"when bx[{i}] = by[{i}] then {i}" for i in range(BANDS)) + " end")  # a pair is one row whatever it shares
     nearly = estimate("fx", "fy", FINE_SLOTS) >= percent / 100 - FINE_MARGIN
@@ -249,8 +344,11 @@ def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     left = rest.select("key", "band", F.col("bands").alias("bx"), F.col("id").alias("u"), F.col("component").alias("cu"), F.col("slots").alias("x"), F.col("n").alias("nu"), F.col("fine").alias("fx"), F.col("few").alias("sx"))
     right = rest.select(F.col("key").alias("k"), F.col("bands").alias("by"), F.col("id").alias("v"), F.col("component").alias("cv"), F.col("slots").alias("y"), F.col("n").alias("nv"), F.col("fine").alias("fy"), F.col("few").alias("sy"))
     others = left.join(right, (F.col("key") == F.col("k")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & may_link & (first_band == F.col("band")) & alike)
-    groups = merged(groups, confirmed(others.select("u", "v", "cu", "cv"), sets, percent))
-    release(buckets, sets, links)
+    links_left = confirmed(others.select("u", "v", "cu", "cv"), sets, percent).select("cu", "cv")
+    if not crowded.isEmpty():
+        links_left = links_left.unionByName(crowded_links(crowded, sets, percent))
+    groups = merged(groups, links_left)
+    release(buckets, sets, links, opened)
 
     placed = nodes.select("n_shingles", "set_a", "set_b", "id", "low").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return made, placed

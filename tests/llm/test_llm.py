@@ -362,6 +362,39 @@ def test_small_sets_of_a_large_bucket(spark, monkeypatch):
     assert got == group and len(set(group.values())) == 150
 
 
+def test_group_that_stays_open(spark, monkeypatch):
+    """Copies of one text that differ from each other by just too much: what is compared does not become all their pairs, and links among them are found."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for g in range(240):
+        words = list(base)
+        for i in r.sample(range(300), 6):
+            words[i] = f"g{g}x{i}"
+        texts.append(" ".join(words))
+    texts += [f"{t} more" for t in texts[:20]]
+    r.shuffle(texts)
+    asked, confirmed = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *rest: asked.append(pairs.count()) or confirmed(pairs, *rest))
+    monkeypatch.setattr(minhash, "BLOCK", 50)
+    sets, group = brute_components(list(enumerate(texts)), 4)
+    got = {row["doc_id"]: row["component_id"] for row in minhash.near_duplicates(documents(spark, texts), k=4).collect()}
+    assert got == group and 100 < len(set(group.values())) < 241
+    assert asked[-1] < 10 * len(texts)
+
+
+def test_shared_shingles_of_blocks():
+    """Counts by matrix and by pairs are those of the sets, within a block and between two."""
+    r = np.random.default_rng(3)
+    for left, right, pool in ((70, 0, 40), (1, 0, 5), (3, 90, 60), (80, 30, 2000)):
+        drawn = r.integers(0, 2**64, pool, dtype=np.uint64)
+        sets = [np.unique(r.choice(drawn, r.integers(1, pool // 2))) for _ in range(left + right)]
+        got = minhash._in_common(np.concatenate(sets), np.array([len(x) for x in sets]), left)
+        for i in range(left):
+            for j in range(left if right else i + 1, left + right):
+                assert got[i, j - left if right else j] == len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_sizes_of_estimates():
     r = np.random.default_rng(4)
     x = r.integers(0, 2**63, 1000).astype(np.uint64)
